@@ -17,14 +17,13 @@ from evenkeel.llm.shared import materialize
 
 SHINGLE = 5
 #: Least hashes kept of each set, and how many of them are looked up in inverted lists.
-SKETCH, LOOKED_UP = 32, 20
-#: Pairs whose union sketch holds a smaller share of common hashes are not verified. At a similarity of
-#: 0.8 a pair falls below with a probability under 1e-7.
-ESTIMATE = 0.4
+SKETCH, LOOKED_UP = 64, 20
+#: Standard deviations below the threshold at which an estimate still counts as near.
+SLACK = 5.5
 #: Lists up to this length are paired in full where they span components; documents with this many
 #: retained values in such lists need no longer ones.
 SHORT_LIST, SHORT_VALUES = 32, 9
-#: Retained values by which documents made of common text are compared, and rows in a block of them.
+#: Retained values by which documents made of common text are compared, and the rows in a block.
 COMMON_VALUES, BLOCK = 8, 256
 #: Words whose hashes a worker keeps.
 CACHED_WORDS = 300_000
@@ -77,6 +76,11 @@ def _mapped(df: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
     return df.select(F.col(key), F.col(text)).mapInArrow(rows, schema)
 
 
+def _least_share(percent: int, drawn: int) -> float:
+    """The share of common hashes, of so many drawn, that a pair at the threshold has but for one chance in 10 million."""
+    return max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / drawn) ** 0.5)
+
+
 def _near_enough(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -87,7 +91,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("high"), "high").join(side("low"), "low").where(_near_enough(F.col("n_low"), F.col("n_high"), percent))
     union = F.slice(F.array_sort(F.array_union("v_low", "v_high")), 1, SKETCH)
     common = F.array_intersect(F.array_intersect(union, "v_low"), "v_high")
-    return both.where(F.size(common) >= ESTIMATE * F.size(union)).select("low", "high")
+    return both.where(F.size(common) >= _least_share(percent, SKETCH) * F.size(union)).select("low", "high")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -98,10 +102,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s_low") + F.size("s_high") - common)).select("low", "high")
 
 
-def _common_text_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of different components in lists too long to be paired as rows, compared in blocks of sketches.
+def _common_text_links(lists: DataFrame, percent: int) -> DataFrame:
+    """Links that join components within lists too long to be paired as rows, found in blocks of whole sets.
 
-    lists: value, node, root, values. Only pairs that share enough of their sketches leave a block.
+    lists: value, node, root, values (the whole set). A block compares all its pairs of different
+    components exactly, but leaves only links that still join two of them, fewer than its rows.
     """
     spans = lists.groupBy("value").agg(F.count(F.lit(1)).alias("__rows"), F.min("root").alias("__a"), F.max("root").alias("__b")).where("__a < __b")
     dealt = lists.join(spans.select("value", F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")), "value")
@@ -110,16 +115,31 @@ def _common_text_pairs(lists: DataFrame) -> DataFrame:
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows.own == rows["first"]], rows[rows.own == rows["second"]]
-        padded = np.full((len(right), SKETCH), -1, np.int64)
-        for i, values in enumerate(right["values"]):
-            padded[i, : len(values)] = values
-        found, roots, ids = [], right.root.to_numpy(), right.node.to_numpy()
+        sizes, ids = right["values"].map(len).to_numpy(), right.node.to_numpy()
+        joined = {x: x for x in rows.root}
+
+        def find(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        flat, owner = np.concatenate(list(right["values"])), np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner, found = flat[order], owner[order], []
+        right_roots = right.root.tolist()
         for node, root, values in zip(left.node, left.root, left["values"]):
-            near = np.isin(padded, values).sum(1) >= ESTIMATE * len(values)
-            found += [(min(node, x), max(node, x)) for x in ids[near & (roots != root)]]
-        return pd.DataFrame(sorted(set(found)), columns=["low", "high"], dtype="int64")
+            lo, hi = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(right))
+            for i in np.flatnonzero(100 * common >= percent * (len(values) + sizes - common)):
+                if (a := find(root)) != (b := find(right_roots[i])):
+                    joined[max(a, b)] = min(a, b)
+                    found.append((min(node, ids[i]), max(node, ids[i])))
+        return pd.DataFrame(found, columns=["low", "high"], dtype="int64")
 
-    return dealt.select("value", "node", "root", "values", "own", "first", "second").groupBy("value", "first", "second").applyInPandas(compare, "low long, high long").distinct()
+    blocks = dealt.select("value", "node", "root", "values", "own", "first", "second").groupBy("value", "first", "second")
+    return blocks.applyInPandas(compare, "low long, high long")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -130,8 +150,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     class, which goes on as one node. A node whose retained values are mostly its own has no links.
     The others are looked up: each list's least node is paired with its members, estimated on union
     sketches and verified on whole sets. Lists that still span several components are then paired in
-    full if short; documents made of text so common that all their lists are long are compared in
-    blocks. A pair is missed only if its sketches don't meet, with a probability under 1e-6 a pair.
+    full if short; documents made of text so common that most of their lists are long are compared in
+    blocks, as many as the square of such a list. A pair is missed only if its sketches don't meet, with a probability under 1e-6 a pair.
 
     A text without words, or null, has no shingles and no links; so has a row without a key, whose
     component_id is null and which is kept. Repeated rows share a component. Rows of one key with different texts are
@@ -145,7 +165,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     values = nodes.select("node", "n", F.explode(F.slice("values", 1, LOOKED_UP)).alias("value"))
     shared = values.groupBy("value").count().where("count > 1").select("value")
     shared = values.join(shared, "value")
-    suspects = shared.groupBy("node", "n").count().where(F.col("count") >= ESTIMATE * F.least("n", F.lit(LOOKED_UP))).select("node")
+    suspects = shared.groupBy("node", "n").count().where(F.col("count") >= _least_share(percent, LOOKED_UP) * F.least("n", F.lit(LOOKED_UP))).select("node")
     suspects = materialize(nodes.join(suspects, "node", "left_semi"))
     texts = df.join(suspects.select(F.col("key").alias(key)).distinct(), key, "left_semi")
     sets = _mapped(texts, key, text, whole=True).join(suspects.select("print", "node"), "print").groupBy("node").agg(F.first("values").alias("values"))
@@ -168,10 +188,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     long_ = lists.where(F.col("length") > SHORT_LIST)
     counts = values.join(lengths.where(F.col("length") > SHORT_LIST).select("value"), "value", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("long"), F.array_sort(F.collect_list("value")).alias("longs"))
     common = counts.join(common, "node").where(F.col("looked_up") - F.col("long") < F.least(F.lit(SHORT_VALUES), F.col("looked_up")))
-    common = common.select("node", F.explode(F.slice("longs", 1, COMMON_VALUES)).alias("value")).join(suspects.select("node", "values"), "node")
-    pairs = pairs.union(_common_text_pairs(long_.select("value", "node", "root").join(common, ["value", "node"]))).distinct()
-    more = materialize(_verified(_estimated(pairs, suspects, percent), sets, percent))
-    rooted = components(links.union(more), "low", "high")
+    common = common.select("node", F.explode(F.slice("longs", 1, COMMON_VALUES)).alias("value"))
+    more = materialize(_verified(_estimated(pairs.distinct(), suspects, percent), sets, percent))
+    rooted = components(links.union(more), "low", "high").withColumnRenamed("root", "top")
+    common = common.join(long_.select("value", "node", "root"), ["value", "node"]).join(rooted, "node", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    most = materialize(_common_text_links(common.join(sets, "node"), percent))
+    rooted = components(links.union(more).union(most), "low", "high")
 
     named = nodes.select("node", "print", "key").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("key").alias("component_id"))
