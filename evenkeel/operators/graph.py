@@ -126,8 +126,8 @@ def edge_disjoint_paths(edges: DataFrame, nodes: DataFrame, buckets: int = 8) ->
     one graph's edges must fit into a task."""
     kind = dict(nodes.dtypes)["v"]
     sources = nodes.select("graph_id", F.col("v").alias("node"), F.pmod(F.xxhash64("v"), F.lit(buckets)).alias("bucket"))
-    edge_rows = edges.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
-    all_nodes = nodes.select("graph_id", "v").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+    edge_rows = edges.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    all_nodes = nodes.select("graph_id", "v").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     rows = (
         edge_rows.select("graph_id", "bucket", "u", "v", F.lit(0).alias("what"))
         .unionByName(all_nodes.select("graph_id", "bucket", F.col("v").alias("u"), "v", F.lit(1).alias("what")))

@@ -1,2 +1,459 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The queries over the run corpus."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evenkeel.operators import dispersion as D
+from evenkeel.operators import factors as FA
+from evenkeel.operators import graph as G
+from evenkeel.operators import inventory as I
+from evenkeel.operators import labels as L
+from evenkeel.operators import models as M
+from evenkeel.operators import outcomes as O
+from evenkeel.operators import quality as Q
+from evenkeel.operators import resample as R
+from evenkeel.operators import windows as WI
+from evenkeel.plans.model import METRICS, RUNS
+from evenkeel.plans.oracle import oracle_sql
+from evenkeel.plans.runs_view import outcome_runs, runs, table
+from evenkeel.sources.files import manifest
+
+CFG = list(RUNS.cfg)
+PAIR = ["chain", "topology"]
+SCOPES = {"all": None, "two_regions": ["ASIA", "EUROPE"]}
+CHAINS = {"AUTOMOBILE": "auto", "BUILDING": "build", "MACHINERY": "machine"}
+STATS = ["iqr_pct", "std_pct", "delta_max_pct", "range", "wcd"]
+VALUES = {"tps": "tps", "latency": "latency", "energy": "energy_clean"}
+#: Replicates and seeds of the registered resampling queries.
+REPLICATES, BALANCED_N, BALANCED_SEED, BOOTSTRAP_SEED = 5, 9, 20260830, 20260831
+Query = Callable[[SparkSession, str], DataFrame]
+_REGISTERED: dict[str, Query] = {}
+
+__all__ = ["oracle_sql", "queries"]
+
+
+def query(f: Query) -> Query:
+    _REGISTERED[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_REGISTERED)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, with -0.0 as 0.0."""
+    kinds = dict(df.dtypes)
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
+
+
+def _cells(spark, sf_dir):
+    return D.dispersion(outcome_runs(spark, sf_dir), CFG, METRICS)
+
+
+def _legacy(spark, sf_dir, keys=CFG):
+    return D.legacy_aggregate(O.legacy_ratios(runs(spark, sf_dir)), keys, VALUES)
+
+
+def _sample(spark, sf_dir):
+    return R.balanced_sample(outcome_runs(spark, sf_dir), PAIR, "run_id", BALANCED_N, REPLICATES, BALANCED_SEED)
+
+
+def _rows(spark, rows, schema):
+    return spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows], schema)
+
+
+@query
+def label_recode(spark, sf_dir):
+    named = L.normalise(runs(spark, sf_dir), {"chain": CHAINS}, {"topology": "-NOT SPECIFIED", "workload": "-l"})
+    return named.groupBy("chain_raw", "chain", "topology").agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+@query
+def controlled_selection(spark, sf_dir):
+    named = L.normalise(runs(spark, sf_dir), {"chain": CHAINS})
+    chosen = L.select_controlled(named, {"chain": "build", "size": "F"}, {"chain": CHAINS})
+    return L.in_scopes(chosen, "workload", SCOPES).select("scope", "run_id", "chain", "topology", "workload", L.position(F.col("workload"), ["EUROPE", "ASIA"]).alias("place"))
+
+
+@query
+def run_outcomes(spark, sf_dir):
+    return outcome_runs(spark, sf_dir).select("run_id", "outcome", *dict.fromkeys(O.COUNTERS.values()))
+
+
+@query
+def outcome_counts_by_config(spark, sf_dir):
+    return O.outcome_counts(outcome_runs(spark, sf_dir), CFG)
+
+
+@query
+def outcome_flag_violations(spark, sf_dir):
+    return O.flag_violations(outcome_runs(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_violations"))
+
+
+@query
+def status_counts_zero_filled(spark, sf_dir):
+    return O.status_counts(outcome_runs(spark, sf_dir), PAIR)
+
+
+@query
+def scope_outcome_summary(spark, sf_dir):
+    scoped = L.in_scopes(outcome_runs(spark, sf_dir), "workload", SCOPES)
+    counts = O.outcome_counts(scoped, ["scope", *CFG])
+    out = [O.scope_summary(counts.filter(F.col("scope") == s)).withColumn("scope", F.lit(s)) for s in SCOPES]
+    return out[0].unionByName(out[1])
+
+
+@query
+def legacy_projections(spark, sf_dir):
+    df = O.legacy_ratios(runs(spark, sf_dir))
+    return rounded(df.select("run_id", "commit_ratio", "latency_per_load", "energy_clean"))
+
+
+@query
+def config_inventory(spark, sf_dir):
+    return I.config_inventory(runs(spark, sf_dir), CFG, "batch", "ts")
+
+
+@query
+def batch_inventory(spark, sf_dir):
+    return I.batch_inventory(runs(spark, sf_dir), CFG, "batch", "run", "ts")
+
+
+@query
+def run_count_distribution(spark, sf_dir):
+    return I.distribution(runs(spark, sf_dir), CFG)
+
+
+@query
+def corpus_summary(spark, sf_dir):
+    return I.corpus_summary(runs(spark, sf_dir), CFG, "batch")
+
+
+@query
+def provenance_duplicates(spark, sf_dir):
+    return I.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query
+def provenance_crossing(spark, sf_dir):
+    return I.crossing_batches(table(spark, sf_dir, "events"), ["event_type"], "user_id")
+
+
+@query
+def missing_keys(spark, sf_dir):
+    return I.missing_keys(runs(spark, sf_dir), [*CFG, "batch", "run", "latency"])
+
+
+@query
+def identifier_audit(spark, sf_dir):
+    return I.identifier_audit(runs(spark, sf_dir), CFG, "batch", "run", "ts")
+
+
+@query
+def batch_structure(spark, sf_dir):
+    return I.batch_structure(runs(spark, sf_dir), CFG, "batch")
+
+
+@query
+def dispersion_long(spark, sf_dir):
+    return rounded(_cells(spark, sf_dir), 7)
+
+
+@query
+def dispersion_sorted_quantile(spark, sf_dir):
+    return rounded(D.sorted_quantile(table(spark, sf_dir, "lineitem").withColumn("v", F.col("l_extendedprice")), ["l_returnflag"], "v", 0.9), 4)
+
+
+@query
+def dispersion_scope_maxima(spark, sf_dir):
+    return rounded(D.scope_maxima(_cells(spark, sf_dir), CFG, ["range", "delta_max_pct", "delta_min_pct", "wcd"]), 4)
+
+
+@query
+def dispersion_bounds_violations(spark, sf_dir):
+    return D.bounds_violations(_cells(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_violations"))
+
+
+@query
+def metric_eligibility_summary(spark, sf_dir):
+    return D.eligibility(_cells(spark, sf_dir))
+
+
+@query
+def legacy_aggregate(spark, sf_dir):
+    return rounded(_legacy(spark, sf_dir), 7)
+
+
+@query
+def legacy_dispersion(spark, sf_dir):
+    return rounded(D.legacy_dispersion(_legacy(spark, sf_dir), CFG, list(VALUES)))
+
+
+@query
+def legacy_by_factor(spark, sf_dir):
+    return rounded(FA.medians_by(O.legacy_ratios(runs(spark, sf_dir)), PAIR, list(VALUES.values())))
+
+
+@query
+def legacy_scaling_pivot(spark, sf_dir):
+    return rounded(FA.scaling_pivot(runs(spark, sf_dir), "chain", "size", ["F", "O", "P"], "tps"))
+
+
+@query
+def worst_case_swings(spark, sf_dir):
+    return rounded(FA.worst_swings(_legacy(spark, sf_dir), "chain", "tps"))
+
+
+@query
+def bar_summary(spark, sf_dir):
+    return rounded(FA.bar_summary(_legacy(spark, sf_dir), PAIR, "tps"))
+
+
+@query
+def best_worst_marks(spark, sf_dir):
+    return rounded(FA.best_worst(FA.medians_by(runs(spark, sf_dir), PAIR, ["tps"]), ["topology"], "median_tps"))
+
+
+@query
+def offered_vs_committed(spark, sf_dir):
+    return rounded(FA.offered_vs_committed(outcome_runs(spark, sf_dir), [["workload"], ["workload", "chain"]]))
+
+
+@query
+def catalog_accounting(spark, sf_dir):
+    catalog = table(spark, sf_dir, "region").select(F.col("r_name").alias("workload"), F.col("r_regionkey").alias("catalog_id"))
+    return FA.catalog_accounting(O.outcome_counts(outcome_runs(spark, sf_dir), CFG), "workload", catalog)
+
+
+@query
+def one_to_one_join(spark, sf_dir):
+    df = runs(spark, sf_dir)
+    return FA.one_to_one(I.config_inventory(df, CFG, "batch", "ts"), I.batch_structure(df, CFG, "batch").drop("n_runs", "n_batches"), CFG)
+
+
+@query
+def factor_grid_gaps(spark, sf_dir):
+    return FA.grid_gaps(FA.factor_grid(outcome_runs(spark, sf_dir).filter("size = 'P'"), ["chain", "topology", "workload"], "tps_point_valid"), 12)
+
+
+@query
+def cells_without_eligible(spark, sf_dir):
+    return FA.cells_without(outcome_runs(spark, sf_dir), [*CFG, "batch"], "tps_point_valid")
+
+
+@query
+def single_outcome_cells(spark, sf_dir):
+    return FA.single_outcome_cells(outcome_runs(spark, sf_dir), CFG, "positive")
+
+
+@query
+def outcome_accounting_rollup(spark, sf_dir):
+    return FA.outcome_rollup(O.outcome_counts(outcome_runs(spark, sf_dir), CFG), PAIR)
+
+
+@query
+def factor_cell_means(spark, sf_dir):
+    return rounded(FA.factor_means(_cells(spark, sf_dir), CFG, ["iqr_pct", "std_pct"]))
+
+
+@query
+def run_deviations(spark, sf_dir):
+    out = WI.deviations(outcome_runs(spark, sf_dir), CFG, "tps", "tps_point_valid")
+    return rounded(out.select("run_id", "cell_mean", "deviation", "deviation_pct", "clipped_pct", "overflow"))
+
+
+@query
+def deviation_offsets(spark, sf_dir):
+    out = WI.offsets(outcome_runs(spark, sf_dir).filter("tps_point_valid"), CFG, ["ts", "run_id"])
+    return rounded(out.select("run_id", "offset", O.compact("chain", "topology", "size").alias("cell")))
+
+
+def _contrasts(df):
+    return WI.period_contrast(df, CFG, {"tps": ("tps", "tps_point_valid"), "latency": ("latency", "latency_valid")})
+
+
+@query
+def half_contrast(spark, sf_dir):
+    return rounded(_contrasts(WI.halves(outcome_runs(spark, sf_dir), CFG, ["ts", "batch", "run"])))
+
+
+@query
+def batch_contrast(spark, sf_dir):
+    return rounded(_contrasts(WI.end_batches(outcome_runs(spark, sf_dir), CFG, "batch", ["ts", "batch", "run"])))
+
+
+@query
+def period_contrast_summary(spark, sf_dir):
+    halves = _contrasts(WI.halves(outcome_runs(spark, sf_dir), CFG, ["ts", "batch", "run"]))
+    return rounded(WI.contrast_summary(halves, ["positive_points", "tps_change_pct", "latency_change_pct"]))
+
+
+@query
+def balanced_sample(spark, sf_dir):
+    return _sample(spark, sf_dir).select("replicate", "run_id", *PAIR)
+
+
+@query
+def balanced_config_sensitivity(spark, sf_dir):
+    df = outcome_runs(spark, sf_dir)
+    return rounded(R.config_sensitivity(_sample(spark, sf_dir), D.dispersion(df, PAIR, METRICS), PAIR, METRICS, STATS), 7)
+
+
+@query
+def balanced_factor_sensitivity(spark, sf_dir):
+    return rounded(R.factor_sensitivity(R.replicate_cells(_sample(spark, sf_dir), PAIR, METRICS), PAIR, ["iqr_pct", "std_pct"]), 4)
+
+
+@query
+def balanced_extrema(spark, sf_dir):
+    return rounded(R.extrema_sensitivity(R.replicate_cells(_sample(spark, sf_dir), PAIR, METRICS), ["delta_max_pct", "range"]), 4)
+
+
+@query
+def balanced_denominators(spark, sf_dir):
+    return rounded(R.denominators(_sample(spark, sf_dir), PAIR, ["submitted", "positive", "tps_point_valid", "latency_valid"]), 4)
+
+
+def _bootstrap(spark, sf_dir):
+    return R.bootstrap(outcome_runs(spark, sf_dir), PAIR, "run_id", METRICS[:2], REPLICATES, BOOTSTRAP_SEED)
+
+
+@query
+def bootstrap_config_intervals(spark, sf_dir):
+    long = R.long_statistics(_bootstrap(spark, sf_dir), [*PAIR, "metric", "replicate"], ["iqr_pct", "std_pct"])
+    return rounded(R.summary(long, [*PAIR, "metric", "statistic"]), 4)
+
+
+@query
+def bootstrap_factor_intervals(spark, sf_dir):
+    return rounded(R.factor_sensitivity(_bootstrap(spark, sf_dir), PAIR, ["iqr_pct", "std_pct"]), 4)
+
+
+@query
+def bootstrap_outside_markers(spark, sf_dir):
+    long = R.long_statistics(_bootstrap(spark, sf_dir), [*PAIR, "metric", "replicate"], ["iqr_pct", "std_pct"])
+    own = R.long_statistics(D.dispersion(outcome_runs(spark, sf_dir), PAIR, METRICS[:2]), [*PAIR, "metric"], ["iqr_pct", "std_pct"]).withColumnRenamed("value", "point")
+    both = own.join(R.summary(long, [*PAIR, "metric", "statistic"]), [*PAIR, "metric", "statistic"])
+    return both.select(*PAIR, "metric", "statistic", R.outside(F.col("point"), F.col("lower"), F.col("upper")).alias("is_outside"))
+
+
+@query
+def icc_anova(spark, sf_dir):
+    return rounded(M.icc_anova(outcome_runs(spark, sf_dir), CFG, ["chain"], "tps", "tps_point_valid"))
+
+
+@query
+def cell_sufficient_stats(spark, sf_dir):
+    return rounded(M.cell_stats(outcome_runs(spark, sf_dir), CFG, "tps", "tps_point_valid").select(*CFG, "n", "n_dropped", "mean", "m2"))
+
+
+@query
+def expectations_report(spark, sf_dir):
+    return Q.expectations(O.outcome_counts(outcome_runs(spark, sf_dir), []).drop("service_regime"), {"n_observed": 15000, "n_positive_commit": 12981, "n_inconsistent": 1})
+
+
+@query
+def regime_reconciliation(spark, sf_dir):
+    counts = O.outcome_counts(outcome_runs(spark, sf_dir), CFG)
+    off = Q.reconcile(counts, F.col("n_observed"), [F.col(c) for c in ("n_positive_commit", "n_zero_commit", "n_no_submission", "n_inconsistent")])
+    return off.agg(F.count(F.lit(1)).alias("n_violations"))
+
+
+@query
+def schedule_rules(spark, sf_dir):
+    seconds = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), F.second("ts").alias("second"), F.floor("value").cast("int").alias("tps"))
+    return Q.schedule_violations(seconds.groupBy("trace_id", "second").agg(F.max("tps").alias("tps")), 10, 20, 0, 100, 59)
+
+
+@query
+def not_unique_keys(spark, sf_dir):
+    return Q.not_unique(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@query
+def graph_degrees(spark, sf_dir):
+    return G.degrees(*G.trade_graph(spark, sf_dir))
+
+
+@query
+def graph_shortest_paths(spark, sf_dir):
+    edges, nodes = G.trade_graph(spark, sf_dir)
+    return G.distances(edges, nodes).select("source", "v", "hops")
+
+
+@query
+def graph_summary(spark, sf_dir):
+    edges, nodes = G.trade_graph(spark, sf_dir)
+    return rounded(G.path_summary(G.distances(edges, nodes), nodes).join(G.sizes(edges, nodes).drop("n_nodes"), "graph_id").join(G.degree_summary(edges, nodes), "graph_id"))
+
+
+@query
+def edge_disjoint_paths(spark, sf_dir):
+    return G.edge_disjoint_paths(*G.trade_graph(spark, sf_dir)).select("a", "b", "paths")
+
+
+def _model_cells(spark, sf_dir):
+    return M.cell_stats(outcome_runs(spark, sf_dir), CFG, "tps", "tps_point_valid")
+
+
+_TESTS = "term string, df long, nominal_df long, denominator_df double, f double, p double, partial_eta2 double"
+
+
+def _term_query(kind: str) -> Query:
+    return lambda spark, sf_dir: _rows(spark, M.term_tests(M.ols(_model_cells(spark, sf_dir), CFG[:3]), kind), _TESTS)
+
+
+_REGISTERED |= {f"performance_{k}": _term_query(k) for k in ("type2_hc3", "type3_hc3", "type2_cluster")}
+
+
+@query
+def outcome_glm_lr(spark, sf_dir):
+    cells = M.outcome_cells(outcome_runs(spark, sf_dir), ["chain", "topology", "size"], "positive")
+    return _rows(spark, M.likelihood_ratio(M.outcome_models(cells, ["chain", "topology"])[1]), "term string, statistic double, df long, p double")
+
+
+@query
+def model_diagnostics(spark, sf_dir):
+    fit = M.ols(_model_cells(spark, sf_dir), CFG[:3])
+    cells = M.outcome_cells(outcome_runs(spark, sf_dir), PAIR, "positive")
+    designs, fits = M.outcome_models(cells, PAIR)
+    full = fits["full"]
+    more = {k: float(full[k]) for k in ("brier", "mcfadden", "pearson_df", "max_abs_coef", "share_extreme", "iterations")}
+    more |= {"auc": M.auc(cells, designs["full"], full["beta"]), "quasi_separated": float(full["max_abs_coef"] > 15 or full["share_extreme"] > 0.05)}
+    return _rows(spark, [*(("performance", k, float(v)) for k, v in fit.diagnostics.items()), *(("outcome", k, v) for k, v in more.items())], "model string, measure string, value double")
+
+
+@query
+def three_way_estimability(spark, sf_dir):
+    return _rows(spark, M.three_way(_model_cells(spark, sf_dir), CFG[:3]), "term string, nominal_columns long, added_rank long")
+
+
+@query
+def three_way_sensitivity(spark, sf_dir):
+    fit = M.ols(_model_cells(spark, sf_dir), CFG[:3], [tuple(CFG[:3])])
+    return _rows(spark, [r for r in M.term_tests(fit, "type2_hc3") if r[0].count(":") == 2], _TESTS)
+
+
+@query
+def anova_shares(spark, sf_dir):
+    return _rows(spark, M.anova_shares(M.ols(_model_cells(spark, sf_dir), CFG[:3])), "term string, share double")
+
+
+@query
+def icc_reml(spark, sf_dir):
+    return M.icc_reml(_model_cells(spark, sf_dir), ["chain"]).drop("replicate")
+
+
+@query
+def icc_cluster_bootstrap(spark, sf_dir):
+    return M.icc_intervals(M.icc_reml(_model_cells(spark, sf_dir), ["chain"], 50), ["chain"])
+
+
+@query
+def file_manifest(spark, sf_dir):
+    return manifest(spark, sf_dir)
