@@ -16,7 +16,7 @@ def deviations(df: DataFrame, cfg: Sequence[str], value: str, eligible: str) ->
     mean = F.avg(value).over(W.partitionBy(*cfg))
     out = df.filter(F.col(eligible)).withColumn("cell_mean", mean)
     out = out.withColumns({"deviation": F.col(value) - F.col("cell_mean"), "deviation_pct": percent(F.col(value) - F.col("cell_mean"), F.col("cell_mean"))})
-    return out.withColumns({"clipped_pct": F.greatest(F.least("deviation_pct", F.lit(100.0)), F.lit(-100.0)), "overflow": F.coalesce(F.abs("deviation_pct") > 100, F.lit(False))})
+    return out.withColumns({"clipped_pct": F.greatest(F.least("deviation_pct", F.lit(100.0)), F.lit(-100.0)), "overflow": F.coalesce(F.abs("deviation_pct") > 100 + 1e-9, F.lit(False))})
 
 
 def offsets(df: DataFrame, cfg: Sequence[str], order: Sequence[str], half: float = 0.18) -> DataFrame:

@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
     q["outcome_accounting_rollup"] = run(f"SELECT chain, topology, count(*) AS n_cells, {regimes}, {sums} FROM counts GROUP BY GROUPING SETS ((chain, topology), ())", _CELLS)
     stats = ", ".join(f"round({f}({s}), 6) AS {n}_{s}" for s in ("iqr_pct", "std_pct") for n, f in (("mean", "avg"), ("median", "median")))
     q["factor_cell_means"] = run(f"SELECT factor, level, metric, count(*) AS n_cells, sum(n_metric)::BIGINT AS n_values, min(n_metric) AS n_min, max(n_metric) AS n_max, {stats} FROM ({_levels('SELECT * FROM cells WHERE n_metric >= 2', _CFG.split(', '), 'metric, n_metric, iqr_pct, std_pct')}) GROUP BY ALL", cells)
-    q["run_deviations"] = run(f"SELECT run_id, round(m, 6) AS cell_mean, round(tps - m, 6) + 0.0 AS deviation, round(100 * (tps - m) / m, 6) + 0.0 AS deviation_pct, round(greatest(least(100 * (tps - m) / m, 100), -100), 6) + 0.0 AS clipped_pct, abs(100 * (tps - m) / m) > 100 AS overflow FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m FROM r WHERE tps_point_valid)")
+    q["run_deviations"] = run(f"SELECT run_id, round(m, 6) AS cell_mean, round(tps - m, 6) + 0.0 AS deviation, round(100 * (tps - m) / m, 6) + 0.0 AS deviation_pct, round(greatest(least(100 * (tps - m) / m, 100), -100), 6) + 0.0 AS clipped_pct, abs(100 * (tps - m) / m) > 100 + 1e-9 AS overflow FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m FROM r WHERE tps_point_valid)")
     q["deviation_offsets"] = run(f"SELECT run_id, round(CASE WHEN n = 1 THEN 0 ELSE -0.18 + 0.36 * (rn - 1) / (n - 1) END, 6) AS \"offset\", concat_ws('/', chain, topology, size) AS cell FROM (SELECT *, row_number() OVER (PARTITION BY {_CFG} ORDER BY ts, run_id) AS rn, count(*) OVER (PARTITION BY {_CFG}) AS n FROM r WHERE tps_point_valid)")
     q["half_contrast"] = run(f"SELECT {_CFG}, {_round(_CONTRASTS)} FROM ({_contrast(f'SELECT * FROM ({_HALVES}) WHERE period IS NOT NULL')})")
     q["batch_contrast"] = run(f"SELECT {_CFG}, {_round(_CONTRASTS)} FROM ({_contrast(_BATCHES)})")
