@@ -34,15 +34,16 @@ def normalise(df: DataFrame, maps: Mapping[str, Mapping[str, str]], suffixes: Ma
     return keep_raw(df, columns).withColumns({c: recode(stripped[c], maps.get(c, {})) for c in columns})
 
 
-def select_controlled(df: DataFrame, fixed: Mapping[str, object], maps: Mapping[str, Mapping[str, str]] = {}) -> DataFrame:
-    """Rows whose (recoded) columns equal the fixed values. Where maps tell the raw labels of a value, a filter on
-    the kept raw column is added, which reaches the scan."""
+def select_controlled(df: DataFrame, fixed: Mapping[str, object], maps: Mapping[str, Mapping[str, str]] = {}, suffixes: Mapping[str, str] = {}) -> DataFrame:
+    """Rows whose (recoded) columns equal the fixed values. Where maps and suffixes tell the raw labels of a value, a filter
+    on the kept raw column is added, which reaches the scan."""
     flags = []
     for column, value in fixed.items():
         flags.append(F.col(column) == F.lit(value))
         raw = [k for k, v in maps.get(column, {}).items() if v == value]
         if raw and f"{column}_raw" in df.columns and value not in maps[column]:
-            flags.append(F.col(f"{column}_raw").isin([*raw, value]))
+            raw.append(value)
+            flags.append(F.col(f"{column}_raw").isin([x + end for x in raw for end in {"", suffixes.get(column, "")}]))
     return df.filter(sure(all_of(*flags))) if flags else df
 
 

@@ -47,7 +47,7 @@ def test_selection_follows_recoding(spark):
     rows = [("poa", "full-mesh-l", 8), ("poa", "full-mesh-l", 4), ("other", None, 8)]
     maps = {"blockchain": {"poa": "Ethereum"}, "mode": {"full-mesh": "full mesh"}}
     named = labels.normalise(spark.createDataFrame(rows, "blockchain string, mode string, cores int"), maps, {"mode": "-l"})
-    chosen = labels.select_controlled(named, {"blockchain": "Ethereum", "mode": "full mesh", "cores": 8}, maps).collect()
+    chosen = labels.select_controlled(named, {"blockchain": "Ethereum", "mode": "full mesh", "cores": 8}, maps, {"mode": "-l"}).collect()
     assert len(chosen) == 1 and chosen[0]["mode_raw"] == "full-mesh-l"
     with pytest.raises(ValueError):
         labels.of_scope(named, "mode", {"a": None}, "b")
