@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from evenkeel.llm.components import components
-from evenkeel.llm.shared import materialize
+from evenkeel.llm.shared import join_split, materialize
 
 SHINGLE = 5
 #: Least hashes kept of each set, and how many of them are looked up in inverted lists.
@@ -102,15 +102,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s_low") + F.size("s_high") - common)).select("low", "high")
 
 
-def _common_text_links(lists: DataFrame, percent: int) -> DataFrame:
+def _common_text_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join components within lists too long to be paired as rows, found in blocks of whole sets.
 
-    lists: value, node, root, values (the whole set). A block compares all its pairs of different
+    lists: value, node, root; sets: node, values (the whole set). A block compares all its pairs of different
     components exactly, but leaves only links that still join two of them, fewer than its rows.
     """
     spans = lists.groupBy("value").agg(F.count(F.lit(1)).alias("__rows"), F.min("root").alias("__a"), F.max("root").alias("__b")).where("__a < __b")
-    dealt = lists.join(spans.select("value", F.ceil(F.col("__rows") / BLOCK).cast("int").alias("blocks")), "value")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = join_split(lists, spans.select("value", "__rows"), "value", "__rows").withColumn("blocks", F.ceil(F.col("__rows") / BLOCK).cast("int"))
+    dealt = dealt.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -163,8 +163,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     nodes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
 
     values = nodes.select("node", "n", F.explode(F.slice("values", 1, LOOKED_UP)).alias("value"))
-    shared = values.groupBy("value").count().where("count > 1").select("value")
-    shared = values.join(shared, "value")
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    shared = join_split(values, shared, "value", "length")
     suspects = shared.groupBy("node", "n").count().where(F.col("count") >= _least_share(percent, LOOKED_UP) * F.least("n", F.lit(LOOKED_UP))).select("node")
     suspects = materialize(nodes.join(suspects, "node", "left_semi"))
     texts = df.join(suspects.select(F.col("key").alias(key)).distinct(), key, "left_semi")
@@ -173,26 +173,26 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
 
     values = suspects.select("node", "n", F.explode(F.slice("values", 1, LOOKED_UP)).alias("value"))
     lengths = values.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("low")).where("length > 1")
-    lists = materialize(values.join(lengths, "value"))
+    lists = materialize(join_split(values, lengths, "value", "length"))
     pairs = lists.where("node > low").select("low", F.col("node").alias("high")).distinct()
     links = materialize(_verified(_estimated(pairs, suspects, percent), sets, percent))
     rooted = components(links, "low", "high")
 
-    lists = lists.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spans = lists.groupBy("value").agg(F.min("root").alias("__a"), F.max("root").alias("__b")).where("__a < __b").select("value")
-    lists = materialize(lists.join(spans, "value", "left_semi"))
+    counts = lists.where(F.col("length") > SHORT_LIST).groupBy("node").agg(F.count(F.lit(1)).alias("long"), F.array_sort(F.collect_list("value")).alias("longs"))
+    lists = materialize(lists.join(rooted, "node", "left").select("value", "node", "length", F.coalesce("root", "node").alias("root")))
+    spans = lists.groupBy("value").agg(F.min("root").alias("__a"), F.max("root").alias("__b"), F.first("length").alias("size")).where("__a < __b")
+    lists = materialize(join_split(lists, spans.select("value", "size"), "value", "size"))
     short = lists.where(F.col("length") <= SHORT_LIST).select("value", "node", "root")
     other = short.select("value", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
     pairs = short.join(other, "value").where("node < node_b AND root != root_b").select(F.col("node").alias("low"), F.col("node_b").alias("high"))
     common = suspects.select("node", F.least(F.size("values"), F.lit(LOOKED_UP)).alias("looked_up"))
     long_ = lists.where(F.col("length") > SHORT_LIST)
-    counts = values.join(lengths.where(F.col("length") > SHORT_LIST).select("value"), "value", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("long"), F.array_sort(F.collect_list("value")).alias("longs"))
     common = counts.join(common, "node").where(F.col("looked_up") - F.col("long") < F.least(F.lit(SHORT_VALUES), F.col("looked_up")))
     common = common.select("node", F.explode(F.slice("longs", 1, COMMON_VALUES)).alias("value"))
     more = materialize(_verified(_estimated(pairs.distinct(), suspects, percent), sets, percent))
     rooted = components(links.union(more), "low", "high").withColumnRenamed("root", "top")
     common = common.join(long_.select("value", "node", "root"), ["value", "node"]).join(rooted, "node", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    most = materialize(_common_text_links(common.join(sets, "node"), percent))
+    most = materialize(_common_text_links(materialize(common), sets, percent))
     rooted = components(links.union(more).union(most), "low", "high")
 
     named = nodes.select("node", "print", "key").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Largest number of rows that a small side may have to be broadcast.
 BROADCAST_ROWS = 200_000
+#: Most keys that count as hot: each of them holds more than this part of all rows.
+HOT_KEYS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +32,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_split(rows: DataFrame, keys: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined to keys, which has one row a key, with the rows of a hot key left where they are.
+
+    ``size`` is a column of keys: how many of rows bear the key. Keys of over one HOT_KEYS-th of the
+    sizes' sum, fewer than HOT_KEYS by that rule, are broadcast; only the rows of others are shuffled.
+    rows is read twice.
+    """
+    keys = materialize(keys)
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) > total / HOT_KEYS
+    hot = F.broadcast(keys.where(is_hot))
+    rest = rows.join(hot, key, "left_anti").join(keys.where(~is_hot), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row instead of at each place where body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
