@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -67,7 +68,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes: int) -> str:
-    """Writes a record per row into a new folder of WARC files and returns its path.
+    """Writes a record per row into a new folder of gzipped WARC files and returns its path.
 
     Of rows with equal payloads of at least least_bytes, those with the least key are responses, the
     others revisit it. Payload groups are counted on digests alone, so a large group costs no more than its rows.
@@ -86,7 +87,7 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     path = f"{shared_folder(pages.sparkSession)}/evenkeel-warc-{uuid.uuid4().hex}"
-    rows.select("page", "url", "payload", "digest", "n", "least").mapInArrow(records, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select("page", "url", "payload", "digest", "n", "least").mapInArrow(records, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return path
 
 
@@ -103,7 +104,7 @@ def _order(entry: dict) -> tuple:
 def index_runs(spark, path: str) -> DataFrame:
     """An entry per record of a folder of archives; each file is a run, sorted by URL key and time, with place as the order.
 
-    Payloads are hashed again and must agree with their headers.
+    Offsets are those in the unzipped file, which holds at most RECORDS_PER_FILE records. Payloads are hashed again and must agree with their headers.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def index_runs(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
                 run = []
-                for offset, length, head, block in parse(data.as_py()):
+                for offset, length, head, block in parse(gzip.decompress(data.as_py())):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, n = head["warc-payload-digest"].removeprefix("sha1:"), int(http.rpartition(b":")[2])
                     if head["warc-type"] == "response" and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
