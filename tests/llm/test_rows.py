@@ -138,7 +138,12 @@ def test_personal_data(spark, documents):
         assert [m.span() for m in EMAIL.finditer(t or "")] == [s[1:] for s in pii.base_spans(t or "") if s[0] == "email"]
         base = {f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t or "")}
         assert base <= set(got[i].spans.split(","))
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     rng = random.Random(123)
+    for _ in range(5000):
+        t = "".join(rng.choice("12. .a") for _ in range(rng.randint(0, 24)))
+        assert [s[1:] for s in pii.base_spans(t) if s[0] == "ip"] == [m.span() for m in plain.finditer(t) if all(int(p) < 256 for p in m[0].split("."))]
+    assert pii.base_spans("1" * 1_000_000) == []
     held = [pii.labelled_window(rng) for _ in range(200)]
     model = pii.trained_model()
     e = model.emissions(np.stack([pii.encode(t) for t, _ in held]).T)
