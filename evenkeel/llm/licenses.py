@@ -21,13 +21,14 @@ TEMPLATES = {
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Available under CC BY-SA 4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Available under CC BY-NC-SA 4.0"),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0"),
-    "proprietary": ("Copyright 2020 Example Corp. All rights reserved.", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential"),
+    "proprietary": ("Copyright 2020 Example Corp. All rights reserved.", "All rights reserved.", "Copyright 2020 Example Corp.", "Copyright (c) 2020 Example Corp.", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential"),
 }
 #: Paragraphs that speak of licences without being under one.
 OTHERS = (
     "He lost his driving license and the police asked for permission to search the car", "The city council granted a license to open a new restaurant", "Copyright law is taught in the second year of the course",
     "The general public was not admitted to the hall", "You may use the free parking under the bridge", "The apache helicopter landed near the village", "A fishing license costs less than a hunting license",
     "The software version was released under pressure", "All rights of the tenant are listed in the contract", "Creative work is common in public schools",
+    "The copyright act of 1976 came before the court", "All rooms were reserved and the rights of way were blocked",
 )
 FAMILIES = tuple(TEMPLATES)
 UNKNOWN = "unknown"
@@ -40,10 +41,16 @@ LEAST_PROBABILITY, LEAST_COVERED = 0.5, 0.6
 #: Words of a paragraph that are compared; longer paragraphs are cut into several.
 PARAGRAPH_WORDS = 200
 _WORD = r"[a-z0-9.+-]*[a-z0-9]"
+#: Years, or spans of years, are one and the same word. The holder's name in the templates stands for any name.
+_YEAR, ANY_YEAR, HOLDER = r"(?<![a-z0-9.+-])(?:19|20)[0-9]{2}(?:-[0-9]{2,4})?(?![a-z0-9])", "0000", "Example Corp"
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(_WORD, re.sub(_YEAR, ANY_YEAR, text.lower()))
 
 
 def _ngrams(text: str) -> list[str]:
-    w = re.findall(_WORD, text.lower())
+    w = _words(text)
     return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
@@ -54,6 +61,9 @@ def labelled_paragraph(rng: random.Random) -> tuple[str, str]:
     if family == UNKNOWN and rng.random() < 0.3:
         words = [w for t in OTHERS for w in t.split()]
         body = " ".join(rng.choice(words) for _ in range(12)) + rng.choice(["", " license", " copyright", " permission"])
+    elif family != "proprietary" and rng.random() < 0.2:  # whoever holds the rights has licensed the work
+        body = rng.choice(TEMPLATES["proprietary"][:4]) + " " + body
+    body = body.replace(HOLDER, filler(rng.randint(1, 3)).title())
     return filler(rng.choice([0, 0, 2, 6])) + " " + body + " " + filler(rng.choice([0, 0, 3, 10])), family
 
 
@@ -89,7 +99,13 @@ def trained_model(seed: int = 3) -> tuple[dict[str, list[float]], list[float]]:
 
 
 def _notices() -> list[tuple[str, list[str]]]:
-    return [(f, sorted(set(re.findall(_WORD, t.lower())))) for f, ts in TEMPLATES.items() for t in ts]
+    """The words of each notice by which it is known: never a holder, and a year only where little else is left."""
+    out = []
+    for family, notices in TEMPLATES.items():
+        for notice in notices:
+            words = set(_words(notice.replace(HOLDER, ""))) - {"c"}
+            out.append((family, sorted(words - {ANY_YEAR} if len(words) > 2 else words)))
+    return out
 
 
 def find(df: DataFrame, text: str) -> DataFrame:
@@ -108,7 +124,7 @@ def find(df: DataFrame, text: str) -> DataFrame:
     gated = F.filter(lines, lambda x: x["body"].rlike(GATE))
 
     def pieces(line: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(line["body"]), F.lit(f"({_WORD})"), F.lit(1))
+        words = F.regexp_extract_all(F.regexp_replace(F.lower(line["body"]), _YEAR, ANY_YEAR), F.lit(f"({_WORD})"), F.lit(1))
         cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PARAGRAPH_WORDS).cast("int")), lambda k: F.struct(line["line"].alias("line"), F.slice(w, k * PARAGRAPH_WORDS + 1, PARAGRAPH_WORDS).alias("words")))
         return bind(words, lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>")))
 
