@@ -33,12 +33,12 @@ OTHERS = (
 FAMILIES = tuple(TEMPLATES)
 UNKNOWN = "unknown"
 #: Paragraphs without any of these stems are not classified: they count as unknown.
-GATE = r"(?i)licen[sc]|copyright|redistribut|permission|prohibited|\bGPL\b|\bMPL\b|\bCC BY|creative commons|rights reserved"
+GATE = r"(?i)licen[sc]|copyright|redistribut|permission|prohibited|\bGPL\b|\bMPL\b|\bCC\s+BY|creative\s+commons|rights\s+reserved"
 #: Labelled paragraphs for training, passes, and the sizes of the model: n-grams of one and two words.
 TRAINED_ON, STEPS, FEATURES = 1500, 300, 4000
 #: Probability that a finding needs, and the share of some notice's words that its paragraph must hold.
 LEAST_PROBABILITY, LEAST_COVERED = 0.5, 0.6
-#: Words of a paragraph that are compared; longer paragraphs are cut into several.
+#: Words of a paragraph that are compared; longer paragraphs are cut into several that overlap.
 PARAGRAPH_WORDS = 200
 _WORD = r"[a-z0-9.+-]*[a-z0-9]"
 #: Years, or spans of years, are one and the same word. The holder's name in the templates stands for any name.
@@ -111,22 +111,48 @@ def _notices() -> list[tuple[str, list[str]]]:
 def find(df: DataFrame, text: str) -> DataFrame:
     """df with the columns licences (array of struct line, family, probability) and license_families (comma-joined, sorted).
 
-    Each line of a whole text is a paragraph; longer ones are cut at PARAGRAPH_WORDS words. Lines with a stem
-    of GATE are classified; a finding stays if its probability is high enough and its words cover one
-    of the family's notices. The model (at most FEATURES n-grams) is fitted in the driver on made-up labelled
+    Lines of a whole text with a stem of GATE are classified, each alone and, for notices that are wrapped,
+    between as many words of the lines around it, up to a blank line, as the longest notice has. More than
+    PARAGRAPH_WORDS words are cut into pieces that overlap by twice the longest notice; each stem is judged in
+    the piece that holds as many words before and after it. A finding stays if its
+    probability is high enough and its words cover one of the family's notices. A line has one finding a
+    family, the likeliest; a paragraph of lines has a wrapped one only of a family that none of its lines
+    has alone, at the first line that shows it. The model (at most FEATURES n-grams) is fitted in the driver on made-up labelled
     paragraphs and sent as one row. Null and empty texts have no findings. Rows are scanned one by
     one, so ties, repeats and nulls elsewhere change nothing; columns of df with these names are replaced.
     """
     weights, bias = trained_model()
     classes = (*FAMILIES, UNKNOWN)
     model = df.sparkSession.createDataFrame([(weights, bias, _notices())], "__w map<string,array<double>>, __b array<double>, __n array<struct<family:string,words:array<string>>>")
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("body")))
-    gated = F.filter(lines, lambda x: x["body"].rlike(GATE))
+    seam = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
+    part_type = "array<struct<line:int,block:int,joined:boolean,words:array<string>>>"
+    words_of = lambda t: F.regexp_extract_all(F.regexp_replace(F.lower(t), _YEAR, ANY_YEAR), F.lit(f"({_WORD})"), F.lit(1))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+
+    def opened(line: Column, i: Column) -> Column:
+        """Whether a stem begins in the line, and may end in the next."""
+        after = F.coalesce(F.get("__lines", i + 1), F.lit(""))
+        return line.rlike(GATE) | (F.concat_ws("\n", line, after).rlike(GATE) & ~after.rlike(GATE))
+
+    def around(i: Column) -> Column:
+        """Words of the line with those of its neighbours, up to a blank line."""
+        before = F.concat(F.array_join(F.slice("__lines", F.greatest(i - seam + 1, F.lit(1)), F.least(i, F.lit(seam))), "\n"), F.lit("\n"))
+        after = F.concat(F.lit("\n"), F.array_join(F.slice("__lines", i + 2, seam), "\n"))
+        head = bind(words_of(F.element_at(F.split(before, r"\n\s*\n"), -1)), lambda w: F.slice(w, F.greatest(F.size(w) - seam + 1, F.lit(1)), seam))
+        return F.concat(head, words_of(F.get("__lines", i)), F.slice(words_of(F.element_at(F.split(after, r"\n\s*\n"), 1)), 1, seam))
 
     def pieces(line: Column) -> Column:
-        words = F.regexp_extract_all(F.regexp_replace(F.lower(line["body"]), _YEAR, ANY_YEAR), F.lit(f"({_WORD})"), F.lit(1))
-        cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PARAGRAPH_WORDS).cast("int")), lambda k: F.struct(line["line"].alias("line"), F.slice(w, k * PARAGRAPH_WORDS + 1, PARAGRAPH_WORDS).alias("words")))
-        return bind(words, lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>")))
+        i, step = line["line"], PARAGRAPH_WORDS - 2 * seam
+        blanks = F.size(F.filter(F.slice("__lines", 1, i + 1), lambda x: x.rlike(r"^\s*$")))
+
+        def cut(words: Column, joined: bool) -> Column:
+            last = F.greatest(F.ceil((F.size(words) - PARAGRAPH_WORDS) / step), F.lit(0)).cast("int")
+            piece = lambda k: F.struct(i.alias("line"), blanks.alias("block"), F.lit(joined).alias("joined"), F.slice(words, k * step + 1, PARAGRAPH_WORDS).alias("words"))
+            first, end = lambda k: F.when(k > 0, k * step + seam).otherwise(0), lambda k: F.when(k < last, (k + 1) * step + seam).otherwise(F.size(words))
+            stem = lambda k: (last == 0) | F.array_join(F.slice(words, first(k) + 1, end(k) - first(k) + 1), " ").rlike(GATE)
+            return F.when(F.size(words) > 0, F.transform(F.filter(F.sequence(F.lit(0), last), stem), piece)).otherwise(F.array().cast(part_type))
+
+        return F.concat(bind(words_of(line["body"]), lambda w: cut(w, False)), bind(around(i), lambda w: cut(w, True)))
 
     def classified(part: Column) -> Column:
         words = part["words"]
@@ -139,14 +165,27 @@ def find(df: DataFrame, text: str) -> DataFrame:
             total = F.aggregate(s, F.lit(0.0), lambda t, v: t + F.exp(v - top))
             family = F.element_at(F.array(*map(F.lit, classes)), F.array_position(s, top).cast("int"))
             covers = lambda n: (n["family"] == family) & (F.size(F.array_intersect(n["words"], words)) >= LEAST_COVERED * F.size(n["words"]))
-            return F.struct(part["line"].alias("line"), family.alias("family"), (1 / total).alias("probability"), F.exists(F.col("__n"), covers).alias("confirmed"))
+            return F.struct(part["line"].alias("line"), part["block"].alias("block"), part["joined"].alias("joined"), family.alias("family"), (1 / total).alias("probability"), F.exists(F.col("__n"), covers).alias("confirmed"))
 
         return bind(scores, verdict)
 
+    found_type = "array<struct<line:int,block:int,joined:boolean,family:string,probability:double,confirmed:boolean>>"
     found = F.transform(F.flatten(F.transform(F.col("__gated"), pieces)), classified)
     kept = F.filter(found, lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= LEAST_PROBABILITY) & x["confirmed"])
+
+    def repeated(x: Column, i: Column, y: Column, j: Column) -> Column:
+        """Whether finding y, the j-th, stands for x, the i-th."""
+        likelier = (y["probability"] > x["probability"]) | ((y["probability"] == x["probability"]) & (j < i))
+        same_line = (x["line"] == y["line"]) & likelier
+        return (x["family"] == y["family"]) & F.when(~x["joined"], ~y["joined"] & same_line).otherwise((x["block"] == y["block"]) & (~y["joined"] | (y["line"] < x["line"]) | same_line))
+
+    def distinct(all_: Column) -> Column:
+        return F.filter(all_, lambda x, i: ~F.exists(F.transform(all_, lambda y, j: repeated(x, i, y, j)), lambda r: r))
+
     out = df.drop("licences", "license_families")
     own = out.columns
-    out = out.withColumn("__gated", gated).crossJoin(F.broadcast(model))  # one row
-    out = out.withColumn("licences", F.transform(F.when(F.size("__gated") > 0, kept).otherwise(F.array().cast("array<struct<line:int,family:string,probability:double,confirmed:boolean>>")), lambda x: F.struct(x["line"].alias("line"), x["family"].alias("family"), F.round(x["probability"], 6).alias("probability"))))
+    out = out.withColumn("__lines", lines).withColumn("__gated", F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("line"), x.alias("body"), opened(x, i).alias("open"))), lambda x: x["open"]))
+    out = out.crossJoin(F.broadcast(model))  # one row
+    found = F.when(F.size("__gated") > 0, bind(kept, distinct)).otherwise(F.array().cast(found_type))
+    out = out.withColumn("licences", F.array_sort(F.transform(found, lambda x: F.struct(x["line"].alias("line"), x["family"].alias("family"), F.round(x["probability"], 6).alias("probability")))))
     return out.select(*(F.col(f"`{c}`") for c in own), "licences", F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("license_families"))
