@@ -17,16 +17,18 @@ from evenkeel.llm.shared import gapless_rank, materialize
 
 #: The id that ends each document.
 END_ID = 2
+#: The added tokens of byte_bpe_50k.json, which the library finds in texts by default.
+ADDED = (("<|endoftext|>", 50256),)
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_file: str, pattern: str):
-    """The byte-level BPE of a ranks file; it gives the ids of the same vocabulary in the tokenizers library."""
+def encoder(ranks_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """The byte-level BPE of a ranks file and added tokens; it gives the ids of the same vocabulary in the tokenizers library."""
     import tiktoken
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -35,19 +37,19 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, limit) for s in range(first, n, limit))]
 
 
-def token_pieces(df: DataFrame, key: str, text: str, limit: int, ranks_file: str, pattern: str) -> DataFrame:
-    """One row per piece: key, piece, start, length, ids_crc32. A null text is empty and has the end id alone."""
+def token_pieces(df: DataFrame, key: str, text: str, limit: int, ranks_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """One row per piece: key, piece, start, length, ids_crc32. Text that spells an added token gets its id. A null text is empty and has the end id alone."""
     from pyspark.sql.types import LongType, IntegerType, StructField, StructType
 
     kind = df.schema[key].dataType
     schema = StructType([StructField(key, kind), StructField("piece", IntegerType()), *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file, pattern).encode_ordinary
+        bpe = encoder(ranks_file, pattern, added)
         for batch in batches:
             rows, out = [], []
             for row, body in enumerate(batch.column(1)):
-                ids = encode(body.as_py() or "")
+                ids = bpe.encode(body.as_py() or "", allowed_special="all") if added else bpe.encode_ordinary(body.as_py() or "")
                 ids.append(END_ID)
                 raw = memoryview(np.array(ids, dtype="<u4").tobytes())
                 for piece, (start, length) in enumerate(cut(len(ids), limit)):
@@ -118,7 +120,7 @@ def places(plan: list[tuple[int, Counter]]) -> dict[int, list[tuple[int, int, in
     return out
 
 
-def pack(df: DataFrame, key: str, text: str, limit: int, ranks_file: str, pattern: str) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, limit: int, ranks_file: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every document is tokenized, ended by id 2 and, if longer than limit, cut. Pieces of equal length
@@ -127,7 +129,7 @@ def pack(df: DataFrame, key: str, text: str, limit: int, ranks_file: str, patter
     Null texts are empty and take one id; equal rows are packed each for itself; a null key is kept as
     null; other columns are left out; an empty df gives no rows.
     """
-    pieces = materialize(token_pieces(df, key, text, limit, ranks_file, pattern))
+    pieces = materialize(token_pieces(df, key, text, limit, ranks_file, pattern, added))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = list(places(two_fit_plan(counts, limit)).items())
     kind = "__length long, __uses array<struct<first:long,after:long,n:long,bin:long,offsets:array<long>>>"

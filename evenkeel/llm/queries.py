@@ -22,7 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text", SEQUENCE, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text", SEQUENCE, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.ADDED)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,20 @@ def test_packing_keeps_all_ids_and_fits(spark, documents):
     assert packing.pack(df.limit(0), "doc_id", "text", 1024, RANKS, PATTERN).count() == 0
 
 
+def test_packing_gives_the_ids_of_the_library_by_default(spark, documents, tmp_path):
+    from evenkeel.llm.queries import queries
+
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "<|endoftext"]
+    documents(*texts).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids[len(ODD)] == [64, 220, 50256, 275, 2]
+    got = queries()["op2_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(len(texts)))
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(1)
     counts = Counter(rng.randint(1, 100) for _ in range(5000))
