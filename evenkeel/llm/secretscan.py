@@ -18,10 +18,15 @@ from evenkeel.llm.forest import Forest
 #: Runs long enough to be a key; those without a digit or a change of case within are words.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WORDLIKE = re.compile(r"[A-Z]?[a-z]*\Z|[A-Z]+\Z|[-_=+/]*\Z")
+#: Values after a cue and = or :, of any characters but blanks; a quoted one ends with its quote.
+_SIGN, _VALUE = re.compile("[=:]"), re.compile(r"""[=:>]{0,2}\s{0,3}(?:"([^\s"]{6,})|'([^\s']{6,})|([^\s"']\S{5,}))""")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z]{0,4}\Z")
 #: Words that announce a secret, and words that announce something else.
 CUES = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials private access".split())
 OTHER_CUES = frozenset("sha commit hash checksum md5 digest uuid id build revision integrity version page ref doi isbn order".split())
+_ANNOUNCES = re.compile(rf"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{"|".join(sorted(CUES))})["']?\s{{0,3}}\Z""")
+_ANNOUNCED = re.compile(_ANNOUNCES.pattern[:-2] + r"""[=:]{1,3}>?\s{0,3}["']?\Z""")
+_CONSONANTS = re.compile("[b-df-hj-np-tv-xz]+")
 #: Parts of which identifiers and paths are made.
 DICTIONARY = ("configuration", "application", "controller", "component", "function", "document", "template", "resource", "manager", "service", "request", "example", "default", "package", "handler", "version", "context", "license", "general", "public", "images", "static", "assets", "module", "number", "string", "client", "server", "update", "create", "report", "test", "user", "data", "file", "name", "page", "view", "list", "node", "main", "util", "core", "http", "html", "path", "type", "item", "info", "src", "lib", "get", "set", "the", "and", "for")
 _DICTIONARY = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
@@ -36,7 +41,7 @@ def _class(c: str) -> int:
 
 
 def features(value: str, before: str, path: str) -> list[float]:
-    """Length, character transitions, dictionary coverage, path and the word before a candidate."""
+    """Length, character transitions, dictionary coverage, path, letters and what is before a candidate."""
     kinds = [_class(c) for c in value]
     n = len(value)
     counts = {c: value.count(c) for c in set(value)}
@@ -47,11 +52,54 @@ def features(value: str, before: str, path: str) -> list[float]:
     cue = (m := _BEFORE.search(before)) and m[1].lower()
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     shares = [kinds.count(k) / n for k in range(6)]
-    return [float(n), changes, digit_steps, rising, covered, entropy, *shares, float(cue in CUES), float(cue in OTHER_CUES), float(bool(_PATHS.search(path))), float(value.startswith(("AKIA", "ghp_", "sk-", "xox"))), float(value.count("-") == 4 and n == 36)]
+    return [float(n), changes, digit_steps, rising, covered, entropy, *shares, float(cue in CUES), float(cue in OTHER_CUES), float(bool(_PATHS.search(path))), float(value.startswith(("AKIA", "ghp_", "sk-", "xox"))), float(value.count("-") == 4 and n == 36),
+            float(bool(_ANNOUNCED.search(before))), max(map(len, _CONSONANTS.findall(value.lower())), default=0) / n, sum(map(value.lower().count, "aeiou")) / n, float(value[0] in "$<{[%(/" or "(" in value or "://" in value)]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text) if not _WORDLIKE.match(m[0])]
+    """Spans, in order; one may hold others: an announced value and a long run in it are judged each for itself."""
+    spans = {m.span() for m in _CANDIDATE.finditer(text) if not _WORDLIKE.match(m[0])}
+    for sign in _SIGN.finditer(text):
+        at = sign.start()
+        if _ANNOUNCES.search(text[max(0, at - 20) : at]) and (m := _VALUE.match(text, at + 1)):
+            value = m[m.lastindex] if m.lastindex < 3 else m[3].rstrip(",;)]}>\"'")
+            if len(value) >= 6:
+                spans.add((m.start(m.lastindex), m.start(m.lastindex) + len(value)))
+    return sorted(spans)
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, with those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def announced_value(rng: random.Random) -> tuple[str, str, int]:
+    """(value, text before, 1 for a secret) of a made-up value after a cue: passwords and keys, or settings and prose."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(pick("bcdfghlmnprst", 1) + pick("aeiou", 1) + pick("lnrst", rng.randint(0, 1)) for _ in range(rng.randint(2, 3)))
+    cue = rng.choice(sorted(CUES))
+    before = rng.choice([f"{cue}=", f'{cue}="', f"{cue}: ", f"my_{cue} = '", f"{cue.upper()}="])
+    if rng.random() < 0.5:
+        start = rng.randrange(26)
+        value = rng.choice([
+            lambda: word().capitalize() + pick("0123456789", rng.randint(1, 4)) + pick(lower, rng.randint(0, 4)), lambda: word() + pick(".!@$:#%^&*?-_", 1) + word() + pick("0123456789", rng.randint(1, 3)),
+            lambda: pick(lower + lower.upper() + "0123456789.!@$:#%^&*", rng.randint(8, 24)), lambda: pick(lower + "0123456789", rng.randint(8, 15)),
+            lambda: pick(lower, rng.randint(10, 24)), lambda: pick(lower.upper(), rng.randint(10, 24)), lambda: (lower * 3)[start : start + rng.randint(10, 24)], lambda: (lower.upper() * 3)[start : start + rng.randint(10, 24)],
+        ])()
+        return value, before, 1
+    part = lambda: rng.choice(DICTIONARY)
+    value = rng.choice([
+        lambda: word(), lambda: word() + rng.choice([".", "!", "?", ""]), lambda: word().capitalize(), lambda: part() + "." + part(), lambda: part() + "_" + part(), lambda: part() + "." + part() + "()", lambda: part() + part().capitalize() + part().capitalize(), lambda: "${" + part().upper() + "_" + cue.upper() + "}", lambda: f"<your-{cue}>", lambda: "/" + part() + "/" + part(), lambda: "https://" + word() + ".org/" + part(),
+        lambda: rng.choice(["required", "optional", "undefined", "changed", "invalid", "string", "default", "enabled", "disabled", "missing", "expired", "******", "xxxxxxxx"]),
+    ])()
+    return (value if len(value) >= 6 else value + "ation"), before, 0
 
 
 def labelled_finding(rng: random.Random) -> tuple[str, str, str, int]:
@@ -59,6 +107,9 @@ def labelled_finding(rng: random.Random) -> tuple[str, str, str, int]:
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexes, upper, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789"
     base64s = upper + "abcdefghijklmnopqrstuvwxyz0123456789+/"
+    if rng.random() < 0.4:
+        value, before, secret = announced_value(rng)
+        return value, before, rng.choice(["src/app.py", "src3", "conf/prod.env", "README.md", "tests/data.py", "", "web"]), secret
     cue, other = rng.choice(sorted(CUES)), rng.choice(sorted(OTHER_CUES))
     word = pick("etaoinshrdlu", rng.randint(2, 8))
     path = rng.choice(["src/app.py", "src3", "conf/prod.env", "README.md", "tests/data.py", "", "web"])
@@ -90,7 +141,7 @@ def find(texts: list[str], paths: list[str], forest: Forest) -> list[tuple[int,
         votes = forest.predict(np.array([features(texts[i][a:b], texts[i][max(0, a - 40) : a], paths[i]) for i, a, b in found]))
         for (i, a, b), vote in zip(found, votes):
             out[i] = (out[i][0] + 1, out[i][1] + [(a, b)] if vote >= CONFIRMED else out[i][1])
-    return out
+    return [(n, joined(spans)) for n, spans in out]
 
 
 def masked(text: str, spans: list[tuple[int, int]]) -> str:

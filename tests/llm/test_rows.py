@@ -229,3 +229,17 @@ def test_secrets(spark, documents):
     held = [secretscan.labelled_finding(rng) for _ in range(500)]
     votes = secretscan.trained_forest().predict(np.array([secretscan.features(*r[:3]) for r in held]))
     assert np.mean((votes >= 0.5) == np.array([r[3] == 1 for r in held])) > 0.95
+
+
+def test_announced_secrets_of_any_form():
+    forest = secretscan.trained_forest()
+    held = ["Hunter2xyz", "abcdefghijklmnop", "QWXZKVBNMPLRTGHJ", "S3cr.et!pa@ss$1:x", "tr0ub4dor&3", "e3b3ed3cc8548923d6"]
+    texts = [f"a {before}{v}{after} b" for v in held for before, after in (("password=", ""), ('"token": "', '",'), ("dbPassword = '", "';"))]
+    found = secretscan.find(texts, [""] * len(texts), forest)
+    assert [[t[a:b] for a, b in spans] for t, (_, spans) in zip(texts, found)] == [[v] for v in held for _ in range(3)]
+    plain = ["password: required", "key=config.get()", "the monkey: abcdefghijklmnop", "token=${API_TOKEN}", "password:", "secret: undefined, and so on"]
+    assert [s for _, s in secretscan.find(plain, [""] * len(plain), forest)] == [[]] * len(plain)
+    rng = random.Random(31)
+    made = [secretscan.announced_value(rng) for _ in range(500)]
+    votes = forest.predict(np.array([secretscan.features(v, before, "") for v, before, _ in made]))
+    assert np.mean((votes >= 0.5) == np.array([y == 1 for *_, y in made])) > 0.9
