@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Largest file that the manifest reads in one piece, and the bytes of a chunk of a larger one.
+WHOLE, CHUNK = 64 << 20, 4 << 20
 #: Fixed columns of a run log.
 RUN_SCHEMA = (
     "hash STRING, workload STRING, run INT, mode STRING, dataset STRING, link_strategy STRING, cores INT, ram INT, secondaries INT, network_size INT, dynamic INT, "
@@ -60,11 +65,39 @@ def read_schedules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return steps, lines.filter(~F.col("line").rlike(step) & ~F.col("line").rlike(r"^-?\s*[A-Za-z_&!][^:]*:.*$"))
 
 
+def _streamed(path: str) -> str:
+    """SHA-256 of a file that is read in chunks; a path without a host is one of the executors' own file system."""
+    scheme, host, inner = re.fullmatch(r"(?:([a-z][a-z0-9+.-]*):)?(?://([^/]*))?(/.*)", path, re.S).groups()
+    if scheme in (None, "file"):
+        opened = open(inner, "rb")
+    else:
+        from pyarrow import fs
+
+        opened = fs.FileSystem.from_uri(f"{scheme}://{host or ''}/")[0].open_input_stream(f"{host}{inner}" if scheme in ("s3", "gs") else inner)
+    digest = hashlib.sha256()
+    with opened as f:
+        while chunk := f.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
 def manifest(spark: SparkSession, path: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """file, bytes and SHA-256 of all files below a folder."""
+    """file, bytes and SHA-256 of all files below a folder.
+
+    Files of up to WHOLE bytes are read by Spark, each into a row; larger ones are listed without their
+    contents, dealt over the tasks by path, and streamed through the hash.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(~name.isin(list(exclude)) if exclude else F.lit(True)).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files = files.filter(~name.isin(list(exclude)) if exclude else F.lit(True))
+    whole = files.filter(F.col("length") <= WHOLE).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"file": rows["file"], "bytes": rows["bytes"], "sha256": rows["path"].map(_streamed)})
+
+    large = files.filter(F.col("length") > WHOLE).select("path", name.alias("file"), F.col("length").alias("bytes"))
+    return whole.unionByName(large.repartition("path").mapInPandas(hashed, "file string, bytes long, sha256 string"))
 
 
 def checksum_violations(files: DataFrame, expected: DataFrame) -> DataFrame:

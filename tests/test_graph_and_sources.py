@@ -78,3 +78,16 @@ def test_manifest_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="budgets"):
         files.read_results(spark, str(tmp_path / "r.csv"), ["icc"])
     assert spark.range(1).select(files.node_count(F.lit("40 nodes"))).first()[0] == 40
+
+
+def test_manifest_of_a_file_over_the_limit_of_a_row(spark, tmp_path):
+    (tmp_path / "in/b c").mkdir(parents=True)
+    (tmp_path / "in/a.txt").write_bytes(b"abc")
+    with open(tmp_path / "in/b c/large é.bin", "wb") as f:
+        f.truncate((1 << 31) + 5)
+    digest = hashlib.sha256()
+    for _ in range(1 << 11):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(5))
+    got = sorted(tuple(r) for r in files.manifest(spark, str(tmp_path / "in")).collect())
+    assert got == [("a.txt", 3, hashlib.sha256(b"abc").hexdigest()), ("large é.bin", (1 << 31) + 5, digest.hexdigest())]
