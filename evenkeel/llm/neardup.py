@@ -20,9 +20,8 @@ SHINGLE = 5
 SKETCH, LOOKED_UP = 64, 20
 #: Standard deviations below the threshold at which an estimate still counts as near.
 SLACK = 5.5
-#: Lists up to this length are paired in full where they span components; documents with this many
-#: retained values in such lists need no longer ones.
-SHORT_LIST, SHORT_VALUES = 32, 9
+#: Lists up to this length are paired in full where they span components.
+SHORT_LIST = 32
 #: Retained values by which documents made of common text are compared, and the rows in a block.
 COMMON_VALUES, BLOCK = 8, 256
 #: Words whose hashes a worker keeps.
@@ -150,8 +149,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     class, which goes on as one node. A node whose retained values are mostly its own has no links.
     The others are looked up: each list's least node is paired with its members, estimated on union
     sketches and verified on whole sets. Lists that still span several components are then paired in
-    full if short; documents made of text so common that most of their lists are long are compared in
-    blocks, as many as the square of such a list. A pair is missed only if its sketches don't meet, with a probability under 1e-6 a pair.
+    full if short; documents whose long lists alone can make a link are compared in blocks, as many as
+    the square of such a list, so that a pair meets in a short list or in a block. A pair is missed only if its
+    sketches don't meet, with a probability of at most 1e-5 for a pair at the threshold.
 
     A text without words, or null, has no shingles and no links; so has a row without a key, whose
     component_id is null and which is kept. Repeated rows share a component. Rows of one key with different texts are
@@ -187,7 +187,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     pairs = short.join(other, "value").where("node < node_b AND root != root_b").select(F.col("node").alias("low"), F.col("node_b").alias("high"))
     common = suspects.select("node", F.least(F.size("values"), F.lit(LOOKED_UP)).alias("looked_up"))
     long_ = lists.where(F.col("length") > SHORT_LIST)
-    common = counts.join(common, "node").where(F.col("looked_up") - F.col("long") < F.least(F.lit(SHORT_VALUES), F.col("looked_up")))
+    common = counts.join(common, "node").where(F.col("long") >= _least_share(percent, LOOKED_UP) * F.col("looked_up"))
     common = common.select("node", F.explode(F.slice("longs", 1, COMMON_VALUES)).alias("value"))
     more = materialize(_verified(_estimated(pairs.distinct(), suspects, percent), sets, percent))
     rooted = components(links.union(more), "low", "high").withColumnRenamed("root", "top")

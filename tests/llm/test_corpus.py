@@ -56,6 +56,23 @@ def test_near_duplicates(spark, documents, monkeypatch, short_list):
     assert got == dict(enumerate(brute_components(texts, 85)))
 
 
+@pytest.mark.parametrize("percent, own", [(85, 52), (80, 73)])
+def test_near_duplicates_of_one_template(spark, documents, percent, own):
+    """Pages of a template with own words before and after it, linked only to the bare template, among pages that share its text and are not near it."""
+    rng = random.Random(8)
+    template = [f"w{rng.randint(0, 3000)}" for _ in range(300)]
+    bare = neardup.shingle_set(" ".join(template))
+    page = lambda n: " ".join([*(f"x{rng.randrange(10**9)}" for _ in range(n // 2)), *template, *(f"x{rng.randrange(10**9)}" for _ in range(n - n // 2))])
+    texts = [page(90) for _ in range(60)] + [" ".join(template)] + [page(20) for _ in range(4)]
+    while len(texts) < 73:
+        text = page(own)
+        if 9 <= 20 - sum(x in bare for x in neardup.shingle_set(text)[:20]) <= 11:
+            texts.append(text)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(*texts), "doc_id", "text", percent).collect()}
+    want = {i: c for i, (_, c) in enumerate(brute_components(texts, percent))}
+    assert got == want and {want[i] for i in range(60, 73)} == {60}
+
+
 def test_near_duplicates_of_odd_tables(spark, documents):
     assert neardup.near_duplicates(documents("x").limit(0), "doc_id", "text", 85).count() == 0
     twice = documents("a b c d e f g", "a b c d e f g").withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
