@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from evenkeel.llm.components import components
 from evenkeel.llm.shared import join_split, materialize
@@ -22,8 +23,8 @@ SKETCH, LOOKED_UP = 64, 20
 SLACK = 5.5
 #: Lists up to this length are paired in full where they span components.
 SHORT_LIST = 32
-#: Retained values by which documents made of common text are compared, and the rows in a block.
-COMMON_VALUES, BLOCK = 8, 256
+#: Ratio of the sizes in one size class.
+SIZE_STEP = 1.04
 #: Words whose hashes a worker keeps.
 CACHED_WORDS = 300_000
 
@@ -101,44 +102,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s_low") + F.size("s_high") - common)).select("low", "high")
 
 
-def _common_text_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join components within lists too long to be paired as rows, found in blocks of whole sets.
+def _long_list_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (low, high) of different roots, a superset of the similar ones: an exact prefix join of whole sets.
 
-    lists: value, node, root; sets: node, values (the whole set). A block compares all its pairs of different
-    components exactly, but leaves only links that still join two of them, fewer than its rows.
+    sets: node, root, values (the whole set). One order holds for all values: those of a single root first, then from
+    rare to frequent. The first value that a similar pair shares then lies within the first n - ceil(t n) + 1 of
+    the larger set and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, and what follows it on either side
+    bounds what they share. Lists are dealt by value and size of the smaller set; the members of a list's most frequent
+    root meet only those of other roots.
     """
-    spans = lists.groupBy("value").agg(F.count(F.lit(1)).alias("__rows"), F.min("root").alias("__a"), F.max("root").alias("__b")).where("__a < __b")
-    dealt = join_split(lists, spans.select("value", "__rows"), "value", "__rows").withColumn("blocks", F.ceil(F.col("__rows") / BLOCK).cast("int"))
-    dealt = dealt.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.own == rows["first"]], rows[rows.own == rows["second"]]
-        sizes, ids = right["values"].map(len).to_numpy(), right.node.to_numpy()
-        joined = {x: x for x in rows.root}
-
-        def find(x: int) -> int:
-            while joined[x] != x:
-                joined[x] = x = joined[joined[x]]
-            return x
-
-        flat, owner = np.concatenate(list(right["values"])), np.repeat(np.arange(len(right)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner, found = flat[order], owner[order], []
-        right_roots = right.root.tolist()
-        for node, root, values in zip(left.node, left.root, left["values"]):
-            lo, hi = np.searchsorted(flat, values, "left"), np.searchsorted(flat, values, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(right))
-            for i in np.flatnonzero(100 * common >= percent * (len(values) + sizes - common)):
-                if (a := find(root)) != (b := find(right_roots[i])):
-                    joined[max(a, b)] = min(a, b)
-                    found.append((min(node, ids[i]), max(node, ids[i])))
-        return pd.DataFrame(found, columns=["low", "high"], dtype="int64")
-
-    blocks = dealt.select("value", "node", "root", "values", "own", "first", "second").groupBy("value", "first", "second")
-    return blocks.applyInPandas(compare, "low long, high long")
+    p, node = percent, ["node", "root", "n"]
+    values = sets.select("node", "root", F.size("values").alias("n"), F.explode("values").alias("value"))
+    of_root = values.groupBy("value", "root").agg(F.count(F.lit(1)).alias("__c"))
+    spans = of_root.groupBy("value").agg(F.sum("__c").alias("rows"), F.max_by("root", F.struct("__c", "root")).alias("main"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1").drop("__roots")
+    shared = join_split(values, spans, "value", "rows")
+    of_node = Window.partitionBy("node")  # at most the values of one text
+    placed = shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(of_node) + F.row_number().over(of_node.orderBy("rows", "value")))
+    prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * p / F.lit(100)) + 1)
+    prefix = materialize(prefix.select(*node, "value", "place", (F.col("root") == F.col("main")).alias("is_main")))
+
+    size_class = lambda size: F.floor(F.ln(size) / math.log(SIZE_STEP)).cast("int")
+    small = prefix.where(F.col("place") <= F.col("n") - F.ceil(2 * p * F.col("n") / F.lit(100 + p)) + 1).withColumn("class", size_class(F.col("n")))
+    small = small.select("value", "class", *(F.col(c).alias(f"{c}_a") for c in (*node, "place", "is_main")))
+    largest = F.least(F.col("n"), (100 + p) * (F.col("n") - F.col("place") + 1) / F.lit(p) - F.col("n"))  # of the smaller sets that can still share enough
+    large = prefix.withColumn("least", F.col("n") * p / F.lit(100)).withColumn("largest", largest).where("largest >= least")
+    large = large.withColumn("class", F.explode(F.sequence(size_class(F.col("least")) - 1, size_class(F.col("largest")) + 1))).drop("least", "largest")
+    left = lambda c: F.col(f"{c}_a")
+    fits = (100 * left("n") >= p * F.col("n")) & ((left("n") < F.col("n")) | ((left("n") == F.col("n")) & (left("node") < F.col("node")))) & (left("root") != F.col("root"))
+    fits &= (100 + p) * (F.least(left("n") - left("place"), F.col("n") - F.col("place")) + 1) >= p * (left("n") + F.col("n"))
+    ends = F.least(left("node"), F.col("node")).alias("low"), F.greatest(left("node"), F.col("node")).alias("high")
+    meet = lambda a, b: a.join(b, ["value", "class"]).where(fits).select(*ends)
+    return meet(small.where("NOT is_main_a"), large).union(meet(small.where("is_main_a"), large.where("NOT is_main"))).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -149,8 +143,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     class, which goes on as one node. A node whose retained values are mostly its own has no links.
     The others are looked up: each list's least node is paired with its members, estimated on union
     sketches and verified on whole sets. Lists that still span several components are then paired in
-    full if short; documents whose long lists alone can make a link are compared in blocks, as many as
-    the square of such a list, so that a pair meets in a short list or in a block. A pair is missed only if its
+    full if short; documents whose long lists alone can make a link meet by an exact prefix join of their
+    whole sets, so no list is paired as its square. A pair is missed only if its
     sketches don't meet, with a probability of at most 1e-5 for a pair at the threshold.
 
     A text without words, or null, has no shingles and no links; so has a row without a key, whose
@@ -178,22 +172,24 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     links = materialize(_verified(_estimated(pairs, suspects, percent), sets, percent))
     rooted = components(links, "low", "high")
 
-    counts = lists.where(F.col("length") > SHORT_LIST).groupBy("node").agg(F.count(F.lit(1)).alias("long"), F.array_sort(F.collect_list("value")).alias("longs"))
     lists = materialize(lists.join(rooted, "node", "left").select("value", "node", "length", F.coalesce("root", "node").alias("root")))
+    long_ = lists.where(F.col("length") > SHORT_LIST)
+    counts = long_.groupBy("node").agg(F.count(F.lit(1)).alias("long"))
     spans = lists.groupBy("value").agg(F.min("root").alias("__a"), F.max("root").alias("__b"), F.first("length").alias("size")).where("__a < __b")
-    lists = materialize(join_split(lists, spans.select("value", "size"), "value", "size"))
-    short = lists.where(F.col("length") <= SHORT_LIST).select("value", "node", "root")
+    spanning = materialize(join_split(lists, spans.select("value", "size"), "value", "size"))
+    short = spanning.where(F.col("length") <= SHORT_LIST).select("value", "node", "root")
     other = short.select("value", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
     pairs = short.join(other, "value").where("node < node_b AND root != root_b").select(F.col("node").alias("low"), F.col("node_b").alias("high"))
-    common = suspects.select("node", F.least(F.size("values"), F.lit(LOOKED_UP)).alias("looked_up"))
-    long_ = lists.where(F.col("length") > SHORT_LIST)
-    common = counts.join(common, "node").where(F.col("long") >= _least_share(percent, LOOKED_UP) * F.col("looked_up"))
-    common = common.select("node", F.explode(F.slice("longs", 1, COMMON_VALUES)).alias("value"))
     more = materialize(_verified(_estimated(pairs.distinct(), suspects, percent), sets, percent))
-    rooted = components(links.union(more), "low", "high").withColumnRenamed("root", "top")
-    common = common.join(long_.select("value", "node", "root"), ["value", "node"]).join(rooted, "node", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    most = materialize(_common_text_links(materialize(common), sets, percent))
-    rooted = components(links.union(more).union(most), "low", "high")
+    stars = lambda rooted: rooted.select("root", "node")
+    rooted = components(stars(rooted).union(more), "root", "node")
+
+    looked_up = suspects.select("node", F.least(F.size("values"), F.lit(LOOKED_UP)).alias("looked_up"))
+    common = counts.join(looked_up, "node").where(F.col("long") >= _least_share(percent, LOOKED_UP) * F.col("looked_up")).select("node")
+    common = common.join(spanning.where(F.col("length") > SHORT_LIST).select("node").distinct(), "node", "left_semi")
+    common = materialize(sets.join(common, "node").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "values"))
+    most = materialize(_verified(_estimated(_long_list_pairs(common, percent), suspects, percent), sets, percent))
+    rooted = components(stars(rooted).union(most), "root", "node")
 
     named = nodes.select("node", "print", "key").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("key").alias("component_id"))

@@ -56,6 +56,22 @@ def test_near_duplicates(spark, documents, monkeypatch, short_list):
     assert got == dict(enumerate(brute_components(texts, 85)))
 
 
+def test_near_duplicates_around_a_passage(spark, documents):
+    """20 groups: a passage, and 250 texts of it and 29 own words each, linked to the passage alone (170 of 199 shingles)."""
+    rng, texts, groups = random.Random(5), [], []
+    for group in range(20):
+        passage = [f"g{group}p{rng.randrange(10**6)}" for _ in range(174)]
+        members = [" ".join(passage)] + [" ".join([*passage, *(f"o{rng.randrange(10**12)}" for _ in range(29))]) for _ in range(250)]
+        texts += members
+        groups += [group] * len(members)
+    order = rng.sample(range(len(texts)), len(texts))
+    least = {}
+    for place, i in enumerate(order):
+        least.setdefault(groups[i], place)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(*(texts[i] for i in order)), "doc_id", "text", 85).collect()}
+    assert got == {place: least[groups[i]] for place, i in enumerate(order)}
+
+
 @pytest.mark.parametrize("percent, own", [(85, 52), (80, 73)])
 def test_near_duplicates_of_one_template(spark, documents, percent, own):
     """Pages of a template with own words before and after it, linked only to the bare template, among pages that share its text and are not near it."""
