@@ -21,10 +21,14 @@ SHINGLE = 5
 SKETCH, LOOKED_UP = 64, 20
 #: Standard deviations below the threshold at which an estimate still counts as near.
 SLACK = 5.5
+#: Rounds in which the members of each list meet one of them; lists that span several components go on.
+ROUNDS = 2
 #: Lists up to this length are paired in full where they span components.
 SHORT_LIST = 32
 #: Ratio of the sizes in one size class.
 SIZE_STEP = 1.04
+#: Longs of a set's bitmap, in which each value turns one bit over.
+BITMAP = 8
 #: Words whose hashes a worker keeps.
 CACHED_WORDS = 300_000
 
@@ -54,14 +58,22 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """Bits of two sets differ in at most as many places as the sets have values that only one of them holds."""
+    odd = np.bincount(values & (64 * BITMAP - 1), minlength=64 * BITMAP).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").astype(np.int64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
 def _mapped(df: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
-    """key, n, print and the sketch, or with whole the whole set."""
+    """key, n, print and the sketch, or with whole the whole set and its bitmap."""
     schema = StructType([StructField("key", df.schema[key].dataType), StructField("n", LongType()), StructField("print", BinaryType()), StructField("values", ArrayType(LongType()))])
+    if whole:
+        schema = schema.add("bits", ArrayType(LongType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +81,7 @@ def _mapped(df: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
                 part = batch.slice(at, 1000)
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets if whole else [s[:SKETCH] for s in sets])],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets if whole else [s[:SKETCH] for s in sets]), *([_lists([bitmap(s) for s in sets])] if whole else [])],
                     names=schema.names,
                 )
 
@@ -102,17 +114,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s_low") + F.size("s_high") - common)).select("low", "high")
 
 
+def _similar(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return materialize(_verified(_estimated(pairs, nodes, percent), sets, percent))
+
+
 def _long_list_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (low, high) of different roots, a superset of the similar ones: an exact prefix join of whole sets.
 
     sets: node, root, values (the whole set). One order holds for all values: those of a single root first, then from
     rare to frequent. The first value that a similar pair shares then lies within the first n - ceil(t n) + 1 of
     the larger set and the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, and what follows it on either side
-    bounds what they share. Lists are dealt by value and size of the smaller set; the members of a list's most frequent
+    bounds what they share, and so do their bitmaps. Lists are dealt by value and size of the smaller set; the members of a list's most frequent
     root meet only those of other roots.
     """
-    p, node = percent, ["node", "root", "n"]
-    values = sets.select("node", "root", F.size("values").alias("n"), F.explode("values").alias("value"))
+    p, bits = percent, [f"bits_{i}" for i in range(BITMAP)]
+    node = ["node", "root", "n", *bits]
+    values = sets.select("node", "root", F.size("values").alias("n"), *(F.get("bits", F.lit(i)).alias(c) for i, c in enumerate(bits)), F.explode("values").alias("value"))
     of_root = values.groupBy("value", "root").agg(F.count(F.lit(1)).alias("__c"))
     spans = of_root.groupBy("value").agg(F.sum("__c").alias("rows"), F.max_by("root", F.struct("__c", "root")).alias("main"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1").drop("__roots")
     shared = join_split(values, spans, "value", "rows")
@@ -130,6 +147,8 @@ def _long_list_pairs(sets: DataFrame, percent: int) -> DataFrame:
     left = lambda c: F.col(f"{c}_a")
     fits = (100 * left("n") >= p * F.col("n")) & ((left("n") < F.col("n")) | ((left("n") == F.col("n")) & (left("node") < F.col("node")))) & (left("root") != F.col("root"))
     fits &= (100 + p) * (F.least(left("n") - left("place"), F.col("n") - F.col("place")) + 1) >= p * (left("n") + F.col("n"))
+    apart = sum((F.bit_count(left(c).bitwiseXOR(F.col(c))) for c in bits), F.lit(0))
+    fits &= (100 + p) * (left("n") + F.col("n") - apart) >= 2 * p * (left("n") + F.col("n"))
     ends = F.least(left("node"), F.col("node")).alias("low"), F.greatest(left("node"), F.col("node")).alias("high")
     meet = lambda a, b: a.join(b, ["value", "class"]).where(fits).select(*ends)
     return meet(small.where("NOT is_main_a"), large).union(meet(small.where("is_main_a"), large.where("NOT is_main"))).distinct()
@@ -141,8 +160,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id
     is the least key that a document reaches, kept says that it is the key itself. Equal sets form one
     class, which goes on as one node. A node whose retained values are mostly its own has no links.
-    The others are looked up: each list's least node is paired with its members, estimated on union
-    sketches and verified on whole sets. Lists that still span several components are then paired in
+    The others are looked up: in each of ROUNDS, the members of a list that spans several components meet one of them (first the
+    most typical, whose lists are longest, then any), are estimated on union
+    sketches and verified on whole sets, so large groups of near copies join without being paired. Lists that still span several are then paired in
     full if short; documents whose long lists alone can make a link meet by an exact prefix join of their
     whole sets, so no list is paired as its square. A pair is missed only if its
     sketches don't meet, with a probability of at most 1e-5 for a pair at the threshold.
@@ -162,17 +182,23 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     suspects = shared.groupBy("node", "n").count().where(F.col("count") >= _least_share(percent, LOOKED_UP) * F.least("n", F.lit(LOOKED_UP))).select("node")
     suspects = materialize(nodes.join(suspects, "node", "left_semi"))
     texts = df.join(suspects.select(F.col("key").alias(key)).distinct(), key, "left_semi")
-    sets = _mapped(texts, key, text, whole=True).join(suspects.select("print", "node"), "print").groupBy("node").agg(F.first("values").alias("values"))
+    sets = _mapped(texts, key, text, whole=True).join(suspects.select("print", "node"), "print").groupBy("node").agg(F.first("values").alias("values"), F.first("bits").alias("bits"))
     sets = materialize(sets)
 
-    values = suspects.select("node", "n", F.explode(F.slice("values", 1, LOOKED_UP)).alias("value"))
-    lengths = values.groupBy("value").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("low")).where("length > 1")
+    values = suspects.select("node", F.explode(F.slice("values", 1, LOOKED_UP)).alias("value"))
+    lengths = values.groupBy("value").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     lists = materialize(join_split(values, lengths, "value", "length"))
-    pairs = lists.where("node > low").select("low", F.col("node").alias("high")).distinct()
-    links = materialize(_verified(_estimated(pairs, suspects, percent), sets, percent))
-    rooted = components(links, "low", "high")
+    typical = lists.groupBy("node").agg(F.sum("length").alias("shared"))
+    lists = materialize(lists.join(typical, "node").withColumn("root", F.col("node")))
+    rooted = None
+    for turn in range(ROUNDS):
+        by = F.xxhash64("node", "value", F.lit(turn)) if turn else F.struct("shared", "node")
+        centers = lists.groupBy("value").agg(F.count(F.lit(1)).alias("__rows"), F.max_by(F.struct("node", "root"), by).alias("center"), F.min("root").alias("__a"), F.max("root").alias("__b")).where("__a < __b")
+        met = join_split(lists, centers.drop("__a", "__b"), "value", "__rows").where("root != center.root")
+        links = _similar(met.select(F.col("center.node").alias("low"), F.col("node").alias("high")).distinct(), suspects, sets, percent)
+        rooted = components(links if rooted is None else rooted.select("root", "node").union(links), *(("low", "high") if rooted is None else ("root", "node")))
+        lists = materialize(lists.drop("root").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
-    lists = materialize(lists.join(rooted, "node", "left").select("value", "node", "length", F.coalesce("root", "node").alias("root")))
     long_ = lists.where(F.col("length") > SHORT_LIST)
     counts = long_.groupBy("node").agg(F.count(F.lit(1)).alias("long"))
     spans = lists.groupBy("value").agg(F.min("root").alias("__a"), F.max("root").alias("__b"), F.first("length").alias("size")).where("__a < __b")
@@ -180,16 +206,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     short = spanning.where(F.col("length") <= SHORT_LIST).select("value", "node", "root")
     other = short.select("value", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
     pairs = short.join(other, "value").where("node < node_b AND root != root_b").select(F.col("node").alias("low"), F.col("node_b").alias("high"))
-    more = materialize(_verified(_estimated(pairs.distinct(), suspects, percent), sets, percent))
-    stars = lambda rooted: rooted.select("root", "node")
-    rooted = components(stars(rooted).union(more), "root", "node")
-
     looked_up = suspects.select("node", F.least(F.size("values"), F.lit(LOOKED_UP)).alias("looked_up"))
     common = counts.join(looked_up, "node").where(F.col("long") >= _least_share(percent, LOOKED_UP) * F.col("looked_up")).select("node")
     common = common.join(spanning.where(F.col("length") > SHORT_LIST).select("node").distinct(), "node", "left_semi")
-    common = materialize(sets.join(common, "node").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "values"))
-    most = materialize(_verified(_estimated(_long_list_pairs(common, percent), suspects, percent), sets, percent))
-    rooted = components(stars(rooted).union(most), "root", "node")
+    common = materialize(sets.join(common, "node").join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "values", "bits"))
+    last = _similar(pairs.union(_long_list_pairs(common, percent)).distinct(), suspects, sets, percent)
+    rooted = components(rooted.select("root", "node").union(last), "root", "node")
 
     named = nodes.select("node", "print", "key").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("key").alias("component_id"))
