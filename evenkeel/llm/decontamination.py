@@ -8,12 +8,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-#: Bytes of item text that are sent to the executors at once; more items go in further blocks.
-BLOCK_BYTES = 8 << 20
+from evenkeel.llm.shared import materialize
+
+#: Bytes of item text in the index of a block, and blocks whose scans are chained after one pass for word frequencies.
+BLOCK_BYTES, GROUP = 8 << 20, 4
+#: Windows in a piece of an item; longer items are cut, so that no item outgrows a block.
+PIECE_WINDOWS = 5000
 #: Characters of document text, and candidate positions, that a worker handles at once.
 SLICE_CHARS, CANDIDATES = 2_000_000, 2_000_000
 #: Lower-cases A-Z; ASCII bytes that are neither letters nor digits end a word.
@@ -27,18 +31,18 @@ def words(text: str | None) -> list[bytes]:
 class WindowIndex:
     """Windows of item words by their rarest word, the one prefix token that full containment needs."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], width: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], frequency: dict[bytes, int], width: int):
         self.width = width
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         rarity = np.array([frequency.get(w, 0) for w in self.vocabulary], np.int64)
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item, ws in items:
             ids = [self.vocabulary[w] for w in ws]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
                 owners.setdefault(tuple(ids[i : i + width]), set()).add(item)
         self.windows = np.full((len(owners), width), -1, np.int32)
         self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.owners = [sorted(x) for x in owners.values()]
+        self.owners = [list(x) for x in owners.values()]
         for i, w in enumerate(owners):
             self.windows[i, : len(w)] = w
         frequencies = np.where(self.windows >= 0, rarity[self.windows] if len(rarity) else 0, np.iinfo(np.int64).max)
@@ -55,7 +59,7 @@ class WindowIndex:
         known = known[self.count[ids[known]] > 0]
         n = self.count[ids[known]]
         starts, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + CANDIDATES, CANDIDATES))
+        cuts = np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), CANDIDATES)), len(known))
         for a, b in zip(cuts, cuts[1:]):
             at, m = known[a:b], n[a:b]
             w = self.by_prefix[np.repeat(self.first[ids[at]] - np.cumsum(m) + m, m) + np.arange(m.sum())]
@@ -87,12 +91,35 @@ def _frequencies(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[byt
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def _pass(df: DataFrame, index: WindowIndex, key: str, last: bool) -> DataFrame:
-    """Adds an index's occurrences to the columns starts, ends and items."""
+def _pieces(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """Distinct (item, body): the item's words, joined by blanks, cut so that each window is whole in one piece."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, body in zip(batch.column(0), batch.column(1)):
+                ws = words(body.as_py())
+                out += [(item.as_py(), b" ".join(ws[at : at + PIECE_WINDOWS + width - 1])) for at in range(0, max(1, len(ws) - width + 1) if ws else 0, PIECE_WINDOWS)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["item", "body"])
+
+    return items.select(F.col(key).cast("string").alias("item"), text).mapInArrow(cut, "item string, body binary").distinct()
+
+
+FOUND = StructType([StructField("n_words", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
+
+
+def _by_name(item: str | None) -> tuple[bool, str]:
+    """Sorts items without a key last."""
+    return item is None, item or ""
+
+
+def _scan(df: DataFrame, index: WindowIndex, text: str, into: str) -> DataFrame:
+    """df with an index's occurrences added to the struct column ``into``, which is made by the first scan."""
     sent = df.sparkSession.sparkContext.broadcast(index)
-    fields = [StructField("key", df.schema[key].dataType), StructField("text", StringType()), StructField("n_words", LongType()), StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]
+    text_at, again = df.columns.index(text), into in df.columns
+    schema = df.schema if again else StructType([*df.schema, StructField(into, FOUND)])
 
-    def scan(texts: list[str | None], before: list[tuple]) -> list[tuple]:
+    def found(texts: list[str | None], before: list[dict]) -> list[tuple]:
         index, out = sent.value, []
         split = [words(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in split])
@@ -107,15 +134,16 @@ def _pass(df: DataFrame, index: WindowIndex, key: str, last: bool) -> DataFrame:
         bounds = np.searchsorted(start, np.append(begins, len(flat)))
         for i, w in enumerate(split):
             a, b = bounds[i], bounds[i + 1]
-            spans, items = before[i] if before else ([], [])
-            spans = sorted([*spans, *zip((start[a:b] - begins[i]).tolist(), (ends[a:b] - begins[i]).tolist())])
+            was = before[i] if before else {"starts": [], "ends": [], "items": []}
+            spans = sorted([*zip(was["starts"], was["ends"]), *zip((start[a:b] - begins[i]).tolist(), (ends[a:b] - begins[i]).tolist())])
             merged: list[list[int]] = []
             for s, e in spans:
                 if merged and s <= merged[-1][1]:
                     merged[-1][1] = max(e, merged[-1][1])
                 else:
                     merged.append([s, e])
-            out.append((len(w), [s for s, _ in merged], [e for _, e in merged], sorted({*items, *(x for k in window[a:b] for x in index.owners[k])})))
+            items = {*was["items"], *(x for k in window[a:b] for x in index.owners[k])}
+            out.append((len(w), [s for s, _ in merged], [e for _, e in merged], sorted(items, key=_by_name)))
         return out
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,47 +151,65 @@ def _pass(df: DataFrame, index: WindowIndex, key: str, last: bool) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 texts, chars = [], 0
-                for t in batch.column(1).slice(at):
+                for t in batch.column(text_at).slice(at):
                     texts.append(t.as_py())
                     chars += len(texts[-1] or "")
                     if chars >= SLICE_CHARS:
                         break
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                before = [(list(zip(r["starts"], r["ends"])), r["items"]) for r in part.select(["starts", "ends", "items"]).to_pylist()] if "starts" in part.schema.names else []
-                found = list(zip(*scan(texts, before)))
+                columns = list(zip(*found(texts, part.column(part.num_columns - 1).to_pylist() if again else [])))
                 kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.nulls(len(texts), pa.string()) if last else part.column(1), *(pa.array(f, k) for f, k in zip(found, kinds))], names=[f.name for f in fields]
-                )
+                new = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(columns, kinds)], names=FOUND.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: part.num_columns - again], new], names=schema.names)
 
-    return df.mapInArrow(rows, StructType(fields))
+    return df.mapInArrow(rows, schema)
 
 
-def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 10) -> DataFrame:
-    """One row per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated, starts, ends, items.
+def mark(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, into: str, width: int = 10) -> DataFrame:
+    """docs with the struct column ``into``, a name that docs doesn't have: n_words, starts, ends, items.
 
     A document word is hit if it lies inside an occurrence of ``width`` consecutive words of an item
-    (of all its words, if they are fewer). starts and ends hold the hit ranges, items the item keys as
+    (of all its words, if they are fewer). starts and ends hold the hit ranges, items the keys of the items as
     strings. Windows are looked up by their rarest word over all documents and verified word by word,
-    from rare to frequent. Items are sent in blocks of BLOCK_BYTES; each block passes over the documents once,
-    without a shuffle.
+    from rare to frequent. Items are sent in blocks of about BLOCK_BYTES; GROUP blocks take one pass over the documents
+    for word frequencies and one for all their scans, without a shuffle.
 
-    Null or empty texts have no words; items without words match nothing; an item without a key counts
-    as the key "null"; equal items or rows count each for itself; no items or no documents are no
-    error. Other columns are left out.
+    Null or empty texts have no words; items without words match nothing; those without a key hit
+    words and are listed together as one null; equal items or rows count each for itself; no items or no
+    documents are no error. Rows are handled one by one, whatever their other columns hold.
     """
-    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    pieces = materialize(_pieces(items, item_key, item_text, width))
+    total = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
-    out = docs.select(F.col(key), F.col(text).alias("text"))
-    base = out
-    for block in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == block).select(F.coalesce(F.col(item_key).cast("string"), F.lit("null")), item_text)
-        known = [(k, words(t)) for k, t in chosen.collect()]  # about BLOCK_BYTES
-        frequency = _frequencies(base, "text", {w for _, ws in known for w in ws})
-        out = _pass(out, WindowIndex(known, frequency, width), out.columns[0], block == blocks - 1)
-    hit = F.aggregate("ends", F.lit(0).cast("long"), lambda s, x: s + x) - F.aggregate("starts", F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.select(
-        F.col("key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "starts", "ends", "items",
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(blocks)))
+    out = docs
+    for first in range(0, blocks, GROUP):
+        known: dict[int, list] = {b: [] for b in range(first, min(first + GROUP, blocks))}
+        for r in pieces.where(F.col("block").isin(list(known))).collect():  # about GROUP * BLOCK_BYTES
+            known[r["block"]].append((r["item"], bytes(r["body"]).split()))
+        frequency = _frequencies(docs, text, {w for ps in known.values() for _, ws in ps for w in ws})
+        for block in known.values():
+            out = _scan(out, WindowIndex(block, frequency, width), text, into)
+        if first + GROUP < blocks:
+            out = materialize(out)
+    return out
+
+
+def n_hit(found: Column) -> Column:
+    """The number of hit words of a column that ``mark`` made."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return total(found["ends"]) - total(found["starts"])
+
+
+def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 10) -> DataFrame:
+    """One row per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated, starts, ends, items; see ``mark``.
+
+    The hash is of the keys, comma-joined; items without one count as one item. Other columns are left out.
+    """
+    marked = mark(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", items, item_key, item_text, "found", width)
+    found = F.col("found")
+    return marked.select(
+        F.col("key").alias(key), found["n_words"].alias("n_words"), n_hit(found).alias("n_hit"), F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"), (F.size(found["ends"]) > 0).alias("contaminated"), *(found[c].alias(c) for c in ("starts", "ends", "items")),
     )

@@ -123,19 +123,19 @@ def rejected(counts: Column, rules: tuple[Rule, ...]) -> Column:
     return verdict
 
 
-def judge(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds the struct ``quality``: the base counts, base_failed and kept.
+def judge(df: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, into: str = "quality") -> DataFrame:
+    """Adds the struct ``into``: the base counts, base_failed and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of words in repeated 8-word windows. kept: not
     base_failed, and no rule rejects. Null and empty texts have no words, so they fail. Rows are judged
     one by one, so ties, repeated rows and other columns change nothing; a column of df named
-    ``quality`` is replaced; an empty df stays empty.
+    ``into`` is replaced; an empty df stays empty.
     """
-    with_counts = df.withColumn("quality", metrics(F.col(text)))
-    counts = F.col("quality")
+    with_counts = df.withColumn(into, metrics(F.col(text)))
+    counts = F.col(into)
     failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
     return with_counts.withColumn(
-        "quality",
+        into,
         F.struct(
             *(counts[c].alias(c) for c in ("n_words", "word_chars", "n_symbols")),
             counts["lines"]["dup"].alias("n_dup_lines"),

@@ -59,7 +59,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "text", "source")
-    return found.select("doc_id", "secret_candidates", "secrets", "secret_spans")
+    scanned = F.col("secret_scan")
+    return found.select("doc_id", scanned["candidates"].alias("secret_candidates"), scanned["secrets"].alias("secrets"), scanned["spans"].alias("secret_spans"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

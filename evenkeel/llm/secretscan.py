@@ -150,17 +150,17 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
     return text
 
 
-def scan(df: DataFrame, text: str, path: str) -> DataFrame:
-    """df with the columns secret_candidates, secrets, secret_spans ("start:end", comma-joined) and secret_masked, the text with secrets masked.
+def scan(df: DataFrame, text: str, path: str, into: str = "secret_scan") -> DataFrame:
+    """df with the struct column ``into``: candidates, secrets, spans ("start:end", comma-joined) and masked, the text with secrets masked.
 
     Whole texts are read; null ones have no secrets and stay null, a null path is empty. Rows are scanned
-    one by one, so ties, repeats and nulls elsewhere change nothing; columns of df with these names are replaced. The
-    forest is trained once in the driver on TRAINED_ON labelled findings.
+    one by one, so ties, repeats and nulls elsewhere change nothing; a column of df named ``into`` is replaced; an empty
+    df stays empty. The forest is trained once in the driver on TRAINED_ON labelled findings.
     """
-    added = ("secret_candidates", "secrets", "secret_spans", "secret_masked")
-    df = df.drop(*added)
+    df = df.drop(into)
     sent = df.sparkSession.sparkContext.broadcast(trained_forest())
-    schema = StructType([*df.schema, *(StructField(c, LongType()) for c in added[:2]), *(StructField(c, StringType()) for c in added[2:])])
+    made = StructType([StructField("candidates", LongType()), StructField("secrets", LongType()), StructField("spans", StringType()), StructField("masked", StringType())])
+    schema = StructType([*df.schema, StructField(into, made)])
     text_at, path_at = df.columns.index(text), df.columns.index(path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +170,6 @@ def scan(df: DataFrame, text: str, path: str) -> DataFrame:
                 texts = part.column(text_at).to_pylist()
                 found = find([t or "" for t in texts], [p or "" for p in part.column(path_at).to_pylist()], sent.value)
                 new = [pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([",".join(f"{a}:{b}" for a, b in s) for _, s in found], pa.string()), pa.array([t and masked(t, s) for t, (_, s) in zip(texts, found)], pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(new, names=made.names)], names=schema.names)
 
     return df.mapInArrow(rows, schema)

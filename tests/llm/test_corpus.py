@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,24 +113,37 @@ def brute_hits(text, items):
             for j in range(len(w) - len(g) + 1):
                 if w[j : j + len(g)] == g:
                     hit.update(range(j, j + len(g)))
-                    found.add("null" if item is None else str(item))
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+                    found.add(item if item is None else str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 60])
-def test_decontamination(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize("block, piece", [(8 << 20, 5000), (60, 7)])
+def test_decontamination(spark, documents, monkeypatch, block, piece):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontamination, "PIECE_WINDOWS", piece)
     rng = random.Random(4)
     item = lambda n: " ".join(rng.choice(["Éa", "b", "c3", "d", "e"]) for _ in range(n))
     items = [(i, item(n)) for i, n in enumerate([12, 30, 3, 10, 1])] + [(9, ""), (10, None), (2, "b b"), (None, "zz yy")]
     texts = ["", None, "Zz, YY!", items[1][1].upper(), "x " + items[0][1] + " y", *(item(rng.randint(1, 60)) for _ in range(40)), "b " * 400]
     got = decontamination.contamination(documents(*texts).withColumn("items", F.lit(0)), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    twice = documents(texts[3], texts[3], None).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.contaminated for r in decontamination.contamination(twice, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()].count(True) == 2
     none = decontamination.contamination(documents("a b"), "doc_id", "text", spark.createDataFrame([], "item_id long, text string"), "item_id", "text").first()
     assert (none.n_words, none.contaminated) == (2, False)
     assert decontamination.contamination(documents("x").limit(0), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("candidates", [1, 2, 3, 4, 100])
+def test_occurrences_at_any_number_of_candidates(monkeypatch, candidates):
+    monkeypatch.setattr(decontamination, "CANDIDATES", candidates)
+    index = decontamination.WindowIndex([("i", [b"a", b"b"]), ("j", [b"b", b"c"])], {b"a": 5, b"b": 1, b"c": 7}, 10)
+    text = [index.vocabulary.get(w, -1) for w in b"a b x a b c b c x x a b".split()]
+    found = sorted(zip(*(x.tolist() for x in index.occurrences(np.array(text, np.int32)))))
+    want = sorted((at, k) for k, w in enumerate(index.windows[:, :2].tolist()) for at in range(len(text) - 1) if text[at : at + 2] == w)
+    assert found == want and len(found) == 5
+
+
 def test_archives(spark, monkeypatch):
     monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 7)
     monkeypatch.setattr(warc, "RECORDS_PER_FILE", 5)
@@ -169,3 +183,40 @@ def test_pipeline_keeps_clean_documents(spark):
     assert len(masked) == len(rows) and not any(re.search("AKIA[A-Z0-9]{16}", r.text) for r in masked)
     packed = {r.doc_id for r in queries()["pipeline"](spark, sf).select("doc_id").collect()}
     assert packed == kept & clean
+
+
+CLASHES = ("Quality", "secret_scan", "contamination", "row", "ROW_", "n", "values", "node", "key", "found", "licences")
+
+
+def test_stages_act_row_by_row(spark, documents, tmp_path):
+    """Null and repeated keys, null, empty and long texts, repeated rows and clashing columns, in every stage."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and"]) if k % 3 else f"w{rng.randrange(10**6)}" for k in range(n))
+    a, b, c, item = prose(80), prose(80), prose(80), prose(12)
+    secret = "password=e3b3ed3cc8548923d6"
+    rows = [(1, a), (1, b), (2, a), (None, c + " " + item), (None, prose(60)), (3, None), (4, ""), (5, prose(20_000)), (6, c), (6, c), (7, b + " " + secret), (None, b), (8, "short"), (9, prose(30) + " " + item)]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", len(t or "")) for k, (i, t) in enumerate(rows)], documents("").schema)
+    for k, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(k) if k % 3 else F.lit(None).cast("string"))
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name: stages[name](spark, docs, str(tmp_path))
+    counted = lambda got: sorted((str(r.doc_id), r.text or "", r.source or "") for r in got)
+    all_rows = docs.collect()
+    for name in list(stages)[:4]:
+        assert run(name).schema.simpleString() == docs.schema.simpleString() and stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert counted(run("quality_rules").collect()) == counted(r for r in all_rows if len((r.text or "").split()) >= 20)
+    assert counted(run("decontaminate").collect()) == counted(r for r in all_rows if item not in (r.text or ""))
+    kept = run("near_dedup").collect()
+    assert len([r for r in kept if r.text == c]) == 1  # of repeated rows one
+    gone = [(2, a), (None, b), (6, c), (7, b + " " + secret)]
+    left = list(rows)
+    for x in gone:
+        left.remove(x)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted((str(i), t or "") for i, t in left)
+    masked = run("mask_secrets").collect()
+    assert counted(r for r in masked if "[SECRET]" not in (r.text or "")) == counted(r for r in all_rows if secret not in (r.text or ""))
+    assert [(r.doc_id, r.text, r.n_chars) for r in masked if "[SECRET]" in (r.text or "")] == [(7, f"{b} password=[SECRET]", len(f"{b} password=[SECRET]"))]
+    assert {tuple(r[k] for k in CLASHES) for r in masked} == {tuple(all_rows[0][k] for k in CLASHES)}
+    packed = run("pack").collect()
+    assert sorted(str(r.doc_id) for r in packed if r.piece == 0) == sorted(str(i) for i, _ in rows)
