@@ -17,19 +17,20 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 class LstmCrf:
     """Arrays are (time, batch, ...). Characters are codes below ``codes``; all sequences of a call have one length."""
 
-    def __init__(self, codes: int, labels: int, embed: int = 12, hidden: int = 20, seed: int = 0):
+    def __init__(self, codes: int, labels: int, embed: int = 12, hidden: int = 20, seed: int = 0, kind: type = np.float64):
         rng = np.random.default_rng(seed)
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.p = {"E": normal(codes, embed) * np.sqrt(codes) * 0.3, "V": normal(2 * hidden, labels), "c": np.zeros(labels), "T": np.zeros((labels, labels))}
         for d in "fb":
             self.p |= {f"W{d}": normal(embed, 4 * hidden), f"U{d}": normal(hidden, 4 * hidden), f"b{d}": np.r_[np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]}
-        self.hidden, self.rng = hidden, rng
+        self.p = {k: v.astype(kind) for k, v in self.p.items()}
+        self.hidden, self.rng, self.kind = hidden, rng, kind
 
     def _run(self, x: np.ndarray, d: str, keep: bool):
         """Hidden states of one direction, and what the way back needs."""
         n, (steps, batch) = self.hidden, x.shape[:2]
         inputs = x @ self.p[f"W{d}"] + self.p[f"b{d}"]
-        h, c, out, kept = np.zeros((batch, n)), np.zeros((batch, n)), np.empty((steps, batch, n)), []
+        h, c, out, kept = np.zeros((batch, n), self.kind), np.zeros((batch, n), self.kind), np.empty((steps, batch, n), self.kind), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = inputs[t] + h @ self.p[f"U{d}"]
             i, f, o, g = _sigmoid(z[:, :n]), _sigmoid(z[:, n : 2 * n]), _sigmoid(z[:, 2 * n : 3 * n]), np.tanh(z[:, 3 * n :])
@@ -70,14 +71,15 @@ class LstmCrf:
 
     def gradients(self, codes: np.ndarray, gold: np.ndarray):
         p, n = self.p, self.hidden
+        flat = lambda a: a.reshape(-1, a.shape[-1])
         x = p["E"][codes]
         runs = {d: self._run(x, d, True) for d in "fb"}
         states = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         loss, de, dt = self._crf(states @ p["V"] + p["c"], gold)
-        g = {"T": dt, "c": de.sum((0, 1)), "V": np.einsum("tbi,tbk->ik", states, de)}
+        g = {"T": dt, "c": de.sum((0, 1)), "V": flat(states).T @ flat(de)}
         dstates, dx = de @ p["V"].T, np.zeros_like(x)
         for d, part in (("f", dstates[:, :, :n]), ("b", dstates[:, :, n:])):
-            dh, dc, dz = np.zeros(x.shape[1:2] + (n,)), np.zeros(x.shape[1:2] + (n,)), np.empty(x.shape[:2] + (4 * n,))
+            dh, dc, dz = np.zeros(x.shape[1:2] + (n,), self.kind), np.zeros(x.shape[1:2] + (n,), self.kind), np.empty(x.shape[:2] + (4 * n,), self.kind)
             du = np.zeros_like(p[f"U{d}"])
             for t, i, f, o, a, before, was, tc in reversed(runs[d][1]):
                 dh = dh + part[t]
@@ -85,7 +87,7 @@ class LstmCrf:
                 dz[t] = np.concatenate([dc * a * i * (1 - i), dc * was * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - a * a)], axis=1)
                 du += before.T @ dz[t]
                 dh, dc = dz[t] @ p[f"U{d}"].T, dc * f
-            g |= {f"U{d}": du, f"W{d}": np.einsum("tbi,tbk->ik", x, dz), f"b{d}": dz.sum((0, 1))}
+            g |= {f"U{d}": du, f"W{d}": flat(x).T @ flat(dz), f"b{d}": dz.sum((0, 1))}
             dx += dz @ p[f"W{d}"].T
         g["E"] = np.zeros_like(p["E"])
         np.add.at(g["E"], codes, dx)
@@ -105,7 +107,7 @@ class LstmCrf:
                 step += 1
                 now = rate * (0.5 if epoch >= epochs * 2 // 3 else 1)
                 for k, x in g.items():
-                    x = x * min(1, 5 / (norm + 1e-9))
+                    x = (x * min(1, 5 / (norm + 1e-9))).astype(self.kind)
                     m[k] = 0.9 * m[k] + 0.1 * x
                     v[k] = 0.99 * v[k] + 0.01 * x * x
                     self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)

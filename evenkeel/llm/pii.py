@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import random
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +24,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
-#: Characters of a window, by which the next one begins later, and around a trigger that are read.
-WINDOW, STEP, AROUND = 64, 32, 24
+_DIGIT_OR_AT = re.compile("[0-9@]")
+_BLANK = re.compile(r"\s")
+#: What each kind has: a digit, an @, or an "at" in brackets.
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{]\s?[aA][tT]\s?[)\]}]")
+#: Characters of a window, by which the next one begins later, and around a trigger's blank-free run that are read.
+WINDOW, STEP, AROUND = 64, 32, 32
 #: Labelled windows that the model is trained on, and passes over them.
-TRAINED_ON, EPOCHS = 1600, 12
+TRAINED_ON, EPOCHS = 3500, 15
 #: Mean lead of a span's label over "no label", in the averaged emissions, below which it is not added.
-LEAD = 2.0
-_ALPHABET = {c: i + 6 for i, c in enumerate("@.+-() ,:;=/\"'_%#\n")}
+LEAD = 1.0
+_PUNCTUATION = "@.+-() ,:;=/\"'_%#\n[]{}<>*&$!?|"
 
 
 def luhn(digits: str) -> bool:
@@ -52,65 +57,152 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind and start; failing matches are dropped without a retry."""
-    if not _TRIGGER.search(text):
+    if not _DIGIT_OR_AT.search(text):
         return []
     digits = lambda s: re.sub("[^0-9]", "", s)
     spans = [("email", *x) for x in _emails(text)]
-    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_is_byte, m[0].split(".")))]
     spans += [("card", *m.span()) for m in _CARD.finditer(text) if 16 <= len(d := digits(m[0])) <= 19 and luhn(d)]
     spans += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
     return spans
 
 
+def _is_byte(part: str) -> bool:
+    """Whether ASCII digits, of any number, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or "0") < 256
+
+
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    """Codes of the characters below 0x3000: padding 0, digits 1, other letters 2, others 3, punctuation, then A-Z and a-z."""
+    of = {c: i + 4 for i, c in enumerate(_PUNCTUATION + string.ascii_letters)}
+    return np.array([1 if chr(c) in string.digits else of.get(chr(c), 2 if chr(c).isalpha() else 3) for c in range(0x3000)], np.int64)
+
+
 def encode(text: str) -> np.ndarray:
-    """Character codes: padding 0, digits 1, lower 2, upper 3, other letters 4, other 5, then punctuation."""
-    return np.array([_ALPHABET.get(c) or (1 if c in "0123456789" else 2 if "a" <= c <= "z" else 3 if "A" <= c <= "Z" else 4 if c.isalpha() else 5) for c in text], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(points < 0x3000, _codes()[np.minimum(points, 0x2FFF)], 2)
+
+
+#: Plain words of four languages among which labelled spans stand, and words that go before personal data and before other numbers.
+_PLAIN = (
+    "the of and to in that was for with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know "
+    "der die und das nicht von sie ist des sich mit dem dass er es ein ich auf so eine auch als an nach wie im für man aber aus durch wenn nur war noch werden bei hat wir was wird sein einen welche sind oder zur um haben einer mir über ihm diese einem ihr uns da zum kann doch vor dieser mich ihn du hatte seine mehr am denn nun unter sehr selbst schon hier bis habe ihre dann "
+    "le la les de un une et est que pour dans ce qui pas sur plus ne se avec par au je il elle nous vous ils mais ou si leur son sa ses tout comme bien fait été même aussi deux encore peut sans être où très après avant "
+    "el los las del y en que es por con para una su al lo como más pero sus ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos"
+).split()
+_CONTACT = {
+    1: ["mail", "e-mail", "Email:", "write to", "contact", "schreib an", "courriel :", "correo:", "reach her at", "From:", "an", "to"],
+    2: ["IP", "host", "server", "from", "address", "address:", "ping", "Rechner", "adresse", "client"],
+    3: ["card", "card number", "Karte", "carte", "tarjeta", "Visa", "paid with", "charge", "credit card:", "Amex"],
+    4: ["call", "tel.", "Tel:", "phone", "phone:", "Telefon", "mobile", "fax", "appelez le", "llame al", "cell", "ring us on", "text me at", "dial"],
+    0: ["on", "No.", "page", "room", "order", "in", "since", "about", "chapter", "vol.", "ISBN", "version", "EUR", "$", "at", "line", "Seite", "ticket", "invoice", "order no.", "case", "population", "from", "total", "tracking", "build", "commit", "ratio"],
+}
 
 
 def labelled_window(rng: random.Random) -> tuple[str, list[int]]:
-    """A window of made-up words with labelled spans, among numbers that are no personal data."""
-    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvéü") for _ in range(rng.randint(1, 9)))
-    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    """A window of made-up text with labelled spans, among numbers that are no personal data."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    digits = lambda n: pick(string.digits, n)
+    hexes = lambda n: pick("0123456789abcdef", n)
+    made_up = lambda: pick("abcdefghijklmnoprstuvéüñz", rng.randint(2, 9))
+    name = lambda: rng.choice([made_up, lambda: pick("abcdefghijklmnoprstuvwyz", rng.randint(2, 10))])()
+    word = lambda: rng.choice(_PLAIN) if rng.random() < 0.7 else made_up()
+
+    def email() -> str:
+        local = rng.choice([name(), f"{name()}.{name()}", f"{name()}_{digits(2)}", f"{name()}+{name()}", f"{made_up()}.{digits(2)}"])
+        ending = rng.choice(["example.com", "org", "de", "example.net", "fr", "es", "co.uk", "info"])
+        host = rng.choice([f"{name()}.{ending}", f"{name()}{digits(1)}.{ending}", f"{name()}-{name()}.{ending}"])
+        if rng.random() < 0.3:
+            a, b = rng.choice(["()", "[]", "{}"])
+            at = f"{a}{rng.choice(['at', 'AT'])}{b}"
+            space = rng.choice(["", " "])
+            return f"{local}{space}{at}{space}" + (host if rng.random() < 0.5 else host.replace(".", f" {a}dot{b} "))
+        return f"{local}@{host}"
+
+    def ip() -> str:
+        if rng.random() < 0.5:
+            return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        groups = [hexes(rng.randint(1, 4)) for _ in range(8)]
+        if rng.random() < 0.6:
+            return ":".join(groups[: (k := rng.randint(1, 4))]) + "::" + ":".join(groups[k : k + rng.randint(1, 3)])
+        return ":".join(groups)
 
     def card() -> str:
-        body = rng.choice("3456") + digits(14)
-        body += next(d for d in "0123456789" if luhn(body + d))
-        return rng.choice(["", " ", "-"]).join(body[i : i + 4] for i in range(0, 16, 4))
-
-    made = {
-        1: lambda: f"{word()}{rng.choice(['', '.' + digits(2), '_' + word()])}@{word()}{rng.choice(['', digits(1)])}.{rng.choice(['example.com', 'org', 'de', 'example.net'])}".replace("é", "e").replace("ü", "u"),
-        2: lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4)),
-        3: card,
-        4: lambda: rng.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(11)}"]),
-        0: lambda: rng.choice([f"version {digits(1)}.{digits(1)}", digits(rng.randint(1, 5)), f"password={hexes(18)}", f'token = "{hexes(24)}"', f"AKIA{digits(3)}{word().upper()}{digits(4)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"BY-NC {digits(1)}.0", digits(24), f"{digits(3)}.{digits(2)}"]),
-    }
+        n = rng.choice([13, 14, 15, 15, 16, 16, 16, 19])
+        body = rng.choice("3456") + digits(n - 2)
+        body += next(d for d in string.digits if luhn(body + d))
+        cuts = {15: (4, 10), 14: (4, 10)}.get(n, tuple(range(4, n, 4)))
+        return rng.choice(["", " ", "-", ".", "  ", " ", "."]).join(body[a:b] for a, b in zip((0, *cuts), (*cuts, n)))
+
+    def phone() -> str:
+        a, b, c = digits(3), digits(3), digits(4)
+        return rng.choice([
+            f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {digits(7)}", f"+{digits(11)}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{digits(2)} {digits(4)} {c}", f"0{digits(2)}/{digits(7)}", f"(0{digits(2)}) {digits(4)} {c}",
+            f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(1)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}", f"00{digits(2)} {digits(2)} {digits(6)}", f"0{digits(3)}-{digits(6)}", f"{b}-{c}", f"9{digits(2)} {b} {a}", f"1-{a}-{b}-{c}",
+        ])
+
+    def other() -> str:
+        year = f"{rng.choice(['19', '20'])}{digits(2)}"
+        return rng.choice([
+            f"{digits(1)}.{digits(1)}", digits(rng.randint(1, 8)), f"password={hexes(18)}", f'token = "{hexes(24)}"', f"AKIA{digits(3)}{pick('ABCDEFGHIJ', 5)}{digits(4)}", f"{year}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{year}", f"{digits(2)}/{digits(2)}/{year}", f"{year}-{year}", year,
+            f"{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"BY-NC {digits(1)}.0", digits(24), digits(16), f"{digits(16)} " * 2, f"{digits(3)}.{digits(2)}", f"{digits(3)}-{digits(3)}", f"{digits(1)},{digits(3)},{digits(3)}", f"{digits(1)}.{digits(3)},{digits(2)}", f"{digits(1)} {digits(3)} {digits(3)}",
+            f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(2)}.{digits(4)}, {digits(2)}.{digits(4)}", f"@{name()}", f"{digits(1)} @ {digits(1)}.{digits(2)}", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", hexes(40), f"#{digits(5)}", f"{digits(2)}%", f"{digits(1)}:{digits(1)}", f"§ {digits(3)}", f"{digits(4)}-{digits(6)}-{digits(5)}", f"INV-{year}-{digits(4)}", f"{pick('ABCDEFG', 2)}{digits(6)}", f"(at)  {digits(2)}",
+        ])
+
+    made = {1: email, 2: ip, 3: card, 4: phone, 0: other}
     text, labels = "", []
+
+    def add(part: str, label: int = 0) -> None:
+        nonlocal text
+        text += part
+        labels.extend([label] * len(part))
+
     while len(text) < 2 * WINDOW:
-        kind = rng.choice([0, 0, 1, 2, 3, 4]) if rng.random() < 0.25 else -1
-        part = word() if kind < 0 else made[kind]()
-        part = part.capitalize() if kind < 0 and rng.random() < 0.1 else part
-        after = rng.choice([" ", " ", " ", " ", ". ", ", ", "\n"])
-        text += part + after
-        labels += [max(kind, 0)] * len(part) + [0] * len(after)
+        if rng.random() < 0.4:
+            kind = rng.choice([0, 0, 0, 0, 1, 2, 3, 3, 4, 4, 4])
+            if rng.random() < 0.7:
+                add(rng.choice(_CONTACT[kind]) + " ")
+            open_, close = rng.choice([("", "")] * 6 + [("(", ")"), ('"', '"'), ("<", ">")])
+            add(open_)
+            add(made[kind](), kind)
+            add(close)
+        else:
+            w = word()
+            add(w.capitalize() if rng.random() < 0.15 else w)
+        add(rng.choice([" ", " ", " ", " ", " ", ". ", ", ", "\n", "; ", " - ", ": "]))
     at = rng.randint(0, len(text) - WINDOW)
-    return text[at : at + WINDOW], labels[at : at + WINDOW]
+    end = at + (WINDOW if rng.random() < 0.75 else rng.randint(WINDOW // 4, WINDOW))  # some texts end within a window
+    return text[at:end], labels[at:end]
+
+
+def padded(codes: Sequence[int]) -> np.ndarray:
+    return np.pad(np.asarray(codes, np.int64), (0, WINDOW - len(codes)))
 
 
 @lru_cache(maxsize=1)
 def trained_model(seed: int = 11) -> LstmCrf:
     rng = random.Random(seed)
     rows = [labelled_window(rng) for _ in range(TRAINED_ON)]
-    model = LstmCrf(6 + len(_ALPHABET), 1 + len(KINDS), seed=seed)
-    model.fit(np.stack([encode(t) for t, _ in rows]), np.array([y for _, y in rows]), EPOCHS)
+    model = LstmCrf(4 + len(_PUNCTUATION) + 52, 1 + len(KINDS), 16, 32, seed, np.float32)
+    model.fit(np.stack([padded(encode(t)) for t, _ in rows]), np.stack([padded(y) for _, y in rows]), EPOCHS)
     return model
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around characters without which no kind is possible; each span lies within one."""
+    """Stretches without which no kind is possible: the blank-free run around each trigger, of any length, and AROUND characters more."""
     out: list[list[int]] = []
+    run_end = 0
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if m.start() < run_end:
+            continue
+        a, floor = m.start(), run_end
+        while a > floor and not text[a - 1].isspace():
+            a -= 1
+        blank = _BLANK.search(text, m.end())
+        run_end = blank.start() if blank else len(text)
+        a, b = max(0, a - AROUND), min(len(text), run_end + AROUND)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -153,31 +245,51 @@ def model_spans(texts: list[str], model: LstmCrf, batch: int = 512) -> list[list
     return out
 
 
-#: What an added span must look like: an address needs its @, numbers need digits enough.
-_LEAST_DIGITS = {"ip": 4, "card": 13, "phone": 7}
+_AT = re.compile(r"@|\s?[(\[{]\s?at\s?[)\]}]\s?", re.I)
+_DOT = re.compile(r"\s?[(\[{]\s?dot\s?[)\]}]\s?", re.I)
 
 
 def _plausible(kind: str, span: str) -> bool:
+    """What an added span must look like: letters around an at, numbers with digits enough, a card with the right check digit."""
     if kind == "email":
-        return "@" in span.strip("@")
+        local, *host = _AT.split(_DOT.sub(".", span))
+        return len(host) == 1 and bool(re.fullmatch(r"[^\s@]+", local)) and bool(re.fullmatch(r"[\w-]+(\.[\w-]+)+", host[0]))
     if kind == "ip":
-        return len(p := span.split(".")) == 4 and all(x.isdigit() and len(x) < 4 and int(x) < 256 for x in p)
-    return sum(c in "0123456789" for c in span) >= _LEAST_DIGITS[kind] and not any(c.isalpha() for c in span)
+        if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", span):
+            return all(map(_is_byte, span.split(".")))
+        return bool(re.fullmatch(r"[0-9A-Fa-f:.]{3,45}", span)) and span.count(":") > 1 and _is_v6(span)
+    digits = re.sub("[^0-9]", "", span)
+    if any(c.isalnum() and c not in string.digits for c in span):
+        return False
+    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 7 <= len(digits) <= 15
+
+
+def _is_v6(span: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(span))
+    except ValueError:
+        return False
+
+
+#: Characters that an added span doesn't begin and end with.
+_LEFT, _RIGHT = " ,.;:\n-)<>\"'", " ,.;:\n-(+<>\"'"
 
 
 def find(texts: list[str], model: LstmCrf) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text. Added spans are trimmed, plausible and clear of base spans."""
+    """(base spans, all spans) of each text. Added spans are trimmed, plausible and clear of others, but for base spans of their kind that they widen."""
     out = []
     for text, found in zip(texts, model_spans(texts, model)):
         base = base_spans(text)
         spans = list(base)
         for kind, a, b in found:
-            while a < b and text[a] in " ,.;:\n-":
+            while a < b and text[a] in _LEFT:
                 a += 1
-            while a < b and text[b - 1] in " ,.;:\n-(+":
+            while a < b and text[b - 1] in _RIGHT:
                 b -= 1
+            if text[a:b].count(")") != text[a:b].count("("):
+                a, b = (a, b - 1) if text[b - 1 : b] == ")" else (a + 1, b) if text[a : a + 1] == "(" else (a, b)
             edge = (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
-            if a < b and not edge and _plausible(kind, text[a:b]) and all(b <= s or a >= e for _, s, e in spans):
+            if a < b and not edge and _plausible(kind, text[a:b]) and all(b <= s or a >= e or (k == kind and a <= s and e <= b and (a, b) != (s, e)) for k, s, e in spans):
                 spans.append((kind, a, b))
         out.append((base, sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))))
     return out
@@ -188,14 +300,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of df: key, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per row of df: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
-    Counts and hash are of the base spans; spans has all. Whole texts are read; null or empty ones have no
+    Counts and hash are of the base spans; spans and n_spans are of all. Whole texts are read; null or empty ones have no
     spans and the hash of nothing. Rows are handled one by one: ties, repeats and other columns change
-    nothing, a null key is kept. The model is trained once in the driver on TRAINED_ON labelled windows.
+    nothing, a null key is kept, an empty df gives no rows. The model is trained once in the driver on TRAINED_ON labelled windows.
     """
     sent = df.sparkSession.sparkContext.broadcast(trained_model())
-    schema = StructType([StructField(key, df.schema[key].dataType), *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType())])
+    schema = StructType([StructField(key, df.schema[key].dataType), *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_spans", LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +316,6 @@ def personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
                 found = find([t.as_py() or "" for t in part.column(1)], sent.value)
                 counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 hashes = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(hashes, pa.string()), pa.array([joined(s) for _, s in found], pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(hashes, pa.string()), pa.array([joined(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64())], names=schema.names)
 
     return df.select(key, text).mapInArrow(rows, schema)
