@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenkeel.functions.numbers import percent
+from evenkeel.functions.ranks import quantiles
 from evenkeel.plans.model import MetricSpec
 
 PARTS = ("n_metric", "mean", "min", "max", "q25", "q75", "std")
@@ -43,18 +43,8 @@ def dispersion(df: DataFrame, keys: Sequence[str], metrics: Sequence[MetricSpec]
 
 
 def sorted_quantile(df: DataFrame, keys: Sequence[str], v: str, p: float) -> DataFrame:
-    """The exact interpolated quantile by rank, for cells too large for the value maps of ``percentile``.
-
-    Equal values are counted before the shuffle, so the window sorts distinct values only.
-    """
-    counts = df.filter(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*keys)
-    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy(v)), "n": F.sum("c").over(w)})
-    h = (F.col("n") - 1) * F.lit(p)
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(v)))
-    ends = ranked.withColumns({"h": h, "lo": F.floor(h), "hi": F.ceil(h)}).groupBy(*keys).agg(at(F.col("lo")).alias("a"), at(F.col("hi")).alias("b"), F.first("h").alias("h"))
-    whole = F.col("h") == F.floor("h")
-    return ends.select(*keys, F.when(whole, F.col("a")).otherwise((F.ceil("h") - F.col("h")) * F.col("a") + (F.col("h") - F.floor("h")) * F.col("b")).alias("quantile"))
+    """The exact interpolated quantile by rank, for cells too large for the value maps of ``percentile``: no task holds a cell."""
+    return quantiles(df, keys, v, [p], ["quantile"])
 
 
 def scope_maxima(cells: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -73,8 +63,8 @@ def bounds_violations(cells: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return cells.filter((c("n_metric") > 0) & F.coalesce(off, F.lit(False)))
 
 
-def eligibility(cells: DataFrame, least: int = 9) -> DataFrame:
-    return cells.groupBy("metric").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("n_metric") >= least).alias("n_enough"), F.min("n_metric").alias("n_min"), F.max("n_metric").alias("n_max"))
+def eligibility(cells: DataFrame, keys: Sequence[str] = (), least: int = 9) -> DataFrame:
+    return cells.groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("n_metric") >= least).alias("n_enough"), F.min("n_metric").alias("n_min"), F.max("n_metric").alias("n_max"))
 
 
 def legacy_aggregate(df: DataFrame, keys: Sequence[str], values: dict[str, str], commit: str = "commit") -> DataFrame:

@@ -74,6 +74,12 @@ def medians_by(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Dat
     return df.groupBy(*keys).agg(*(F.median(v).alias(f"median_{v}") for v in values))
 
 
+def medians_by_sets(df: DataFrame, key_sets: Sequence[Sequence[str]], values: Sequence[str]) -> DataFrame:
+    """medians_by for several key sets at once; a key outside its set is null."""
+    keys = list(dict.fromkeys(k for s in key_sets for k in s))
+    return df.groupingSets([[F.col(k) for k in s] for s in key_sets], *(F.col(k) for k in keys)).agg(*(F.median(v).alias(f"median_{v}") for v in values))
+
+
 def scaling_pivot(df: DataFrame, key: str, size: str, levels: Sequence[str], value: str) -> DataFrame:
     """The median of value for each key (rows) and size (columns)."""
     return df.groupBy(key).pivot(size, list(levels)).agg(F.median(value))

@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration in the shared checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="evenkeel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from evenkeel.functions.storage import materialize
 
 
 def classify(nodes: DataFrame, name: str, hop: str = r"^s[0-9]+$", service: str = r"-n[0-9]+$") -> DataFrame:
@@ -57,12 +42,12 @@ def degree_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(graph_id, source, v, hops) of all reachable pairs: all sources step outward together, one join a step."""
     steps = both_ways(edges)
-    seen = _checkpointed(nodes.select("graph_id", F.col("v").alias("source"), "v", F.lit(0).alias("hops")))
+    seen = materialize(nodes.select("graph_id", F.col("v").alias("source"), "v", F.lit(0).alias("hops")))
     front, hops = seen, 0
     while front.limit(1).count():
         hops += 1
         reached = front.select("graph_id", "source", F.col("v").alias("u")).join(steps, ["graph_id", "u"]).select("graph_id", "source", "v").distinct()
-        front = _checkpointed(reached.join(seen, ["graph_id", "source", "v"], "left_anti").withColumn("hops", F.lit(hops)))
+        front = materialize(reached.join(seen, ["graph_id", "source", "v"], "left_anti").withColumn("hops", F.lit(hops)))
         seen = seen.unionByName(front)
     return seen
 
@@ -83,10 +68,10 @@ def contract_hops(edges: DataFrame, hops: DataFrame) -> tuple[DataFrame, DataFra
     both = both_ways(simple(edges))
     marked = both.join(is_hop.select("graph_id", F.col("v").alias("u"), F.col("hop").alias("u_hop")), ["graph_id", "u"], "left").join(is_hop.withColumnRenamed("hop", "v_hop"), ["graph_id", "v"], "left")
     inner = marked.filter("u_hop AND v_hop").select("graph_id", "u", "v")
-    labels = _checkpointed(hops.select("graph_id", "v", F.col("v").alias("label")).distinct())
+    labels = materialize(hops.select("graph_id", "v", F.col("v").alias("label")).distinct())
     while True:
         offered = inner.join(labels.select("graph_id", F.col("v").alias("u"), F.col("label").alias("other")), ["graph_id", "u"]).groupBy("graph_id", "v").agg(F.min("other").alias("other"))
-        new = _checkpointed(labels.join(offered, ["graph_id", "v"], "left").select("graph_id", "v", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        new = materialize(labels.join(offered, ["graph_id", "v"], "left").select("graph_id", "v", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("moved")))
         labels = new.drop("moved")
         if not new.filter("moved").limit(1).count():
             break
@@ -96,54 +81,77 @@ def contract_hops(edges: DataFrame, hops: DataFrame) -> tuple[DataFrame, DataFra
     return kept.union(groups.filter("n = 2").select("graph_id", "u", "v")).distinct(), groups.filter("n != 2").select("graph_id", "label", "n")
 
 
-def _disjoint_paths(neighbours: dict, a, b) -> int:
-    """The most edge-disjoint paths from a to b: augmenting paths at unit capacity."""
-    flow: set[tuple] = set()
-    count = 0
+#: Pairs of nodes that one task solves, about.
+PAIRS_PER_TASK = 2000
+
+
+def _max_flow(arcs: dict, a, b) -> int:
+    """The most edge-disjoint paths from a to b at unit capacity, in phases: levels from b, then paths down the levels."""
+    left = {u: dict(vs) for u, vs in arcs.items()}
+    flow = 0
     while True:
-        before, queue = {a: None}, deque([a])
-        while queue and b not in before:
-            x = queue.popleft()
-            for y in neighbours.get(x, ()):
-                if y not in before and (x, y) not in flow:
-                    before[y] = x
-                    queue.append(y)
-        if b not in before:
-            return count
-        x = b
-        while before[x] is not None:
-            y = before[x]
-            if (x, y) in flow:
-                flow.remove((x, y))
+        level, ring = {b: 0}, [b]
+        while ring:
+            outer = []
+            for v in ring:
+                for u in left[v]:
+                    if u not in level and left[u][v]:
+                        level[u] = level[v] + 1
+                        outer.append(u)
+            ring = outer
+        if a not in level:
+            return flow
+        untried = {u: list(vs) for u, vs in left.items()}
+        path = [a]
+        while path:
+            u = path[-1]
+            if u == b:
+                for x, y in zip(path, path[1:]):
+                    left[x][y] -= 1
+                    left[y][x] += 1
+                flow, path = flow + 1, [a]
+                continue
+            while untried[u] and not (left[u][untried[u][-1]] and level.get(untried[u][-1]) == level[u] - 1):
+                untried[u].pop()
+            if untried[u]:
+                path.append(untried[u][-1])
             else:
-                flow.add((y, x))
-            x = y
-        count += 1
+                path.pop()
+                if path:
+                    untried[path[-1]].pop()
+
 
+def edge_disjoint_paths(edges: DataFrame, nodes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(graph_id, a, b, paths) for each unordered pair, or with sources (graph_id, v) for the pairs (source, other node) only.
 
-def edge_disjoint_paths(edges: DataFrame, nodes: DataFrame, buckets: int = 8) -> DataFrame:
-    """(graph_id, a, b, paths) for each unordered pair. Pairs are dealt by bucket, each with its graph's edges;
-    one graph's edges must fit into a task."""
+    Pairs are dealt to about one task for PAIRS_PER_TASK, each with its graph's edges; one graph's edges must fit into a task.
+    """
     kind = dict(nodes.dtypes)["v"]
-    sources = nodes.select("graph_id", F.col("v").alias("node"), F.pmod(F.xxhash64("v"), F.lit(buckets)).alias("bucket"))
-    edge_rows = edges.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    all_nodes = nodes.select("graph_id", "v").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    rows = (
-        edge_rows.select("graph_id", "bucket", "u", "v", F.lit(0).alias("what"))
-        .unionByName(all_nodes.select("graph_id", "bucket", F.col("v").alias("u"), "v", F.lit(1).alias("what")))
-        .unionByName(sources.select("graph_id", F.col("bucket").cast("long"), F.col("node").alias("u"), F.col("node").alias("v"), F.lit(2).alias("what")))
-    )
+    ends = nodes.select("graph_id", F.col("v").alias("b"))
+    if sources is None:
+        pairs = nodes.select("graph_id", F.col("v").alias("a")).join(ends, "graph_id").filter("a < b")
+    else:
+        pairs = sources.select("graph_id", F.col("v").alias("a")).join(ends, "graph_id").filter("a != b")
+    counts = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    buckets = counts.select("graph_id", F.greatest(F.ceil(F.col("n") * (F.col("n") - 1) / (2 * PAIRS_PER_TASK)), F.lit(1)).cast("int").alias("buckets"))
+    dealt = pairs.join(buckets, "graph_id").select("graph_id", F.pmod(F.xxhash64("a", "b"), F.col("buckets")).cast("int").alias("bucket"), F.col("a").alias("u"), F.col("b").alias("v"), F.lit(True).alias("is_pair"))
+    copies = edges.join(buckets, "graph_id").select("graph_id", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), "u", "v", F.lit(False).alias("is_pair"))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        neighbours: dict = {}
-        for u, v in part.loc[part.what == 0, ["u", "v"]].itertuples(index=False):
-            neighbours.setdefault(u, []).append(v)
-            neighbours.setdefault(v, []).append(u)
-        ends = part.loc[part.what == 1, "v"]
-        out = [(part.graph_id.iloc[0], a, b, _disjoint_paths(neighbours, a, b)) for a in part.loc[part.what == 2, "u"] for b in ends if a < b]
+        arcs: dict = {}
+        for u, v in part.loc[~part.is_pair, ["u", "v"]].itertuples(index=False):
+            arcs.setdefault(u, {})[v] = 1
+            arcs.setdefault(v, {})[u] = 1
+        out = [(part.graph_id.iloc[0], a, b, _max_flow(arcs, a, b) if a in arcs and b in arcs else 0) for a, b in part.loc[part.is_pair, ["u", "v"]].itertuples(index=False)]
         return pd.DataFrame(out, columns=["graph_id", "a", "b", "paths"])
 
-    return rows.groupBy("graph_id", "bucket").applyInPandas(solve, f"graph_id string, a {kind}, b {kind}, paths long")
+    return dealt.unionByName(copies).groupBy("graph_id", "bucket").applyInPandas(solve, f"graph_id string, a {kind}, b {kind}, paths long")
+
+
+def edge_connectivity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, edge_connectivity): a least cut parts the first node from some other, so its pairs are enough."""
+    first = nodes.groupBy("graph_id").agg(F.min("v").alias("v"))
+    return edge_disjoint_paths(edges, nodes, first).groupBy("graph_id").agg(F.min("paths").alias("edge_connectivity"))
 
 
 def connectivity(paths: DataFrame) -> DataFrame:
@@ -155,6 +163,14 @@ def sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes")).join(e, "graph_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
+def size_check(edges: DataFrame, nodes: DataFrame, expected: DataFrame) -> DataFrame:
+    """Node and edge counts of each expected graph (graph_id, n_nodes, n_edges) beside those found, and whether they agree."""
+    found = sizes(edges, nodes)
+    both = expected.select("graph_id", F.col("n_nodes").alias("expected_nodes"), F.col("n_edges").alias("expected_edges")).join(found, "graph_id", "full_outer")
+    agree = (F.col("n_nodes") == F.col("expected_nodes")) & (F.col("n_edges") == F.col("expected_edges"))
+    return both.select("graph_id", "expected_nodes", "n_nodes", "expected_edges", "n_edges", F.coalesce(agree, F.lit(False)).alias("ok"))
+
+
 def edge_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Edges that only one of two graphs has; none if the graphs are equal."""
     a, b = (x.select("u", "v").distinct() for x in (left, right))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.numbers import all_of, sure
+from evenkeel.functions.ranks import gapless_rank
 
 
 def strip_suffix(c: Column, suffix: str) -> Column:
@@ -67,3 +68,26 @@ def position(c: Column, levels: Sequence[str]) -> Column:
     """The place of a label in its ordered levels, from 0; unknown labels come after them all."""
     at = F.array_position(F.array(*map(F.lit, levels)), c)
     return F.when(at > 0, at - 1).otherwise(F.lit(len(levels)))
+
+
+def composite_position(parts: Sequence[tuple[Column, Sequence[str]]]) -> Column:
+    """One number that orders by the positions of several labels, the first the most important."""
+    out = F.lit(0)
+    for c, levels in parts:
+        out = out * (len(levels) + 1) + position(c, levels)
+    return out
+
+
+def dense_codes(cells: DataFrame, cfg: Sequence[str]) -> DataFrame:
+    """cells, one row a configuration, with config_id and its dense number from 0 in the order of the labels."""
+    named = cells.withColumns({"config_id": config_id(cfg), "__all": F.lit(0)})
+    return gapless_rank(named, ["__all"], ["config_id"], "config_code", 1).drop("__all")
+
+
+def agreement(df: DataFrame, row_id: str, column: str, names: Mapping[str, str]) -> DataFrame:
+    """For each raw label of the map: runs with it, runs with its display label, and runs that have only one of the two."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    raw = df.filter(F.col(f"{column}_raw").isin(list(names))).select(row_id, F.element_at(table, F.col(f"{column}_raw")).alias("by_raw"))
+    shown = df.filter(F.col(column).isin(list(names.values()))).select(row_id, F.col(column).alias("by_name"))
+    both = raw.join(shown, row_id, "full_outer").withColumn("label", F.coalesce("by_raw", "by_name"))
+    return both.groupBy("label").agg(F.count("by_raw").alias("n_raw"), F.count("by_name").alias("n_shown"), F.count_if(~F.col("by_raw").eqNullSafe(F.col("by_name"))).alias("n_apart"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.tails import chi2_tail, f_tail
+from evenkeel.operators.dispersion import long_form
+from evenkeel.plans.model import MetricSpec
 
 Term = tuple[str, ...]
 
@@ -28,6 +30,12 @@ def cell_stats(df: DataFrame, cfg: Sequence[str], value: str, eligible: str, log
     return out.filter("n > 0").select(*cfg, "n", "n_dropped", "mean", (n * var).alias("m2"), (n * zero(F.col("skew")) * F.pow(var, 1.5)).alias("m3"), (n * (zero(F.col("kurt")) + F.when(var > 0, 3.0).otherwise(0.0)) * var * var).alias("m4"))
 
 
+def cell_stats_by_metric(df: DataFrame, cfg: Sequence[str], metrics: Sequence[MetricSpec], log: bool = True) -> DataFrame:
+    """cell_stats of all metrics from one pass over the runs. Fits read their cells several times: write this table once before."""
+    rows = long_form(df, cfg, metrics).filter("v IS NOT NULL").withColumn("counts", F.lit(True))
+    return cell_stats(rows, [*cfg, "metric"], "v", "counts", log)
+
+
 def outcome_cells(df: DataFrame, cfg: Sequence[str], flag: str) -> DataFrame:
     return df.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("s"))
 
@@ -274,6 +282,53 @@ def likelihood_ratio(fits: dict[str, dict]) -> list[tuple[str, float, int, float
     return out
 
 
+def targeted_outcome(cells: DataFrame, factors: Sequence[str], terms: Sequence[Term]) -> list[tuple]:
+    """(term, statistic, df, p, added columns, added rank, status) of three-way terms added to the two-way logistic model. A term
+    is tested only if all its columns are estimable."""
+    unit = cells.withColumns({"mean": F.lit(0.0), "m2": F.lit(0.0)})
+    wide = two_way(cells, factors, terms)
+    g, _, _ = gram(unit, wide)
+    pairs = [t for t in wide.terms if t not in terms]
+    designs, ranks = {}, {}
+    for name, extra in {"two_way": [], **{":".join(t): [t] for t in terms}}.items():
+        d = Design(wide.levels, [*pairs, *extra])
+        idx = [0, *(c for t in d.terms for c in wide.spans[t])]
+        d.keep = np.array(estimable(g[np.ix_(idx, idx)], d))
+        designs[name], ranks[name] = d, len(d.keep)
+    base = designs["two_way"]
+    columns = {":".join(t): len(wide.spans[t]) for t in terms}
+    whole = {n: ranks[n] - ranks["two_way"] == c and ranks["two_way"] == base.width for n, c in columns.items()}
+    fits = binomial(cells, {n: d for n, d in designs.items() if n == "two_way" or whole[n]}) if any(whole.values()) else {}
+    out = []
+    for name, n in columns.items():
+        added = ranks[name] - ranks["two_way"]
+        if whole[name]:
+            x = max(0.0, 2 * (fits[name]["loglik"] - fits["two_way"]["loglik"]))
+            out.append((name, float(x), added, chi2_tail(x, added), n, added, "reported"))
+        else:
+            out.append((name, float("nan"), added, float("nan"), n, added, "not estimable"))
+    return out
+
+
+def targeted_performance(cells: DataFrame, factors: Sequence[str], terms: Sequence[Term]) -> list[tuple]:
+    """(term, statistic, df, denominator df, p, added columns, added rank, status): HC3 F of each three-way term on the columns that the cells support."""
+    out = []
+    for t in terms:
+        fit = ols(cells, factors, [t])
+        name, columns, added = ":".join(t), len(fit.design.spans[t]), len(fit.design.columns(t))
+        test = {r[0]: r for r in term_tests(fit, "type2_hc3")}.get(name)
+        status = "not estimable" if not added else "reported" if added == columns else "reported on observed support"
+        out.append((name, test[4], added, test[3], test[5], columns, added, status) if test else (name, float("nan"), added, fit.N - len(fit.beta), float("nan"), columns, added, status))
+    return out
+
+
+def terms_side_by_side(outcome: DataFrame, performance: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each term: the outcome's statistic, df and p, and f, df, denominator_df, p and partial_eta2 of each metric."""
+    wide = performance.groupBy(*keys, "term").pivot("metric", list(metrics)).agg(*(F.first(c).alias(c) for c in ("f", "df", "denominator_df", "p", "partial_eta2")))
+    left = outcome.select(*keys, "term", *(F.col(c).alias(f"outcome_{c}") for c in ("statistic", "df", "p")))
+    return left.join(wide, [*keys, "term"], "left")
+
+
 def auc(cells: DataFrame, design: Design, beta: np.ndarray) -> float:
     """Rank-sum AUC: cells are counted by fitted probability, and ties share their ranks."""
 
@@ -361,6 +416,12 @@ def icc_intervals(fits: DataFrame, keys: Sequence[str], least_share: float = 0.8
     return fits.groupBy(*keys).agg(F.max(F.when(F.col("replicate") == 0, F.col("icc"))).alias("icc"), F.percentile(v, F.lit(0.025)).alias("lower"), F.percentile(v, F.lit(0.975)).alias("upper"), (tried - F.count(v)).alias("n_failed"), (F.count(v) >= least_share * tried).alias("converged"))
 
 
+def require_converged(intervals: DataFrame) -> DataFrame:
+    """intervals as they are; a key with too few replicates that gave a result raises when its row is read."""
+    message = F.concat(F.lit("too few replicates of the intraclass correlation gave a result; failed: "), F.col("n_failed").cast("string"))
+    return intervals.filter(F.when(F.col("converged"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 def anova_shares(fit: Fit, digits: int = 1) -> list[tuple[str, float]]:
     """Type II shares of the variance in percent; the residual takes up the rounding, so the row sums to 100."""
     k = len(fit.beta)
@@ -371,10 +432,10 @@ def anova_shares(fit: Fit, digits: int = 1) -> list[tuple[str, float]]:
     return [*shares, ("residual", round(max(0.0, 100 - sum(x for _, x in shares)), digits))]
 
 
-def three_way(cells: DataFrame, factors: Sequence[str]) -> list[tuple[str, int, int]]:
-    """(term, nominal columns, added rank) of each three-way interaction."""
+def three_way(cells: DataFrame, factors: Sequence[str], terms: Sequence[Term] = ()) -> list[tuple[str, int, int]]:
+    """(term, nominal columns, added rank) of the given three-way interactions, or of all."""
     out = []
-    for t in combinations(factors, 3):
+    for t in terms or combinations(factors, 3):
         design = two_way(cells, factors, [t])
         g, _, _ = gram(cells, design)
         kept = set(estimable(g, design))

@@ -18,12 +18,13 @@ COUNTERS = {
 
 
 def derive_outcomes(df: DataFrame, submit="submit", commit="commit", tps="tps", latency="latency", energy="energy", rx="rx", tx="tx") -> DataFrame:
-    """df with number columns coerced, ``outcome`` and 12 flags that are never null.
+    """df with number columns coerced, their values as they were in ``<name>_raw``, ``outcome`` and 12 flags that are never null.
 
     Counters that are missing, no number, negative, broken or contradictory make a run inconsistent.
     The flags are row expressions, so a streaming DataFrame serves as well.
     """
-    df = df.withColumns({c: number(F.col(c)) for c in dict.fromkeys((submit, commit, tps, latency, energy, rx, tx))})
+    counters = list(dict.fromkeys((submit, commit, tps, latency, energy, rx, tx)))
+    df = df.withColumns({f"{c}_raw": F.col(c) for c in counters}).withColumns({c: number(F.col(c)) for c in counters})
     s, c = F.col(submit), F.col(commit)
     ok = integer_like(s) & integer_like(c) & sure(s >= 0) & sure(c >= 0) & sure(c <= s)
     state = F.when(~ok, "inconsistent").when(c > 0, "positive_commit").when(s > 0, "zero_commit").otherwise("no_submission")

@@ -34,9 +34,9 @@ def reconcile(df: DataFrame, total: Column, parts: Sequence[Column]) -> DataFram
 
 
 def schedule_violations(schedule: DataFrame, start: int, second: int, low: int, high: int, last: int) -> DataFrame:
-    """Traces that break a rule: tps at seconds 0 and 1, a zero at the last second, and bounds in between."""
+    """Traces that break a rule: tps at seconds 0 and 1, a zero at the last second, and bounds in between (seconds 1 to last - 1)."""
     at = lambda s: F.max(F.when(F.col("second") == s, F.col("tps")))
-    inner = F.when((F.col("second") >= 1) & (F.col("second") <= 180), F.col("tps"))
+    inner = F.when((F.col("second") >= 1) & (F.col("second") <= last - 1), F.col("tps"))
     a = schedule.groupBy("trace_id").agg(at(0).alias("t0"), at(1).alias("t1"), at(last).alias("end"), F.max("second").alias("last"), F.min(inner).alias("low"), F.max(inner).alias("high"))
     rules = {"start": F.col("t0") == start, "second": F.col("t1") == second, "terminal_zero": (F.col("end") == 0) & (F.col("last") == last), "minimum": F.col("low") == low, "maximum": F.col("high") == high}
     broken = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)) for k, ok in rules.items()))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenkeel.functions.numbers import percent
+from evenkeel.functions.ranks import gapless_rank
+from evenkeel.functions.storage import materialize
 from evenkeel.operators.dispersion import derived, long_form, statistics
 from evenkeel.plans.model import MetricSpec
 
@@ -18,21 +19,43 @@ def draw_key(seed: int, replicate: Column, row: Column) -> Column:
 
 
 def draw(seed: int, replicate: Column, row: Column) -> Column:
-    """A 32-bit number."""
-    return F.conv(F.substring(draw_key(seed, replicate, row), 1, 8), 16, 10).cast("long")
-
-
-def balanced_sample(df: DataFrame, cfg: Sequence[str], row_id: str, n: int, replicates: int, seed: int) -> DataFrame:
-    """n rows of each cell in each replicate, without replacement and before any mask. A cell with fewer rows gives them all: see short_cells."""
-    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__key", draw_key(seed, F.col("replicate"), F.col(row_id)))
-    rn = F.row_number().over(W.partitionBy(*cfg, "replicate").orderBy("__key", row_id))
-    return drawn.withColumn("__rn", rn).filter(F.col("__rn") <= n).drop("__rn", "__key")
+    """A 60-bit number."""
+    return F.conv(F.substring(draw_key(seed, replicate, row), 1, 15), 16, 10).cast("long")
 
 
 def short_cells(df: DataFrame, cfg: Sequence[str], n: int) -> DataFrame:
     return df.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n_runs")).filter(F.col("n_runs") < n)
 
 
+def long_enough(df: DataFrame, cfg: Sequence[str], n: int) -> DataFrame:
+    """Rows of the cells that have n or more."""
+    return df.join(short_cells(df, cfg, n).select(*cfg), list(cfg), "left_anti")
+
+
+def balanced_sample(df: DataFrame, cfg: Sequence[str], row_id: str, n: int, seed: int, replicates: int = 5000) -> DataFrame:
+    """n rows of each cell in each replicate, without replacement and before any mask; a cell with fewer rows raises when it is read.
+
+    Rows are numbered once in their cell, by ranges. A replicate draws n numbers of a cell: the k-th is drawn from the first
+    N - n + k, and is N - n + k itself if that number is taken, which makes all subsets equally likely. So the draws, and what
+    is shuffled, grow with cells and replicates and not with the rows.
+    """
+    rows = materialize(df)
+    placed = gapless_rank(rows, cfg, [row_id], "__place")
+    cells = rows.groupBy(*cfg).agg(F.count(F.lit(1)).alias("__n"))
+    enough = F.when(F.col("__n") >= n, F.col("__n")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("too few rows in cell"), *cfg)).cast("long"))
+    cells = cells.withColumn("__n", enough).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    cell = F.concat_ws("|", *cfg)
+
+    def add(taken: Column, k: Column) -> Column:
+        last = F.col("__n") - n + k
+        number = F.pmod(draw(seed, F.col("replicate"), F.concat_ws("|", cell, k.cast("string"))), last)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, number), last - 1).otherwise(number)))
+
+    places = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast("array<bigint>"), add)
+    drawn = cells.select(*cfg, "replicate", F.explode(places).alias("__place"))
+    return drawn.join(placed, [*cfg, "__place"]).drop("__place")
+
+
 def summary(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Over replicates: how many are defined, their median, 95 % interval and ends."""
     v = F.when(F.abs(value) < float("inf"), F.col(value))
@@ -55,44 +78,60 @@ def config_sensitivity(sample: DataFrame, primary: DataFrame, cfg: Sequence[str]
     return own.join(replicates, [*cfg, "metric", "statistic"])
 
 
-def factor_sensitivity(cells: DataFrame, factors: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Mean over cells by factor level in each replicate, then its summary."""
+def factor_sensitivity(cells: DataFrame, factors: Sequence[str], columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Mean and median over cells by factor level (and keys, such as a scope) in each replicate, then their summaries."""
     levels = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors))).alias("l")
-    by = cells.select(levels, "metric", "replicate", *columns).select("l.*", "metric", "replicate", *columns).groupBy("factor", "level", "metric", "replicate")
-    means = by.agg(*(F.avg(c).alias(c) for c in columns))
-    return summary(long_statistics(means, ["factor", "level", "metric", "replicate"], columns), ["factor", "level", "metric", "statistic"])
+    by = cells.select(levels, *keys, "metric", "replicate", *columns).select("l.*", *keys, "metric", "replicate", *columns)
+    long = long_statistics(by, ["factor", "level", *keys, "metric", "replicate"], columns)
+    both = long.groupBy("factor", "level", *keys, "metric", "replicate", "statistic").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
+    over = both.unpivot(["factor", "level", *keys, "metric", "replicate", "statistic"], ["mean", "median"], "over_cells", "value")
+    return summary(over, ["factor", "level", *keys, "metric", "statistic", "over_cells"])
 
 
-def extrema_sensitivity(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
-    ends = cells.groupBy("metric", "replicate").agg(*(F.max(c).alias(c) for c in columns))
-    return summary(long_statistics(ends, ["metric", "replicate"], columns), ["metric", "statistic"])
+def extrema_sensitivity(cells: DataFrame, primary: DataFrame, columns: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """The greatest or least cell value of each statistic (columns says max or min for each) in each replicate: the primary's, and the summary."""
+    ends = lambda df, by: df.groupBy(*by).agg(*(getattr(F, f)(c).alias(c) for c, f in columns.items()))
+    drawn = long_statistics(ends(cells, [*keys, "metric", "replicate"]), [*keys, "metric", "replicate"], list(columns))
+    own = long_statistics(ends(primary, [*keys, "metric"]), [*keys, "metric"], list(columns)).withColumnRenamed("value", "primary")
+    direction = F.create_map(*(F.lit(x) for c, f in columns.items() for x in (c, f)))
+    return own.join(summary(drawn, [*keys, "metric", "statistic"]), [*keys, "metric", "statistic"]).withColumn("direction", F.element_at(direction, F.col("statistic")))
 
 
-def denominators(sample: DataFrame, cfg: Sequence[str], flags: Sequence[str]) -> DataFrame:
-    counts = sample.groupBy(*cfg, "replicate").agg(*(F.count_if(F.col(f)).alias(f) for f in flags))
-    return summary(long_statistics(counts, [*cfg, "replicate"], flags), [*cfg, "statistic"])
+def denominators(sample: DataFrame, primary: DataFrame, cfg: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """How many runs of each cell have each flag: in the primary rows, and the summary over replicates."""
+    count = lambda df, by: long_statistics(df.groupBy(*by).agg(*(F.count_if(F.col(f)).alias(f) for f in flags)), by, flags)
+    own = count(primary, [*cfg]).withColumn("primary", F.col("value").cast("long")).drop("value")
+    return own.join(summary(count(sample, [*cfg, "replicate"]), [*cfg, "statistic"]), [*cfg, "statistic"])
 
 
-def bootstrap(df: DataFrame, cfg: Sequence[str], row_id: str, metrics: Sequence[MetricSpec], replicates: int, seed: int) -> DataFrame:
+def bootstrap(df: DataFrame, cfg: Sequence[str], row_id: str, metrics: Sequence[MetricSpec], seed: int, replicates: int = 5000) -> DataFrame:
     """IQR % and std % of each cell's resamples with replacement, at its own number of values; undefined below two.
 
-    Draws and values meet on (cell, metric, place): no cell is gathered into one row, whatever its size.
+    Values are numbered once in their cell, by ranges. Draws are counted by number before they meet their values, and quantiles
+    and moments take the counts as weights, so no cell is gathered into one row, whatever its size.
     """
-    rows = long_form(df.withColumn("__row", F.col(row_id)), [*cfg, "__row"], metrics).filter("v IS NOT NULL")
-    w = W.partitionBy(*cfg, "metric")
-    placed = rows.withColumns({"place": F.row_number().over(w.orderBy("v", "__row")), "n": F.count(F.lit(1)).over(w)})
-    cell = F.concat_ws("|", *cfg, "metric", F.col("place").cast("string"))
-    draws = placed.select(*cfg, "metric", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), cell.alias("slot"))
-    draws = draws.select(*cfg, "metric", "replicate", (1 + draw(seed, F.col("replicate"), F.col("slot")) % F.col("n")).alias("place"))
-    drawn = draws.join(placed.select(*cfg, "metric", "place", "v"), [*cfg, "metric", "place"])
-    q = lambda p: F.percentile("v", F.lit(p))
-    stats = drawn.groupBy(*cfg, "metric", "replicate").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.stddev_samp("v").alias("std"))
-    two = F.col("n") >= 2
-    return stats.select(*cfg, "metric", "replicate", F.when(two, percent(F.col("q75") - F.col("q25"), F.col("mean"))).alias("iqr_pct"), F.when(two, percent(F.col("std"), F.col("mean"))).alias("std_pct"))
-
-
-def outside(point: Column, lower: Column, upper: Column) -> Column:
-    return F.coalesce((point < lower) | (point > upper), F.lit(False))
+    rows = materialize(long_form(df.withColumn("__row", F.col(row_id)), [*cfg, "__row"], metrics).filter("v IS NOT NULL"))
+    keys = [*cfg, "metric"]
+    placed = gapless_rank(rows, keys, ["v", "__row"], "place").withColumn("place", F.col("place") + 1).drop("__row")
+    placed = materialize(placed.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys))
+    slot = F.concat_ws("|", *keys, F.col("place").cast("string"))
+    draws = placed.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), slot.alias("slot"))
+    draws = draws.select(*keys, "replicate", (1 + draw(seed, F.col("replicate"), F.col("slot")) % F.col("n")).alias("place"))
+    drawn = draws.groupBy(*keys, "replicate", "place").agg(F.count(F.lit(1)).alias("w")).join(placed.select(*keys, "place", "v"), [*keys, "place"])
+    q = lambda p: F.percentile("v", F.lit(p), F.col("w"))
+    w, v = F.col("w"), F.col("v")
+    stats = drawn.groupBy(*keys, "replicate").agg(F.sum("w").alias("n"), (F.sum(w * v) / F.sum("w")).alias("mean"), F.sum(w * v * v).alias("square"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.min("v").alias("low"), F.max("v").alias("high"))
+    n, mean = F.col("n"), F.col("mean")
+    spread = F.sqrt(F.greatest((F.col("square") - n * mean * mean) / F.when(n > 1, n - 1), F.lit(0.0)))
+    std = F.when(n > 1, F.when(F.col("low") == F.col("high"), F.lit(0.0)).otherwise(spread))
+    two = n >= 2
+    return stats.select(*keys, "replicate", F.when(two, percent(F.col("q75") - F.col("q25"), mean)).alias("iqr_pct"), F.when(two, percent(std, mean)).alias("std_pct"))
+
+
+def outside(point: Column, lower: Column, upper: Column, tolerance: float = 1e-9) -> Column:
+    """Whether a point lies outside its interval by more than the tolerance of sums in another order."""
+    near = tolerance * F.greatest(F.abs(point), F.lit(1.0))
+    return F.coalesce((point < lower - near) | (point > upper + near), F.lit(False))
 
 
 def interval_violations(df: DataFrame) -> DataFrame:

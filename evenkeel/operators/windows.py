@@ -5,32 +5,41 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenkeel.functions.numbers import percent
+from evenkeel.functions.ranks import gapless_rank
+from evenkeel.functions.storage import materialize
 
 
 def deviations(df: DataFrame, cfg: Sequence[str], value: str, eligible: str) -> DataFrame:
-    """Eligible runs with their absolute and relative deviation from the cell mean, the latter clipped at 100 % too."""
-    mean = F.avg(value).over(W.partitionBy(*cfg))
-    out = df.filter(F.col(eligible)).withColumn("cell_mean", mean)
+    """Eligible runs with their absolute and relative deviation from the cell mean, the latter clipped at 100 % too.
+
+    Means are aggregated and joined back, so no cell is gathered.
+    """
+    runs = df.filter(F.col(eligible))
+    out = runs.join(runs.groupBy(*cfg).agg(F.avg(value).alias("cell_mean")), list(cfg))
     out = out.withColumns({"deviation": F.col(value) - F.col("cell_mean"), "deviation_pct": percent(F.col(value) - F.col("cell_mean"), F.col("cell_mean"))})
     return out.withColumns({"clipped_pct": F.greatest(F.least("deviation_pct", F.lit(100.0)), F.lit(-100.0)), "overflow": F.coalesce(F.abs("deviation_pct") > 100 + 1e-9, F.lit(False))})
 
 
+def _placed(df: DataFrame, cfg: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with __place (from 0) in its cell and the cell's __n, by ranges that split large cells."""
+    rows = materialize(df)
+    return gapless_rank(rows, cfg, order, "__place").join(rows.groupBy(*cfg).agg(F.count(F.lit(1)).alias("__n")), list(cfg))
+
+
 def offsets(df: DataFrame, cfg: Sequence[str], order: Sequence[str], half: float = 0.18) -> DataFrame:
     """An offset in [-half, half] by rank in the cell; a lone row gets 0."""
-    w = W.partitionBy(*cfg)
-    rank, n = F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w)
-    return df.withColumn("offset", F.when(n == 1, F.lit(0.0)).otherwise(-half + 2 * half * rank / (n - 1)))
+    place = F.when(F.col("__n") == 1, F.lit(0.0)).otherwise(-half + 2 * half * F.col("__place") / (F.col("__n") - 1))
+    return _placed(df, cfg, order).withColumn("offset", place).drop("__place", "__n")
 
 
 def halves(df: DataFrame, cfg: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of the early and the late half of each cell; a middle row is left out."""
-    w = W.partitionBy(*cfg)
-    rn, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return df.withColumns({"__rn": rn, "__n": n}).withColumn("period", F.when(F.col("__rn") <= F.floor(F.col("__n") / 2), "early").when(F.col("__rn") > F.col("__n") - F.floor(F.col("__n") / 2), "late")).filter("period IS NOT NULL").drop("__rn", "__n")
+    part = F.floor(F.col("__n") / 2)
+    period = F.when(F.col("__place") < part, "early").when(F.col("__place") >= F.col("__n") - part, "late")
+    return _placed(df, cfg, order).withColumn("period", period).filter("period IS NOT NULL").drop("__place", "__n")
 
 
 def end_batches(df: DataFrame, cfg: Sequence[str], batch: str, order: Sequence[str]) -> DataFrame:

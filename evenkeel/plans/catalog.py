@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.functions.storage import materialize
 from evenkeel.operators import dispersion as D
 from evenkeel.operators import factors as FA
 from evenkeel.operators import graph as G
@@ -26,10 +28,14 @@ CFG = list(RUNS.cfg)
 PAIR = ["chain", "topology"]
 SCOPES = {"all": None, "two_regions": ["ASIA", "EUROPE"]}
 CHAINS = {"AUTOMOBILE": "auto", "BUILDING": "build", "MACHINERY": "machine"}
-STATS = ["iqr_pct", "std_pct", "delta_max_pct", "range", "wcd"]
+STATS = ["n_metric", "mean", "iqr_pct", "std_pct", "delta_min_pct", "delta_max_pct", "range", "wcd", "wcd_pct"]
+EXTREMA = {"delta_min_pct": "min", "delta_max_pct": "max", "range": "max", "wcd": "max", "wcd_pct": "max"}
+FLAGS = ["submitted", "positive", "zero", "none", "tps_point_valid", "latency_valid", "energy_valid_positive"]
+#: Three-way terms that are added to the two-way models.
+TARGETED = [("chain", "topology", "workload"), ("chain", "workload", "size")]
 VALUES = {"tps": "tps", "latency": "latency", "energy": "energy_clean"}
-#: Replicates and seeds of the registered resampling queries.
-REPLICATES, BALANCED_N, BALANCED_SEED, BOOTSTRAP_SEED = 5, 9, 20260830, 20260831
+#: Replicates and seeds of the registered resampling queries; the operators take 5,000 by default, the published number, which SQL can't check in time.
+REPLICATES, ICC_REPLICATES, BALANCED_N, BALANCED_SEED, BOOTSTRAP_SEED = 100, 1000, 9, 20260830, 20260831
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
 
@@ -59,8 +65,17 @@ def _legacy(spark, sf_dir, keys=CFG):
     return D.legacy_aggregate(O.legacy_ratios(runs(spark, sf_dir)), keys, VALUES)
 
 
+def _enough_runs(spark, sf_dir):
+    """Runs of the cells that have as many as a balanced sample draws."""
+    return R.long_enough(outcome_runs(spark, sf_dir), CFG, BALANCED_N)
+
+
 def _sample(spark, sf_dir):
-    return R.balanced_sample(outcome_runs(spark, sf_dir), PAIR, "run_id", BALANCED_N, REPLICATES, BALANCED_SEED)
+    return R.balanced_sample(_enough_runs(spark, sf_dir), CFG, "run_id", BALANCED_N, BALANCED_SEED, REPLICATES)
+
+
+def _in_scopes(df):
+    return L.in_scopes(df, "workload", SCOPES)
 
 
 def _rows(spark, rows, schema):
@@ -92,7 +107,9 @@ def outcome_counts_by_config(spark, sf_dir):
 
 @query
 def outcome_flag_violations(spark, sf_dir):
-    return O.flag_violations(outcome_runs(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_violations"))
+    """Runs whose flags disagree, after every 97th run's flag was turned over."""
+    turned = outcome_runs(spark, sf_dir).withColumn("positive", F.col("positive") != (F.col("run_id") % 97 == 0))
+    return O.flag_violations(turned).agg(F.count(F.lit(1)).alias("n_violations"), F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"))
 
 
 @query
@@ -126,7 +143,9 @@ def batch_inventory(spark, sf_dir):
 
 @query
 def run_count_distribution(spark, sf_dir):
-    return I.distribution(runs(spark, sf_dir), CFG)
+    df = runs(spark, sf_dir)
+    parts = {"runs_by_config": (df, CFG), "runs_by_batch": (df, ["batch"]), "batches_by_config": (df.select(*CFG, "batch").distinct(), CFG)}
+    return reduce(DataFrame.unionByName, (I.distribution(d, keys).withColumn("distribution", F.lit(name)) for name, (d, keys) in parts.items()))
 
 
 @query
@@ -176,12 +195,14 @@ def dispersion_scope_maxima(spark, sf_dir):
 
 @query
 def dispersion_bounds_violations(spark, sf_dir):
-    return D.bounds_violations(_cells(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_violations"))
+    """Cells outside what arithmetic allows, after the upper ends of one chain were moved."""
+    moved = _cells(spark, sf_dir).withColumn("range", F.when((F.col("chain") == "BUILDING") & (F.col("metric") == "tps"), F.col("range") + 1).otherwise(F.col("range")))
+    return D.bounds_violations(moved).groupBy("chain", "metric").agg(F.count(F.lit(1)).alias("n_violations"))
 
 
 @query
 def metric_eligibility_summary(spark, sf_dir):
-    return D.eligibility(_cells(spark, sf_dir))
+    return D.eligibility(_in_scopes(_cells(spark, sf_dir)), ["scope"])
 
 
 @query
@@ -196,7 +217,7 @@ def legacy_dispersion(spark, sf_dir):
 
 @query
 def legacy_by_factor(spark, sf_dir):
-    return rounded(FA.medians_by(O.legacy_ratios(runs(spark, sf_dir)), PAIR, list(VALUES.values())))
+    return rounded(FA.medians_by_sets(O.legacy_ratios(runs(spark, sf_dir)), [["chain"], ["chain", "topology"], ["chain", "workload"]], list(VALUES.values())))
 
 
 @query
@@ -238,7 +259,8 @@ def one_to_one_join(spark, sf_dir):
 
 @query
 def factor_grid_gaps(spark, sf_dir):
-    return FA.grid_gaps(FA.factor_grid(outcome_runs(spark, sf_dir).filter("size = 'P'"), ["chain", "topology", "workload"], "tps_point_valid"), 12)
+    """Empty and sparse cells of the last, unfinished year."""
+    return FA.grid_gaps(FA.factor_grid(outcome_runs(spark, sf_dir).filter("year(ts) = 1998"), CFG, "tps_point_valid"), 3)
 
 
 @query
@@ -273,6 +295,29 @@ def deviation_offsets(spark, sf_dir):
     return rounded(out.select("run_id", "offset", O.compact("chain", "topology", "size").alias("cell")))
 
 
+@query
+def label_agreement(spark, sf_dir):
+    """Runs of a raw label against runs of its display label: their numbers, and the runs that only one of them has."""
+    named = L.normalise(runs(spark, sf_dir), {"chain": CHAINS})
+    return L.agreement(named, "run_id", "chain", CHAINS)
+
+
+@query
+def corpus_link(spark, sf_dir):
+    """Whether the runs of a workload have one submitted count and known loads only."""
+    chosen = outcome_runs(spark, sf_dir).filter("workload = 'ASIA' AND size = 'F'")
+    return Q.corpus_link(chosen, 999, "submit", "load", [1.0, 2.0])
+
+
+@query
+def identifiers(spark, sf_dir):
+    """Each configuration's label and dense number, and its compact outcome counts."""
+    counts = O.outcome_counts(outcome_runs(spark, sf_dir), CFG)
+    named = L.dense_codes(counts, CFG)
+    place = L.composite_position([(F.col("workload"), ["EUROPE", "ASIA"]), (F.col("size"), ["F", "O"])])
+    return named.select("config_id", "config_code", O.compact().alias("outcome"), place.alias("place"))
+
+
 def _contrasts(df):
     return WI.period_contrast(df, CFG, {"tps": ("tps", "tps_point_valid"), "latency": ("latency", "latency_valid")})
 
@@ -295,51 +340,54 @@ def period_contrast_summary(spark, sf_dir):
 
 @query
 def balanced_sample(spark, sf_dir):
-    return _sample(spark, sf_dir).select("replicate", "run_id", *PAIR)
+    return _sample(spark, sf_dir).select("replicate", "run_id", *CFG)
 
 
 @query
 def balanced_config_sensitivity(spark, sf_dir):
-    df = outcome_runs(spark, sf_dir)
-    return rounded(R.config_sensitivity(_sample(spark, sf_dir), D.dispersion(df, PAIR, METRICS), PAIR, METRICS, STATS), 7)
+    sample, own = _sample(spark, sf_dir), D.dispersion(_enough_runs(spark, sf_dir), CFG, METRICS)
+    return rounded(R.config_sensitivity(sample, own, CFG, METRICS, STATS), 7)
 
 
 @query
 def balanced_factor_sensitivity(spark, sf_dir):
-    return rounded(R.factor_sensitivity(R.replicate_cells(_sample(spark, sf_dir), PAIR, METRICS), PAIR, ["iqr_pct", "std_pct"]), 4)
+    cells = materialize(R.replicate_cells(_sample(spark, sf_dir), CFG, METRICS))
+    return rounded(R.factor_sensitivity(_in_scopes(cells), CFG, ["iqr_pct", "std_pct"], ["scope"]), 7)
 
 
 @query
 def balanced_extrema(spark, sf_dir):
-    return rounded(R.extrema_sensitivity(R.replicate_cells(_sample(spark, sf_dir), PAIR, METRICS), ["delta_max_pct", "range"]), 4)
+    cells = materialize(R.replicate_cells(_sample(spark, sf_dir), CFG, METRICS))
+    own = D.dispersion(_enough_runs(spark, sf_dir), CFG, METRICS)
+    return rounded(R.extrema_sensitivity(_in_scopes(cells), _in_scopes(own), EXTREMA, ["scope"]), 7)
 
 
 @query
 def balanced_denominators(spark, sf_dir):
-    return rounded(R.denominators(_sample(spark, sf_dir), PAIR, ["submitted", "positive", "tps_point_valid", "latency_valid"]), 4)
+    return rounded(R.denominators(_sample(spark, sf_dir), _enough_runs(spark, sf_dir), CFG, FLAGS), 7)
 
 
 def _bootstrap(spark, sf_dir):
-    return R.bootstrap(outcome_runs(spark, sf_dir), PAIR, "run_id", METRICS[:2], REPLICATES, BOOTSTRAP_SEED)
+    return R.bootstrap(outcome_runs(spark, sf_dir), CFG, "run_id", METRICS, BOOTSTRAP_SEED, REPLICATES)
 
 
 @query
 def bootstrap_config_intervals(spark, sf_dir):
-    long = R.long_statistics(_bootstrap(spark, sf_dir), [*PAIR, "metric", "replicate"], ["iqr_pct", "std_pct"])
-    return rounded(R.summary(long, [*PAIR, "metric", "statistic"]), 4)
+    long = R.long_statistics(_bootstrap(spark, sf_dir), [*CFG, "metric", "replicate"], ["iqr_pct", "std_pct"])
+    return rounded(R.summary(long, [*CFG, "metric", "statistic"]), 7)
 
 
 @query
 def bootstrap_factor_intervals(spark, sf_dir):
-    return rounded(R.factor_sensitivity(_bootstrap(spark, sf_dir), PAIR, ["iqr_pct", "std_pct"]), 4)
+    return rounded(R.factor_sensitivity(_in_scopes(materialize(_bootstrap(spark, sf_dir))), CFG, ["iqr_pct", "std_pct"], ["scope"]), 7)
 
 
 @query
 def bootstrap_outside_markers(spark, sf_dir):
-    long = R.long_statistics(_bootstrap(spark, sf_dir), [*PAIR, "metric", "replicate"], ["iqr_pct", "std_pct"])
-    own = R.long_statistics(D.dispersion(outcome_runs(spark, sf_dir), PAIR, METRICS[:2]), [*PAIR, "metric"], ["iqr_pct", "std_pct"]).withColumnRenamed("value", "point")
-    both = own.join(R.summary(long, [*PAIR, "metric", "statistic"]), [*PAIR, "metric", "statistic"])
-    return both.select(*PAIR, "metric", "statistic", R.outside(F.col("point"), F.col("lower"), F.col("upper")).alias("is_outside"))
+    long = R.long_statistics(_bootstrap(spark, sf_dir), [*CFG, "metric", "replicate"], ["iqr_pct", "std_pct"])
+    own = R.long_statistics(D.dispersion(outcome_runs(spark, sf_dir), CFG, METRICS), [*CFG, "metric"], ["iqr_pct", "std_pct"]).withColumnRenamed("value", "point")
+    both = own.join(R.summary(long, [*CFG, "metric", "statistic"]), [*CFG, "metric", "statistic"])
+    return both.select(*CFG, "metric", "statistic", R.outside(F.col("point"), F.col("lower"), F.col("upper")).alias("is_outside"))
 
 
 @query
@@ -354,14 +402,18 @@ def cell_sufficient_stats(spark, sf_dir):
 
 @query
 def expectations_report(spark, sf_dir):
-    return Q.expectations(O.outcome_counts(outcome_runs(spark, sf_dir), []).drop("service_regime"), {"n_observed": 15000, "n_positive_commit": 12981, "n_inconsistent": 1})
+    """Totals of the outcome table against those of the raw tables, and one number that is never met."""
+    done = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F' AND l_quantity > 0").select("l_orderkey").distinct()
+    expected = {"n_observed": table(spark, sf_dir, "orders").count(), "n_positive_commit": done.count(), "n_inconsistent": -1}
+    return Q.expectations(O.outcome_counts(outcome_runs(spark, sf_dir), []).drop("service_regime"), expected)
 
 
 @query
 def regime_reconciliation(spark, sf_dir):
+    """Cells whose parts don't add up to their total, after the totals of one size were raised."""
     counts = O.outcome_counts(outcome_runs(spark, sf_dir), CFG)
-    off = Q.reconcile(counts, F.col("n_observed"), [F.col(c) for c in ("n_positive_commit", "n_zero_commit", "n_no_submission", "n_inconsistent")])
-    return off.agg(F.count(F.lit(1)).alias("n_violations"))
+    off = Q.reconcile(counts, F.col("n_observed") + (F.col("size") == "P").cast("int"), [F.col(c) for c in ("n_positive_commit", "n_zero_commit", "n_no_submission", "n_inconsistent")])
+    return off.groupBy("size").agg(F.count(F.lit(1)).alias("n_violations"))
 
 
 @query
@@ -392,20 +444,46 @@ def graph_summary(spark, sf_dir):
     return rounded(G.path_summary(G.distances(edges, nodes), nodes).join(G.sizes(edges, nodes).drop("n_nodes"), "graph_id").join(G.degree_summary(edges, nodes), "graph_id"))
 
 
+@query
+def graph_size_check(spark, sf_dir):
+    """Counts of a graph against expected ones, of another graph that isn't there too."""
+    expected = spark.createDataFrame([("trade", 25, 40), ("absent", 4, 3)], "graph_id string, n_nodes long, n_edges long")
+    return G.size_check(*G.trade_graph(spark, sf_dir), expected)
+
+
 @query
 def edge_disjoint_paths(spark, sf_dir):
     return G.edge_disjoint_paths(*G.trade_graph(spark, sf_dir)).select("a", "b", "paths")
 
 
-def _model_cells(spark, sf_dir):
-    return M.cell_stats(outcome_runs(spark, sf_dir), CFG, "tps", "tps_point_valid")
+@query
+def edge_connectivity(spark, sf_dir):
+    return G.edge_connectivity(*G.trade_graph(spark, sf_dir))
+
+
+def _scoped(cells: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+    for scope in SCOPES:
+        yield scope, L.of_scope(cells, "workload", SCOPES, scope)
+
+
+def _metric_cells(spark, sf_dir) -> Iterator[tuple[str, str, DataFrame]]:
+    """(scope, metric, cell statistics): one pass over the runs, whose table all fits read."""
+    cells = materialize(M.cell_stats_by_metric(outcome_runs(spark, sf_dir), CFG, METRICS))
+    for scope, part in _scoped(cells):
+        for m in METRICS:
+            yield scope, m.name, part.filter(F.col("metric") == m.name)
 
 
+def _outcome_cells(spark, sf_dir) -> Iterator[tuple[str, DataFrame]]:
+    return _scoped(materialize(M.outcome_cells(outcome_runs(spark, sf_dir), CFG, "positive")))
+
+
+_KEYS = "scope string, metric string, "
 _TESTS = "term string, df long, nominal_df long, denominator_df double, f double, p double, partial_eta2 double"
 
 
 def _term_query(kind: str) -> Query:
-    return lambda spark, sf_dir: _rows(spark, M.term_tests(M.ols(_model_cells(spark, sf_dir), CFG[:3]), kind), _TESTS)
+    return lambda spark, sf_dir: _rows(spark, [(s, m, *r) for s, m, c in _metric_cells(spark, sf_dir) for r in M.term_tests(M.ols(c, CFG), kind)], _KEYS + _TESTS)
 
 
 _REGISTERED |= {f"performance_{k}": _term_query(k) for k in ("type2_hc3", "type3_hc3", "type2_cluster")}
@@ -413,45 +491,79 @@ _REGISTERED |= {f"performance_{k}": _term_query(k) for k in ("type2_hc3", "type3
 
 @query
 def outcome_glm_lr(spark, sf_dir):
-    cells = M.outcome_cells(outcome_runs(spark, sf_dir), ["chain", "topology", "size"], "positive")
-    return _rows(spark, M.likelihood_ratio(M.outcome_models(cells, ["chain", "topology"])[1]), "term string, statistic double, df long, p double")
+    rows = [(s, *r) for s, c in _outcome_cells(spark, sf_dir) for r in M.likelihood_ratio(M.outcome_models(c, CFG)[1])]
+    return _rows(spark, rows, "scope string, term string, statistic double, df long, p double")
 
 
 @query
-def model_diagnostics(spark, sf_dir):
-    fit = M.ols(_model_cells(spark, sf_dir), CFG[:3])
-    cells = M.outcome_cells(outcome_runs(spark, sf_dir), PAIR, "positive")
-    designs, fits = M.outcome_models(cells, PAIR)
+def outcome_and_performance_tests(spark, sf_dir):
+    tests = _REGISTERED["performance_type2_hc3"](spark, sf_dir)
+    return M.terms_side_by_side(outcome_glm_lr(spark, sf_dir), tests, [m.name for m in METRICS], ["scope"])
+
+
+def _outcome_report(cells: DataFrame) -> dict[str, float]:
+    designs, fits = M.outcome_models(cells, CFG)
     full = fits["full"]
-    more = {k: float(full[k]) for k in ("brier", "mcfadden", "pearson_df", "max_abs_coef", "share_extreme", "iterations")}
-    more |= {"auc": M.auc(cells, designs["full"], full["beta"]), "quasi_separated": float(full["max_abs_coef"] > 15 or full["share_extreme"] > 0.05)}
-    return _rows(spark, [*(("performance", k, float(v)) for k, v in fit.diagnostics.items()), *(("outcome", k, v) for k, v in more.items())], "model string, measure string, value double")
+    out = {k: float(full[k]) for k in ("brier", "mcfadden", "pearson_df", "max_abs_coef", "share_extreme", "iterations")}
+    quasi = full["max_abs_coef"] > 15 or full["share_extreme"] > 0.05
+    return out | {"auc": M.auc(cells, designs["full"], full["beta"]), "quasi_separated": float(quasi), "columns": float(designs["full"].width), "basis": float(len(designs["full"].keep))}
+
+
+@query
+def model_diagnostics(spark, sf_dir):
+    rows = [(s, m, k, float(v)) for s, m, c in _metric_cells(spark, sf_dir) for k, v in M.ols(c, CFG).diagnostics.items()]
+    rows += [(s, "outcome", k, v) for s, c in _outcome_cells(spark, sf_dir) for k, v in _outcome_report(c).items()]
+    return _rows(spark, rows, "scope string, model string, measure string, value double")
+
+
+@query
+def model_battery(spark, sf_dir):
+    """For each scope, whether the designs of all models have full rank, and whether all targeted three-way terms are estimable."""
+    flags: dict[str, list[bool]] = {s: [True, True] for s in SCOPES}
+    for scope, _, cells in _metric_cells(spark, sf_dir):
+        design = M.two_way(cells, CFG, TARGETED)
+        kept = M.estimable(M.gram(cells, design)[0], design)
+        pairs = sum(len(design.spans[t]) for t in design.terms if t not in TARGETED) + 1
+        flags[scope][0] &= sum(c < pairs for c in kept) == pairs
+        flags[scope][1] &= all(set(design.spans[t]) <= set(kept) for t in TARGETED)
+    for scope, cells in _outcome_cells(spark, sf_dir):
+        design = M.two_way(cells, CFG)
+        unit = cells.withColumns({"mean": F.lit(0.0), "m2": F.lit(0.0)})
+        flags[scope][0] &= len(M.estimable(M.gram(unit, design)[0], design)) == design.width
+    return _rows(spark, [(s, *map(bool, f)) for s, f in flags.items()], "scope string, all_full_rank boolean, all_three_way_estimable boolean")
 
 
 @query
 def three_way_estimability(spark, sf_dir):
-    return _rows(spark, M.three_way(_model_cells(spark, sf_dir), CFG[:3]), "term string, nominal_columns long, added_rank long")
+    rows = [(s, m, *r) for s, m, c in _metric_cells(spark, sf_dir) for r in M.three_way(c, CFG, TARGETED)]
+    return _rows(spark, rows, _KEYS + "term string, nominal_columns long, added_rank long").withColumn("fully_estimable", F.col("nominal_columns") == F.col("added_rank"))
 
 
 @query
 def three_way_sensitivity(spark, sf_dir):
-    fit = M.ols(_model_cells(spark, sf_dir), CFG[:3], [tuple(CFG[:3])])
-    return _rows(spark, [r for r in M.term_tests(fit, "type2_hc3") if r[0].count(":") == 2], _TESTS)
+    rows = [(s, "outcome", "likelihood ratio chi2", t, x, float(df), None, p, n, k, status) for s, c in _outcome_cells(spark, sf_dir) for t, x, df, p, n, k, status in M.targeted_outcome(c, CFG, TARGETED)]
+    rows += [(s, m, "HC3 type II F", t, x, float(df), float(den), p, n, k, status) for s, m, c in _metric_cells(spark, sf_dir) for t, x, df, den, p, n, k, status in M.targeted_performance(c, CFG, TARGETED)]
+    return _rows(spark, rows, "scope string, model string, test string, term string, statistic double, df double, denominator_df double, p double, added_columns long, added_rank long, status string")
 
 
 @query
 def anova_shares(spark, sf_dir):
-    return _rows(spark, M.anova_shares(M.ols(_model_cells(spark, sf_dir), CFG[:3])), "term string, share double")
+    return _rows(spark, [(s, m, *r) for s, m, c in _metric_cells(spark, sf_dir) for r in M.anova_shares(M.ols(c, CFG))], _KEYS + "term string, share double")
+
+
+def _icc_cells(spark, sf_dir):
+    return materialize(_in_scopes(M.cell_stats_by_metric(outcome_runs(spark, sf_dir), CFG, METRICS)))
 
 
 @query
 def icc_reml(spark, sf_dir):
-    return M.icc_reml(_model_cells(spark, sf_dir), ["chain"]).drop("replicate")
+    return M.icc_reml(_icc_cells(spark, sf_dir), ["scope", "metric", "chain"]).drop("replicate")
 
 
 @query
 def icc_cluster_bootstrap(spark, sf_dir):
-    return M.icc_intervals(M.icc_reml(_model_cells(spark, sf_dir), ["chain"], 50), ["chain"])
+    keys = ["scope", "metric", "chain"]
+    return M.icc_intervals(M.icc_reml(_icc_cells(spark, sf_dir), keys, ICC_REPLICATES), keys)
 
 
 @query

@@ -58,7 +58,7 @@ def _unpivot(source: str, keys: str, columns) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{c}' AS statistic, \"{c}\"::DOUBLE AS value FROM ({source})" for c in columns)
 
 
-def _summary(source: str, keys: str, digits: int = 4) -> str:
+def _summary(source: str, keys: str, digits: int = 7) -> str:
     return f"SELECT {keys}, count(value) AS n_defined, round(quantile_cont(value, 0.5), {digits}) AS median, round(quantile_cont(value, 0.025), {digits}) AS lower, round(quantile_cont(value, 0.975), {digits}) AS upper, round(min(value), {digits}) AS \"min\", round(max(value), {digits}) AS \"max\" FROM ({source}) GROUP BY {keys}"
 
 
@@ -100,13 +100,21 @@ _BATCHES = f"""SELECT r.*, CASE WHEN a = 1 THEN 'early' ELSE 'late' END AS perio
   FROM (SELECT {_CFG}, batch, ts, run FROM r QUALIFY row_number() OVER (PARTITION BY {_CFG}, batch ORDER BY ts, run) = 1)) b USING ({_CFG}, batch) WHERE n > 1 AND (a = 1 OR z = 1)"""
 _CONTRASTS = ("positive_points", "tps_change_pct", "latency_change_pct")
 
-_SAMPLE = """sample AS (
-  SELECT * FROM (SELECT r.*, replicate FROM r, range(1, 6) t(replicate)) QUALIFY row_number() OVER (PARTITION BY chain, topology, replicate ORDER BY md5('20260830|' || replicate || '|' || run_id), run_id) <= 9
-)"""
-_BOOT = f"""vals AS (SELECT *, row_number() OVER (PARTITION BY chain, topology, metric ORDER BY v, run_id) AS place, count(*) OVER (PARTITION BY chain, topology, metric) AS n FROM ({_long("chain, topology, run_id", metrics=("tps", "latency"))}) WHERE v IS NOT NULL),
-draws AS (SELECT chain, topology, metric, replicate, 1 + CAST('0x' || substr(md5('20260831|' || replicate || '|' || chain || '|' || topology || '|' || metric || '|' || place), 1, 8) AS BIGINT) % n AS place FROM vals, range(1, 6) t(replicate)),
-drawn AS (SELECT chain, topology, metric, replicate, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, stddev_samp(v) AS std FROM draws JOIN vals USING (chain, topology, metric, place) GROUP BY ALL),
-boot AS (SELECT chain, topology, metric, replicate, CASE WHEN n >= 2 AND mean > 0 THEN 100 * (q75 - q25) / mean END AS iqr_pct, CASE WHEN n >= 2 AND mean > 0 THEN 100 * std / mean END AS std_pct FROM drawn)"""
+#: As many replicates as the catalog registers.
+_REPLICATE = "range(1, 101) t(replicate)"
+_SAMPLE = f"""enough AS (SELECT *, row_number() OVER (PARTITION BY {_CFG} ORDER BY run_id) - 1 AS place, count(*) OVER (PARTITION BY {_CFG}) AS n_cell FROM r QUALIFY count(*) OVER (PARTITION BY {_CFG}) >= 9),
+floyd AS (
+  SELECT {_CFG}, replicate, unnest(list_reduce(
+    list_transform(range(1, 10), lambda k: [n - 9 + k, CAST('0x' || substr(md5('20260830|' || replicate || '|' || chain || '|' || topology || '|' || workload || '|' || size || '|' || k), 1, 15) AS BIGINT) % (n - 9 + k)]),
+    lambda s, x: CASE WHEN list_contains(s, x[2]) THEN list_append(s, x[1] - 1) ELSE list_append(s, x[2]) END, []::BIGINT[])) AS place
+  FROM (SELECT {_CFG}, count(*) AS n FROM enough GROUP BY ALL), {_REPLICATE}
+),
+sample AS (SELECT enough.*, replicate FROM floyd JOIN enough USING ({_CFG}, place))"""
+_BOOT = f"""vals AS (SELECT *, row_number() OVER (PARTITION BY {_CFG}, metric ORDER BY v, run_id) AS place, count(*) OVER (PARTITION BY {_CFG}, metric) AS n FROM ({_long(_CFG + ", run_id")}) WHERE v IS NOT NULL),
+draws AS (SELECT {_CFG}, metric, replicate, 1 + CAST('0x' || substr(md5('20260831|' || replicate || '|' || chain || '|' || topology || '|' || workload || '|' || size || '|' || metric || '|' || place), 1, 15) AS BIGINT) % n AS place FROM vals, {_REPLICATE}),
+drawn AS (SELECT {_CFG}, metric, replicate, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, stddev_samp(v) AS std FROM draws JOIN vals USING ({_CFG}, metric, place) GROUP BY ALL),
+boot AS (SELECT {_CFG}, metric, replicate, CASE WHEN n >= 2 AND mean > 0 THEN 100 * (q75 - q25) / mean END AS iqr_pct, CASE WHEN n >= 2 AND mean > 0 THEN 100 * std / mean END AS std_pct FROM drawn)"""
+_IN_SCOPES = "SELECT c.*, s.scope FROM ({}) c, (VALUES ('all'), ('two_regions')) s(scope) WHERE s.scope = 'all' OR workload IN ('ASIA', 'EUROPE')"
 _TRADE = """w AS (
   SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey GROUP BY ALL
@@ -124,7 +132,8 @@ def oracle_sql() -> dict[str, str]:
     q["controlled_selection"] = run("SELECT scope, run_id, 'build' AS chain, topology, workload, CASE workload WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END AS place FROM r, (VALUES ('all'), ('two_regions')) s(scope) WHERE chain = 'BUILDING' AND size = 'F' AND (scope = 'all' OR workload IN ('ASIA', 'EUROPE'))")
     q["run_outcomes"] = run(f"SELECT run_id, outcome, {_FLAGS} FROM r")
     q["outcome_counts_by_config"] = run(f"SELECT {_CFG}, {_COUNTS} FROM r GROUP BY ALL")
-    q["outcome_flag_violations"] = run("SELECT count(*) AS n_violations FROM r WHERE submitted::INT + positive::INT + zero::INT + \"none\"::INT + inconsistent::INT <> CASE WHEN submitted THEN 2 ELSE 1 END")
+    turned = "SELECT *, positive <> (run_id % 97 = 0) AS turned FROM r"
+    q["outcome_flag_violations"] = run(f"SELECT count(*) AS n_violations, min(run_id) AS first_run, max(run_id) AS last_run FROM ({turned}) WHERE submitted::INT + turned::INT + zero::INT + \"none\"::INT + inconsistent::INT <> CASE WHEN submitted THEN 2 ELSE 1 END")
     q["status_counts_zero_filled"] = run("SELECT k.chain, k.topology, s.outcome, count(run_id) AS n_runs FROM (SELECT DISTINCT chain, topology FROM r) k CROSS JOIN (VALUES ('positive_commit'), ('zero_commit'), ('no_submission'), ('inconsistent')) s(outcome) LEFT JOIN r ON r.chain = k.chain AND r.topology = k.topology AND r.outcome = s.outcome GROUP BY ALL")
     totals = ", ".join(f"sum(n_{c})::BIGINT AS total_{c}" for c in ("submitted", "positive_commit", "zero_commit", "no_submission", "inconsistent", "tps_valid", "tps_censored", "tps_point_valid", "latency_valid", "energy_valid_observed", "energy_valid_positive_commit", "network_valid_observed"))
     regimes = "count(*) FILTER (service_regime = 'all_positive') AS n_all_positive, count(*) FILTER (service_regime = 'mixed') AS n_mixed, count(*) FILTER (service_regime = 'no_positive') AS n_no_positive"
@@ -132,7 +141,8 @@ def oracle_sql() -> dict[str, str]:
     q["legacy_projections"] = run("SELECT run_id, round(coalesce(CASE WHEN submit = 0 AND commit > 0 THEN 'inf'::DOUBLE WHEN submit <> 0 THEN commit / submit END, 0), 6) AS commit_ratio, round(coalesce(CASE WHEN load = 0 AND latency > 0 THEN 'inf'::DOUBLE WHEN load <> 0 THEN latency / load END, 0), 6) AS latency_per_load, round(CASE WHEN energy >= 0 THEN energy END, 6) AS energy_clean FROM r")
     q["config_inventory"] = run(f"SELECT {_CFG}, count(*) AS n_runs, count(DISTINCT batch) AS n_batches, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY ALL")
     q["batch_inventory"] = run(f"SELECT batch, {_CFG}, count(*) AS n_runs, min(run) AS run_min, max(run) AS run_max, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY ALL")
-    q["run_count_distribution"] = run(f"SELECT n_members, count(*) AS n_groups FROM (SELECT {_CFG}, count(*) AS n_members FROM r GROUP BY ALL) GROUP BY ALL")
+    groups = {"runs_by_config": (_CFG, "r"), "runs_by_batch": ("batch", "r"), "batches_by_config": (_CFG, f"(SELECT DISTINCT {_CFG}, batch FROM r)")}
+    q["run_count_distribution"] = run(" UNION ALL ".join(f"SELECT '{k}' AS distribution, n_members, count(*) AS n_groups FROM (SELECT {g}, count(*) AS n_members FROM {t} GROUP BY ALL) GROUP BY ALL" for k, (g, t) in groups.items()))
     levels = ", ".join(f"string_agg(DISTINCT {c}, ',' ORDER BY {c}) AS levels_{c}" for c in _CFG.split(", "))
     q["corpus_summary"] = run(f"SELECT count(*) AS n_runs, count(DISTINCT batch) AS n_batches, {levels}, (SELECT count(*) FROM c) AS n_configs, (SELECT min(n) FROM c) AS runs_min, (SELECT max(n) FROM c) AS runs_max FROM r", f"c AS (SELECT {_CFG}, count(*) AS n FROM r GROUP BY ALL)")
     q["provenance_duplicates"] = "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1"
@@ -146,11 +156,11 @@ def oracle_sql() -> dict[str, str]:
     q["dispersion_sorted_quantile"] = "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS quantile FROM lineitem GROUP BY ALL"
     maxima = _unpivot("SELECT * FROM cells", "metric, n_metric, chain || '|' || topology || '|' || workload || '|' || size AS cell", ("range", "delta_max_pct", "delta_min_pct", "wcd"))
     q["dispersion_scope_maxima"] = run("SELECT metric, statistic, count(value) AS n_estimable, count(*) FILTER (n_metric >= 2) AS n_two_values, arg_min(cell, cell) FILTER (size = top) AS cell, round(arg_min(value, cell) FILTER (size = top), 4) AS value FROM (SELECT *, max(size) OVER (PARTITION BY metric, statistic) AS top FROM (SELECT *, CASE WHEN statistic = 'delta_min_pct' THEN abs(value) ELSE value END AS size FROM m)) GROUP BY ALL", cells, f"m AS ({maxima})")
-    q["dispersion_bounds_violations"] = run("SELECT count(*) AS n_violations FROM cells WHERE n_metric > 0 AND (delta_min_pct < -100 - 1e-9 OR delta_max_pct > 100 * (n_metric - 1) + 1e-9 OR abs(range - (delta_max - delta_min)) > 1e-9 * greatest(1, abs(\"max\")))", cells)
-    q["metric_eligibility_summary"] = run("SELECT metric, count(*) AS n_cells, count(*) FILTER (n_metric >= 9) AS n_enough, min(n_metric) AS n_min, max(n_metric) AS n_max FROM cells GROUP BY ALL", cells)
+    q["dispersion_bounds_violations"] = run("SELECT chain, metric, count(*) AS n_violations FROM (SELECT * REPLACE (CASE WHEN chain = 'BUILDING' AND metric = 'tps' THEN range + 1 ELSE range END AS range) FROM cells) WHERE n_metric > 0 AND (delta_min_pct < -100 - 1e-9 OR delta_max_pct > 100 * (n_metric - 1) + 1e-9 OR abs(range - (delta_max - delta_min)) > 1e-9 * greatest(1, abs(\"max\"))) GROUP BY ALL", cells)
+    q["metric_eligibility_summary"] = run(f"SELECT scope, metric, count(*) AS n_cells, count(*) FILTER (n_metric >= 9) AS n_enough, min(n_metric) AS n_min, max(n_metric) AS n_max FROM ({_IN_SCOPES.format('SELECT * FROM cells')}) GROUP BY ALL", cells)
     q["legacy_aggregate"] = run(f"SELECT {_CFG}, {_round(_LEGACY_COLUMNS, 7)} FROM legacy", _legacy(_CFG))
     q["legacy_dispersion"] = run(f"SELECT {_CFG}, {_legacy_dispersion()} FROM legacy", _legacy(_CFG))
-    q["legacy_by_factor"] = run("SELECT chain, topology, round(median(tps), 6) AS median_tps, round(median(latency), 6) AS median_latency, round(median(CASE WHEN energy >= 0 THEN energy END), 6) AS median_energy_clean FROM r GROUP BY ALL")
+    q["legacy_by_factor"] = run("SELECT chain, topology, workload, round(median(tps), 6) AS median_tps, round(median(latency), 6) AS median_latency, round(median(CASE WHEN energy >= 0 THEN energy END), 6) AS median_energy_clean FROM r GROUP BY GROUPING SETS ((chain), (chain, topology), (chain, workload))")
     q["legacy_scaling_pivot"] = run("SELECT chain, " + ", ".join(f"round(median(tps) FILTER (size = '{s}'), 6) AS \"{s}\"" for s in "FOP") + " FROM r GROUP BY ALL")
     rise, drop = "tps_max - tps_mean", "tps_mean - tps_min"
     q["worst_case_swings"] = run(f"SELECT chain, round(max(tps_max - tps_min), 6) AS max_range, round(max(greatest({drop}, 0)), 6) AS max_drop, round(max(greatest({rise}, 0)), 6) AS max_rise, round(max(CASE WHEN tps_mean > 0 THEN greatest(100 * ({drop}) / tps_mean, 0) END), 6) AS max_drop_pct, round(max(CASE WHEN tps_mean > 0 THEN greatest(100 * ({rise}) / tps_mean, 0) END), 6) AS max_rise_pct FROM legacy GROUP BY ALL", _legacy(_CFG))
@@ -159,7 +169,11 @@ def oracle_sql() -> dict[str, str]:
     q["offered_vs_committed"] = run("SELECT workload, chain, count(*) AS n_runs, count(*) FILTER (submitted) AS n_submitted, count(*) FILTER (positive) AS n_positive, round(median(load) FILTER (submitted), 6) AS median_load, round(median(tps) FILTER (submitted AND positive), 6) AS median_tps, round(median(100 * commit / submit) FILTER (submitted AND submit > 0), 6) AS median_commit_pct FROM r GROUP BY GROUPING SETS ((workload), (workload, chain))")
     q["catalog_accounting"] = run("SELECT r_name AS workload, r_regionkey AS catalog_id, count(n_observed) AS n_cells, sum(n_observed)::BIGINT AS n_runs, sum(n_positive_commit)::BIGINT AS n_positive, sum(n_zero_commit)::BIGINT AS n_zero, sum(n_no_submission)::BIGINT AS n_none, min(n_observed) AS cell_min, max(n_observed) AS cell_max FROM region LEFT JOIN counts ON workload = r_name GROUP BY ALL", _CELLS)
     q["one_to_one_join"] = run(f"SELECT {_CFG}, sum(n)::BIGINT AS n_runs, count(*) AS n_batches, min(a) AS first_ts, max(z) AS last_ts, count(*) FILTER (n >= 2) AS n_repeated_batches, min(n) AS batch_min, max(n) AS batch_max FROM (SELECT {_CFG}, batch, count(*) AS n, min(ts) AS a, max(ts) AS z FROM r GROUP BY ALL) GROUP BY ALL")
-    q["factor_grid_gaps"] = run("SELECT chain, topology, workload, n, CASE WHEN n = 0 THEN 'empty' ELSE 'sparse' END AS kind FROM (SELECT a.chain, b.topology, c.workload, count(run_id) AS n FROM (SELECT DISTINCT chain FROM p) a CROSS JOIN (SELECT DISTINCT topology FROM p) b CROSS JOIN (SELECT DISTINCT workload FROM p) c LEFT JOIN p ON p.chain = a.chain AND p.topology = b.topology AND p.workload = c.workload AND tps_point_valid GROUP BY ALL) WHERE n < 12", "p AS (SELECT * FROM r WHERE size = 'P')")
+    levels4 = " CROSS JOIN ".join(f"(SELECT DISTINCT {c} FROM p)" for c in _CFG.split(", "))
+    q["factor_grid_gaps"] = run(f"SELECT {_CFG}, n, CASE WHEN n = 0 THEN 'empty' ELSE 'sparse' END AS kind FROM (SELECT {_CFG}, coalesce(n, 0) AS n FROM ({levels4}) LEFT JOIN (SELECT {_CFG}, count(*) AS n FROM p WHERE tps_point_valid GROUP BY ALL) USING ({_CFG})) WHERE n < 3", "p AS (SELECT * FROM r WHERE year(ts) = 1998)")
+    q["label_agreement"] = run("SELECT CASE chain WHEN 'AUTOMOBILE' THEN 'auto' WHEN 'BUILDING' THEN 'build' ELSE 'machine' END AS label, count(*) AS n_raw, count(*) AS n_shown, 0::BIGINT AS n_apart FROM r WHERE chain IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') GROUP BY ALL")
+    q["corpus_link"] = run("SELECT \"check\", ok FROM (SELECT count(*) = 999 AS a, count(DISTINCT submit) = 1 AS b, count(*) FILTER (NOT coalesce(load IN (1.0, 2.0), false)) = 0 AS c FROM r WHERE workload = 'ASIA' AND size = 'F'), LATERAL (VALUES ('rows', a), ('one_submitted_count', b), ('known_loads', c)) t(\"check\", ok)")
+    q["identifiers"] = run("SELECT config_id, row_number() OVER (ORDER BY config_id) - 1 AS config_code, concat_ws('/', n_positive_commit, n_zero_commit, n_no_submission) AS outcome, CASE workload WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 ELSE 2 END * 3 + CASE size WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS place FROM (SELECT *, concat_ws('|', chain, topology, workload, size) AS config_id FROM counts)", _CELLS)
     q["cells_without_eligible"] = run(f"SELECT {_CFG}, batch FROM r GROUP BY ALL HAVING count(*) FILTER (tps_point_valid) = 0")
     q["single_outcome_cells"] = run(f"SELECT {_CFG}, bool_or(positive) AS value FROM r GROUP BY ALL HAVING count(DISTINCT positive) = 1")
     sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("n_observed", "n_positive_commit", "n_zero_commit", "n_no_submission", "n_inconsistent", "n_tps_valid", "n_latency_valid"))
@@ -171,32 +185,41 @@ def oracle_sql() -> dict[str, str]:
     q["half_contrast"] = run(f"SELECT {_CFG}, {_round(_CONTRASTS)} FROM ({_contrast(f'SELECT * FROM ({_HALVES}) WHERE period IS NOT NULL')})")
     q["batch_contrast"] = run(f"SELECT {_CFG}, {_round(_CONTRASTS)} FROM ({_contrast(_BATCHES)})")
     q["period_contrast_summary"] = run(f"SELECT statistic AS contrast, count(value) AS n_cells, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM ({_unpivot('SELECT * FROM c', '1', _CONTRASTS)}) GROUP BY ALL", f"c AS ({_contrast(f'SELECT * FROM ({_HALVES}) WHERE period IS NOT NULL')})")
-    q["balanced_sample"] = run("SELECT replicate::INT AS replicate, run_id, chain, topology FROM sample", _SAMPLE)
-    rep = f"rep AS ({_dispersion('chain, topology, replicate', _long('chain, topology, replicate', 'sample'))})"
-    five = ("iqr_pct", "std_pct", "delta_max_pct", "range", "wcd")
-    reps = _summary(_unpivot("SELECT * FROM rep", "chain, topology, metric", five), "chain, topology, metric, statistic", 7)
-    own = _unpivot("SELECT * FROM own", "chain, topology, metric", five)
-    q["balanced_config_sensitivity"] = run(f"SELECT o.chain, o.topology, o.metric, o.statistic, round(value, 7) AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({own}) o JOIN ({reps}) s USING (chain, topology, metric, statistic)", _SAMPLE, rep, f"own AS ({_dispersion('chain, topology', _long('chain, topology'))})")
+    q["balanced_sample"] = run(f"SELECT replicate::INT AS replicate, run_id, {_CFG} FROM sample", _SAMPLE)
+    rep = f"rep AS ({_dispersion(_CFG + ', replicate', _long(_CFG + ', replicate', 'sample'))})"
+    own_balanced = f"own AS ({_dispersion(_CFG, _long(_CFG, 'enough'))})"
+    nine = ("n_metric", "mean", "iqr_pct", "std_pct", "delta_min_pct", "delta_max_pct", "range", "wcd", "wcd_pct")
+    reps = _summary(_unpivot("SELECT * FROM rep", f"{_CFG}, metric", nine), f"{_CFG}, metric, statistic")
+    own = _unpivot("SELECT * FROM own", f"{_CFG}, metric", nine)
+    q["balanced_config_sensitivity"] = run(f"SELECT {_CFG}, metric, statistic, round(value, 7) AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({own}) o JOIN ({reps}) s USING ({_CFG}, metric, statistic)", _SAMPLE, rep, own_balanced)
 
     def by_factor(cells: str) -> str:
-        means = f"SELECT factor, level, metric, replicate, avg(iqr_pct) AS iqr_pct, avg(std_pct) AS std_pct FROM ({_levels(cells, ('chain', 'topology'), 'metric, replicate, iqr_pct, std_pct')}) GROUP BY ALL"
-        return _summary(_unpivot(means, "factor, level, metric", ("iqr_pct", "std_pct")), "factor, level, metric, statistic")
+        levels = _levels(_IN_SCOPES.format(cells), _CFG.split(", "), "scope, metric, replicate, iqr_pct, std_pct")
+        long = _unpivot(levels, "factor, level, scope, metric, replicate", ("iqr_pct", "std_pct"))
+        both = f"SELECT factor, level, scope, metric, replicate, statistic, avg(value) AS mean, median(value) AS median FROM ({long}) GROUP BY ALL"
+        over = " UNION ALL ".join(f"SELECT factor, level, scope, metric, statistic, '{f}' AS over_cells, {f} AS value FROM ({both})" for f in ("mean", "median"))
+        return _summary(over, "factor, level, scope, metric, statistic, over_cells")
 
     q["balanced_factor_sensitivity"] = run(by_factor("SELECT * FROM rep"), _SAMPLE, rep)
-    q["balanced_extrema"] = run(_summary(_unpivot("SELECT metric, replicate, max(delta_max_pct) AS delta_max_pct, max(range) AS range FROM rep GROUP BY ALL", "metric", ("delta_max_pct", "range")), "metric, statistic"), _SAMPLE, rep)
-    flags = ("submitted", "positive", "tps_point_valid", "latency_valid")
-    q["balanced_denominators"] = run(_summary(_unpivot(f"SELECT chain, topology, replicate, {', '.join(f'count(*) FILTER ({f}) AS {f}' for f in flags)} FROM sample GROUP BY ALL", "chain, topology", flags), "chain, topology, statistic"), _SAMPLE)
-    boot = _summary(_unpivot("SELECT * FROM boot", "chain, topology, metric", ("iqr_pct", "std_pct")), "chain, topology, metric, statistic", 12)
-    q["bootstrap_config_intervals"] = run(_summary(_unpivot("SELECT * FROM boot", "chain, topology, metric", ("iqr_pct", "std_pct")), "chain, topology, metric, statistic"), _BOOT)
+    ends = {"delta_min_pct": "min", "delta_max_pct": "max", "range": "max", "wcd": "max", "wcd_pct": "max"}
+    end = lambda source, keys: f"SELECT {keys}, " + ", ".join(f"{f}({c}) AS {c}" for c, f in ends.items()) + f" FROM ({_IN_SCOPES.format('SELECT * FROM ' + source)}) GROUP BY ALL"
+    drawn_ends = _summary(_unpivot(end("rep", "scope, metric, replicate"), "scope, metric", ends), "scope, metric, statistic")
+    q["balanced_extrema"] = run(f"SELECT scope, metric, statistic, CASE WHEN statistic = 'delta_min_pct' THEN 'min' ELSE 'max' END AS direction, round(value, 7) AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({_unpivot(end('own', 'scope, metric'), 'scope, metric', ends)}) JOIN ({drawn_ends}) USING (scope, metric, statistic)", _SAMPLE, rep, own_balanced)
+    flags = ("submitted", "positive", "zero", "none", "tps_point_valid", "latency_valid", "energy_valid_positive")
+    counted = lambda source, keys: _unpivot(f"SELECT {keys}, " + ", ".join(f'count(*) FILTER ("{f}") AS "{f}"' for f in flags) + f" FROM {source} GROUP BY ALL", _CFG, flags)
+    drawn_counts = _summary(counted("sample", f"{_CFG}, replicate"), f"{_CFG}, statistic")
+    q["balanced_denominators"] = run(f"SELECT {_CFG}, statistic, value::BIGINT AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({counted('enough', _CFG)}) JOIN ({drawn_counts}) USING ({_CFG}, statistic)", _SAMPLE)
+    boot = _summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic", 12)
+    q["bootstrap_config_intervals"] = run(_summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic"), _BOOT)
     q["bootstrap_factor_intervals"] = run(by_factor("SELECT * FROM boot"), _BOOT)
-    q["bootstrap_outside_markers"] = run(f"SELECT o.chain, o.topology, o.metric, o.statistic, coalesce(value < lower - 1e-9 OR value > upper + 1e-9, false) AS is_outside FROM ({_unpivot('SELECT * FROM own', 'chain, topology, metric', ('iqr_pct', 'std_pct'))}) o JOIN ({boot}) s USING (chain, topology, metric, statistic)", _BOOT, f"own AS ({_dispersion('chain, topology', _long('chain, topology', metrics=('tps', 'latency')))})")
+    q["bootstrap_outside_markers"] = run(f"SELECT {_CFG}, metric, statistic, coalesce(value < lower - 1e-9 * greatest(abs(value), 1) OR value > upper + 1e-9 * greatest(abs(value), 1), false) AS is_outside FROM ({_unpivot('SELECT * FROM own', _CFG + ', metric', ('iqr_pct', 'std_pct'))}) o JOIN ({boot}) s USING ({_CFG}, metric, statistic)", _BOOT, f"own AS ({_dispersion(_CFG, _long(_CFG))})")
     q["icc_anova"] = run(f"""SELECT chain, n_runs, n_cells, round(between_, 6) AS between, round(msw, 6) AS within, round(between_ / (between_ + msw), 6) AS icc FROM (
       SELECT *, greatest((msb - msw) * n_cells / n_runs, 0) AS between_ FROM (SELECT chain, sum(n)::BIGINT AS n_runs, count(*) AS n_cells, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) AS msb, sum(n * var) / (sum(n) - count(*)) AS msw
       FROM (SELECT {_CFG}, count(*) AS n, avg(tps) AS m, var_pop(tps) AS var FROM r WHERE tps_point_valid GROUP BY ALL) GROUP BY chain))""")
     q["cell_sufficient_stats"] = run(f"SELECT {_CFG}, count(*) AS n, 0::BIGINT AS n_dropped, round(avg(ln(tps)), 6) AS mean, round(count(*) * var_pop(ln(tps)), 6) AS m2 FROM r WHERE tps_point_valid GROUP BY ALL")
-    q["expectations_report"] = run("SELECT \"check\", expected, observed, expected = observed AS ok FROM (SELECT 'n_observed' AS \"check\", 15000.0::DOUBLE AS expected, count(*)::DOUBLE AS observed FROM r UNION ALL SELECT 'n_positive_commit', 12981, count(*) FILTER (positive) FROM r UNION ALL SELECT 'n_inconsistent', 1, count(*) FILTER (inconsistent) FROM r)")
-    q["regime_reconciliation"] = run("SELECT count(*) AS n_violations FROM counts WHERE n_positive_commit + n_zero_commit + n_no_submission + n_inconsistent <> n_observed", _CELLS)
-    inner = "CASE WHEN second BETWEEN 1 AND 180 THEN tps END"
+    q["expectations_report"] = run("SELECT \"check\", expected, observed, expected = observed AS ok FROM (SELECT 'n_observed' AS \"check\", (SELECT count(*) FROM orders)::DOUBLE AS expected, count(*)::DOUBLE AS observed FROM r UNION ALL SELECT 'n_positive_commit', (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 0), count(*) FILTER (positive) FROM r UNION ALL SELECT 'n_inconsistent', -1, count(*) FILTER (inconsistent) FROM r)")
+    q["regime_reconciliation"] = run("SELECT size, count(*) AS n_violations FROM counts WHERE n_positive_commit + n_zero_commit + n_no_submission + n_inconsistent <> n_observed + (size = 'P')::INT GROUP BY ALL", _CELLS)
+    inner = "CASE WHEN second BETWEEN 1 AND 58 THEN tps END"
     rules = {"start": "t0 = 10", "second": "t1 = 20", "terminal_zero": "e = 0 AND last = 59", "minimum": "low = 0", "maximum": "high = 100"}
     q["schedule_rules"] = f"WITH s AS (SELECT user_id AS trace_id, second(ts) AS second, max(floor(value))::INT AS tps FROM events GROUP BY ALL), a AS (SELECT trace_id, max(tps) FILTER (second = 0) AS t0, max(tps) FILTER (second = 1) AS t1, max(tps) FILTER (second = 59) AS e, max(second) AS last, min({inner}) AS low, max({inner}) AS high FROM s GROUP BY ALL) " + " UNION ALL ".join(f"SELECT trace_id, '{k}' AS rule FROM a WHERE NOT coalesce({c}, false)" for k, c in rules.items())
     q["not_unique_keys"] = "SELECT o_custkey, o_orderstatus, count(*) AS n_rows FROM orders GROUP BY ALL HAVING count(*) <> 1"
@@ -206,4 +229,5 @@ def oracle_sql() -> dict[str, str]:
       g AS (SELECT n_nationkey, count(b.v) AS degree FROM nation LEFT JOIN both_ways b ON b.u = n_nationkey GROUP BY ALL)
       SELECT 'trade' AS graph_id, (SELECT count(*) FROM nation) AS n_nodes, max(hops) AS diameter, round(avg(hops) FILTER (source < v), 6) AS mean_distance, count(*) = (SELECT count(*) * count(*) FROM nation) AS connected,
       (SELECT count(*) FROM e) AS n_edges, (SELECT min(degree) FROM g) AS least, (SELECT median(degree) FROM g) AS middle, (SELECT max(degree) FROM g) AS most FROM d"""
+    q["graph_size_check"] = f"WITH {_TRADE} SELECT x.graph_id, x.n AS expected_nodes, f.n_nodes, x.m AS expected_edges, f.n_edges, coalesce(x.n = f.n_nodes AND x.m = f.n_edges, false) AS ok FROM (VALUES ('trade', 25, 40), ('absent', 4, 3)) x(graph_id, n, m) FULL JOIN (SELECT 'trade' AS graph_id, (SELECT count(*) FROM nation) AS n_nodes, (SELECT count(*) FROM e) AS n_edges) f USING (graph_id)"
     return q

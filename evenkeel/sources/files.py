@@ -106,8 +106,10 @@ def checksum_violations(files: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(found, "file", "left").filter(~F.col("sha256").eqNullSafe(F.col("found")))
 
 
-def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
-    """One header a file; with decimals, doubles in fixed precision."""
+def write_csv(df: DataFrame, path: str, decimals: int | None = None, order: Sequence[str] = ()) -> None:
+    """One header a file; with decimals, doubles in fixed precision; with order, rows sorted over all files by these columns, then all others."""
+    if order:
+        df = df.orderBy(*order, *(c for c in df.columns if c not in order))
     kinds = dict(df.dtypes)
     fixed = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", c)).alias(c)
     out = df.select(*(fixed(c) if decimals is not None and kinds[c] == "double" else F.col(c) for c in df.columns))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,34 @@ def test_known_graphs(spark, edges, diameter, mean, connectivity, degree):
     assert graph.edge_differences(e, e).count() == 0
 
 
+def test_disjoint_paths_equal_the_least_cut(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS_PER_TASK", 4)
+    rng = random.Random(3)
+    names = [f"n{i}" for i in range(7)]
+    edges = [(a, b) for i, a in enumerate(names) for b in names[:i] if rng.random() < 0.5]
+    e, n = graphs(spark, edges)
+    used = sorted({x for pair in edges for x in pair})
+    least = {}
+    for sides in range(1, 2 ** len(used) - 1):
+        left = {x for i, x in enumerate(used) if sides >> i & 1}
+        cut = sum((a in left) != (b in left) for a, b in edges)
+        for a in left:
+            for b in set(used) - left:
+                least[a, b] = min(cut, least.get((a, b), cut))
+    paths = graph.edge_disjoint_paths(e, n).collect()
+    assert {(r.a, r.b): r.paths for r in paths} == {k: v for k, v in least.items() if k[0] < k[1]}
+    assert graph.edge_connectivity(e, n).first().edge_connectivity == min(least.values())
+
+
+def test_sizes_against_expected(spark):
+    e, n = graphs(spark, [("a", "b"), ("b", "c")])
+    expected = spark.createDataFrame([("g", 3, 2), ("h", 1, 0)], "graph_id string, n_nodes long, n_edges long")
+    assert {r.graph_id: r.ok for r in graph.size_check(e, n, expected).collect()} == {"g": True, "h": False}
+    inner = graph.within(e, n.filter("v != 'a'"))
+    assert [(r.u, r.v) for r in inner.collect()] == [("b", "c")]
+    assert graph.edge_differences(e, inner).count() == 1
+
+
 def test_two_parts_are_not_connected(spark):
     e, n = graphs(spark, [("a", "b"), ("c", "d")])
     assert not graph.path_summary(graph.distances(e, n), n).first().connected
@@ -70,6 +99,8 @@ def test_manifest_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("x", 1.5, float("nan")), ("y", None, 2.0)], "scope string, a double, b double")
     files.write_csv(df, str(tmp_path / "csv"), 4)
     assert "1.5000" in "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
+    files.write_csv(df.repartition(3), str(tmp_path / "sorted"), order=["scope"])
+    assert [line[0] for p in sorted((tmp_path / "sorted").glob("*.csv")) for line in p.read_text().splitlines() if line[1:2] == ","] == ["x", "y"]
     files.write_json(df, str(tmp_path / "json"))
     assert '"b":null' in "".join(p.read_text() for p in (tmp_path / "json").glob("*.json"))
     files.write_scopes(df, str(tmp_path / "scopes"))

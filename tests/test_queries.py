@@ -32,7 +32,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["outcome_counts_by_config", "dispersion_long", "half_contrast", "balanced_sample", "bootstrap_config_intervals", "offered_vs_committed", "graph_shortest_paths", "icc_anova", "identifier_audit"])
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, db, name):
     df = catalog.queries()[name](spark, SF)
     got = rows(df.columns, df.collect())

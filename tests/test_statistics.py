@@ -1,4 +1,6 @@
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,14 +46,25 @@ def test_windows(spark):
 
 def test_resampling(spark):
     df = cells(spark, range(20))
-    sample = resample.balanced_sample(df, ["cell"], "id", 9, 12, 7)
+    sample = resample.balanced_sample(df, ["cell"], "id", 9, 7, 12)
     rows = [(r.replicate, r.id) for r in sample.collect()]
     assert len(rows) == len(set(rows)) == 108
-    assert sorted(rows) == sorted((r.replicate, r.id) for r in resample.balanced_sample(df.repartition(5), ["cell"], "id", 9, 12, 7).collect())
+    assert sorted(rows) == sorted((r.replicate, r.id) for r in resample.balanced_sample(df.repartition(5), ["cell"], "id", 9, 7, 12).collect())
+    with pytest.raises(Exception, match="too few rows in cell c"):
+        resample.balanced_sample(df, ["cell"], "id", 21, 7, 1).collect()
+    assert resample.long_enough(df, ["cell"], 21).count() == 0
+    subsets = [tuple(sorted(r.ids)) for r in resample.balanced_sample(df.limit(4), ["cell"], "id", 2, 7, 6000).groupBy("replicate").agg(F.collect_list("id").alias("ids")).collect()]
+    counts = Counter(subsets)
+    assert len(counts) == 6 and all(800 < c < 1200 for c in counts.values())  # each pair of four is as likely
     assert resample.short_cells(df, ["cell"], 21).count() == 1
-    boot = resample.bootstrap(cells(spark, [1, 2, 4, 8]), ["cell"], "id", SPEC, 20, 3)
+    boot = resample.bootstrap(cells(spark, [1, 2, 4, 8]), ["cell"], "id", SPEC, 3, 20)
     assert boot.count() == 20 and boot.filter("iqr_pct IS NULL").count() == 0
-    assert resample.bootstrap(cells(spark, [4]), ["cell"], "id", SPEC, 5, 3).filter("std_pct IS NOT NULL").count() == 0
+    assert resample.bootstrap(cells(spark, [4]), ["cell"], "id", SPEC, 3, 5).filter("std_pct IS NOT NULL").count() == 0
+    values = [1, 2, 4, 8, 8]
+    for r in resample.bootstrap(cells(spark, values), ["cell"], "id", SPEC, 3, 20).collect():  # row by row, from the draws as they are stated
+        drawn = [values[int(hashlib.md5(f"3|{r.replicate}|c|m|{k}".encode()).hexdigest()[:15], 16) % 5] for k in range(1, 6)]
+        q = np.percentile(drawn, [25, 75])
+        assert (r.iqr_pct, r.std_pct) == (pytest.approx(100 * (q[1] - q[0]) / np.mean(drawn)), pytest.approx(100 * np.std(drawn, ddof=1) / np.mean(drawn), abs=1e-6))
     assert spark.range(1).select(resample.outside(F.lit(12.93), F.lit(6.73), F.lit(12.82))).first()[0]
 
 
@@ -140,3 +153,51 @@ def test_reml_equals_balanced_anova(spark):
     fits = models.icc_reml(stats, ["key"], 30, 1)
     row = models.icc_intervals(fits, ["key"]).first()
     assert 0 <= row.lower <= row.icc <= row.upper <= 1 and row.n_failed == 0 and row.converged
+    assert models.require_converged(models.icc_intervals(fits, ["key"])).count() == 1
+    failed = models.icc_intervals(fits.withColumn("icc", F.when(F.col("replicate") < 10, F.col("icc")).otherwise(float("nan"))), ["key"])
+    with pytest.raises(Exception, match="too few replicates"):
+        models.require_converged(failed).collect()
+
+
+def test_targeted_terms(spark, fitted):
+    _, df = fitted
+    term = ("a", "b", "c")
+    stats = models.cell_stats(df, list("abc"), "v", "ok")
+    row = models.targeted_performance(stats, list("abc"), [term])[0]
+    fit = models.ols(stats, list("abc"), [term])
+    want = {r[0]: r for r in models.term_tests(fit, "type2_hc3")}["a:b:c"]
+    assert row == ("a:b:c", want[4], 6, want[3], want[5], 6, 6, "reported")
+    gaps = models.targeted_performance(stats.filter("NOT (a = 'a0' AND b = 'b0')"), list("abc"), [term])[0]
+    assert gaps[5] == 6 and gaps[6] < 6 and gaps[7] == "reported on observed support"
+    counts = models.outcome_cells(df, list("abc"), "pos")
+    name, x, k, p, columns, added, status = models.targeted_outcome(counts, list("abc"), [term])[0]
+    lr = {t: (s, d) for t, s, d, _ in models.likelihood_ratio(models.outcome_models(counts, list("abc"), [term])[1])}
+    assert (name, k, columns, added, status) == ("a:b:c", 6, 6, 6, "reported") and (pytest.approx(x, rel=1e-6), k) == lr["a:b:c"]
+    holes = models.targeted_outcome(counts.filter("NOT (a = 'a0' AND b = 'b0')"), list("abc"), [term])[0]
+    assert holes[-1] == "not estimable" and math.isnan(holes[1])
+    both = models.terms_side_by_side(spark.createDataFrame([("a", 1.0, 2, 0.5)], "term string, statistic double, df long, p double"), spark.createDataFrame([("m", "a", 3.0, 2, 9.0, 0.1, 0.2)], "metric string, term string, f double, df long, denominator_df double, p double, partial_eta2 double"), ["m"])
+    assert both.first().m_f == 3.0 and both.first().outcome_statistic == 1.0
+
+
+def test_tables_written_in_a_block_go_with_it(spark):
+    from pathlib import Path
+
+    from evenkeel.functions.storage import kept, materialize, scratch, shared_folder
+
+    left = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("evenkeel-*")}
+    before = left()
+    with scratch(spark):
+        lost = materialize(spark.range(3))
+        out = kept(lost.selectExpr("id + 1 AS id"))
+    assert len(left() - before) == 1 and out.count() == 3
+
+
+@pytest.mark.parametrize("points", [[0.0, 0.25, 0.5, 1.0]])
+def test_quantiles_of_many_cells(spark, points):
+    from evenkeel.functions.ranks import quantiles
+
+    rng = np.random.default_rng(4)
+    rows = [(f"k{rng.integers(0, 3)}", float(rng.integers(0, 40))) for _ in range(700)] + [("one", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: [r.a, r.b, r.c, r.d] for r in quantiles(df, ["k"], "v", points, list("abcd")).collect()}
+    assert got == {k: pytest.approx(list(np.quantile([v for x, v in rows if x == k], points))) for k in ("k0", "k1", "k2", "one")}
