@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from pyspark.sql.window import Window
 
 from evenkeel.llm.components import components
-from evenkeel.llm.shared import join_split, materialize
+from evenkeel.llm.shared import join_split, kept, materialize, scratch
 
 SHINGLE = 5
 #: Least hashes kept of each set, and how many of them are looked up in inverted lists.
@@ -171,6 +171,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFra
     component_id is null and which is kept. Repeated rows share a component. Rows of one key with different texts are
     separate nodes and may differ in component. Other columns are left out; an empty df gives no rows.
     """
+    with scratch(df.sparkSession):
+        return kept(_near_duplicates(df, key, text, percent))
+
+
+def _near_duplicates(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     documents = materialize(_mapped(df, key, text, whole=False))
     live = documents.where("n > 0 AND key IS NOT NULL")
     classes = live.groupBy("print").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("values").alias("values"))

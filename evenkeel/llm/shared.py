@@ -1,35 +1,19 @@
-"""Helpers shared by the corpus operators: shared storage, bound lambdas and distributed ranks."""
+"""Helpers shared by the corpus operators: bound lambdas, joins on hot keys, and the storage and ranks of the core."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: Largest number of rows that a small side may have to be broadcast.
-BROADCAST_ROWS = 200_000
-#: Most keys that count as hot: each of them holds more than this part of all rows.
-HOT_KEYS = 10_000
 
+from evenkeel.functions.ranks import BROADCAST_ROWS, gapless_rank
+from evenkeel.functions.storage import kept, materialize, scratch, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a new local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="evenkeel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["BROADCAST_ROWS", "bind", "gapless_rank", "join_split", "kept", "materialize", "scratch", "shared_folder"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and returns the table read back."""
-    path = f"{shared_folder(df.sparkSession)}/evenkeel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Most keys that count as hot: each of them holds more than this part of all rows.
+HOT_KEYS = 10_000
 
 
 def join_split(rows: DataFrame, keys: DataFrame, key: str, size: str) -> DataFrame:
@@ -50,30 +34,3 @@ def join_split(rows: DataFrame, keys: DataFrame, key: str, size: str) -> DataFra
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row instead of at each place where body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def gapless_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, classes: int) -> DataFrame:
-    """Adds name: the place (from 0, without gaps) of each row within its ``by`` class, in ``order``.
-
-    No class is gathered into one task: rows are dealt by ranges of (by, order, salt), so that even a
-    class or key with most of the rows spreads; each range numbers its rows, and the counts of each
-    (range, class) give the offsets. ``by`` columns must not be null; ``classes`` bounds their number.
-    df is read twice (once to find the ranges), so pass a materialized table.
-    """
-    rank, place, part = f"__{name}_rank", f"__{name}_place", f"__{name}_part"
-    dealt = (
-        df.withColumn(rank, F.xxhash64(F.monotonically_increasing_id()))
-        .repartitionByRange(*by, *order, rank)
-        .sortWithinPartitions(*by, *order)
-        .withColumn(place, F.monotonically_increasing_id())
-    )
-    rows = materialize(dealt.drop(rank)).withColumns(
-        {part: F.shiftright(place, 33), place: F.col(place).bitwiseAND((1 << 33) - 1)}
-    )
-    heads = rows.groupBy(part, *by).agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(part, *by, (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if ranges + classes <= BROADCAST_ROWS:  # heads has at most this many rows
-        heads = F.broadcast(heads)
-    return rows.join(heads, [part, *by]).withColumn(name, F.col(place) + F.col("__shift")).drop(part, place, "__shift")

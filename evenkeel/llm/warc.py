@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
@@ -15,12 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
-
-from evenkeel.llm.shared import materialize, shared_folder
-
-RECORDS_PER_FILE = 1000
-#: Index entries that one merge task gets, and the most keys that the driver looks at to cut ranges.
-ENTRIES_PER_RANGE, SAMPLED_KEYS = 50_000, 10_000
+from pyspark.sql.window import Window
+
+from evenkeel.llm.shared import BROADCAST_ROWS, HOT_KEYS, materialize, shared_folder
+
+#: Bytes, zipped, after which a task begins a new file.
+FILE_BYTES = 64 << 20
+#: Index entries that one merge task gets, about.
+ENTRIES_PER_RANGE = 50_000
+#: Bytes that are unzipped at once.
+CHUNK = 64 << 10
+#: What Spark's text writer puts after each member; gzip readers skip zeros between members.
+PADDING = "\0"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 #: Fixed value of the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,57 +44,82 @@ def url_key(url: str) -> str:
     return f"{host}{port}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def record(page: int | None, url: str | None, payload: str, digest: str, first: int | None, length: int) -> str:
-    """A record without its last line end; a page that refers to a first one is a revisit and has no payload."""
+def record(page: int | None, url: str | None, payload: str, digest: str, first: int | None, length: int, seconds: int) -> bytes:
+    """A record; a page that refers to a first one is a revisit and has no payload."""
     revisit = first is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n"
-    date = (EPOCH + timedelta(seconds=(page or 0) % (1 << 31))).strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = (EPOCH + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe='%:/?#[]@!$&' + chr(39) + '()*+,;=~')}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{first}>"] if revisit else []),
         f"Content-Length: {len(http) + (0 if revisit else length)}",
     ]
-    return "\r\n".join(head) + "\r\n\r\n" + http + ("" if revisit else payload) + "\r\n"
+    return ("\r\n".join(head) + "\r\n\r\n" + http + ("" if revisit else payload) + "\r\n\r\n").encode("utf-8", "surrogatepass")
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers in lower case, block) of a record; the block's length is followed, not its text."""
+    head = data.index(b"\r\n\r\n")
+    lines = data[:head].decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("no WARC record")
+    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    end = head + 4 + int(headers["content-length"])
+    if data[end:] != b"\r\n\r\n":
+        raise ValueError(f"the record of {headers['warc-record-id']} has no end")
+    return headers, data[head + 4 : end]
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers in lower case, block) of each record; the blocks' lengths are followed, not their text."""
-    at = 0
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of an archive, each unzipped for itself; zeros between them are skipped."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        end = head + 4 + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has no end")
-        yield at, end + 4 - at, headers, data[head + 4 : end]
-        at = end + 4
-
-
-def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes: int) -> str:
-    """Writes a record per row into a new folder of gzipped WARC files and returns its path.
-
-    Of rows with equal payloads of at least least_bytes, those with the least key are responses, the
-    others revisit it. Payload groups are counted on digests alone, so a large group costs no more than its rows.
+        if not data[at]:
+            at += 1
+            continue
+        unzip, content, end = zlib.decompressobj(wbits=31), [], at
+        while not unzip.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at byte {at} has no end")
+            chunk = view[end : end + CHUNK]
+            content.append(unzip.decompress(chunk))
+            end += len(chunk) - len(unzip.unused_data)
+        yield at, end - at, b"".join(content)
+        at = end
+
+
+def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes: int, time: str | None = None) -> str:
+    """Writes a record per row into a new folder of WARC files, each record a gzip member of its own, and returns the folder's path.
+
+    A task begins a new file after FILE_BYTES. Of rows with equal payloads of at least least_bytes, those with the least key are responses, the
+    others revisit it. Payload groups are counted on digests alone, and the rows of a hot payload stay where they are.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
+    seconds = F.coalesce(F.unix_timestamp(time) - int(EPOCH.timestamp()), F.lit(0)) if time else F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(1 << 31))
+    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"), seconds.cast("long").alias("seconds"))
     first = rows.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.min("page").alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND least IS NOT NULL")
-    rows = rows.join(first.select("digest", "n", "least"), ["digest", "n"], "left")
+    first = materialize(first)
+    is_hot = F.col("copies") > (first.agg(F.sum("copies")).first()[0] or 0) / HOT_KEYS
+    hot = F.broadcast(first.where(is_hot).select("digest", "n", "least"))  # fewer than HOT_KEYS rows
+    cold = first.where(~is_hot).select("digest", "n", "least")
+    rows = rows.join(hot, ["digest", "n"]).unionByName(rows.join(hot, ["digest", "n"], "left_anti").join(cold, ["digest", "n"], "left"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
         for batch in batches:
-            out = []
+            out, files = [], []
             for r in batch.to_pylist():
                 first = None if r["least"] is None or r["least"] == r["page"] else r["least"]
-                out.append(record(r["page"], r["url"], r["payload"], base64.b32encode(bytes.fromhex(r["digest"])).decode(), first, r["n"]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                member = gzip.compress(record(r["page"], r["url"], r["payload"], base64.b32encode(bytes.fromhex(r["digest"])).decode(), first, r["n"], r["seconds"]), 6, mtime=0)
+                out.append(member)
+                files.append(written // FILE_BYTES)
+                written += len(member)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int64())], names=["value", "part"])
 
     path = f"{shared_folder(pages.sparkSession)}/evenkeel-warc-{uuid.uuid4().hex}"
-    rows.select("page", "url", "payload", "digest", "n", "least").mapInArrow(records, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    zipped = rows.select("page", "url", "payload", "digest", "n", "least", "seconds").mapInArrow(records, "value binary, part long")
+    zipped.select(F.col("value").cast("string").alias("value"), "part").write.partitionBy("part").option("lineSep", PADDING).text(path)
     return path
 
 
@@ -104,7 +136,7 @@ def _order(entry: dict) -> tuple:
 def index_runs(spark, path: str) -> DataFrame:
     """An entry per record of a folder of archives; each file is a run, sorted by URL key and time, with place as the order.
 
-    Offsets are those in the unzipped file, which holds at most RECORDS_PER_FILE records. Payloads are hashed again and must agree with their headers.
+    Offset and length are those of the record's gzip member, which can be read and unzipped for itself. Payloads are hashed again and must agree with their headers.
     """
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +144,8 @@ def index_runs(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
                 run = []
-                for offset, length, head, block in parse(gzip.decompress(data.as_py())):
+                for offset, length, content in members(data.as_py()):
+                    head, block = parse(content)
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, n = head["warc-payload-digest"].removeprefix("sha1:"), int(http.rpartition(b":")[2])
                     if head["warc-type"] == "response" and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
@@ -127,7 +160,7 @@ def index_runs(spark, path: str) -> DataFrame:
                     entry["place"] = place
                 yield pa.RecordBatch.from_pylist(run, pa.schema([(f.name, pa.string() if f.dataType == StringType() else pa.int64()) for f in INDEX]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(entries, INDEX)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(entries, INDEX)
 
 
 class LoserTree:
@@ -166,45 +199,38 @@ class LoserTree:
 def merged_histories(runs: DataFrame) -> DataFrame:
     """The entries of all runs in global order of URL key and time: range_id and history_place are added.
 
-    Ranges are cut by keys that include time, page and place in the archive, so captures of one URL
-    spread over many; each holds about ENTRIES_PER_RANGE entries and merges its part of every run.
+    Entries are dealt by ranges of the whole order, which includes time, page and place in the archive, so captures of one URL
+    spread over many tasks; each merges its part of every run.
     """
-    cut = F.struct("url_key", "stamp", F.col("page_id").isNull().alias("unknown"), F.coalesce("page_id", F.lit(0)).alias("page"), "file", "offset")
-    total = runs.count()
-    ranges = -(-total // ENTRIES_PER_RANGE) or 1
-    step = max(1, total // SAMPLED_KEYS)
-    sampled = runs.where(F.pmod(F.xxhash64("file", "offset"), F.lit(step)) == 0).select(cut.alias("cut")).limit(4 * SAMPLED_KEYS).collect()  # about SAMPLED_KEYS; affects only the ranges' sizes
-    keys = sorted(tuple(r["cut"]) for r in sampled)
-    bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
-    spark = runs.sparkSession
-    kind = StructType([StructField("bounds", runs.select(F.array(cut).alias("b")).schema["b"].dataType)])
-    table = spark.createDataFrame([(bounds,)], kind)  # one row of at most SAMPLED_KEYS bounds
-    dealt = runs.crossJoin(F.broadcast(table)).withColumn("range_id", F.size(F.filter("bounds", lambda b: b <= cut))).drop("bounds") if bounds else runs.withColumn("range_id", F.lit(0))
-    names = [f.name for f in INDEX]
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["file", "place"], kind="stable").reset_index(drop=True)
+    order = ["url_key", "stamp", F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)), "file", "offset"]
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // ENTRIES_PER_RANGE))
+    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", "place").withColumn("range_id", F.spark_partition_id())
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat([pd.DataFrame(columns=names), *batches], ignore_index=True)  # about ENTRIES_PER_RANGE entries
+        if part.empty:
+            return
         heads = list(zip(part.url_key, part.stamp, part.page_id.isna(), part.page_id.fillna(0), part.file, part.offset, part.index))
         starts = [*part.index[part.file.ne(part.file.shift())], len(part)]
-        order = [x[-1] for x in LoserTree([heads[a:b] for a, b in zip(starts, starts[1:])])]
-        return part.loc[order].assign(in_range=range(len(part)))
+        merged = [x[-1] for x in LoserTree([heads[a:b] for a, b in zip(starts, starts[1:])])]
+        yield part.loc[merged].assign(in_range=range(len(part)))
 
-    out = dealt.groupBy("range_id").applyInPandas(merge, StructType([*INDEX, StructField("range_id", IntegerType()), StructField("in_range", LongType())]))
-    sizes = {r["range_id"]: r["count"] for r in dealt.groupBy("range_id").count().collect()}  # a number a range
-    before, shift = 0, []
-    for r in sorted(sizes):
-        shift.append((r, before))
-        before += sizes[r]
-    out = out.join(F.broadcast(spark.createDataFrame(shift, "range_id int, before long")), "range_id")
-    return out.select("range_id", *names, (F.col("in_range") + F.col("before")).alias("history_place"))
+    names = [*INDEX.names, "range_id"]
+    out = materialize(dealt.mapInPandas(merge, StructType([*INDEX, StructField("range_id", IntegerType()), StructField("in_range", LongType())])))
+    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = out.groupBy("range_id").agg(F.count(F.lit(1)).alias("rows")).select("range_id", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    shift = F.broadcast(shift) if ranges <= BROADCAST_ROWS else shift
+    return out.join(shift, "range_id").select("range_id", *INDEX.names, (F.col("in_range") + F.col("before")).alias("history_place"))
 
 
-def archive(pages: DataFrame, key: str, url: str, html: str, least_bytes: int = 0) -> DataFrame:
+def archive(pages: DataFrame, key: str, url: str, html: str, least_bytes: int = 0, time: str | None = None) -> DataFrame:
     """Writes pages as WARC archives, reads them back and returns their capture histories, one row per page.
 
+    Captures are dated by the timestamp column time (EPOCH where it is null); without one, EPOCH and as many seconds as the key
+    says stand for it, so the captures of a URL are in the order of their keys.
     A null html is an empty payload, a null url an empty one. Rows without a key come last and refer to
     the least key of their payload. Rows that repeat the least key of a payload are all responses. Other
     columns are not archived; no pages give no rows.
     """
-    path = write_archives(pages, key, url, html, least_bytes)
+    path = write_archives(pages, key, url, html, least_bytes, time)
     return merged_histories(materialize(index_runs(pages.sparkSession, path)))

@@ -1,9 +1,11 @@
 """Near duplicates, decontamination, archives and the pipeline against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pytest
@@ -146,7 +148,8 @@ def test_occurrences_at_any_number_of_candidates(monkeypatch, candidates):
 
 def test_archives(spark, monkeypatch):
     monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 7)
-    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 5)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1500)
+    monkeypatch.setattr(warc, "CHUNK", 50)
     bodies = ["", None, "<p>\r\n\r\nWARC/1.1\r\n</p>", "é" * 999, "a", "a"]
     rows = [(i, None if i == 3 else f"http://h{i % 3}.example.org:81/p q?x=é#{i}", bodies[i % 6]) for i in range(60)] + [(None, "x", "a"), (4, "x", "a"), (77, "http://[bad", "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
@@ -159,7 +162,17 @@ def test_archives(spark, monkeypatch):
         first.setdefault(h or "", i)
     want = sorted((str(i), len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows)
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    for r in got:  # an entry's offset and length are enough to read its record
+        with open(unquote(urlsplit(r.file).path), "rb") as f:
+            f.seek(r.offset)
+            head, _ = warc.parse(gzip.decompress(f.read(r.length)))
+        assert head["warc-payload-digest"] == f"sha1:{r.payload_digest}" and head["warc-record-id"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>"
+    assert len({r.file for r in got}) > 8  # by bytes
+    with open(unquote(urlsplit(got[0].file).path), "rb") as f:
+        assert gzip.decompress(f.read()).startswith(b"WARC/1.1")  # a plain reader takes the whole file
     assert warc.archive(pages.limit(0), "page_id", "url", "html").count() == 0
+    times = spark.createDataFrame([(1, "u", "a", "2021-01-02 00:00:00"), (2, "u", "b", "2021-01-01 00:00:00"), (3, "u", "c", None)], "page_id long, url string, html string, at string").withColumn("at", F.to_timestamp("at"))
+    assert [r.page_id for r in warc.archive(times, "page_id", "url", "html", time="at").orderBy("history_place").collect()] == [3, 2, 1]
 
 
 @pytest.mark.parametrize("runs", [[], [[1]], [[], [2, 2], [1, 3], []], [[5, 6], [1, 9], [2], [3, 4, 8]]])
@@ -209,7 +222,7 @@ def test_stages_act_row_by_row(spark, documents, tmp_path):
     assert counted(run("decontaminate").collect()) == counted(r for r in all_rows if item not in (r.text or ""))
     kept = run("near_dedup").collect()
     assert len([r for r in kept if r.text == c]) == 1  # of repeated rows one
-    gone = [(2, a), (None, b), (6, c), (7, b + " " + secret)]
+    gone = [(2, a), (None, b), (6, c), (7, b + " " + secret), (None, c + " " + item)]  # the last shares 76 of 88 shingles with c
     left = list(rows)
     for x in gone:
         left.remove(x)
