@@ -20,6 +20,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WORDLIKE = re.compile(r"[A-Z]?[a-z]*\Z|[A-Z]+\Z|[-_=+/]*\Z")
 #: Values after a cue and = or :, of any characters but blanks; a quoted one ends with its quote.
 _SIGN, _VALUE = re.compile("[=:]"), re.compile(r"""[=:>]{0,2}\s{0,3}(?:"([^\s"]{6,})|'([^\s']{6,})|([^\s"']\S{5,}))""")
+_AFTER = re.compile(r"[^A-Za-z]{0,4}([A-Za-z]+)")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z]{0,4}\Z")
 #: Words that announce a secret, and words that announce something else.
 CUES = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials private access".split())
@@ -40,8 +41,8 @@ def _class(c: str) -> int:
     return 0 if c in "0123456789" else 1 if c in "abcdef" else 2 if "a" <= c <= "z" else 3 if c in "ABCDEF" else 4 if "A" <= c <= "Z" else 5
 
 
-def features(value: str, before: str, path: str) -> list[float]:
-    """Length, character transitions, dictionary coverage, path, letters and what is before a candidate."""
+def features(value: str, before: str, path: str, after: str = "") -> list[float]:
+    """Length, character transitions, dictionary coverage, path, letters, and what is before and after a candidate."""
     kinds = [_class(c) for c in value]
     n = len(value)
     counts = {c: value.count(c) for c in set(value)}
@@ -50,10 +51,12 @@ def features(value: str, before: str, path: str) -> list[float]:
     rising = sum(ord(b) - ord(a) == 1 for a, b in zip(value, value[1:])) / (n - 1)
     covered = sum(len(m[0]) for m in _DICTIONARY.finditer(value.lower())) / n
     cue = (m := _BEFORE.search(before)) and m[1].lower()
+    next_word = (m := _AFTER.match(after)) and m[1].lower()
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     shares = [kinds.count(k) / n for k in range(6)]
     return [float(n), changes, digit_steps, rising, covered, entropy, *shares, float(cue in CUES), float(cue in OTHER_CUES), float(bool(_PATHS.search(path))), float(value.startswith(("AKIA", "ghp_", "sk-", "xox"))), float(value.count("-") == 4 and n == 36),
-            float(bool(_ANNOUNCED.search(before))), max(map(len, _CONSONANTS.findall(value.lower())), default=0) / n, sum(map(value.lower().count, "aeiou")) / n, float(value[0] in "$<{[%(/" or "(" in value or "://" in value)]
+            float(bool(_ANNOUNCED.search(before))), max(map(len, _CONSONANTS.findall(value.lower())), default=0) / n, sum(map(value.lower().count, "aeiou")) / n, float(value[0] in "$<{[%(/" or "(" in value or "://" in value),
+            float(next_word in CUES), float(next_word in OTHER_CUES), float(after[:1] in ("(", "[", "."))]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -102,8 +105,17 @@ def announced_value(rng: random.Random) -> tuple[str, str, int]:
     return (value if len(value) >= 6 else value + "ation"), before, 0
 
 
-def labelled_finding(rng: random.Random) -> tuple[str, str, str, int]:
-    """(value, text before, path, 1 for a secret) of one made-up finding."""
+def labelled_finding(rng: random.Random) -> tuple[str, str, str, int, str]:
+    """(value, text before, path, 1 for a secret, text after) of one made-up finding."""
+    value, before, path, secret = _finding(rng)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    after = rng.choice(["", "\n", " " + word, '"', "';", '",', ", " + word, ". " + word.capitalize()])
+    if not secret and rng.random() < 0.4:
+        after = rng.choice([" " + rng.choice(sorted(OTHER_CUES)), " (" + rng.choice(sorted(OTHER_CUES)) + ")", "(" + word, ".get(", "[0]"])
+    return value, before, path, secret, after
+
+
+def _finding(rng: random.Random) -> tuple[str, str, str, int]:
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexes, upper, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789"
     base64s = upper + "abcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -130,7 +142,7 @@ def labelled_finding(rng: random.Random) -> tuple[str, str, str, int]:
 def trained_forest(seed: int = 5) -> Forest:
     rng = random.Random(seed)
     rows = [labelled_finding(rng) for _ in range(TRAINED_ON)]
-    return Forest(seed=seed).fit(np.array([features(*r[:3]) for r in rows]), np.array([r[3] for r in rows]))
+    return Forest(seed=seed).fit(np.array([features(*r[:3], r[4]) for r in rows]), np.array([r[3] for r in rows]))
 
 
 def find(texts: list[str], paths: list[str], forest: Forest) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -138,7 +150,7 @@ def find(texts: list[str], paths: list[str], forest: Forest) -> list[tuple[int,
     found = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)]
     out: list[tuple[int, list[tuple[int, int]]]] = [(0, []) for _ in texts]
     if found:
-        votes = forest.predict(np.array([features(texts[i][a:b], texts[i][max(0, a - 40) : a], paths[i]) for i, a, b in found]))
+        votes = forest.predict(np.array([features(texts[i][a:b], texts[i][max(0, a - 40) : a], paths[i], texts[i][b : b + 40]) for i, a, b in found]))
         for (i, a, b), vote in zip(found, votes):
             out[i] = (out[i][0] + 1, out[i][1] + [(a, b)] if vote >= CONFIRMED else out[i][1])
     return [(n, joined(spans)) for n, spans in out]
