@@ -14,28 +14,40 @@ from evenkeel.llm.shared import bind
 
 #: Fixed notices by licence family; the words of each are the template that confirms a finding.
 TEMPLATES = {
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "This project is licensed under the terms of the MIT license"),
-    "apache": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "Distributed under the Apache 2.0 license"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GPL v2 or later"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license"),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Available under CC BY-SA 4.0"),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Available under CC BY-NC-SA 4.0"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0"),
+    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "This project is licensed under the terms of the MIT license", "SPDX-License-Identifier: MIT"),
+    "apache": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License", "Distributed under the Apache 2.0 license", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GPL v2 or later", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Available under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Available under CC BY-NC-SA 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the MPL 2.0", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("Copyright 2020 Example Corp. All rights reserved.", "All rights reserved.", "Copyright 2020 Example Corp.", "Copyright (c) 2020 Example Corp.", "Unauthorized copying of this file is strictly prohibited, proprietary and confidential"),
+    "isc": ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
+    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the LGPL v3", "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only"),
+    "agpl": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the AGPL v3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"),
 }
 #: Paragraphs that speak of licences without being under one.
 OTHERS = (
     "He lost his driving license and the police asked for permission to search the car", "The city council granted a license to open a new restaurant", "Copyright law is taught in the second year of the course",
     "The general public was not admitted to the hall", "You may use the free parking under the bridge", "The apache helicopter landed near the village", "A fishing license costs less than a hunting license",
     "The software version was released under pressure", "All rights of the tenant are listed in the contract", "Creative work is common in public schools",
-    "The copyright act of 1976 came before the court", "All rooms were reserved and the rights of way were blocked",
+    "The copyright act of 1976 came before the court", "All rooms were reserved and the rights of way were blocked", "Which license should a project choose", "The book has a chapter about the history of free software licenses",
+    "Lawyers argue about what the license permits", "The judge gave permission to appeal", "Please ask the office for permission to use the hall", "A license server must run before the program starts",
 )
+#: What turns a notice into talk about it: words before it, and words after it.
+DENIALS = (
+    "We never said that this is", "It was not", "This is no longer", "He asked whether the code is", "In this chapter we compare what it means that a work is", "Nobody knows if it was", "They refused to have it",
+    "An example of a notice reads:", "She explained what is meant by", "The question is not if it is", "Unlike other projects, ours is not",
+)
+REMARKS = ("is what the author wanted to avoid", "was only discussed and never chosen", "is explained in the next chapter", "would not be allowed here", "is a phrase that many people misread", "and other licenses are compared in the table")
+#: Words that may stand around either.
+NEUTRAL = "the of and to in that a an it this is be by for with from at on or as can found file files folder code project work next below above see conditions provided following documentation associated copies author authors available any all other named part all-in under text here notice".split()
 FAMILIES = tuple(TEMPLATES)
 UNKNOWN = "unknown"
 #: Paragraphs without any of these stems are not classified: they count as unknown.
-GATE = r"(?i)licen[sc]|copyright|redistribut|permission|prohibited|\bGPL\b|\bMPL\b|\bCC\s+BY|creative\s+commons|rights\s+reserved"
+GATE = r"(?i)licen[sc]|\bL?A?GPL|copyright|redistribut|permission|prohibited|\bGPL\b|\bMPL\b|\bCC\s+BY|creative\s+commons|rights\s+reserved"
 #: Labelled paragraphs for training, passes, and the sizes of the model: n-grams of one and two words.
-TRAINED_ON, STEPS, FEATURES = 1500, 300, 4000
+TRAINED_ON, STEPS, FEATURES = 4000, 300, 6000
 #: Probability that a finding needs, and the share of some notice's words that its paragraph must hold.
 LEAST_PROBABILITY, LEAST_COVERED = 0.5, 0.6
 #: Words of a paragraph that are compared; longer paragraphs are cut into several that overlap.
@@ -55,15 +67,19 @@ def _ngrams(text: str) -> list[str]:
 
 
 def labelled_paragraph(rng: random.Random) -> tuple[str, str]:
-    family = rng.choice([*FAMILIES, UNKNOWN, UNKNOWN])
-    filler = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    family = rng.choice([*FAMILIES, UNKNOWN, UNKNOWN, UNKNOWN, UNKNOWN])
+    made_up = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 8)))
+    filler = lambda n: " ".join(rng.choice(NEUTRAL) if rng.random() < 0.5 else made_up() for _ in range(n))
     body = rng.choice(OTHERS if family == UNKNOWN else TEMPLATES[family])
-    if family == UNKNOWN and rng.random() < 0.3:
+    if family == UNKNOWN and rng.random() < 0.5:
+        notice = rng.choice(TEMPLATES[rng.choice(FAMILIES)]).rstrip(".")
+        body = rng.choice([f"{rng.choice(DENIALS)} {notice}", f"{notice} {rng.choice(REMARKS)}", f"{rng.choice(DENIALS)} {notice} {rng.choice(REMARKS)}"])
+    elif family == UNKNOWN and rng.random() < 0.3:
         words = [w for t in OTHERS for w in t.split()]
         body = " ".join(rng.choice(words) for _ in range(12)) + rng.choice(["", " license", " copyright", " permission"])
     elif family != "proprietary" and rng.random() < 0.2:  # whoever holds the rights has licensed the work
         body = rng.choice(TEMPLATES["proprietary"][:4]) + " " + body
-    body = body.replace(HOLDER, filler(rng.randint(1, 3)).title())
+    body = body.replace(HOLDER, " ".join(made_up() for _ in range(rng.randint(1, 3))).title())
     return filler(rng.choice([0, 0, 2, 6])) + " " + body + " " + filler(rng.choice([0, 0, 3, 10])), family
 
 
@@ -98,14 +114,16 @@ def trained_model(seed: int = 3) -> tuple[dict[str, list[float]], list[float]]:
     return {g: [round(float(v), 4) for v in scale * w[i]] for g, i in index.items()}, [round(float(v), 4) for v in scale * b]
 
 
-def _notices() -> list[tuple[str, list[str]]]:
-    """The words of each notice by which it is known: never a holder, and a year only where little else is left."""
+def _notices() -> list[tuple[str, list[str], list[str]]]:
+    """Family and words of each notice by which it is known, never a holder, and a year only where little else is left; and
+    those of its words that no other family has, of which one must be there."""
     out = []
     for family, notices in TEMPLATES.items():
         for notice in notices:
             words = set(_words(notice.replace(HOLDER, ""))) - {"c"}
-            out.append((family, sorted(words - {ANY_YEAR} if len(words) > 2 else words)))
-    return out
+            out.append((family, words - {ANY_YEAR} if len(words) > 2 else words))
+    others = {f: set().union(*(w for g, w in out if g != f)) for f in FAMILIES}
+    return [(f, sorted(w), sorted(w - others[f])) for f, w in out]
 
 
 def find(df: DataFrame, text: str) -> DataFrame:
@@ -123,7 +141,7 @@ def find(df: DataFrame, text: str) -> DataFrame:
     """
     weights, bias = trained_model()
     classes = (*FAMILIES, UNKNOWN)
-    model = df.sparkSession.createDataFrame([(weights, bias, _notices())], "__w map<string,array<double>>, __b array<double>, __n array<struct<family:string,words:array<string>>>")
+    model = df.sparkSession.createDataFrame([(weights, bias, _notices())], "__w map<string,array<double>>, __b array<double>, __n array<struct<family:string,words:array<string>,own:array<string>>>")
     seam = max(len(_words(t)) for ts in TEMPLATES.values() for t in ts)
     part_type = "array<struct<line:int,block:int,joined:boolean,words:array<string>>>"
     words_of = lambda t: F.regexp_extract_all(F.regexp_replace(F.lower(t), _YEAR, ANY_YEAR), F.lit(f"({_WORD})"), F.lit(1))
@@ -164,7 +182,7 @@ def find(df: DataFrame, text: str) -> DataFrame:
             top = F.array_max(s)
             total = F.aggregate(s, F.lit(0.0), lambda t, v: t + F.exp(v - top))
             family = F.element_at(F.array(*map(F.lit, classes)), F.array_position(s, top).cast("int"))
-            covers = lambda n: (n["family"] == family) & (F.size(F.array_intersect(n["words"], words)) >= LEAST_COVERED * F.size(n["words"]))
+            covers = lambda n: (n["family"] == family) & ((F.size(n["own"]) == 0) | F.arrays_overlap(n["own"], words)) & (F.size(F.array_intersect(n["words"], words)) >= LEAST_COVERED * F.size(n["words"]))
             return F.struct(part["line"].alias("line"), part["block"].alias("block"), part["joined"].alias("joined"), family.alias("family"), (1 / total).alias("probability"), F.exists(F.col("__n"), covers).alias("confirmed"))
 
         return bind(scores, verdict)
