@@ -45,18 +45,18 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[flo
     Equal values are counted before the first shuffle; the distinct ones are dealt by ranges, so that no class is
     gathered, and only the two values around each point come together.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    part, place = "__part", "__place"
-    dealt = counts.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn(place, F.monotonically_increasing_id())
+    key, part, place = "__key", "__part", "__place"  # a struct, in which a null level equals itself
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*by).alias(key), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    dealt = counts.repartitionByRange(key, "__v").sortWithinPartitions(key, "__v").withColumn(place, F.monotonically_increasing_id())
     rows = materialize(dealt).withColumn(part, F.shiftright(place, 33))
-    heads = rows.groupBy(part, *by).agg(F.sum("__c").alias("__rows"))
-    of_class = Window.partitionBy(*by)
+    heads = rows.groupBy(part, key).agg(F.sum("__c").alias("__rows"))
+    of_class = Window.partitionBy(key)
     before = of_class.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(part, *by, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(of_class).alias("__n"))
-    within = Window.partitionBy(part, *by).orderBy(place)
-    upto = rows.withColumn("__own", F.sum("__c").over(within)).join(heads, [part, *by]).withColumn("__upto", F.col("__before") + F.col("__own"))
-    at = lambda k: F.min(F.when(F.col("__upto") > k, F.col(value)))
+    heads = heads.select(part, key, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(of_class).alias("__n"))
+    within = Window.partitionBy(part, key).orderBy(place)
+    upto = rows.withColumn("__own", F.sum("__c").over(within)).join(heads, [part, key]).withColumn("__upto", F.col("__before") + F.col("__own"))
+    at = lambda k: F.min(F.when(F.col("__upto") > k, F.col("__v")))
     h = lambda p: (F.col("__n") - 1) * F.lit(float(p))
-    found = upto.groupBy(*by).agg(F.first("__n").alias("__n"), *(at(f(h(p))).alias(f"__{n}_{s}") for p, n in zip(points, names) for s, f in (("a", F.floor), ("b", F.ceil))))
+    found = upto.groupBy(key).agg(F.first("__n").alias("__n"), *(at(f(h(p))).alias(f"__{n}_{s}") for p, n in zip(points, names) for s, f in (("a", F.floor), ("b", F.ceil))))
     share = lambda p: h(p) - F.floor(h(p))
-    return found.select(*by, *(((1 - share(p)) * F.col(f"__{n}_a") + share(p) * F.col(f"__{n}_b")).alias(n) for p, n in zip(points, names)))
+    return found.select(f"{key}.*", *(((1 - share(p)) * F.col(f"__{n}_a") + share(p) * F.col(f"__{n}_b")).alias(n) for p, n in zip(points, names)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.numbers import percent
 from evenkeel.functions.ranks import quantiles
+from evenkeel.functions.storage import materialize
 from evenkeel.plans.model import MetricSpec
 
 PARTS = ("n_metric", "mean", "min", "max", "q25", "q75", "std")
@@ -21,10 +22,14 @@ def long_form(df: DataFrame, keys: Sequence[str], metrics: Sequence[MetricSpec])
     return df.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.metric", "m.v")
 
 
-def statistics(v: str = "v") -> list[Column]:
+def moments(v: str = "v") -> list[Column]:
     c = F.col(v)
-    q = lambda p: F.percentile(c, F.lit(p))
-    return [F.count(c).alias("n_metric"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.stddev_samp(c).alias("std")]
+    return [F.count(c).alias("n_metric"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std")]
+
+
+def statistics(v: str = "v") -> list[Column]:
+    """Moments and quartiles of groups whose values fit into a task."""
+    return [*moments(v), F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.75)).alias("q75")]
 
 
 def derived() -> dict[str, Column]:
@@ -38,8 +43,11 @@ def derived() -> dict[str, Column]:
 
 
 def dispersion(df: DataFrame, keys: Sequence[str], metrics: Sequence[MetricSpec]) -> DataFrame:
-    """A row for each cell and metric, from one aggregate with one shuffle."""
-    return long_form(df, keys, metrics).groupBy(*keys, "metric").agg(*statistics()).withColumns(derived())
+    """A row for each cell and metric; quartiles come from ranks by range, so no task holds a cell's values."""
+    rows, by = materialize(long_form(df, keys, metrics)), [*keys, "metric"]
+    cells = rows.groupBy(*by).agg(*moments()).withColumn("__cell", F.struct(*by))  # null levels are levels
+    quartiles = quantiles(rows, by, "v", (0.25, 0.75), ("q25", "q75")).select(F.struct(*by).alias("__cell"), "q25", "q75")
+    return cells.join(quartiles, "__cell", "left").drop("__cell").withColumns(derived())
 
 
 def sorted_quantile(df: DataFrame, keys: Sequence[str], v: str, p: float) -> DataFrame:

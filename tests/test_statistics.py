@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions.tails import chi2_tail, f_tail
-from evenkeel.operators import dispersion, models, resample, windows
+from evenkeel.operators import dispersion, models, quality, resample, windows
 from evenkeel.plans.model import MetricSpec
 
 SPEC = [MetricSpec("m", "v", "ok")]
@@ -36,6 +36,21 @@ def test_sorted_quantile_equals_percentile(spark):
         assert {r[0]: pytest.approx(r[1], rel=1e-9) for r in dispersion.sorted_quantile(df, ["cell"], "v", p).collect()} == want
 
 
+def test_a_null_level_is_a_level(spark):
+    df = spark.createDataFrame([(None, 1.0, True), (None, 3.0, True), ("b", 5.0, True), ("c", 2.0, False)], "cell string, v double, ok boolean")
+    got = {r.cell: (r.n_metric, r.q25, r.q75) for r in dispersion.dispersion(df, ["cell"], SPEC).collect()}
+    assert got == {None: (2, 1.5, 2.5), "b": (1, 5.0, 5.0), "c": (0, None, None)}
+
+
+def test_intervals_that_are_broken(spark):
+    df = spark.createDataFrame([(3, 1.0, 2.0), (3, 2.0, 1.0), (0, None, None), (0, 1.0, None), (2, None, 1.0)], "n_defined long, lower double, upper double")
+    assert resample.interval_violations(df).count() == 3
+    assert quality.missing_columns(df, ["lower", "x"]) == ["x"]
+    quality.require_none(df.limit(0), "rows")
+    with pytest.raises(ValueError, match="rows"):
+        quality.require_none(df, "rows")
+
+
 def test_windows(spark):
     df = cells(spark, [1, 2, 3, 4, 5])
     dev = windows.deviations(df, ["cell"], "v", "ok").collect()
