@@ -32,6 +32,11 @@ def long_enough(df: DataFrame, cfg: Sequence[str], n: int) -> DataFrame:
     return df.join(short_cells(df, cfg, n).select(*cfg), list(cfg), "left_anti")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt over all shuffle partitions: few small rows that are about to become many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def balanced_sample(df: DataFrame, cfg: Sequence[str], row_id: str, n: int, seed: int, replicates: int = 5000) -> DataFrame:
     """n rows of each cell in each replicate, without replacement and before any mask; a cell with fewer rows raises when it is read.
 
@@ -43,7 +48,7 @@ def balanced_sample(df: DataFrame, cfg: Sequence[str], row_id: str, n: int, seed
     placed = gapless_rank(rows, cfg, [row_id], "__place")
     cells = rows.groupBy(*cfg).agg(F.count(F.lit(1)).alias("__n"))
     enough = F.when(F.col("__n") >= n, F.col("__n")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("too few rows in cell"), *cfg)).cast("long"))
-    cells = cells.withColumn("__n", enough).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    cells = _spread(cells.withColumn("__n", enough).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))))
     cell = F.concat_ws("|", *cfg)
 
     def add(taken: Column, k: Column) -> Column:
@@ -115,7 +120,7 @@ def bootstrap(df: DataFrame, cfg: Sequence[str], row_id: str, metrics: Sequence[
     placed = gapless_rank(rows, keys, ["v", "__row"], "place").withColumn("place", F.col("place") + 1).drop("__row")
     placed = materialize(placed.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys))
     slot = F.concat_ws("|", *keys, F.col("place").cast("string"))
-    draws = placed.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), slot.alias("slot"))
+    draws = _spread(placed).select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), slot.alias("slot"))
     draws = draws.select(*keys, "replicate", (1 + draw(seed, F.col("replicate"), F.col("slot")) % F.col("n")).alias("place"))
     drawn = draws.groupBy(*keys, "replicate", "place").agg(F.count(F.lit(1)).alias("w")).join(placed.select(*keys, "place", "v"), [*keys, "place"])
     q = lambda p: F.percentile("v", F.lit(p), F.col("w"))

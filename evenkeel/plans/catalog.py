@@ -57,6 +57,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(c, digits) + 0.0).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
 
 
+def settled(df: DataFrame, digits: int = 5) -> DataFrame:
+    """As rounded, but a hair up: means and quantiles of short decimals often lie just between two, where sums in another order would decide."""
+    kinds = dict(df.dtypes)
+    return rounded(df.select(*((F.col(c) + 1e-9).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns)), digits)
+
+
 def _cells(spark, sf_dir):
     return D.dispersion(outcome_runs(spark, sf_dir), CFG, METRICS)
 
@@ -346,25 +352,25 @@ def balanced_sample(spark, sf_dir):
 @query
 def balanced_config_sensitivity(spark, sf_dir):
     sample, own = _sample(spark, sf_dir), D.dispersion(_enough_runs(spark, sf_dir), CFG, METRICS)
-    return rounded(R.config_sensitivity(sample, own, CFG, METRICS, STATS), 7)
+    return settled(R.config_sensitivity(sample, own, CFG, METRICS, STATS))
 
 
 @query
 def balanced_factor_sensitivity(spark, sf_dir):
     cells = materialize(R.replicate_cells(_sample(spark, sf_dir), CFG, METRICS))
-    return rounded(R.factor_sensitivity(_in_scopes(cells), CFG, ["iqr_pct", "std_pct"], ["scope"]), 7)
+    return settled(R.factor_sensitivity(_in_scopes(cells), CFG, ["iqr_pct", "std_pct"], ["scope"]))
 
 
 @query
 def balanced_extrema(spark, sf_dir):
     cells = materialize(R.replicate_cells(_sample(spark, sf_dir), CFG, METRICS))
     own = D.dispersion(_enough_runs(spark, sf_dir), CFG, METRICS)
-    return rounded(R.extrema_sensitivity(_in_scopes(cells), _in_scopes(own), EXTREMA, ["scope"]), 7)
+    return settled(R.extrema_sensitivity(_in_scopes(cells), _in_scopes(own), EXTREMA, ["scope"]))
 
 
 @query
 def balanced_denominators(spark, sf_dir):
-    return rounded(R.denominators(_sample(spark, sf_dir), _enough_runs(spark, sf_dir), CFG, FLAGS), 7)
+    return settled(R.denominators(_sample(spark, sf_dir), _enough_runs(spark, sf_dir), CFG, FLAGS))
 
 
 def _bootstrap(spark, sf_dir):
@@ -374,12 +380,12 @@ def _bootstrap(spark, sf_dir):
 @query
 def bootstrap_config_intervals(spark, sf_dir):
     long = R.long_statistics(_bootstrap(spark, sf_dir), [*CFG, "metric", "replicate"], ["iqr_pct", "std_pct"])
-    return rounded(R.summary(long, [*CFG, "metric", "statistic"]), 7)
+    return settled(R.summary(long, [*CFG, "metric", "statistic"]))
 
 
 @query
 def bootstrap_factor_intervals(spark, sf_dir):
-    return rounded(R.factor_sensitivity(_in_scopes(materialize(_bootstrap(spark, sf_dir))), CFG, ["iqr_pct", "std_pct"], ["scope"]), 7)
+    return settled(R.factor_sensitivity(_in_scopes(materialize(_bootstrap(spark, sf_dir))), CFG, ["iqr_pct", "std_pct"], ["scope"]))
 
 
 @query

@@ -58,8 +58,13 @@ def _unpivot(source: str, keys: str, columns) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{c}' AS statistic, \"{c}\"::DOUBLE AS value FROM ({source})" for c in columns)
 
 
-def _summary(source: str, keys: str, digits: int = 7) -> str:
-    return f"SELECT {keys}, count(value) AS n_defined, round(quantile_cont(value, 0.5), {digits}) AS median, round(quantile_cont(value, 0.025), {digits}) AS lower, round(quantile_cont(value, 0.975), {digits}) AS upper, round(min(value), {digits}) AS \"min\", round(max(value), {digits}) AS \"max\" FROM ({source}) GROUP BY {keys}"
+def _settled(value: str) -> str:
+    return f"round({value} + 1e-9, 5)"
+
+
+def _summary(source: str, keys: str, settle=_settled) -> str:
+    ends = (("median", "quantile_cont(value, 0.5)"), ("lower", "quantile_cont(value, 0.025)"), ("upper", "quantile_cont(value, 0.975)"), ("min", "min(value)"), ("max", "max(value)"))
+    return f"SELECT {keys}, count(value) AS n_defined, " + ", ".join(f'{settle(x)} AS "{n}"' for n, x in ends) + f" FROM ({source}) GROUP BY {keys}"
 
 
 def _levels(source: str, factors, rest: str) -> str:
@@ -191,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
     nine = ("n_metric", "mean", "iqr_pct", "std_pct", "delta_min_pct", "delta_max_pct", "range", "wcd", "wcd_pct")
     reps = _summary(_unpivot("SELECT * FROM rep", f"{_CFG}, metric", nine), f"{_CFG}, metric, statistic")
     own = _unpivot("SELECT * FROM own", f"{_CFG}, metric", nine)
-    q["balanced_config_sensitivity"] = run(f"SELECT {_CFG}, metric, statistic, round(value, 7) AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({own}) o JOIN ({reps}) s USING ({_CFG}, metric, statistic)", _SAMPLE, rep, own_balanced)
+    q["balanced_config_sensitivity"] = run(f"SELECT {_CFG}, metric, statistic, {_settled('value')} AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({own}) o JOIN ({reps}) s USING ({_CFG}, metric, statistic)", _SAMPLE, rep, own_balanced)
 
     def by_factor(cells: str) -> str:
         levels = _levels(_IN_SCOPES.format(cells), _CFG.split(", "), "scope, metric, replicate, iqr_pct, std_pct")
@@ -204,12 +209,12 @@ def oracle_sql() -> dict[str, str]:
     ends = {"delta_min_pct": "min", "delta_max_pct": "max", "range": "max", "wcd": "max", "wcd_pct": "max"}
     end = lambda source, keys: f"SELECT {keys}, " + ", ".join(f"{f}({c}) AS {c}" for c, f in ends.items()) + f" FROM ({_IN_SCOPES.format('SELECT * FROM ' + source)}) GROUP BY ALL"
     drawn_ends = _summary(_unpivot(end("rep", "scope, metric, replicate"), "scope, metric", ends), "scope, metric, statistic")
-    q["balanced_extrema"] = run(f"SELECT scope, metric, statistic, CASE WHEN statistic = 'delta_min_pct' THEN 'min' ELSE 'max' END AS direction, round(value, 7) AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({_unpivot(end('own', 'scope, metric'), 'scope, metric', ends)}) JOIN ({drawn_ends}) USING (scope, metric, statistic)", _SAMPLE, rep, own_balanced)
+    q["balanced_extrema"] = run(f"SELECT scope, metric, statistic, CASE WHEN statistic = 'delta_min_pct' THEN 'min' ELSE 'max' END AS direction, {_settled('value')} AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({_unpivot(end('own', 'scope, metric'), 'scope, metric', ends)}) JOIN ({drawn_ends}) USING (scope, metric, statistic)", _SAMPLE, rep, own_balanced)
     flags = ("submitted", "positive", "zero", "none", "tps_point_valid", "latency_valid", "energy_valid_positive")
     counted = lambda source, keys: _unpivot(f"SELECT {keys}, " + ", ".join(f'count(*) FILTER ("{f}") AS "{f}"' for f in flags) + f" FROM {source} GROUP BY ALL", _CFG, flags)
     drawn_counts = _summary(counted("sample", f"{_CFG}, replicate"), f"{_CFG}, statistic")
     q["balanced_denominators"] = run(f"SELECT {_CFG}, statistic, value::BIGINT AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({counted('enough', _CFG)}) JOIN ({drawn_counts}) USING ({_CFG}, statistic)", _SAMPLE)
-    boot = _summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic", 12)
+    boot = _summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic", str)
     q["bootstrap_config_intervals"] = run(_summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic"), _BOOT)
     q["bootstrap_factor_intervals"] = run(by_factor("SELECT * FROM boot"), _BOOT)
     q["bootstrap_outside_markers"] = run(f"SELECT {_CFG}, metric, statistic, coalesce(value < lower - 1e-9 * greatest(abs(value), 1) OR value > upper + 1e-9 * greatest(abs(value), 1), false) AS is_outside FROM ({_unpivot('SELECT * FROM own', _CFG + ', metric', ('iqr_pct', 'std_pct'))}) o JOIN ({boot}) s USING ({_CFG}, metric, statistic)", _BOOT, f"own AS ({_dispersion(_CFG, _long(_CFG))})")
