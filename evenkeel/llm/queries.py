@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontamination, licenses, neardup, packing, pii, quality, secretscan, sharding, tokencount, warc
+from evenkeel.llm import decontamination, importance, licenses, neardup, packing, periodic, pii, quality, secretscan, sharding, tokencount, warc
 
 SHARDS, SEQUENCE, SIMILAR_PERCENT = 40, 1024, 85
 
@@ -63,6 +63,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", scanned["candidates"].alias("secret_candidates"), scanned["secrets"].alias("secrets"), scanned["spans"].alias("secret_spans"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "text")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_table(spark, sf_dir, "documents"), "doc_id", "text", periodic.planted)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(F.concat_ws("", F.transform("runs", line)), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_sharding, op2_packing, op3_pii, op4_quality, op5_near_duplicates, op6_token_counts, op7_decontamination, op8_warc, op9_licenses, op10_secrets, pipeline)
+    ops = (op1_sharding, op2_packing, op3_pii, op4_quality, op5_near_duplicates, op6_token_counts, op7_decontamination, op8_warc, op9_licenses, op10_secrets, op11_importance, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -123,8 +137,34 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+_OP11 = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_OP7_WORDS.format(_LOWER)} AS ws FROM documents),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest({_OP7_WORDS.format(_LOWER)}) AS w FROM benchmark),
+hexed AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+crc AS (
+  SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda p: ('0x' || substr(x, p, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, tab
+),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM dw JOIN crc USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM bw JOIN crc USING (w) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM dw)::DOUBLE + 10000) / ((s + 1) * ((SELECT count(*) FROM bw)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+),
+weight AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (r)
+),
+placed AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id NULLS FIRST) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM placed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can state. Others are held against brute force in the tests: checksums and slots (1),
-    tokens (2, 6), models (3, 9, 10) and archives (8) are no SQL."""
-    return {"op4_quality": _OP4, "op5_near_duplicates": _OP5, "op7_decontamination": _OP7}
+    tokens (2, 6), models (3, 9, 10), archives (8) and the runs of long texts (13) are no SQL."""
+    return {"op4_quality": _OP4, "op5_near_duplicates": _OP5, "op7_decontamination": _OP7, "op11_importance": _OP11}
