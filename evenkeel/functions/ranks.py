@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evenkeel.functions.cells import cell_key, join_cells
 from evenkeel.functions.storage import materialize
 
 #: Largest number of rows that a small side may have to be broadcast.
@@ -19,7 +20,7 @@ def gapless_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], name: s
 
     No class is gathered into one task: rows are dealt by ranges of (by, order, salt), so that even a
     class or key with most of the rows spreads; each range numbers its rows, and the counts of each
-    (range, class) give the offsets. ``by`` columns must not be null; ``classes``, where known, bounds their number.
+    (range, class) give the offsets. Null ``by`` levels are levels; ``classes``, where known, bounds their number.
     df is read twice (once to find the ranges), so pass a table that is cheap to read.
     """
     rank, place, part = f"__{name}_rank", f"__{name}_place", f"__{name}_part"
@@ -36,7 +37,7 @@ def gapless_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], name: s
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if classes is not None and ranges + classes <= BROADCAST_ROWS:  # heads has at most this many rows
         heads = F.broadcast(heads)
-    return rows.join(heads, [part, *by]).withColumn(name, F.col(place) + F.col("__shift")).drop(part, place, "__shift")
+    return join_cells(rows, heads, [part, *by]).withColumn(name, F.col(place) + F.col("__shift")).drop(part, place, "__shift")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -45,8 +46,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[flo
     Equal values are counted before the first shuffle; the distinct ones are dealt by ranges, so that no class is
     gathered, and only the two values around each point come together.
     """
-    key, part, place = "__key", "__part", "__place"  # a struct, in which a null level equals itself
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*by).alias(key), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    key, part, place = "__key", "__part", "__place"
+    counts = df.filter(F.col(value).isNotNull()).groupBy(cell_key(by).alias(key), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     dealt = counts.repartitionByRange(key, "__v").sortWithinPartitions(key, "__v").withColumn(place, F.monotonically_increasing_id())
     rows = materialize(dealt).withColumn(part, F.shiftright(place, 33))
     heads = rows.groupBy(part, key).agg(F.sum("__c").alias("__rows"))

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.functions.cells import cell_label, join_cells
 from evenkeel.functions.numbers import percent
 from evenkeel.functions.ranks import quantiles
+from evenkeel.functions.selection import quantiles_of_columns
 from evenkeel.functions.storage import materialize
 from evenkeel.plans.model import MetricSpec
 
@@ -57,7 +59,7 @@ def sorted_quantile(df: DataFrame, keys: Sequence[str], v: str, p: float) -> Dat
 
 def scope_maxima(cells: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """For each metric and statistic its greatest value (of delta_min_pct by size) and the cell, ties to the first cell."""
-    long = cells.select("metric", "n_metric", F.concat_ws("|", *keys).alias("cell"), *columns).unpivot(["metric", "n_metric", "cell"], list(columns), "statistic", "value")
+    long = cells.select("metric", "n_metric", cell_label(keys).alias("cell"), *columns).unpivot(["metric", "n_metric", "cell"], list(columns), "statistic", "value")
     long = long.withColumn("size", F.when(F.col("statistic") == "delta_min_pct", F.abs("value")).otherwise(F.col("value")))
     best = long.groupBy("metric", "statistic").agg(F.max("size").alias("top"), F.count("value").alias("n_estimable"), F.count_if(F.col("n_metric") >= 2).alias("n_two_values"))
     at = long.join(best, ["metric", "statistic"]).filter("size = top").groupBy("metric", "statistic").agg(F.min("cell").alias("cell"), F.min_by("value", "cell").alias("value"))
@@ -77,12 +79,12 @@ def eligibility(cells: DataFrame, keys: Sequence[str] = (), least: int = 9) -> D
 
 def legacy_aggregate(df: DataFrame, keys: Sequence[str], values: dict[str, str], commit: str = "commit") -> DataFrame:
     """The older aggregate without outcome masks: quartiles are null as soon as one value is missing."""
-    out = []
-    for name, column in values.items():
-        c = F.col(column)
-        q = lambda p: F.when(F.count(c) == F.count(F.lit(1)), F.percentile(c, F.lit(p)))  # noqa: B023, E731
-        out += [f(c).alias(f"{name}_{s}") for s, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))] + [q(0.25).alias(f"{name}_q25"), q(0.75).alias(f"{name}_q75")]
-    return df.groupBy(*keys).agg(*out, F.avg(commit).alias("commit_mean"))
+    rows = materialize(df.select(*keys, F.col(commit).alias("__commit"), *(F.col(c).cast("double").alias(n) for n, c in values.items())))
+    out = [f(n).alias(f"{n}_{s}") for n in values for s, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    whole = [(F.count(n) == F.count(F.lit(1))).alias(f"__{n}") for n in values]
+    means = rows.groupBy(*keys).agg(*out, F.avg("__commit").alias("commit_mean"), *whole)
+    both = join_cells(means, quantiles_of_columns(rows, keys, list(values), {"q25": 0.25, "median": 0.5, "q75": 0.75}), keys)
+    return both.withColumns({f"{n}_{q}": F.when(F.col(f"__{n}"), F.col(f"{n}_{q}")) for n in values for q in ("q25", "q75")}).drop(*(f"__{n}" for n in values))
 
 
 def legacy_dispersion(cells: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:

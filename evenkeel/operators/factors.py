@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evenkeel.functions.cells import join_cells
+from evenkeel.functions.selection import in_sets, quantiles_of_columns
+from evenkeel.functions.storage import materialize
 from evenkeel.operators.outcomes import regime
 
 
@@ -16,11 +19,11 @@ def offered_vs_committed(df: DataFrame, key_sets: Sequence[Sequence[str]]) -> Da
     """Counts and medians over submitted runs for several key sets at once; a key outside its set is null."""
     keys = list(dict.fromkeys(k for s in key_sets for k in s))
     on = F.col("submitted")
-    med = lambda c: F.median(F.when(on, c))
-    return df.groupingSets([[F.col(k) for k in s] for s in key_sets], *(F.col(k) for k in keys)).agg(
-        F.count(F.lit(1)).alias("n_runs"), F.count_if(on).alias("n_submitted"), F.count_if(F.col("positive")).alias("n_positive"),
-        med(F.col("load")).alias("median_load"), med(F.when(F.col("positive"), F.col("tps"))).alias("median_tps"), med(F.when(F.col("submit") > 0, 100 * F.col("commit") / F.col("submit"))).alias("median_commit_pct"),
-    )
+    values = {"median_load": F.col("load"), "median_tps": F.when(F.col("positive"), F.col("tps")), "median_commit_pct": F.when(F.col("submit") > 0, 100 * F.col("commit") / F.col("submit"))}
+    flat = materialize(df.select(*keys, "submitted", "positive", *(F.when(on, c).alias(n) for n, c in values.items())))
+    rows, by = in_sets(flat, key_sets, ["submitted", "positive", *values]), ["__set", *keys]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(on).alias("n_submitted"), F.count_if(F.col("positive")).alias("n_positive"))
+    return join_cells(counts, quantiles_of_columns(rows, by, list(values), {"median": 0.5}, "{column}"), by).drop("__set")
 
 
 def catalog_accounting(counts: DataFrame, key: str, catalog: DataFrame | None = None) -> DataFrame:
@@ -28,7 +31,7 @@ def catalog_accounting(counts: DataFrame, key: str, catalog: DataFrame | None =
     out = counts.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("n_observed").alias("n_runs"), F.sum("n_positive_commit").alias("n_positive"), F.sum("n_zero_commit").alias("n_zero"), F.sum("n_no_submission").alias("n_none"), F.min("n_observed").alias("cell_min"), F.max("n_observed").alias("cell_max")
     )
-    return out if catalog is None else catalog.join(out, key, "left")
+    return out if catalog is None else join_cells(catalog, out, [key], "left")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -38,14 +41,14 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         n = F.count(F.lit(1)).over(W.partitionBy(*keys))
         return df.withColumn("__n", n).filter(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a join key is not unique")).cast("boolean"))).drop("__n")
 
-    return unique(left).join(unique(right), list(keys), how)
+    return join_cells(unique(left), unique(right), keys, how)
 
 
 def factor_grid(df: DataFrame, factors: Sequence[str], flag: str) -> DataFrame:
     """Runs that count in each combination of levels, none included. A grid has the product of the level counts as its rows."""
     levels = reduce(lambda a, b: a.crossJoin(b), [df.select(f).distinct() for f in factors])
     counts = df.groupBy(*factors).agg(F.count_if(F.col(flag)).alias("n"))
-    return levels.join(counts, list(factors), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return join_cells(levels, counts, factors, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def grid_gaps(grid: DataFrame, sparse: int = 5) -> DataFrame:
@@ -54,7 +57,7 @@ def grid_gaps(grid: DataFrame, sparse: int = 5) -> DataFrame:
 
 def cells_without(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """Cells that were observed but have no run that counts."""
-    return df.select(*keys).distinct().join(df.filter(F.col(flag)).select(*keys).distinct(), list(keys), "left_anti")
+    return join_cells(df.select(*keys).distinct(), df.filter(F.col(flag)).select(*keys).distinct(), keys, "left_anti")
 
 
 def single_outcome_cells(df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
@@ -71,18 +74,21 @@ def outcome_rollup(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def medians_by(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*(F.median(v).alias(f"median_{v}") for v in values))
+    return quantiles_of_columns(materialize(df.select(*keys, *values)), keys, values, {"median": 0.5}, "median_{column}")
 
 
 def medians_by_sets(df: DataFrame, key_sets: Sequence[Sequence[str]], values: Sequence[str]) -> DataFrame:
     """medians_by for several key sets at once; a key outside its set is null."""
     keys = list(dict.fromkeys(k for s in key_sets for k in s))
-    return df.groupingSets([[F.col(k) for k in s] for s in key_sets], *(F.col(k) for k in keys)).agg(*(F.median(v).alias(f"median_{v}") for v in values))
+    rows = in_sets(materialize(df.select(*keys, *values)), key_sets, values)
+    return quantiles_of_columns(rows, ["__set", *keys], values, {"median": 0.5}, "median_{column}").drop("__set")
 
 
 def scaling_pivot(df: DataFrame, key: str, size: str, levels: Sequence[str], value: str) -> DataFrame:
     """The median of value for each key (rows) and size (columns)."""
-    return df.groupBy(key).pivot(size, list(levels)).agg(F.median(value))
+    columns = [f"__{i}" for i in range(len(levels))]
+    rows = materialize(df.select(key, *(F.when(F.col(size) == x, F.col(value)).alias(c) for x, c in zip(levels, columns))))
+    return quantiles_of_columns(rows, [key], columns, {"median": 0.5}, "{column}").select(key, *(F.col(c).alias(str(x)) for x, c in zip(levels, columns)))
 
 
 def worst_swings(cells: DataFrame, key: str, name: str) -> DataFrame:
@@ -108,10 +114,14 @@ def best_worst(df: DataFrame, block: Sequence[str], value: str, tolerance: float
     return df.withColumns({"is_min": near(lo), "is_max": near(hi)})
 
 
-def factor_means(cells: DataFrame, factors: Sequence[str], statistics: Sequence[str], least: int = 2) -> DataFrame:
-    """Mean and median of cell statistics for each level of each factor, over cells with enough values."""
+def factor_means(cells: DataFrame, factors: Sequence[str], statistics: Sequence[str], keys: Sequence[str] = (), least: int = 2) -> DataFrame:
+    """Mean and median of cell statistics for each level of each factor within the keys (such as scope and chain): the cells, those
+    with enough values, and how many values these have."""
     levels = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors))).alias("l")
-    used = cells.filter(F.col("n_metric") >= least).select(levels, "metric", "n_metric", *statistics).select("l.*", "metric", "n_metric", *statistics)
-    return used.groupBy("factor", "level", "metric").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.sum("n_metric").alias("n_values"), F.min("n_metric").alias("n_min"), F.max("n_metric").alias("n_max"), *(f(s).alias(f"{n}_{s}") for s in statistics for n, f in (("mean", F.avg), ("median", F.median)))
-    )
+    own = cells.select(levels, *keys, "metric", "n_metric", *statistics).select("l.*", *keys, "metric", "n_metric", *statistics)
+    enough = F.col("n_metric") >= least
+    of = lambda c: F.when(enough, F.col(c))
+    return own.groupBy("factor", "level", *keys, "metric").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if(enough).alias("n_contributing"), F.coalesce(F.sum(of("n_metric")), F.lit(0)).alias("n_values"), F.coalesce(F.min(of("n_metric")), F.lit(0)).alias("n_min"),
+        F.coalesce(F.max(of("n_metric")), F.lit(0)).alias("n_max"), *(f(of(s)).alias(f"{n}_{s}") for s in statistics for n, f in (("mean", F.avg), ("median", F.median))),
+    )

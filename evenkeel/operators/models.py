@@ -1,5 +1,5 @@
-"""Two-part factorial models from cell statistics: runs are aggregated once by cell, cells become partial
-sums in the executors, and only k by k matrices reach the driver."""
+"""Two-part factorial models from cell statistics: runs are aggregated once by cell, cells become triangular factors and
+partial sums in the executors, and only k by k matrices reach the driver."""
 
 from __future__ import annotations
 
@@ -9,10 +9,16 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from evenkeel.functions.cells import cell_key, cell_label, join_cells
+from evenkeel.functions.ranks import gapless_rank
+from evenkeel.functions.storage import materialize
 from evenkeel.functions.tails import chi2_tail, f_tail
+from evenkeel.operators import bootstrap as B
 from evenkeel.operators.dispersion import long_form
 from evenkeel.plans.model import MetricSpec
 
@@ -60,8 +66,8 @@ class Design:
     def matrix(self, cells: pd.DataFrame) -> np.ndarray:
         coded = {}
         for f, levels in self.levels.items():
-            code = np.vstack([np.eye(len(levels) - 1), -np.ones(len(levels) - 1)])
-            coded[f] = code[cells[f].map({x: i for i, x in enumerate(levels)}).to_numpy()]
+            code, place = np.vstack([np.eye(len(levels) - 1), -np.ones(len(levels) - 1)]), {x: i for i, x in enumerate(levels)}
+            coded[f] = code[[place[None if x is None or x != x else x] for x in cells[f]]]  # pandas may hold a missing level as NaN
         blocks = [np.ones((len(cells), 1))]
         for t in self.terms:
             b = coded[t[0]]
@@ -79,9 +85,15 @@ class Design:
 
 
 def two_way(cells: DataFrame, factors: Sequence[str], extra: Sequence[Term] = ()) -> Design:
-    """All main effects and two-way interactions. Only the levels of each factor are collected."""
-    levels = {f: sorted(r[0] for r in cells.select(f).distinct().collect()) for f in factors}
-    return Design(levels, [(f,) for f in factors] + list(combinations(factors, 2)) + list(extra))
+    """All main effects and two-way interactions."""
+    return design_of(cells, [(f,) for f in factors] + list(combinations(factors, 2)) + list(extra))
+
+
+def design_of(cells: DataFrame, terms: Sequence[Term]) -> Design:
+    """The design of these terms. Only the levels of each factor are collected; a missing level is the first."""
+    factors = dict.fromkeys(f for t in terms for f in t)
+    levels = {f: sorted((r[0] for r in cells.select(f).distinct().collect()), key=lambda x: (x is not None, x)) for f in factors}
+    return Design(levels, list(terms))
 
 
 def summed(cells: DataFrame, parts: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
@@ -103,37 +115,110 @@ def summed(cells: DataFrame, parts: Callable[[pd.DataFrame], np.ndarray]) -> np.
     return out
 
 
-def gram(cells: DataFrame, design: Design) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-    def parts(b: pd.DataFrame) -> np.ndarray:
-        x, n, y = design.matrix(b), b.n.to_numpy(float), b["mean"].to_numpy()
-        xn = x * n[:, None]
-        return np.concatenate([(xn.T @ x).ravel(), xn.T @ y, [n.sum(), len(b), (n * y).sum(), (n * y * y).sum() + b.m2.sum()]])
+#: Triangular factors that one task merges into one.
+MERGED = 8
+
+
+def triangular(a: np.ndarray) -> np.ndarray:
+    """The triangular factor of a, with as many rows as columns."""
+    r = np.linalg.qr(a, mode="r")
+    return np.vstack([r, np.zeros((a.shape[1] - len(r), a.shape[1]))]) if len(r) < a.shape[1] else r
+
+
+def tall_qr(cells: DataFrame, rows: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
+    """The triangular factor of all rows(batch) below each other: one for each task, then merged by MERGED in a tree.
+
+    Unlike a matrix of products it keeps the condition number of the rows, not its square.
+    """
+
+    def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = None
+        for b in batches:
+            if len(b):
+                a = rows(b)
+                r = triangular(a if r is None else np.vstack([r, a]))
+        if r is not None:
+            yield pd.DataFrame({"r": [r.ravel()]})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = None
+        for b in batches:
+            for flat in b.r:
+                own = np.asarray(flat, float).reshape(width, width)
+                r = own if r is None else triangular(np.vstack([r, own]))
+        if r is not None:
+            yield pd.DataFrame({"r": [r.ravel()]})
+
+    parts, n = cells.mapInPandas(of_task, "r array<double>"), cells.rdd.getNumPartitions()
+    while n > MERGED:
+        n = -(-n // MERGED)
+        parts = materialize(parts).repartition(n).mapInPandas(merge, "r array<double>")
+    r = np.zeros((width, width))
+    for row in parts.collect():  # MERGED at most
+        r = triangular(np.vstack([r, np.array(row["r"]).reshape(width, width)]))
+    return r
+
+
+@dataclass
+class Factored:
+    """What a least-squares fit needs of the runs: the triangular factor of [design, value], and their totals."""
+
+    r: np.ndarray  # of the design
+    qy: np.ndarray
+    totals: dict[str, float]
+
+
+def factor(cells: DataFrame, design: Design) -> Factored:
+    """From cells with n, mean and m2; a cell is one row that weighs as much as its runs."""
+
+    def rows(b: pd.DataFrame) -> np.ndarray:
+        return np.hstack([design.matrix(b), b["mean"].to_numpy(float)[:, None]]) * np.sqrt(b.n.to_numpy(float))[:, None]
 
-    s = summed(cells, parts)
-    k = int(round(np.sqrt(len(s) - 4 + 0.25) - 0.5))
-    return s[: k * k].reshape(k, k), s[k * k : k * k + k], dict(zip(("N", "G", "sy", "syy"), s[-4:]))
+    r = tall_qr(cells, rows, design.width + 1)
+    mean = F.col("mean")
+    s = cells.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("G"), F.sum(F.col("n") * mean).alias("sy"), (F.sum(F.col("n") * mean * mean) + F.sum("m2")).alias("syy"), F.sum("m2").alias("inner")).first()
+    return Factored(r[:-1, :-1], r[:-1, -1], {k: float(s[k] or 0) for k in ("N", "G", "sy", "syy", "inner")})
 
 
-def estimable(g: np.ndarray, design: Design, tolerance: float = 1e-8) -> list[int]:
-    """Columns of a basis: terms in order, and in a term the column with the largest residual first (pivoted Cholesky)."""
+def counted(cells: DataFrame) -> DataFrame:
+    """Outcome cells as cells of a design without a value."""
+    return cells.withColumns({"mean": F.lit(0.0), "m2": F.lit(0.0)})
+
+
+def estimable(r: np.ndarray, terms: Sequence[Sequence[int]], tolerance: float = 1e-11) -> list[int]:
+    """Columns of a basis of a triangular factor: the first, then the terms (columns of each) in order, and in a term the column
+    with the largest share outside the basis first. Columns that are in it but for ``tolerance`` of their length are left out."""
+    norm = np.maximum(np.linalg.norm(r, axis=0), 1e-300)
+    left = r / norm
     kept = [0]
-    for t in design.terms:
-        left = list(design.spans[t])
-        while left:
-            inv = np.linalg.solve(g[np.ix_(kept, kept)], g[np.ix_(kept, left)])
-            res = np.diag(g)[left] - (g[np.ix_(kept, left)] * inv).sum(0)
-            best = int(np.argmax(res / np.maximum(np.diag(g)[left], 1e-300)))
-            if res[best] <= tolerance * max(g[left[best], left[best]], 1e-300):
+
+    def take(c: int) -> None:
+        for _ in range(2):  # once more against rounding
+            q = left[:, c] / np.linalg.norm(left[:, c])
+            rest = [x for x in range(r.shape[1]) if x not in kept]
+            left[:, rest] -= np.outer(q, q @ left[:, rest])
+
+    take(0)
+    for columns in terms:
+        todo = list(columns)
+        while todo:
+            size = np.linalg.norm(left[:, todo], axis=0)
+            best = int(np.argmax(size))
+            if size[best] <= tolerance:
                 break
-            kept.append(left.pop(best))
+            kept.append(todo.pop(best))
+            take(kept[-1])
     return sorted(kept)
 
 
-def rank_report(g: np.ndarray, design: Design) -> dict[str, float]:
-    d = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
-    values = np.linalg.eigvalsh(g * np.outer(d, d))
-    good = values[values > 1e-9 * values.max()]
-    return {"columns": design.width, "rank": len(good), "deficiency": design.width - len(good), "condition": float(np.sqrt(good.max() / good.min()))}
+def basis(r: np.ndarray, design: Design) -> list[int]:
+    return estimable(r, [design.spans[t] for t in design.terms])
+
+
+def rank_report(r: np.ndarray, columns: int) -> dict[str, float]:
+    values = np.linalg.svd(r / np.maximum(np.linalg.norm(r, axis=0), 1e-300), compute_uv=False)
+    good = values[values > 1e-11 * values.max()]
+    return {"columns": columns, "rank": len(good), "deficiency": columns - len(good), "condition": float(good.max() / good.min())}
 
 
 @dataclass
@@ -150,15 +235,17 @@ class Fit:
     diagnostics: dict[str, float]
 
 
-def ols(cells: DataFrame, factors: Sequence[str], extra: Sequence[Term] = ()) -> Fit:
-    """Least squares on an estimable basis, with HC3 and cell-cluster covariances and residual diagnostics; two passes over the cells."""
-    design = two_way(cells, factors, extra)
-    g, xy, s = gram(cells, design)
-    report = rank_report(g, design)
-    design.keep = np.array(estimable(g, design))
+def ols(cells: DataFrame, factors: Sequence[str], extra: Sequence[Term] = (), terms: Sequence[Term] | None = None) -> Fit:
+    """Least squares on an estimable basis, with HC3 and cell-cluster covariances and residual diagnostics; two passes over the
+    cells. The terms are all mains and pairs and the extra ones, or those given."""
+    design = two_way(cells, factors, extra) if terms is None else design_of(cells, terms)
+    whole = factor(cells, design)
+    s, report = whole.totals, rank_report(whole.r, design.width)
+    design.keep = np.array(basis(whole.r, design))
     k = len(design.keep)
-    inverse = np.linalg.inv(g[np.ix_(design.keep, design.keep)])
-    beta = inverse @ xy[design.keep]
+    q, r = np.linalg.qr(whole.r[:, design.keep])
+    half = np.linalg.inv(r)
+    inverse, beta = half @ half.T, half @ (q.T @ whole.qy)
 
     def parts(b: pd.DataFrame) -> np.ndarray:
         x, n, y = design.matrix(b), b.n.to_numpy(float), b["mean"].to_numpy()
@@ -199,9 +286,8 @@ def type2_restriction(fit: Fit, term: Term, cov: np.ndarray) -> np.ndarray:
     eye = np.eye(len(fit.beta))
     if not higher:
         return eye[own]
-    l1, l2 = eye[own + higher], eye[higher]
-    q, _ = np.linalg.qr(l1 @ cov @ l2.T, mode="complete")
-    return q[:, -len(own) :].T @ l1
+    regression = np.linalg.solve(cov[np.ix_(higher, higher)], cov[np.ix_(higher, own)])
+    return eye[own] - regression.T @ eye[higher]
 
 
 def term_tests(fit: Fit, kind: str) -> list[tuple[str, int, int, float, float, float, float]]:
@@ -260,14 +346,12 @@ def binomial(cells: DataFrame, designs: dict[str, Design], iterations: int = 200
 def outcome_models(cells: DataFrame, factors: Sequence[str], extra: Sequence[Term] = ()) -> tuple[dict[str, Design], dict[str, dict]]:
     """The full logistic fit, and one without each term; a main factor goes with its interactions."""
     base = two_way(cells, factors, extra)
-    unit = cells.withColumns({"mean": F.lit(0.0), "m2": F.lit(0.0)})
-    g, _, _ = gram(unit, base)
+    r = factor(counted(cells), base).r
     designs = {}
     for name, gone in {"full": (), **{":".join(t): t for t in base.terms}}.items():
         terms = [t for t in base.terms if not gone or not set(gone) <= set(t)]
         d = Design(base.levels, terms)
-        idx = [0, *(c for t in terms for c in base.spans[t])]
-        d.keep = np.array(estimable(g[np.ix_(idx, idx)], d))
+        d.keep = np.array(basis(r[:, [0, *(c for t in terms for c in base.spans[t])]], d))
         designs[name] = d
     return designs, binomial(cells, designs)
 
@@ -285,15 +369,13 @@ def likelihood_ratio(fits: dict[str, dict]) -> list[tuple[str, float, int, float
 def targeted_outcome(cells: DataFrame, factors: Sequence[str], terms: Sequence[Term]) -> list[tuple]:
     """(term, statistic, df, p, added columns, added rank, status) of three-way terms added to the two-way logistic model. A term
     is tested only if all its columns are estimable."""
-    unit = cells.withColumns({"mean": F.lit(0.0), "m2": F.lit(0.0)})
     wide = two_way(cells, factors, terms)
-    g, _, _ = gram(unit, wide)
+    r = factor(counted(cells), wide).r
     pairs = [t for t in wide.terms if t not in terms]
     designs, ranks = {}, {}
     for name, extra in {"two_way": [], **{":".join(t): [t] for t in terms}}.items():
         d = Design(wide.levels, [*pairs, *extra])
-        idx = [0, *(c for t in d.terms for c in wide.spans[t])]
-        d.keep = np.array(estimable(g[np.ix_(idx, idx)], d))
+        d.keep = np.array(basis(r[:, [0, *(c for t in d.terms for c in wide.spans[t])]], d))
         designs[name], ranks[name] = d, len(d.keep)
     base = designs["two_way"]
     columns = {":".join(t): len(wide.spans[t]) for t in terms}
@@ -326,7 +408,7 @@ def terms_side_by_side(outcome: DataFrame, performance: DataFrame, metrics: Sequ
     """One row for each term: the outcome's statistic, df and p, and f, df, denominator_df, p and partial_eta2 of each metric."""
     wide = performance.groupBy(*keys, "term").pivot("metric", list(metrics)).agg(*(F.first(c).alias(c) for c in ("f", "df", "denominator_df", "p", "partial_eta2")))
     left = outcome.select(*keys, "term", *(F.col(c).alias(f"outcome_{c}") for c in ("statistic", "df", "p")))
-    return left.join(wide, [*keys, "term"], "left")
+    return join_cells(left, wide, [*keys, "term"], "left")
 
 
 def auc(cells: DataFrame, design: Design, beta: np.ndarray) -> float:
@@ -353,60 +435,110 @@ def icc_anova(df: DataFrame, cfg: Sequence[str], keys: Sequence[str], value: str
     return a.select(*keys, F.col("N").alias("n_runs"), F.col("G").alias("n_cells"), "between", F.col("msw").alias("within"), F.try_divide(F.col("between"), F.col("between") + F.col("msw")).alias("icc"))
 
 
-def reml(n: np.ndarray, mean: np.ndarray, m2: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
-    """(between, within) variance of a random-intercept model, by the profile restricted likelihood in their ratio."""
-    w = np.ones(len(n)) if weight is None else weight
-    N = (w * n).sum()
+def reml(n: np.ndarray, count: np.ndarray, s1: np.ndarray, s2: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(between, within) variances of random-intercept models, one a row, by the profile restricted likelihood in their ratio.
 
-    def parts(ratio: float) -> tuple[float, float]:
-        a = n / (1 + n * ratio)
-        mu = (w * a * mean).sum() / (w * a).sum()
-        within = ((w * m2).sum() + (w * a * (mean - mu) ** 2).sum()) / (N - 1)
-        return 0.5 * ((N - 1) * np.log(within) + (w * np.log1p(n * ratio)).sum() + np.log((w * a).sum())), within
+    The likelihood depends on cells only through sums by their size: how many cells have each size n, the sums of their means and of
+    the squares of these (less any common number), and all inner sums of squares. Sizes that a row lacks have count 0. All
+    rows search their ratio together.
+    """
+    N = (count * n).sum(1)
+
+    def parts(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spread = 1 + n * ratio[:, None]
+        a = n / spread
+        all_ = (a * count).sum(1)
+        mu = ((a * s1).sum(1) / all_)[:, None]
+        within = (inner + np.maximum((a * (s2 - 2 * mu * s1 + mu * mu * count)).sum(1), 0.0)) / (N - 1)
+        return 0.5 * ((N - 1) * np.log(within) + (count * np.log(spread)).sum(1) + np.log(all_)), within
 
     grid = np.r_[0, np.exp(np.linspace(-12, 8, 60))]
-    values = [parts(x)[0] for x in grid]
-    i = int(np.argmin(values))
-    lo, hi = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
+    values = np.array([parts(np.full(len(n), x))[0] for x in grid])
+    i = values.argmin(0)
+    lo, hi = grid[np.maximum(0, i - 1)], grid[np.minimum(len(grid) - 1, i + 1)]
     golden = (np.sqrt(5) - 1) / 2
-    for _ in range(80):
-        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        lo, hi = (lo, b) if parts(a)[0] < parts(b)[0] else (a, hi)
+    a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
+    at_a, at_b = parts(a)[0], parts(b)[0]
+    for _ in range(60):
+        down = at_a < at_b
+        lo, hi = np.where(down, lo, a), np.where(down, b, hi)
+        new = np.where(down, hi - golden * (hi - lo), lo + golden * (hi - lo))
+        at_new = parts(new)[0]
+        a, b, at_a, at_b = np.where(down, new, b), np.where(down, a, new), np.where(down, at_new, at_b), np.where(down, at_a, at_new)
     ratio = (lo + hi) / 2
-    ratio = 0.0 if parts(0.0)[0] <= parts(ratio)[0] else ratio
+    ratio = np.where(values[0] <= parts(ratio)[0], 0.0, ratio)
     within = parts(ratio)[1]
-    return float(ratio * within), float(within)
+    return ratio * within, within
+
+
+#: Models that search together.
+MODELS = 1000
+
+
+def _sums_by_size(blocks: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """cell (the key), replicate, n and the sums of a block's cells of that size, for the estimate (replicate 0) and the resamples of cells."""
+    names = ["count", "s1", "s2", "inner"]
+    schema = StructType([blocks.schema["cell"], *(StructField(c, LongType()) for c in ("replicate", "n")), *(StructField(c, DoubleType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, r in enumerate(batch.select(["block", "members", "G", "center", "label"]).to_pylist()):
+                own = r["members"]
+                n, mean, m2 = (np.array([x[c] for x in own], float) for c in ("n", "mean", "m2"))
+                sizes, of = np.unique(n, return_inverse=True)
+                one = np.zeros((len(own), len(sizes)))
+                one[np.arange(len(own)), of] = 1.0
+                d = mean - r["center"]
+                parts = [one, one * d[:, None], one * (d * d)[:, None], one * m2[:, None]]
+                drawn = B.dealt(seed, r["label"], r["G"], r["block"], B.RANGE, replicates)
+                numbers = np.arange(1, replicates + 1)
+                for w, numbered in [(np.ones((1, len(own))), np.zeros(1, np.int64)), *((B.weights(seed, r["label"], r["block"], numbers[c], drawn[c], len(own)), numbers[c]) for c in B.chunks(drawn, len(own)))]:
+                    sums = [(w @ p).ravel() for p in parts]
+                    some = np.flatnonzero(sums[0])
+                    same = pa.array(np.full(len(some), i))
+                    columns = [pa.array(np.repeat(numbered, len(sizes))[some]), pa.array(np.tile(sizes.astype(np.int64), len(numbered))[some]), *(pa.array(x[some]) for x in sums)]
+                    yield pa.RecordBatch.from_arrays([batch.column("cell").take(same), *columns], names=schema.names)
+
+    return blocks.mapInArrow(run, schema)
 
 
 def icc_reml(cells: DataFrame, keys: Sequence[str], replicates: int = 0, seed: int = 20260901) -> DataFrame:
     """The ICC of each key, and with replicates of its cluster bootstraps (replicate 0 is the estimate).
 
-    Cells are numbered in their key; a replicate draws as many numbers with replacement, and a cell drawn
-    twice counts twice by its weight. Each fit sees its key's cells: a task holds one (key, replicate).
+    Cells are numbered in their key, by ranges, and cut into blocks; a replicate draws as many cells with replacement, dealt to the blocks as
+    the bootstrap of values deals its draws. A block sends on sums by cell size, and a fit sees these alone: no task holds a
+    key's cells. Null levels are levels.
     """
-    from pyspark.sql import Window as W
-
-    from evenkeel.operators.resample import draw
-
     others = [c for c in cells.columns if c not in {*keys, "n", "mean", "m2", "m3", "m4", "n_dropped"}]
-    w = W.partitionBy(*keys)
-    numbered = cells.withColumns({"place": F.row_number().over(w.orderBy(*others)), "G": F.count(F.lit(1)).over(w)}).select(*keys, "place", "G", "n", "mean", "m2")
-    point = numbered.select(*keys, F.lit(0).alias("replicate"), F.lit(1.0).alias("weight"), "n", "mean", "m2")
-    rows = point
-    if replicates:
-        slots = numbered.select(*keys, "G", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), F.concat_ws("|", *keys, F.col("place").cast("string")).alias("slot"))
-        drawn = slots.select(*keys, "replicate", (1 + draw(seed, F.col("replicate"), F.col("slot")) % F.col("G")).cast("int").alias("place")).groupBy(*keys, "replicate", "place").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        rows = rows.union(drawn.join(numbered, [*keys, "place"]).select(*keys, "replicate", "weight", "n", "mean", "m2"))
-    kinds = dict(cells.dtypes)
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        head = part.iloc[:1]
-        between = within = float("nan")
-        if len(part) > 1 and (part.weight * part.n).sum() > part.weight.sum() and part.m2.sum() > 0:
-            between, within = reml(part.n.to_numpy(float), part["mean"].to_numpy(), part.m2.to_numpy(), part.weight.to_numpy())
-        return head[[*keys, "replicate"]].assign(n_cells=len(part), between=between, within=within, icc=between / (between + within) if within > 0 else float("nan"))
-
-    return rows.groupBy(*keys, "replicate").applyInPandas(fit, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", replicate int, n_cells long, between double, within double, icc double")
+    rows = materialize(cells.select(*keys, *others, "n", "mean", "m2"))
+    of_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("G"), F.avg("mean").alias("center")).select(cell_key(keys).alias("cell"), "G", "center", cell_label(keys).alias("label"))
+    placed = gapless_rank(rows, keys, others, "place")
+    member = F.struct("place", F.col("n").cast("long").alias("n"), "mean", "m2")
+    blocks = placed.groupBy(cell_key(keys).alias("cell"), F.floor(F.col("place") / B.RANGE).alias("block")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = _sums_by_size(blocks.join(of_key, "cell").repartition(tasks), replicates, seed).groupBy("cell", "replicate", "n").agg(*(F.sum(c).alias(c) for c in ("count", "s1", "s2", "inner")))
+    sizes = sums.groupBy("cell", "replicate").agg(F.collect_list(F.struct("n", "count", "s1", "s2", "inner")).alias("sizes"))  # distinct sizes: few even of many cells
+    schema = StructType([sizes.schema["cell"], StructField("replicate", LongType()), StructField("n_cells", LongType()), *(StructField(c, DoubleType()) for c in ("between", "within", "icc"))])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, MODELS):
+                batch = whole.slice(first, MODELS)
+                lists = batch.column("sizes").to_pylist()
+                table = np.zeros((5, len(lists), max(map(len, lists))))
+                table[0] = 1.0
+                for i, own in enumerate(lists):
+                    table[:, i, : len(own)] = np.array([[x[c] for x in own] for c in ("n", "count", "s1", "s2", "inner")])
+                n, count, s1, s2, inner = table
+                cells_, runs, inner = count.sum(1), (count * n).sum(1), inner.sum(1)
+                between, within = np.full(len(lists), np.nan), np.full(len(lists), np.nan)
+                ok = np.flatnonzero((cells_ > 1) & (runs > cells_) & (inner > 0))
+                if ok.size:
+                    between[ok], within[ok] = reml(n[ok], count[ok], s1[ok], s2[ok], inner[ok])
+                icc = np.where(within > 0, between / np.where(within > 0, between + within, 1.0), np.nan)
+                yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("replicate"), pa.array(np.rint(cells_).astype(np.int64)), pa.array(between), pa.array(within), pa.array(icc)], names=schema.names)
+
+    return sizes.mapInArrow(fit, schema).select("cell.*", "replicate", "n_cells", "between", "within", "icc")
 
 
 def icc_intervals(fits: DataFrame, keys: Sequence[str], least_share: float = 0.8) -> DataFrame:
@@ -422,12 +554,28 @@ def require_converged(intervals: DataFrame) -> DataFrame:
     return intervals.filter(F.when(F.col("converged"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
+def type2_sums(fit: Fit) -> dict[str, float]:
+    """Type II sums of squares of the terms, and the residual's."""
+    scale = fit.sse / (fit.N - len(fit.beta))
+    classical = fit.inverse * scale
+    out = {":".join(t): _f(fit, type2_restriction(fit, t, classical), classical) * len(fit.design.columns(t)) * scale for t in fit.design.terms if fit.design.columns(t)}
+    return out | {"residual": fit.sse}
+
+
+def legacy_shares(cells: DataFrame, main: str, crossed: Sequence[str], alone: Sequence[str]) -> list[tuple[str, float]]:
+    """The older shares of the type II sums of squares in their total, from cells of raw values: main effects of all factors, and
+    the main one's interaction with the crossed ones."""
+    factors = [main, *crossed, *alone]
+    sums = type2_sums(ols(cells, factors, terms=[*((f,) for f in factors), *((main, f) for f in crossed)]))
+    total = sum(sums.values())
+    return [(t, x / total) for t, x in sums.items()]
+
+
 def anova_shares(fit: Fit, digits: int = 1) -> list[tuple[str, float]]:
     """Type II shares of the variance in percent; the residual takes up the rounding, so the row sums to 100."""
-    k = len(fit.beta)
-    classical = fit.inverse * fit.sse / (fit.N - k)
-    ss = {":".join(t): _f(fit, type2_restriction(fit, t, classical), classical) * len(fit.design.columns(t)) * fit.sse / (fit.N - k) for t in fit.design.terms if fit.design.columns(t)}
-    total = sum(ss.values()) + fit.sse
+    ss = type2_sums(fit)
+    total = sum(ss.values())
+    del ss["residual"]
     shares = [(t, round(100 * x / total, digits)) for t, x in ss.items()]
     return [*shares, ("residual", round(max(0.0, 100 - sum(x for _, x in shares)), digits))]
 
@@ -437,7 +585,6 @@ def three_way(cells: DataFrame, factors: Sequence[str], terms: Sequence[Term] =
     out = []
     for t in terms or combinations(factors, 3):
         design = two_way(cells, factors, [t])
-        g, _, _ = gram(cells, design)
-        kept = set(estimable(g, design))
+        kept = set(basis(factor(cells, design).r, design))
         out.append((":".join(t), len(design.spans[t]), len(kept & set(design.spans[t]))))
     return out

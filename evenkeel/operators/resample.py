@@ -1,4 +1,4 @@
-"""Balanced samples and bootstraps whose draws depend only on seed, replicate and row, never on partitioning."""
+"""Balanced samples whose draws depend only on seed, replicate and cell, never on partitioning, and summaries over replicates."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.numbers import percent
+from evenkeel.functions.cells import cell_label, join_cells
 from evenkeel.functions.ranks import gapless_rank
 from evenkeel.functions.storage import materialize
 from evenkeel.operators.dispersion import derived, long_form, statistics
@@ -29,7 +29,7 @@ def short_cells(df: DataFrame, cfg: Sequence[str], n: int) -> DataFrame:
 
 def long_enough(df: DataFrame, cfg: Sequence[str], n: int) -> DataFrame:
     """Rows of the cells that have n or more."""
-    return df.join(short_cells(df, cfg, n).select(*cfg), list(cfg), "left_anti")
+    return join_cells(df, short_cells(df, cfg, n).select(*cfg), cfg, "left_anti")
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def balanced_sample(df: DataFrame, cfg: Sequence[str], row_id: str, n: int, seed
     cells = rows.groupBy(*cfg).agg(F.count(F.lit(1)).alias("__n"))
     enough = F.when(F.col("__n") >= n, F.col("__n")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("too few rows in cell"), *cfg)).cast("long"))
     cells = _spread(cells.withColumn("__n", enough).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))))
-    cell = F.concat_ws("|", *cfg)
+    cell = cell_label(cfg)
 
     def add(taken: Column, k: Column) -> Column:
         last = F.col("__n") - n + k
@@ -58,7 +58,7 @@ def balanced_sample(df: DataFrame, cfg: Sequence[str], row_id: str, n: int, seed
 
     places = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast("array<bigint>"), add)
     drawn = cells.select(*cfg, "replicate", F.explode(places).alias("__place"))
-    return drawn.join(placed, [*cfg, "__place"]).drop("__place")
+    return join_cells(drawn, placed, [*cfg, "__place"]).drop("__place")
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -80,17 +80,52 @@ def config_sensitivity(sample: DataFrame, primary: DataFrame, cfg: Sequence[str]
     """Each cell's primary estimate beside the summary of its replicates."""
     replicates = summary(long_statistics(replicate_cells(sample, cfg, metrics), [*cfg, "metric", "replicate"], columns), [*cfg, "metric", "statistic"])
     own = long_statistics(primary, [*cfg, "metric"], columns).withColumnRenamed("value", "primary")
-    return own.join(replicates, [*cfg, "metric", "statistic"])
+    return join_cells(own, replicates, [*cfg, "metric", "statistic"])
 
 
-def factor_sensitivity(cells: DataFrame, factors: Sequence[str], columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Mean and median over cells by factor level (and keys, such as a scope) in each replicate, then their summaries."""
+def by_level(cells: DataFrame, factors: Sequence[str], rest: Sequence[str]) -> DataFrame:
+    """Each cell once for each factor, with the factor's name and the cell's level of it."""
     levels = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors))).alias("l")
-    by = cells.select(levels, *keys, "metric", "replicate", *columns).select("l.*", *keys, "metric", "replicate", *columns)
-    long = long_statistics(by, ["factor", "level", *keys, "metric", "replicate"], columns)
-    both = long.groupBy("factor", "level", *keys, "metric", "replicate", "statistic").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
-    over = both.unpivot(["factor", "level", *keys, "metric", "replicate", "statistic"], ["mean", "median"], "over_cells", "value")
-    return summary(over, ["factor", "level", *keys, "metric", "statistic", "over_cells"])
+    return cells.select(levels, *rest).select("l.*", *rest)
+
+
+def _over_cells(long: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Mean and median of value over the cells of each key, NaN and infinities left out."""
+    v = F.when(F.abs("value") < float("inf"), F.col("value"))
+    both = long.groupBy(*keys).agg(F.avg(v).alias("mean"), F.median(v).alias("median"))
+    return both.unpivot(list(keys), ["mean", "median"], "over_cells", name)
+
+
+def factor_sensitivity(drawn: DataFrame, primary: DataFrame, factors: Sequence[str], columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Mean and median over cells by factor level (and keys, such as a scope): the number of cells, the primary's value, and
+    the summary of those of the replicates."""
+    level = ["factor", "level", *keys, "metric"]
+    by = long_statistics(by_level(drawn, factors, [*keys, "metric", "replicate", *columns]), [*level, "replicate"], columns)
+    out = summary(_over_cells(by, [*level, "replicate", "statistic"], "value"), [*level, "statistic", "over_cells"])
+    own = by_level(primary, factors, [*keys, "metric", *columns])
+    point = _over_cells(long_statistics(own, level, columns), [*level, "statistic"], "primary")
+    counted = join_cells(point, own.groupBy(*level).agg(F.count(F.lit(1)).alias("n_cells")), level)
+    return join_cells(counted, out, [*level, "statistic", "over_cells"], "left")
+
+
+def factor_intervals(drawn: DataFrame, primary: DataFrame, cfg: Sequence[str], within: str, factors: Sequence[str], columns: Sequence[str], keys: Sequence[str] = (), least: int = 2) -> DataFrame:
+    """Mean and median over cells by factor level within each level of another factor: cells and those that contribute (a defined
+    value from ``least`` or more), their values, the point estimate, and the 95 % interval over replicates of the same cells."""
+    cell, level = [*cfg, *keys, "metric"], ["factor", "level", within, *keys, "metric"]
+    rest = list(dict.fromkeys([*cell, within]))
+    own = long_statistics(primary.withColumn("n_metric", F.col("n_metric").cast("long")), [*rest, "n_metric"], columns)
+    used = own.filter((F.abs("value") < float("inf")) & (F.col("n_metric") >= least))
+    kept = join_cells(long_statistics(drawn, [*rest, "replicate"], columns), used, [*cell, "statistic"], "left_semi")
+    named = lambda df, extra: by_level(df, factors, [*dict.fromkeys([within, *keys, "metric", "statistic", *extra])])
+    total = named(own, []).groupBy(*level, "statistic").agg(F.count(F.lit(1)).alias("n_cells"))
+    contributing = named(used, ["n_metric", "value"])
+    counts = contributing.groupBy(*level, "statistic").agg(F.count(F.lit(1)).alias("n_contributing"), F.sum("n_metric").alias("n_values"), F.min("n_metric").alias("n_min"), F.max("n_metric").alias("n_max"))
+    point = _over_cells(contributing, [*level, "statistic"], "point")
+    ends = summary(_over_cells(named(kept, ["replicate", "value"]), [*level, "statistic", "replicate"], "value"), [*level, "statistic", "over_cells"]).select(*level, "statistic", "over_cells", "lower", "upper")
+    both = F.explode(F.array(F.lit("mean"), F.lit("median"))).alias("over_cells")
+    out = join_cells(total, counts, [*level, "statistic"], "left").select("*", both)
+    out = join_cells(join_cells(out, point, [*level, "statistic", "over_cells"], "left"), ends, [*level, "statistic", "over_cells"], "left")
+    return out.fillna(0, ["n_contributing", "n_values", "n_min", "n_max"])
 
 
 def extrema_sensitivity(cells: DataFrame, primary: DataFrame, columns: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
@@ -99,38 +134,14 @@ def extrema_sensitivity(cells: DataFrame, primary: DataFrame, columns: dict[str,
     drawn = long_statistics(ends(cells, [*keys, "metric", "replicate"]), [*keys, "metric", "replicate"], list(columns))
     own = long_statistics(ends(primary, [*keys, "metric"]), [*keys, "metric"], list(columns)).withColumnRenamed("value", "primary")
     direction = F.create_map(*(F.lit(x) for c, f in columns.items() for x in (c, f)))
-    return own.join(summary(drawn, [*keys, "metric", "statistic"]), [*keys, "metric", "statistic"]).withColumn("direction", F.element_at(direction, F.col("statistic")))
+    return join_cells(own, summary(drawn, [*keys, "metric", "statistic"]), [*keys, "metric", "statistic"]).withColumn("direction", F.element_at(direction, F.col("statistic")))
 
 
 def denominators(sample: DataFrame, primary: DataFrame, cfg: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """How many runs of each cell have each flag: in the primary rows, and the summary over replicates."""
     count = lambda df, by: long_statistics(df.groupBy(*by).agg(*(F.count_if(F.col(f)).alias(f) for f in flags)), by, flags)
     own = count(primary, [*cfg]).withColumn("primary", F.col("value").cast("long")).drop("value")
-    return own.join(summary(count(sample, [*cfg, "replicate"]), [*cfg, "statistic"]), [*cfg, "statistic"])
-
-
-def bootstrap(df: DataFrame, cfg: Sequence[str], row_id: str, metrics: Sequence[MetricSpec], seed: int, replicates: int = 5000) -> DataFrame:
-    """IQR % and std % of each cell's resamples with replacement, at its own number of values; undefined below two.
-
-    Values are numbered once in their cell, by ranges. Draws are counted by number before they meet their values, and quantiles
-    and moments take the counts as weights, so no cell is gathered into one row, whatever its size.
-    """
-    rows = materialize(long_form(df.withColumn("__row", F.col(row_id)), [*cfg, "__row"], metrics).filter("v IS NOT NULL"))
-    keys = [*cfg, "metric"]
-    placed = gapless_rank(rows, keys, ["v", "__row"], "place").withColumn("place", F.col("place") + 1).drop("__row")
-    placed = materialize(placed.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys))
-    slot = F.concat_ws("|", *keys, F.col("place").cast("string"))
-    draws = _spread(placed).select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), slot.alias("slot"))
-    draws = draws.select(*keys, "replicate", (1 + draw(seed, F.col("replicate"), F.col("slot")) % F.col("n")).alias("place"))
-    drawn = draws.groupBy(*keys, "replicate", "place").agg(F.count(F.lit(1)).alias("w")).join(placed.select(*keys, "place", "v"), [*keys, "place"])
-    q = lambda p: F.percentile("v", F.lit(p), F.col("w"))
-    w, v = F.col("w"), F.col("v")
-    stats = drawn.groupBy(*keys, "replicate").agg(F.sum("w").alias("n"), (F.sum(w * v) / F.sum("w")).alias("mean"), F.sum(w * v * v).alias("square"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.min("v").alias("low"), F.max("v").alias("high"))
-    n, mean = F.col("n"), F.col("mean")
-    spread = F.sqrt(F.greatest((F.col("square") - n * mean * mean) / F.when(n > 1, n - 1), F.lit(0.0)))
-    std = F.when(n > 1, F.when(F.col("low") == F.col("high"), F.lit(0.0)).otherwise(spread))
-    two = n >= 2
-    return stats.select(*keys, "replicate", F.when(two, percent(F.col("q75") - F.col("q25"), mean)).alias("iqr_pct"), F.when(two, percent(std, mean)).alias("std_pct"))
+    return join_cells(own, summary(count(sample, [*cfg, "replicate"]), [*cfg, "statistic"]), [*cfg, "statistic"])
 
 
 def outside(point: Column, lower: Column, upper: Column, tolerance: float = 1e-9) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.storage import materialize
+from evenkeel.operators import bootstrap as B
 from evenkeel.operators import dispersion as D
 from evenkeel.operators import factors as FA
 from evenkeel.operators import graph as G
@@ -19,7 +20,7 @@ from evenkeel.operators import outcomes as O
 from evenkeel.operators import quality as Q
 from evenkeel.operators import resample as R
 from evenkeel.operators import windows as WI
-from evenkeel.plans.model import METRICS, RUNS
+from evenkeel.plans.model import METRICS, RUNS, MetricSpec
 from evenkeel.plans.oracle import oracle_sql
 from evenkeel.plans.runs_view import outcome_runs, runs, table
 from evenkeel.sources.files import manifest
@@ -286,7 +287,45 @@ def outcome_accounting_rollup(spark, sf_dir):
 
 @query
 def factor_cell_means(spark, sf_dir):
-    return rounded(FA.factor_means(_cells(spark, sf_dir), CFG, ["iqr_pct", "std_pct"]))
+    return rounded(FA.factor_means(_in_scopes(_cells(spark, sf_dir)), CFG[1:], ["iqr_pct", "std_pct"], ["scope", "chain"]))
+
+
+def _unspecified(spark, sf_dir):
+    """Runs whose unspecified topology is a missing level."""
+    return outcome_runs(spark, sf_dir).withColumn("topology", F.when(~F.col("topology").endswith("NOT SPECIFIED"), F.col("topology")))
+
+
+@query
+def unspecified_deviations(spark, sf_dir):
+    """Deviations, offsets, halves and ends of cells of which some have no topology."""
+    df = materialize(_unspecified(spark, sf_dir))
+    off = WI.deviations(df, CFG, "tps", "tps_point_valid").select(*CFG, "run_id", "cell_mean", "deviation")
+    placed = WI.offsets(df.filter("tps_point_valid"), CFG, ["ts", "run_id"]).select("run_id", "offset")
+    half = WI.halves(df, CFG, ["ts", "batch", "run"]).select("run_id", "period")
+    ends = WI.end_batches(df, CFG, "batch", ["ts", "batch", "run"]).select("run_id", F.col("period").alias("batch_period"))
+    return rounded(off.join(placed, "run_id").join(half, "run_id", "left").join(ends, "run_id", "left"))
+
+
+@query
+def unspecified_grid(spark, sf_dir):
+    """The grid of chain, topology and size with a missing topology among the levels."""
+    return FA.factor_grid(_unspecified(spark, sf_dir), ["chain", "topology", "size"], "tps_point_valid")
+
+
+@query
+def unspecified_bootstrap(spark, sf_dir):
+    """Bootstrap intervals of cells of which some have no topology."""
+    by = ["chain", "topology", "size"]
+    long = R.long_statistics(B.bootstrap(_unspecified(spark, sf_dir), by, "run_id", METRICS[:1], BOOTSTRAP_SEED, REPLICATES), [*by, "metric", "replicate"], ["iqr_pct", "std_pct"])
+    return settled(R.summary(long, [*by, "metric", "statistic"]))
+
+
+@query
+def deviation_sums(spark, sf_dir):
+    """Cells whose deviations don't sum to 0 but for rounding, after one chain's were moved."""
+    off = WI.deviations(outcome_runs(spark, sf_dir), CFG, "tps", "tps_point_valid")
+    moved = off.withColumn("deviation", F.col("deviation") + F.when(F.col("chain") == "MACHINERY", 0.5).otherwise(0.0))
+    return WI.uncentred(moved, CFG).groupBy("chain").agg(F.count(F.lit(1)).alias("n_violations"))
 
 
 @query
@@ -358,7 +397,8 @@ def balanced_config_sensitivity(spark, sf_dir):
 @query
 def balanced_factor_sensitivity(spark, sf_dir):
     cells = materialize(R.replicate_cells(_sample(spark, sf_dir), CFG, METRICS))
-    return settled(R.factor_sensitivity(_in_scopes(cells), CFG, ["iqr_pct", "std_pct"], ["scope"]))
+    own = D.dispersion(_enough_runs(spark, sf_dir), CFG, METRICS)
+    return settled(R.factor_sensitivity(_in_scopes(cells), _in_scopes(own), CFG, STATS[1:], ["scope"]))
 
 
 @query
@@ -374,7 +414,7 @@ def balanced_denominators(spark, sf_dir):
 
 
 def _bootstrap(spark, sf_dir):
-    return R.bootstrap(outcome_runs(spark, sf_dir), CFG, "run_id", METRICS, BOOTSTRAP_SEED, REPLICATES)
+    return B.bootstrap(outcome_runs(spark, sf_dir), CFG, "run_id", METRICS, BOOTSTRAP_SEED, REPLICATES)
 
 
 @query
@@ -385,7 +425,9 @@ def bootstrap_config_intervals(spark, sf_dir):
 
 @query
 def bootstrap_factor_intervals(spark, sf_dir):
-    return settled(R.factor_sensitivity(_in_scopes(materialize(_bootstrap(spark, sf_dir))), CFG, ["iqr_pct", "std_pct"], ["scope"]))
+    """Of each chain and level of the other factors."""
+    drawn, own = materialize(_bootstrap(spark, sf_dir)), _cells(spark, sf_dir)
+    return settled(R.factor_intervals(_in_scopes(drawn), _in_scopes(own), CFG, "chain", CFG[1:], ["iqr_pct", "std_pct"], ["scope"]))
 
 
 @query
@@ -528,14 +570,13 @@ def model_battery(spark, sf_dir):
     flags: dict[str, list[bool]] = {s: [True, True] for s in SCOPES}
     for scope, _, cells in _metric_cells(spark, sf_dir):
         design = M.two_way(cells, CFG, TARGETED)
-        kept = M.estimable(M.gram(cells, design)[0], design)
+        kept = M.basis(M.factor(cells, design).r, design)
         pairs = sum(len(design.spans[t]) for t in design.terms if t not in TARGETED) + 1
         flags[scope][0] &= sum(c < pairs for c in kept) == pairs
         flags[scope][1] &= all(set(design.spans[t]) <= set(kept) for t in TARGETED)
     for scope, cells in _outcome_cells(spark, sf_dir):
         design = M.two_way(cells, CFG)
-        unit = cells.withColumns({"mean": F.lit(0.0), "m2": F.lit(0.0)})
-        flags[scope][0] &= len(M.estimable(M.gram(unit, design)[0], design)) == design.width
+        flags[scope][0] &= len(M.basis(M.factor(M.counted(cells), design).r, design)) == design.width
     return _rows(spark, [(s, *map(bool, f)) for s, f in flags.items()], "scope string, all_full_rank boolean, all_three_way_estimable boolean")
 
 
@@ -557,6 +598,16 @@ def anova_shares(spark, sf_dir):
     return _rows(spark, [(s, m, *r) for s, m, c in _metric_cells(spark, sf_dir) for r in M.anova_shares(M.ols(c, CFG))], _KEYS + "term string, share double")
 
 
+@query
+def legacy_anova_shares(spark, sf_dir):
+    """The older variance shares, of raw values without masks."""
+    df = O.legacy_ratios(runs(spark, sf_dir))
+    raw = [MetricSpec(m, c, f"known_{m}") for m, c in VALUES.items()]
+    known = df.withColumns({m.eligible: F.col(m.value).isNotNull() for m in raw})
+    cells = materialize(M.cell_stats_by_metric(known, CFG, raw, log=False))
+    return _rows(spark, [(m.name, *r) for m in raw for r in M.legacy_shares(cells.filter(F.col("metric") == m.name), "chain", ["topology", "workload"], ["size"])], "metric string, term string, share double")
+
+
 def _icc_cells(spark, sf_dir):
     return materialize(_in_scopes(M.cell_stats_by_metric(outcome_runs(spark, sf_dir), CFG, METRICS)))
 

@@ -105,20 +105,48 @@ _BATCHES = f"""SELECT r.*, CASE WHEN a = 1 THEN 'early' ELSE 'late' END AS perio
   FROM (SELECT {_CFG}, batch, ts, run FROM r QUALIFY row_number() OVER (PARTITION BY {_CFG}, batch ORDER BY ts, run) = 1)) b USING ({_CFG}, batch) WHERE n > 1 AND (a = 1 OR z = 1)"""
 _CONTRASTS = ("positive_points", "tps_change_pct", "latency_change_pct")
 
+def _label(*keys: str) -> str:
+    """A cell's levels, each behind its length."""
+    return " || '|' || ".join(f"coalesce(length({k}) || ':' || {k}, '-')" for k in keys)
+
+
+def _mixed(source: str, x: str, out: str) -> str:
+    """The rows of source, with 32 mixed bits of the column x."""
+    times = lambda c, n, k: f"(xor({c}, {c} >> {n})::HUGEINT * {k} % 4294967296)::BIGINT"
+    return f"SELECT *, xor(y2, y2 >> 16) AS {out} FROM (SELECT *, {times('y1', 15, 2221713035)} AS y2 FROM (SELECT *, {times(x, 16, 2146121005)} AS y1 FROM ({source})))"
+
+
+def _drawn(keys: str, label: str, source: str) -> str:
+    """Moments and quartiles of the resamples of cells of one range, from values with place (from 0) and n."""
+    base = f"SELECT *, (CAST('0x' || substr(md5('20260831|' || {label} || '|0'), 1, 8) AS BIGINT) + replicate * 2654435769) & 4294967295 AS x1 FROM {source}, {_REPLICATE}"
+    own = f"SELECT {keys}, metric, replicate, n, place, own FROM ({_mixed(base, 'x1', 'own')})"
+    draw = f"SELECT *, (own + place * 2246822507) & 4294967295 AS x2 FROM ({own})"
+    return f"SELECT {keys}, metric, replicate, ((bits::HUGEINT * n) >> 32)::BIGINT AS place FROM ({_mixed(draw, 'x2', 'bits')})"
+
+
 #: As many replicates as the catalog registers.
 _REPLICATE = "range(1, 101) t(replicate)"
 _SAMPLE = f"""enough AS (SELECT *, row_number() OVER (PARTITION BY {_CFG} ORDER BY run_id) - 1 AS place, count(*) OVER (PARTITION BY {_CFG}) AS n_cell FROM r QUALIFY count(*) OVER (PARTITION BY {_CFG}) >= 9),
 floyd AS (
   SELECT {_CFG}, replicate, unnest(list_reduce(
-    list_transform(range(1, 10), lambda k: [n - 9 + k, CAST('0x' || substr(md5('20260830|' || replicate || '|' || chain || '|' || topology || '|' || workload || '|' || size || '|' || k), 1, 15) AS BIGINT) % (n - 9 + k)]),
+    list_transform(range(1, 10), lambda k: [n - 9 + k, CAST('0x' || substr(md5('20260830|' || replicate || '|' || {_label(*_CFG.split(", "))} || '|' || k), 1, 15) AS BIGINT) % (n - 9 + k)]),
     lambda s, x: CASE WHEN list_contains(s, x[2]) THEN list_append(s, x[1] - 1) ELSE list_append(s, x[2]) END, []::BIGINT[])) AS place
   FROM (SELECT {_CFG}, count(*) AS n FROM enough GROUP BY ALL), {_REPLICATE}
 ),
 sample AS (SELECT enough.*, replicate FROM floyd JOIN enough USING ({_CFG}, place))"""
-_BOOT = f"""vals AS (SELECT *, row_number() OVER (PARTITION BY {_CFG}, metric ORDER BY v, run_id) AS place, count(*) OVER (PARTITION BY {_CFG}, metric) AS n FROM ({_long(_CFG + ", run_id")}) WHERE v IS NOT NULL),
-draws AS (SELECT {_CFG}, metric, replicate, 1 + CAST('0x' || substr(md5('20260831|' || replicate || '|' || chain || '|' || topology || '|' || workload || '|' || size || '|' || metric || '|' || place), 1, 15) AS BIGINT) % n AS place FROM vals, {_REPLICATE}),
-drawn AS (SELECT {_CFG}, metric, replicate, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, stddev_samp(v) AS std FROM draws JOIN vals USING ({_CFG}, metric, place) GROUP BY ALL),
-boot AS (SELECT {_CFG}, metric, replicate, CASE WHEN n >= 2 AND mean > 0 THEN 100 * (q75 - q25) / mean END AS iqr_pct, CASE WHEN n >= 2 AND mean > 0 THEN 100 * std / mean END AS std_pct FROM drawn)"""
+
+
+def _boot(keys: str, source: str = "r", metrics=("tps", "latency", "energy")) -> str:
+    n = f"OVER (PARTITION BY {keys}, metric"
+    same = " AND ".join(f"d.{k} IS NOT DISTINCT FROM v.{k}" for k in (*keys.split(", "), "metric", "place"))
+    own = ", ".join(f"d.{k}" for k in keys.split(", "))
+    return f"""vals AS (SELECT *, row_number() {n} ORDER BY v, run_id) - 1 AS place, count(*) {n}) AS n FROM ({_long(keys + ", run_id", source, metrics)}) WHERE v IS NOT NULL),
+draws AS ({_drawn(keys, _label(*keys.split(", "), "metric"), "vals")}),
+drawn AS (SELECT {own}, d.metric, replicate, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, stddev_samp(v) AS std FROM draws d JOIN vals v ON {same} GROUP BY ALL),
+boot AS (SELECT {keys}, metric, replicate, CASE WHEN n >= 2 AND mean > 0 THEN 100 * (q75 - q25) / mean END AS iqr_pct, CASE WHEN n >= 2 AND mean > 0 THEN 100 * std / mean END AS std_pct FROM drawn)"""
+
+
+_BOOT = _boot(_CFG)
 _IN_SCOPES = "SELECT c.*, s.scope FROM ({}) c, (VALUES ('all'), ('two_regions')) s(scope) WHERE s.scope = 'all' OR workload IN ('ASIA', 'EUROPE')"
 _TRADE = """w AS (
   SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
@@ -159,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
     cells = f"cells AS ({_dispersion(_CFG, _long(_CFG))})"
     q["dispersion_long"] = run(f"SELECT {_CFG}, metric, n_metric, {_round(_STATS16, 7)} FROM cells", cells)
     q["dispersion_sorted_quantile"] = "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS quantile FROM lineitem GROUP BY ALL"
-    maxima = _unpivot("SELECT * FROM cells", "metric, n_metric, chain || '|' || topology || '|' || workload || '|' || size AS cell", ("range", "delta_max_pct", "delta_min_pct", "wcd"))
+    maxima = _unpivot("SELECT * FROM cells", f"metric, n_metric, {_label(*_CFG.split(', '))} AS cell", ("range", "delta_max_pct", "delta_min_pct", "wcd"))
     q["dispersion_scope_maxima"] = run("SELECT metric, statistic, count(value) AS n_estimable, count(*) FILTER (n_metric >= 2) AS n_two_values, arg_min(cell, cell) FILTER (size = top) AS cell, round(arg_min(value, cell) FILTER (size = top), 4) AS value FROM (SELECT *, max(size) OVER (PARTITION BY metric, statistic) AS top FROM (SELECT *, CASE WHEN statistic = 'delta_min_pct' THEN abs(value) ELSE value END AS size FROM m)) GROUP BY ALL", cells, f"m AS ({maxima})")
     q["dispersion_bounds_violations"] = run("SELECT chain, metric, count(*) AS n_violations FROM (SELECT * REPLACE (CASE WHEN chain = 'BUILDING' AND metric = 'tps' THEN range + 1 ELSE range END AS range) FROM cells) WHERE n_metric > 0 AND (delta_min_pct < -100 - 1e-9 OR delta_max_pct > 100 * (n_metric - 1) + 1e-9 OR abs(range - (delta_max - delta_min)) > 1e-9 * greatest(1, abs(\"max\"))) GROUP BY ALL", cells)
     q["metric_eligibility_summary"] = run(f"SELECT scope, metric, count(*) AS n_cells, count(*) FILTER (n_metric >= 9) AS n_enough, min(n_metric) AS n_min, max(n_metric) AS n_max FROM ({_IN_SCOPES.format('SELECT * FROM cells')}) GROUP BY ALL", cells)
@@ -184,7 +212,24 @@ def oracle_sql() -> dict[str, str]:
     sums = ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("n_observed", "n_positive_commit", "n_zero_commit", "n_no_submission", "n_inconsistent", "n_tps_valid", "n_latency_valid"))
     q["outcome_accounting_rollup"] = run(f"SELECT chain, topology, count(*) AS n_cells, {regimes}, {sums} FROM counts GROUP BY GROUPING SETS ((chain, topology), ())", _CELLS)
     stats = ", ".join(f"round({f}({s}), 6) AS {n}_{s}" for s in ("iqr_pct", "std_pct") for n, f in (("mean", "avg"), ("median", "median")))
-    q["factor_cell_means"] = run(f"SELECT factor, level, metric, count(*) AS n_cells, sum(n_metric)::BIGINT AS n_values, min(n_metric) AS n_min, max(n_metric) AS n_max, {stats} FROM ({_levels('SELECT * FROM cells WHERE n_metric >= 2', _CFG.split(', '), 'metric, n_metric, iqr_pct, std_pct')}) GROUP BY ALL", cells)
+    of = lambda c: f"CASE WHEN n_metric >= 2 THEN {c} END"
+    stats = ", ".join(f"round({f}({of(c)}), 6) AS {n}_{c}" for c in ("iqr_pct", "std_pct") for n, f in (("mean", "avg"), ("median", "median")))
+    three = _levels(_IN_SCOPES.format("SELECT * FROM cells"), _CFG.split(", ")[1:], "scope, chain, metric, n_metric, iqr_pct, std_pct")
+    q["factor_cell_means"] = run(f"SELECT factor, level, scope, chain, metric, count(*) AS n_cells, count(*) FILTER (n_metric >= 2) AS n_contributing, coalesce(sum({of('n_metric')}), 0)::BIGINT AS n_values, coalesce(min({of('n_metric')}), 0) AS n_min, coalesce(max({of('n_metric')}), 0) AS n_max, {stats} FROM ({three}) GROUP BY ALL", cells)
+    unspecified = "u AS (SELECT * REPLACE (CASE WHEN topology NOT LIKE '%NOT SPECIFIED' THEN topology END AS topology) FROM r)"
+    same = " AND ".join(f"u.{c} IS NOT DISTINCT FROM b.{c}" for c in (*_CFG.split(", "), "batch"))
+    q["unspecified_deviations"] = run(
+        f"""SELECT {_CFG}, run_id, round(m, 6) AS cell_mean, round(tps - m, 6) + 0.0 AS deviation, round(CASE WHEN n = 1 THEN 0 ELSE -0.18 + 0.36 * (rn - 1) / (n - 1) END, 6) AS "offset", period, batch_period
+FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m, row_number() OVER (PARTITION BY {_CFG} ORDER BY ts, run_id) AS rn, count(*) OVER (PARTITION BY {_CFG}) AS n FROM u WHERE tps_point_valid) LEFT JOIN h USING (run_id) LEFT JOIN e USING (run_id)""",
+        unspecified, f"h AS (SELECT run_id, period FROM ({_HALVES.replace(' FROM r)', ' FROM u)')}) WHERE period IS NOT NULL)",
+        f"""e AS (SELECT run_id, CASE WHEN a = 1 THEN 'early' ELSE 'late' END AS batch_period FROM u JOIN (
+  SELECT {_CFG}, batch, row_number() OVER (PARTITION BY {_CFG} ORDER BY ts, batch, run) AS a, row_number() OVER (PARTITION BY {_CFG} ORDER BY ts DESC, batch DESC, run DESC) AS z, count(*) OVER (PARTITION BY {_CFG}) AS n
+  FROM (SELECT {_CFG}, batch, ts, run FROM u QUALIFY row_number() OVER (PARTITION BY {_CFG}, batch ORDER BY ts, run) = 1)) b ON {same} WHERE n > 1 AND (a = 1 OR z = 1))""",
+    )
+    grid = " CROSS JOIN ".join(f"(SELECT DISTINCT {c} FROM u)" for c in ("chain", "topology", "size"))
+    q["unspecified_grid"] = run(f"SELECT g.chain, g.topology, g.size, count(run_id) AS n FROM ({grid}) g LEFT JOIN u ON g.chain = u.chain AND g.topology IS NOT DISTINCT FROM u.topology AND g.size = u.size AND u.tps_point_valid GROUP BY ALL", unspecified)
+    q["unspecified_bootstrap"] = run(_summary(_unpivot("SELECT * FROM boot", "chain, topology, size, metric", ("iqr_pct", "std_pct")), "chain, topology, size, metric, statistic"), unspecified, _boot("chain, topology, size", "u", ("tps",)))
+    q["deviation_sums"] = run(f"SELECT chain, count(*) AS n_violations FROM (SELECT {_CFG}, sum(d) AS total, count(*) * greatest(max(m), 1) AS room FROM (SELECT *, tps - m + CASE WHEN chain = 'MACHINERY' THEN 0.5 ELSE 0 END AS d FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m FROM r WHERE tps_point_valid)) GROUP BY ALL) WHERE abs(total) > 1e-8 * room GROUP BY chain")
     q["run_deviations"] = run(f"SELECT run_id, round(m, 6) AS cell_mean, round(tps - m, 6) + 0.0 AS deviation, round(100 * (tps - m) / m, 6) + 0.0 AS deviation_pct, round(greatest(least(100 * (tps - m) / m, 100), -100), 6) + 0.0 AS clipped_pct, abs(100 * (tps - m) / m) > 100 + 1e-9 AS overflow FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m FROM r WHERE tps_point_valid)")
     q["deviation_offsets"] = run(f"SELECT run_id, round(CASE WHEN n = 1 THEN 0 ELSE -0.18 + 0.36 * (rn - 1) / (n - 1) END, 6) AS \"offset\", concat_ws('/', chain, topology, size) AS cell FROM (SELECT *, row_number() OVER (PARTITION BY {_CFG} ORDER BY ts, run_id) AS rn, count(*) OVER (PARTITION BY {_CFG}) AS n FROM r WHERE tps_point_valid)")
     q["half_contrast"] = run(f"SELECT {_CFG}, {_round(_CONTRASTS)} FROM ({_contrast(f'SELECT * FROM ({_HALVES}) WHERE period IS NOT NULL')})")
@@ -198,14 +243,15 @@ def oracle_sql() -> dict[str, str]:
     own = _unpivot("SELECT * FROM own", f"{_CFG}, metric", nine)
     q["balanced_config_sensitivity"] = run(f"SELECT {_CFG}, metric, statistic, {_settled('value')} AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({own}) o JOIN ({reps}) s USING ({_CFG}, metric, statistic)", _SAMPLE, rep, own_balanced)
 
-    def by_factor(cells: str) -> str:
-        levels = _levels(_IN_SCOPES.format(cells), _CFG.split(", "), "scope, metric, replicate, iqr_pct, std_pct")
-        long = _unpivot(levels, "factor, level, scope, metric, replicate", ("iqr_pct", "std_pct"))
-        both = f"SELECT factor, level, scope, metric, replicate, statistic, avg(value) AS mean, median(value) AS median FROM ({long}) GROUP BY ALL"
-        over = " UNION ALL ".join(f"SELECT factor, level, scope, metric, statistic, '{f}' AS over_cells, {f} AS value FROM ({both})" for f in ("mean", "median"))
-        return _summary(over, "factor, level, scope, metric, statistic, over_cells")
-
-    q["balanced_factor_sensitivity"] = run(by_factor("SELECT * FROM rep"), _SAMPLE, rep)
+    eight, four = nine[1:], _CFG.split(", ")
+    level = "factor, level, scope, metric"
+    over = lambda source, keys, name: f"SELECT {keys}, unnest(['mean', 'median']) AS over_cells, unnest([avg(value), median(value)]) AS {name} FROM ({source}) GROUP BY {keys}"
+    drawn = over(_unpivot(_levels(_IN_SCOPES.format("SELECT * FROM rep"), four, ", ".join(("scope, metric, replicate", *eight))), f"{level}, replicate", eight), f"{level}, replicate, statistic", "value")
+    in_scopes = _levels(_IN_SCOPES.format("SELECT * FROM own"), four, ", ".join(("scope, metric", *eight)))
+    q["balanced_factor_sensitivity"] = run(
+        f"""SELECT {level}, statistic, over_cells, n_cells, {_settled('"primary"')} AS "primary", n_defined, median, lower, upper, "min", "max" FROM ({over(_unpivot(in_scopes, level, eight), level + ", statistic", '"primary"')})
+JOIN (SELECT {level}, count(*) AS n_cells FROM ({in_scopes}) GROUP BY ALL) USING ({level}) JOIN ({_summary(drawn, level + ", statistic, over_cells")}) USING ({level}, statistic, over_cells)""", _SAMPLE, rep, own_balanced,
+    )
     ends = {"delta_min_pct": "min", "delta_max_pct": "max", "range": "max", "wcd": "max", "wcd_pct": "max"}
     end = lambda source, keys: f"SELECT {keys}, " + ", ".join(f"{f}({c}) AS {c}" for c, f in ends.items()) + f" FROM ({_IN_SCOPES.format('SELECT * FROM ' + source)}) GROUP BY ALL"
     drawn_ends = _summary(_unpivot(end("rep", "scope, metric, replicate"), "scope, metric", ends), "scope, metric, statistic")
@@ -216,7 +262,18 @@ def oracle_sql() -> dict[str, str]:
     q["balanced_denominators"] = run(f"SELECT {_CFG}, statistic, value::BIGINT AS \"primary\", n_defined, median, lower, upper, \"min\", \"max\" FROM ({counted('enough', _CFG)}) JOIN ({drawn_counts}) USING ({_CFG}, statistic)", _SAMPLE)
     boot = _summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic", str)
     q["bootstrap_config_intervals"] = run(_summary(_unpivot("SELECT * FROM boot", f"{_CFG}, metric", ("iqr_pct", "std_pct")), f"{_CFG}, metric, statistic"), _BOOT)
-    q["bootstrap_factor_intervals"] = run(by_factor("SELECT * FROM boot"), _BOOT)
+    two, three_factors = ("iqr_pct", "std_pct"), four[1:]
+    within = "factor, level, chain, scope, metric, statistic"
+    of_level = lambda source, rest: _levels(source, three_factors, f"chain, scope, metric, statistic{rest}")
+    q["bootstrap_factor_intervals"] = run(
+        f"""SELECT {within}, over_cells, n_cells, coalesce(n_contributing, 0) AS n_contributing, coalesce(n_values, 0) AS n_values, coalesce(n_min, 0) AS n_min, coalesce(n_max, 0) AS n_max, {_settled("point")} AS point, lower, upper
+FROM (SELECT {within}, count(*) AS n_cells, unnest(['mean', 'median']) AS over_cells FROM ({of_level("SELECT * FROM ol", "")}) GROUP BY {within})
+LEFT JOIN (SELECT {within}, count(*) AS n_contributing, sum(n_metric)::BIGINT AS n_values, min(n_metric) AS n_min, max(n_metric) AS n_max FROM ({of_level("SELECT * FROM used", ", n_metric")}) GROUP BY ALL) USING ({within})
+LEFT JOIN ({over(of_level("SELECT * FROM used", ", value"), within, "point")}) USING ({within}, over_cells)
+LEFT JOIN ({_summary(over(of_level("SELECT * FROM kept", ", replicate, value"), within + ", replicate", "value"), within + ", over_cells")}) USING ({within}, over_cells)""",
+        _BOOT, f"own AS ({_dispersion(_CFG, _long(_CFG))})", f"ol AS ({_unpivot(_IN_SCOPES.format('SELECT * FROM own'), f'{_CFG}, scope, metric, n_metric', two)})", "used AS (SELECT * FROM ol WHERE value IS NOT NULL AND n_metric >= 2)",
+        f"kept AS (SELECT b.* FROM ({_unpivot(_IN_SCOPES.format('SELECT * FROM boot'), f'{_CFG}, scope, metric, replicate', two)}) b JOIN used USING ({_CFG}, scope, metric, statistic))",
+    )
     q["bootstrap_outside_markers"] = run(f"SELECT {_CFG}, metric, statistic, coalesce(value < lower - 1e-9 * greatest(abs(value), 1) OR value > upper + 1e-9 * greatest(abs(value), 1), false) AS is_outside FROM ({_unpivot('SELECT * FROM own', _CFG + ', metric', ('iqr_pct', 'std_pct'))}) o JOIN ({boot}) s USING ({_CFG}, metric, statistic)", _BOOT, f"own AS ({_dispersion(_CFG, _long(_CFG))})")
     q["icc_anova"] = run(f"""SELECT chain, n_runs, n_cells, round(between_, 6) AS between, round(msw, 6) AS within, round(between_ / (between_ + msw), 6) AS icc FROM (
       SELECT *, greatest((msb - msw) * n_cells / n_runs, 0) AS between_ FROM (SELECT chain, sum(n)::BIGINT AS n_runs, count(*) AS n_cells, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) AS msb, sum(n * var) / (sum(n) - count(*)) AS msw
