@@ -48,6 +48,12 @@ def kept(df: DataFrame) -> DataFrame:
     return _written(df, _scratches()[:-1])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark knows."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that the block materializes when it ends; what is used later must be ``kept``."""
@@ -56,5 +62,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scratches().pop():
-            file = spark._jvm.org.apache.hadoop.fs.Path(path)
-            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+            remove(spark, path)
