@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from evenkeel.llm.shared import materialize
+from evenkeel.llm.shared import by_place, materialize
 
 #: Bytes of item text in the index of a block, and blocks whose scans are chained after one pass for word frequencies.
 BLOCK_BYTES, GROUP = 8 << 20, 4
@@ -163,7 +163,7 @@ def _scan(df: DataFrame, index: WindowIndex, text: str, into: str) -> DataFrame:
                 new = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(columns, kinds)], names=FOUND.names)
                 yield pa.RecordBatch.from_arrays([*part.columns[: part.num_columns - again], new], names=schema.names)
 
-    return df.mapInArrow(rows, schema)
+    return by_place(df).mapInArrow(rows, schema)
 
 
 def mark(docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, into: str, width: int = 10) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +32,22 @@ def encoder(ranks_file: str, pattern: str, added: tuple[tuple[str, int], ...] =
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
+#: White space as the tokenizer's pattern knows it, in runs too long for its backtracking.
+_LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def encode(bpe, text: str) -> list[int]:
+    """The ids of a text, added tokens included. A long run of white space is one piece by the pattern, but for its last character
+    where something follows; it goes to the merges directly."""
+    ids, at = [], 0
+    for m in _LONG_BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += bpe.encode(text[at : m.start()], allowed_special="all")
+        ids += bpe._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + bpe.encode(text[at:], allowed_special="all")
+
+
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: all of limit ids but the first, which takes what is left over."""
     first = n % limit or limit
@@ -49,7 +66,7 @@ def token_pieces(df: DataFrame, key: str, text: str, limit: int, ranks_file: str
         for batch in batches:
             rows, out = [], []
             for row, body in enumerate(batch.column(1)):
-                ids = bpe.encode(body.as_py() or "", allowed_special="all") if added else bpe.encode_ordinary(body.as_py() or "")
+                ids = encode(bpe, body.as_py() or "")
                 ids.append(END_ID)
                 raw = memoryview(np.array(ids, dtype="<u4").tobytes())
                 for piece, (start, length) in enumerate(cut(len(ids), limit)):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from evenkeel.llm.forest import Forest
+from evenkeel.llm.shared import by_place
 
 #: Runs long enough to be a key; those without a digit or a change of case within are words.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -184,4 +185,4 @@ def scan(df: DataFrame, text: str, path: str, into: str = "secret_scan") -> Data
                 new = [pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([",".join(f"{a}:{b}" for a, b in s) for _, s in found], pa.string()), pa.array([t and masked(t, s) for t, (_, s) in zip(texts, found)], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(new, names=made.names)], names=schema.names)
 
-    return df.mapInArrow(rows, schema)
+    return by_place(df).mapInArrow(rows, schema)

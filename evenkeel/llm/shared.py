@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.ranks import BROADCAST_ROWS, gapless_rank
-from evenkeel.functions.storage import kept, materialize, scratch, shared_folder
+from evenkeel.functions.storage import kept, materialize, remove, scratch, shared_folder
 
-__all__ = ["BROADCAST_ROWS", "bind", "gapless_rank", "join_split", "kept", "materialize", "scratch", "shared_folder"]
+__all__ = ["BROADCAST_ROWS", "bind", "by_place", "gapless_rank", "join_split", "kept", "materialize", "remove", "scratch", "shared_folder"]
 
 #: Most keys that count as hot: each of them holds more than this part of all rows.
 HOT_KEYS = 10_000
@@ -34,3 +34,8 @@ def join_split(rows: DataFrame, keys: DataFrame, key: str, size: str) -> DataFra
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row instead of at each place where body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """df with plain column names, for workers that take columns by their place: names with dots or backticks don't reach mapInArrow."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -11,14 +11,13 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from evenkeel.llm.shared import BROADCAST_ROWS, HOT_KEYS, materialize, shared_folder
+from evenkeel.llm.shared import BROADCAST_ROWS, HOT_KEYS, kept, materialize, remove, scratch, shared_folder
 
 #: Bytes, zipped, after which a task begins a new file.
 FILE_BYTES = 64 << 20
@@ -26,8 +25,10 @@ FILE_BYTES = 64 << 20
 ENTRIES_PER_RANGE = 50_000
 #: Bytes that are unzipped at once.
 CHUNK = 64 << 10
-#: What Spark's text writer puts after each member; gzip readers skip zeros between members.
-PADDING = "\0"
+#: The last byte of a gzip member is that of its size over 16 MB, zero below. Spark's text sink, which has no form without
+#: separators, is given members without it and puts it after each; a member that ends otherwise is followed by an empty one.
+LAST = "\0"
+EMPTY = gzip.compress(b"", mtime=0)
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 #: Fixed value of the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,12 +73,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, content) of the gzip members of an archive, each unzipped for itself; zeros between them are skipped."""
+    """(offset, length, content) of the gzip members of an archive that hold anything, each unzipped for itself."""
     view, at = memoryview(data), 0
     while at < len(data):
-        if not data[at]:
-            at += 1
-            continue
         unzip, content, end = zlib.decompressobj(wbits=31), [], at
         while not unzip.eof:
             if end >= len(data):
@@ -85,15 +83,17 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             chunk = view[end : end + CHUNK]
             content.append(unzip.decompress(chunk))
             end += len(chunk) - len(unzip.unused_data)
-        yield at, end - at, b"".join(content)
+        if whole := b"".join(content):
+            yield at, end - at, whole
         at = end
 
 
-def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes: int, time: str | None = None) -> str:
-    """Writes a record per row into a new folder of WARC files, each record a gzip member of its own, and returns the folder's path.
+def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes: int, time: str | None = None, folder: str | None = None) -> str:
+    """Writes a record per row into a new folder of WARC files (``.warc.gz``), each record a gzip member of its own, and returns the folder's path.
 
     A task begins a new file after FILE_BYTES. Of rows with equal payloads of at least least_bytes, those with the least key are responses, the
-    others revisit it. Payload groups are counted on digests alone, and the rows of a hot payload stay where they are.
+    others revisit it. Payload groups are counted on digests alone, and the rows of a hot payload stay where they are. Without
+    a ``folder`` the files go to a new one beside the checkpoints; they stay until they are removed.
     """
     body = F.coalesce(F.col(html), F.lit(""))
     seconds = F.coalesce(F.unix_timestamp(time) - int(EPOCH.timestamp()), F.lit(0)) if time else F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(1 << 31))
@@ -108,21 +108,35 @@ def write_archives(pages: DataFrame, key: str, url: str, html: str, least_bytes:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written = 0
         for batch in batches:
-            out, files = [], []
-            for r in batch.to_pylist():
-                first = None if r["least"] is None or r["least"] == r["page"] else r["least"]
-                member = gzip.compress(record(r["page"], r["url"], r["payload"], base64.b32encode(bytes.fromhex(r["digest"])).decode(), first, r["n"], r["seconds"]), 6, mtime=0)
-                out.append(member)
-                files.append(written // FILE_BYTES)
+            for r in zip(*batch.columns):
+                page, url_, payload, digest, n, least, seconds_ = (x.as_py() for x in r)
+                content = record(page, url_, payload, base64.b32encode(bytes.fromhex(digest)).decode(), None if least == page else least, n, seconds_)
+                member = gzip.compress(content, 6, mtime=0)
+                if member[-1]:
+                    member += EMPTY
+                yield pa.RecordBatch.from_arrays([pa.array([member[:-1]], pa.binary()), pa.array([written // FILE_BYTES], pa.int64())], names=["value", "part"])
                 written += len(member)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int64())], names=["value", "part"])
 
-    path = f"{shared_folder(pages.sparkSession)}/evenkeel-warc-{uuid.uuid4().hex}"
+    path = folder or f"{shared_folder(pages.sparkSession)}/evenkeel-warc-{uuid.uuid4().hex}"
     zipped = rows.select("page", "url", "payload", "digest", "n", "least", "seconds").mapInArrow(records, "value binary, part long")
-    zipped.select(F.col("value").cast("string").alias("value"), "part").write.partitionBy("part").option("lineSep", PADDING).text(path)
+    zipped.select(F.col("value").cast("string").alias("value"), "part").write.partitionBy("part").option("lineSep", LAST).text(path)
+    _name_files(pages.sparkSession, path)
     return path
 
 
+def _name_files(spark, path: str) -> None:
+    """Gives the files the names of archives: one rename for each FILE_BYTES."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in system.listStatus(root):
+        if part.isDirectory():
+            for file in system.listStatus(part.getPath()):
+                name = file.getPath().getName()
+                if name.endswith(".txt"):
+                    system.rename(file.getPath(), hadoop.Path(part.getPath(), name.removesuffix(".txt") + ".warc.gz"))
+
+
 INDEX = StructType([
     *(StructField(c, StringType()) for c in ("url_key", "stamp", "file")), *(StructField(c, LongType()) for c in ("place", "offset", "length", "page_id", "payload_bytes")),
     *(StructField(c, StringType()) for c in ("payload_digest", "record_type")), StructField("refers_to", LongType()),
@@ -204,33 +218,42 @@ def merged_histories(runs: DataFrame) -> DataFrame:
     """
     order = ["url_key", "stamp", F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)), "file", "offset"]
     ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // ENTRIES_PER_RANGE))
-    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", "place").withColumn("range_id", F.spark_partition_id())
+    dealt = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", "place").withColumn("range_id", F.spark_partition_id().cast("long"))
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = pd.concat([pd.DataFrame(columns=names), *batches], ignore_index=True)  # about ENTRIES_PER_RANGE entries
-        if part.empty:
-            return
-        heads = list(zip(part.url_key, part.stamp, part.page_id.isna(), part.page_id.fillna(0), part.file, part.offset, part.index))
-        starts = [*part.index[part.file.ne(part.file.shift())], len(part)]
-        merged = [x[-1] for x in LoserTree([heads[a:b] for a, b in zip(starts, starts[1:])])]
-        yield part.loc[merged].assign(in_range=range(len(part)))
+    schema = StructType([*INDEX, *(StructField(c, LongType()) for c in ("range_id", "in_range"))])
 
-    names = [*INDEX.names, "range_id"]
-    out = materialize(dealt.mapInPandas(merge, StructType([*INDEX, StructField("range_id", IntegerType()), StructField("in_range", LongType())])))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        part = pa.Table.from_batches(held).combine_chunks()  # about ENTRIES_PER_RANGE entries
+        columns = {c: part.column(c).to_pylist() for c in ("url_key", "stamp", "page_id", "file", "offset")}
+        heads = [(k, t, p is None, p or 0, f, o, i) for i, (k, t, p, f, o) in enumerate(zip(*columns.values()))]
+        files = columns["file"]
+        starts = [*(i for i in range(len(files)) if not i or files[i] != files[i - 1]), len(files)]
+        merged = pa.array([x[-1] for x in LoserTree([heads[a:b] for a, b in zip(starts, starts[1:])])], pa.int64())
+        yield from part.take(merged).append_column("in_range", pa.array(range(len(files)), pa.int64())).to_batches()
+
+    out = kept(dealt.mapInArrow(merge, schema))
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     shift = out.groupBy("range_id").agg(F.count(F.lit(1)).alias("rows")).select("range_id", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
     shift = F.broadcast(shift) if ranges <= BROADCAST_ROWS else shift
     return out.join(shift, "range_id").select("range_id", *INDEX.names, (F.col("in_range") + F.col("before")).alias("history_place"))
 
 
-def archive(pages: DataFrame, key: str, url: str, html: str, least_bytes: int = 0, time: str | None = None) -> DataFrame:
+def archive(pages: DataFrame, key: str, url: str, html: str, least_bytes: int = 0, time: str | None = None, folder: str | None = None) -> DataFrame:
     """Writes pages as WARC archives, reads them back and returns their capture histories, one row per page.
 
     Captures are dated by the timestamp column time (EPOCH where it is null); without one, EPOCH and as many seconds as the key
     says stand for it, so the captures of a URL are in the order of their keys.
     A null html is an empty payload, a null url an empty one. Rows without a key come last and refer to
     the least key of their payload. Rows that repeat the least key of a payload are all responses. Other
-    columns are not archived; no pages give no rows.
+    columns are not archived; no pages give no rows. Archives stay in ``folder``; without one they are removed once they are
+    read back.
     """
-    path = write_archives(pages, key, url, html, least_bytes, time)
-    return merged_histories(materialize(index_runs(pages.sparkSession, path)))
+    with scratch(pages.sparkSession):
+        path = write_archives(pages, key, url, html, least_bytes, time, folder)
+        index = materialize(index_runs(pages.sparkSession, path))
+        if not folder:
+            remove(pages.sparkSession, path)
+        return merged_histories(index)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import subprocess
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -146,14 +147,15 @@ def test_occurrences_at_any_number_of_candidates(monkeypatch, candidates):
     assert found == want and len(found) == 5
 
 
-def test_archives(spark, monkeypatch):
+def test_archives(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "ENTRIES_PER_RANGE", 7)
     monkeypatch.setattr(warc, "FILE_BYTES", 1500)
     monkeypatch.setattr(warc, "CHUNK", 50)
     bodies = ["", None, "<p>\r\n\r\nWARC/1.1\r\n</p>", "é" * 999, "a", "a"]
-    rows = [(i, None if i == 3 else f"http://h{i % 3}.example.org:81/p q?x=é#{i}", bodies[i % 6]) for i in range(60)] + [(None, "x", "a"), (4, "x", "a"), (77, "http://[bad", "b")]
+    far = 2**60 + 1  # no double is such a number
+    rows = [(far + 2 * i, None if i == 3 else f"http://h{i % 3}.example.org:81/p q?x=é#{i}", bodies[i % 6]) for i in range(60)] + [(None, "x", "a"), (4 + far, "x", "a"), (77, "http://[bad", "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
-    got = warc.archive(pages, "page_id", "url", "html").orderBy("history_place").collect()
+    got = warc.archive(pages, "page_id", "url", "html", folder=f"{tmp_path}/archives").orderBy("history_place").collect()
     assert [r.history_place for r in got] == list(range(len(rows)))
     keys = [warc._order(r.asDict()) for r in got]
     assert keys == sorted(keys)
@@ -168,13 +170,28 @@ def test_archives(spark, monkeypatch):
             head, _ = warc.parse(gzip.decompress(f.read(r.length)))
         assert head["warc-payload-digest"] == f"sha1:{r.payload_digest}" and head["warc-record-id"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>"
     assert len({r.file for r in got}) > 8  # by bytes
-    with open(unquote(urlsplit(got[0].file).path), "rb") as f:
-        assert gzip.decompress(f.read()).startswith(b"WARC/1.1")  # a plain reader takes the whole file
+    files = {unquote(urlsplit(r.file).path) for r in got}
+    assert all(f.endswith(".warc.gz") for f in files)
+    for file in files:  # other readers take whole files
+        assert subprocess.run(["gzip", "-t", file], capture_output=True).stderr == b""
+        with gzip.open(file) as f:
+            assert f.read().count(b"WARC-Record-ID: ") == sum(unquote(urlsplit(r.file).path) == file for r in got)
     assert warc.archive(pages.limit(0), "page_id", "url", "html").count() == 0
     times = spark.createDataFrame([(1, "u", "a", "2021-01-02 00:00:00"), (2, "u", "b", "2021-01-01 00:00:00"), (3, "u", "c", None)], "page_id long, url string, html string, at string").withColumn("at", F.to_timestamp("at"))
     assert [r.page_id for r in warc.archive(times, "page_id", "url", "html", time="at").orderBy("history_place").collect()] == [3, 2, 1]
 
 
+def test_archive_of_a_large_record(spark, tmp_path):
+    """The size of a record over 16 MB ends its member in another byte than 0."""
+    pages = spark.createDataFrame([(1, "u", "x" * (17 << 20)), (2, "u", "y"), (3, "v", "x" * (17 << 20))], "page_id long, url string, html string").coalesce(1)
+    got = warc.archive(pages, "page_id", "url", "html", folder=f"{tmp_path}/archives").orderBy("page_id").collect()
+    assert [(r.payload_bytes, r.record_type, r.refers_to) for r in got] == [(17 << 20, "response", None), (1, "response", None), (17 << 20, "revisit", 1)]
+    for file in {unquote(urlsplit(r.file).path) for r in got}:
+        assert subprocess.run(["gzip", "-t", file], capture_output=True).stderr == b""
+    before = set(tmp_path.iterdir())
+    assert warc.archive(pages, "page_id", "url", "html").count() == 3 and set(tmp_path.iterdir()) == before
+
+
 @pytest.mark.parametrize("runs", [[], [[1]], [[], [2, 2], [1, 3], []], [[5, 6], [1, 9], [2], [3, 4, 8]]])
 def test_loser_tree(runs):
     assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
@@ -198,7 +215,7 @@ def test_pipeline_keeps_clean_documents(spark):
     assert packed == kept & clean
 
 
-CLASHES = ("Quality", "secret_scan", "contamination", "row", "ROW_", "n", "values", "node", "key", "found", "licences")
+CLASHES = ("Quality", "secret_scan", "contamination", "row", "ROW_", "n", "values", "node", "key", "found", "licences", "a.b", "back`tick", "doc_id.text")
 
 
 def test_stages_act_row_by_row(spark, documents, tmp_path):
@@ -210,7 +227,7 @@ def test_stages_act_row_by_row(spark, documents, tmp_path):
     rows = [(1, a), (1, b), (2, a), (None, c + " " + item), (None, prose(60)), (3, None), (4, ""), (5, prose(20_000)), (6, c), (6, c), (7, b + " " + secret), (None, b), (8, "short"), (9, prose(30) + " " + item)]
     docs = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", len(t or "")) for k, (i, t) in enumerate(rows)], documents("").schema)
     for k, name in enumerate(CLASHES):
-        docs = docs.withColumn(name, F.lit(k) if k % 3 else F.lit(None).cast("string"))
+        docs = docs.select("*", (F.lit(k) if k % 3 else F.lit(None).cast("string")).alias(name))
     spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stages = dict(corpus_pipeline.STAGES)
     run = lambda name: stages[name](spark, docs, str(tmp_path))
