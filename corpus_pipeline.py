@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import decontamination, neardup, packing, quality, secretscan
-from evenkeel.llm.shared import materialize
+from evenkeel.llm.shared import kept, materialize, scratch
 
 SIMILAR_PERCENT, SEQUENCE = 80, 1024
 
@@ -20,6 +20,11 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules reject, row by row.
 
@@ -27,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     alike; nulls elsewhere and other columns, whatever their names, stay; an empty table stays empty.
     """
     into = _free(docs, "quality")
-    return quality.judge(docs, "text", into=into).where(F.col(into)["kept"]).select(docs.columns)
+    return quality.judge(docs, "text", into=into).where(F.col(into)["kept"]).select(*_all(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     keyed = numbered.select(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("key"), "text")
     gone = neardup.near_duplicates(keyed, "key", "text", SIMILAR_PERCENT).where("NOT kept").select(F.col("key.row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*_all(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     benchmark, into = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _free(docs, "contamination")
     marked = decontamination.mark(docs, "text", benchmark, "item_id", "text", into)
-    return marked.where(F.size(F.col(into)["ends"]) == 0).select(docs.columns)
+    return marked.where(F.size(F.col(into)["ends"]) == 0).select(*_all(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +69,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     into = _free(docs, "secret_scan")
     found = F.col(into)
     n_chars = F.when(found["secrets"] > 0, F.char_length(found["masked"]).cast("long")).otherwise(F.col("n_chars"))
-    return secretscan.scan(docs, "text", "source", into).withColumns({"text": found["masked"], "n_chars": n_chars}).select(docs.columns)
+    return secretscan.scan(docs, "text", "source", into).withColumns({"text": found["masked"], "n_chars": n_chars}).select(*_all(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,9 +88,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what they write in between is removed, their result is a table of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
+    with scratch(spark):
+        for name, stage in STAGES:
+            docs = stage(spark, docs, sf_dir)
+            docs = materialize(docs) if name != STAGES[-1][0] else kept(docs)
     return docs
