@@ -489,14 +489,15 @@ def graph_shortest_paths(spark, sf_dir):
 @query
 def graph_summary(spark, sf_dir):
     edges, nodes = G.trade_graph(spark, sf_dir)
-    return rounded(G.path_summary(G.distances(edges, nodes), nodes).join(G.sizes(edges, nodes).drop("n_nodes"), "graph_id").join(G.degree_summary(edges, nodes), "graph_id"))
+    return rounded(G.path_summary(G.reach(edges, nodes)[1], nodes).join(G.sizes(edges, nodes).drop("n_nodes"), "graph_id").join(G.degree_summary(edges, nodes), "graph_id"))
 
 
 @query
 def graph_size_check(spark, sf_dir):
-    """Counts of a graph against expected ones, of another graph that isn't there too."""
-    expected = spark.createDataFrame([("trade", 25, 40), ("absent", 4, 3)], "graph_id string, n_nodes long, n_edges long")
-    return G.size_check(*G.trade_graph(spark, sf_dir), expected)
+    """Counts of a graph against expected ones, of another graph that isn't there too; suppliers stand for its validators."""
+    expected = spark.createDataFrame([("trade", 25, 40, 100), ("absent", 4, 3, 1)], "graph_id string, n_nodes long, n_edges long, n_validators long")
+    validators = table(spark, sf_dir, "supplier").select(F.lit("trade").alias("graph_id"), "s_suppkey")
+    return G.size_check(*G.trade_graph(spark, sf_dir), expected, validators)
 
 
 @query

@@ -291,5 +291,6 @@ LEFT JOIN ({_summary(over(of_level("SELECT * FROM kept", ", replicate, value"),
       g AS (SELECT n_nationkey, count(b.v) AS degree FROM nation LEFT JOIN both_ways b ON b.u = n_nationkey GROUP BY ALL)
       SELECT 'trade' AS graph_id, (SELECT count(*) FROM nation) AS n_nodes, max(hops) AS diameter, round(avg(hops) FILTER (source < v), 6) AS mean_distance, count(*) = (SELECT count(*) * count(*) FROM nation) AS connected,
       (SELECT count(*) FROM e) AS n_edges, (SELECT min(degree) FROM g) AS least, (SELECT median(degree) FROM g) AS middle, (SELECT max(degree) FROM g) AS most FROM d"""
-    q["graph_size_check"] = f"WITH {_TRADE} SELECT x.graph_id, x.n AS expected_nodes, f.n_nodes, x.m AS expected_edges, f.n_edges, coalesce(x.n = f.n_nodes AND x.m = f.n_edges, false) AS ok FROM (VALUES ('trade', 25, 40), ('absent', 4, 3)) x(graph_id, n, m) FULL JOIN (SELECT 'trade' AS graph_id, (SELECT count(*) FROM nation) AS n_nodes, (SELECT count(*) FROM e) AS n_edges) f USING (graph_id)"
+    q["graph_size_check"] = f"""WITH {_TRADE} SELECT x.graph_id, x.n AS expected_nodes, f.n_nodes, x.m AS expected_edges, f.n_edges, x.k AS expected_validators, f.n_validators, coalesce(x.n = f.n_nodes AND x.m = f.n_edges AND x.k = f.n_validators, false) AS ok
+FROM (VALUES ('trade', 25, 40, 100), ('absent', 4, 3, 1)) x(graph_id, n, m, k) FULL JOIN (SELECT 'trade' AS graph_id, (SELECT count(*) FROM nation) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM supplier) AS n_validators) f USING (graph_id)"""
     return q

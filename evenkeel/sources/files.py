@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evenkeel.functions.storage import materialize
+
 #: Largest file that the manifest reads in one piece, and the bytes of a chunk of a larger one.
 WHOLE, CHUNK = 64 << 20, 4 << 20
 #: Fixed columns of a run log.
@@ -36,25 +38,34 @@ def node_count(c: str):
     return F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
 
 
-def read_results(spark: SparkSession, path: str, required: Sequence[str], scope: str = "scope", budget: str = "bootstrap_repetitions", seed: str = "seed") -> tuple[DataFrame, DataFrame]:
-    """A completed result table, and its scopes with their one budget and least seed; budgets that differ in a scope are an error."""
+def read_results(spark: SparkSession, path: str, required: Sequence[str], scope: str = "scope", budget: str = "bootstrap_repetitions", seed: str = "seed", scopes: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """A completed result table, and its scopes with their one budget and least seed. Budgets that differ in a scope are an error, and so is a table without rows or without any of the ``scopes`` that must be there."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     if gone := sorted(set(required) - set(df.columns)):
         raise ValueError(f"missing columns: {', '.join(gone)}")
-    scopes = df.groupBy(scope).agg(F.countDistinct(budget).alias("n_budgets"), F.max(budget).alias(budget), F.min(seed).alias(seed))
-    bad = scopes.filter("n_budgets != 1").limit(5).collect()
+    found = df.groupBy(scope).agg(F.countDistinct(budget).alias("n_budgets"), F.max(budget).alias(budget), F.min(seed).alias(seed))
+    there = {r[0] for r in found.select(scope).filter(F.col(scope).isin(list(scopes)) if scopes else F.lit(True)).limit(max(1, len(scopes))).collect()}
+    if not there or set(scopes) - there:
+        raise ValueError(f"no rows for: {', '.join(sorted(set(scopes) - there)) or 'any scope'}")
+    bad = found.filter("n_budgets != 1").limit(5).collect()
     if bad:
         raise ValueError(f"scopes with several budgets: {[r[scope] for r in bad]}")
-    return df, scopes.drop("n_budgets")
+    return df, found.drop("n_budgets")
+
+
+_TOPOLOGY = "bridges STRUCT<bridge: ARRAY<STRUCT<_name: STRING>>>, services STRUCT<service: ARRAY<STRUCT<_name: STRING, _image: STRING>>>, links STRUCT<link: ARRAY<STRUCT<_origin: STRING, _dest: STRING, _latency: STRING>>>"
 
 
 def read_topologies(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Links, bridges and services of topology files, with graph_id from the file name."""
+    """Links, bridges and services of topology files, with graph_id from the file name.
+
+    Each file is read and parsed once, as a row (a file must fit into a task); the three tables are taken from what that gave.
+    """
     graph = F.regexp_replace(F.col("_metadata.file_name"), r"\.xml$", "")
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    links = read("link", "_origin STRING, _dest STRING, _latency STRING").select(graph.alias("graph_id"), F.col("_origin").alias("u"), F.col("_dest").alias("v"), F.col("_latency").alias("latency"))
-    named = lambda tag: read(tag, "_name STRING").select(graph.alias("graph_id"), F.col("_name").alias("v"))
-    return {"links": links, "bridges": named("bridge"), "services": named("service")}
+    files = spark.read.option("wholetext", True).text(path).select(graph.alias("graph_id"), F.from_xml("value", F.lit(_TOPOLOGY)).alias("x"))
+    parsed = materialize(files.select("graph_id", F.col("x.links.link").alias("link"), F.col("x.bridges.bridge").alias("bridge"), F.col("x.services.service").alias("service")))
+    each = lambda tag, *columns: parsed.select("graph_id", F.explode(tag).alias("e")).select("graph_id", *(F.col(f"e._{c}").alias(n) for c, n in columns))
+    return {"links": each("link", ("origin", "u"), ("dest", "v"), ("latency", "latency")), "bridges": each("bridge", ("name", "v")), "services": each("service", ("name", "v"))}
 
 
 def read_schedules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
