@@ -4,12 +4,15 @@ import hashlib
 import ipaddress
 import math
 import random
+import time
 import re
 
 import pytest
 
 from evenkeel.llm import licenses, pii, secretscan
 
+import licence_lines  # noqa: E402, I001
+
 #: Marked as [[kind|span]]; none of it comes from the generators that the models are trained on.
 PERSONAL = """
 Please ring me on [[phone|(020) 7946 0958]] after six, or leave a note with the porter.
@@ -211,6 +214,25 @@ def test_licences_of_text_written_by_hand():
     assert right >= 0.85 * named, wrong
 
 
+def test_licences_of_lines_written_before_the_model():
+    """At least 80 % of the notices, and findings in at most 5 % of the harmless lines."""
+    missed = [(f, t) for f, t in licence_lines.NOTICES if f not in {x[1] for x in plain_licenses(t)}]
+    false = [t for t in licence_lines.HARMLESS if plain_licenses(t)]
+    assert len(licence_lines.NOTICES) >= 60 and len(licence_lines.HARMLESS) >= 60
+    assert len(missed) <= 0.2 * len(licence_lines.NOTICES), missed
+    assert len(false) <= 0.05 * len(licence_lines.HARMLESS), false
+
+
+def test_licences_of_many_lines(spark, documents):
+    """40,000 lines with a stem in one text: each line has its finding, in a time that grows with them."""
+    rng = random.Random(22)
+    lines = [rng.choice(["Released under the MIT License.", "Licensed under the GPL v2 or later", "she has a driving license", "", "plain"]) for _ in range(40_000)]
+    began = time.time()
+    found = licenses.find(documents("\n".join(lines)), "text").first().licences
+    assert time.time() - began < 60
+    assert [(x.line, x.family) for x in found] == [(i, "mit" if "MIT" in x else "gpl") for i, x in enumerate(lines) if "MIT" in x or "GPL" in x]
+
+
 def test_licences_equal_a_plain_version(spark, documents):
     rng = random.Random(21)
     pool = [t for _, t in NOTICES] + [t for ts in licenses.TEMPLATES.values() for t in ts] + ["", " ", "plain words of no kind", "word " * 230 + "Released under the MIT License."]
