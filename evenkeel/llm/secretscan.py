@@ -24,17 +24,24 @@ _SIGN, _VALUE = re.compile("[=:]"), re.compile(r"""[=:>]{0,2}\s{0,3}(?:"([^\s"]{
 _AFTER = re.compile(r"[^A-Za-z]{0,4}([A-Za-z]+)")
 _BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z]{0,4}\Z")
 #: Words that announce a secret, and words that announce something else.
-CUES = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials private access".split())
+CUES = frozenset("password passwd pwd secret token key apikey api auth bearer credential credentials private access passphrase passcode vault".split())
 OTHER_CUES = frozenset("sha commit hash checksum md5 digest uuid id build revision integrity version page ref doi isbn order".split())
 _ANNOUNCES = re.compile(rf"""(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{"|".join(sorted(CUES))})["']?\s{{0,3}}\Z""")
 _ANNOUNCED = re.compile(_ANNOUNCES.pattern[:-2] + r"""[=:]{1,3}>?\s{0,3}["']?\Z""")
+_BLANKLESS = re.compile(r"\S+")
+#: A cue in a sentence, a password in an address, and the two ends of a private key.
+_SAID = re.compile(rf"""(?<![A-Za-z])(?i:{"|".join(sorted(CUES))})\s{{1,3}}(?:is|was)[:\s]\s{{0,3}}["']?(?=\S{{6}})""")
+_IN_ADDRESS = re.compile(r"://[^\s:/@]{0,64}:([^\s:/@]{4,128})@(?=[A-Za-z0-9\[])")
+_KEY_BEGINS, _KEY_ENDS = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----"), re.compile(r"-----END (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----")
+#: What stands before data that is no secret: inline images, public keys, and parameters of addresses.
+_PUBLIC, _PARAMETER = re.compile(r"(?:base64,|ssh-(?:rsa|dss|ed25519) |ecdsa-\S{1,30} |-----BEGIN (?:PUBLIC KEY|CERTIFICATE)-----\s)\Z"), re.compile(r"[?&][A-Za-z_]{1,16}=\Z")
 _CONSONANTS = re.compile("[b-df-hj-np-tv-xz]+")
 #: Parts of which identifiers and paths are made.
 DICTIONARY = ("configuration", "application", "controller", "component", "function", "document", "template", "resource", "manager", "service", "request", "example", "default", "package", "handler", "version", "context", "license", "general", "public", "images", "static", "assets", "module", "number", "string", "client", "server", "update", "create", "report", "test", "user", "data", "file", "name", "page", "view", "list", "node", "main", "util", "core", "http", "html", "path", "type", "item", "info", "src", "lib", "get", "set", "the", "and", "for")
 _DICTIONARY = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 _PATHS = re.compile(r"(^|/)(tests?|docs?|examples?|fixtures?|vendor)(/|$)|\.(md|rst|lock|min\.js)$")
 #: Labelled findings that the forest is trained on, and the share of its votes that confirms a finding.
-TRAINED_ON, CONFIRMED = 4000, 0.5
+TRAINED_ON, CONFIRMED = 5000, 0.5
 MASK = "[SECRET]"
 
 
@@ -57,7 +64,8 @@ def features(value: str, before: str, path: str, after: str = "") -> list[float]
     shares = [kinds.count(k) / n for k in range(6)]
     return [float(n), changes, digit_steps, rising, covered, entropy, *shares, float(cue in CUES), float(cue in OTHER_CUES), float(bool(_PATHS.search(path))), float(value.startswith(("AKIA", "ghp_", "sk-", "xox"))), float(value.count("-") == 4 and n == 36),
             float(bool(_ANNOUNCED.search(before))), max(map(len, _CONSONANTS.findall(value.lower())), default=0) / n, sum(map(value.lower().count, "aeiou")) / n, float(value[0] in "$<{[%(/" or "(" in value or "://" in value),
-            float(next_word in CUES), float(next_word in OTHER_CUES), float(after[:1] in ("(", "[", "."))]
+            float(next_word in CUES), float(next_word in OTHER_CUES), float(after[:1] in ("(", "[", ".")),
+            float(before.endswith(":") and "://" in before and after[:1] == "@"), float(bool(_KEY_BEGINS.match(value))), float(bool(_SAID.search(before[-30:] + "xxxxxx", max(0, len(before[-30:]) - 20)) and before[-1:] in " \"'")), float(bool(_PUBLIC.search(before))), float(bool(_PARAMETER.search(before)))]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -69,6 +77,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
             value = m[m.lastindex] if m.lastindex < 3 else m[3].rstrip(",;)]}>\"'")
             if len(value) >= 6:
                 spans.add((m.start(m.lastindex), m.start(m.lastindex) + len(value)))
+    for m in _SAID.finditer(text):
+        value = _BLANKLESS.match(text, m.end())[0].rstrip(",;)]}>\"'.!?")
+        if len(value) >= 6:
+            spans.add((m.end(), m.end() + len(value)))
+    spans |= {m.span(1) for m in _IN_ADDRESS.finditer(text)}
+    begins = list(_KEY_BEGINS.finditer(text))
+    ends = iter(_KEY_ENDS.finditer(text) if begins else ())
+    end = next(ends, None)
+    for m, later in zip(begins, [*(x.start() for x in begins[1:]), len(text)]):
+        while end and end.start() < m.end():
+            end = next(ends, None)
+        if end and end.end() <= later:
+            spans.add((m.start(), end.end()))
     return sorted(spans)
 
 
@@ -89,7 +110,7 @@ def announced_value(rng: random.Random) -> tuple[str, str, int]:
     lower = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(pick("bcdfghlmnprst", 1) + pick("aeiou", 1) + pick("lnrst", rng.randint(0, 1)) for _ in range(rng.randint(2, 3)))
     cue = rng.choice(sorted(CUES))
-    before = rng.choice([f"{cue}=", f'{cue}="', f"{cue}: ", f"my_{cue} = '", f"{cue.upper()}="])
+    before = rng.choice([f"{cue}=", f'{cue}="', f"{cue}: ", f"my_{cue} = '", f"{cue.upper()}=", f"the {cue} is ", f"our {cue} was "])
     if rng.random() < 0.5:
         start = rng.randrange(26)
         value = rng.choice([
@@ -108,6 +129,8 @@ def announced_value(rng: random.Random) -> tuple[str, str, int]:
 
 def labelled_finding(rng: random.Random) -> tuple[str, str, str, int, str]:
     """(value, text before, path, 1 for a secret, text after) of one made-up finding."""
+    if rng.random() < 0.12:
+        return _framed_finding(rng)
     value, before, path, secret = _finding(rng)
     word = "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
     after = rng.choice(["", "\n", " " + word, '"', "';", '",', ", " + word, ". " + word.capitalize()])
@@ -116,6 +139,26 @@ def labelled_finding(rng: random.Random) -> tuple[str, str, str, int, str]:
     return value, before, path, secret, after
 
 
+def _framed_finding(rng: random.Random) -> tuple[str, str, str, int, str]:
+    """Passwords in addresses and private keys; inline images, public keys and parameters of addresses."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    base64s = lower + lower.upper() + digits + "+/"
+    path = rng.choice(["src/app.py", "conf/prod.env", "README.md", "", "web"])
+    scheme = rng.choice(["postgres", "mysql", "redis", "amqp", "https", "mongodb+srv", "ftp"])
+    body = pick(base64s, rng.randint(60, 300))
+    kind = rng.choice(["RSA ", "EC ", "", "OPENSSH ", "DSA "])
+    return rng.choice([
+        lambda: (pick(base64s[:62] + "!$%-_", rng.randint(6, 20)), f"{scheme}://{pick(lower, rng.randint(3, 8))}:", path, 1, "@" + pick(lower, 5)),
+        lambda: (pick(lower, rng.randint(4, 6)) + pick(digits, rng.randint(1, 4)), f"url = {scheme}://{pick(lower, 5)}:", path, 1, "@db." + pick(lower, 4)),
+        lambda: (f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----", rng.choice(["", "\n", "key:\n"]), path, 1, rng.choice(["", "\n"])),
+        lambda: (body, f"src=\"data:image/{rng.choice(['png', 'jpeg', 'gif'])};base64,", path, 0, '"'),
+        lambda: ("AAAAB3NzaC1yc2EAAAADAQAB" + body, rng.choice(["ssh-rsa ", "\nssh-ed25519 "]), path, 0, " " + pick(lower, 5) + "@host"),
+        lambda: (pick(base64s[:62] + "-_", rng.randint(16, 34)), f"https://{pick(lower, 6)}.org/{pick(lower, 5)}?{rng.choice(['list', 'v', 'id', 'sid', 'utm_id'])}=", path, 0, rng.choice(["", "&x=1", " "])),
+        lambda: (body[:64], "-----BEGIN PUBLIC KEY-----\n", path, 0, "\n"),
+    ])()
+
+
 def _finding(rng: random.Random) -> tuple[str, str, str, int]:
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexes, upper, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789"
