@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import ipaddress
 import random
 import re
@@ -12,10 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from evenkeel.llm import lstm_crf
 from evenkeel.llm.lstm_crf import LstmCrf
+from evenkeel.llm.shared import kept_arrays
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -26,8 +29,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT_OR_AT = re.compile("[0-9@]")
 _BLANK = re.compile(r"\s")
-#: What each kind has: a digit, an @, or an "at" in brackets.
-_TRIGGER = re.compile(r"[0-9@]+|[(\[{]\s?[aA][tT]\s?[)\]}]")
+#: What each kind has: a digit, an @, an "at" in brackets, or one between words of which the second goes on with "dot".
+_TRIGGER = re.compile(r"[0-9@]+|[(\[{]\s?[aA][tT]\s?[)\]}]|(?<=\w)\s[aA][tT]\s(?=[\w-]{1,40}\s[dD][oO][tT]\s\w)")
 #: Characters of a window, by which the next one begins later, and around a trigger's blank-free run that are read.
 WINDOW, STEP, AROUND = 64, 32, 32
 #: Labelled windows that the model is trained on, and passes over them.
@@ -118,6 +121,8 @@ def labelled_window(rng: random.Random) -> tuple[str, list[int]]:
             a, b = rng.choice(["()", "[]", "{}"])
             at = f"{a}{rng.choice(['at', 'AT'])}{b}"
             space = rng.choice(["", " "])
+            if rng.random() < 0.4:
+                return f"{local} at {host}".replace(".", " dot ")
             return f"{local}{space}{at}{space}" + (host if rng.random() < 0.5 else host.replace(".", f" {a}dot{b} "))
         return f"{local}@{host}"
 
@@ -130,7 +135,7 @@ def labelled_window(rng: random.Random) -> tuple[str, list[int]]:
         return ":".join(groups)
 
     def card() -> str:
-        n = rng.choice([13, 14, 15, 15, 16, 16, 16, 19])
+        n = rng.choice([13, 14, 15, 15, 15, 16, 16, 16, 19])
         body = rng.choice("3456") + digits(n - 2)
         body += next(d for d in string.digits if luhn(body + d))
         cuts = {15: (4, 10), 14: (4, 10)}.get(n, tuple(range(4, n, 4)))
@@ -140,7 +145,7 @@ def labelled_window(rng: random.Random) -> tuple[str, list[int]]:
         a, b, c = digits(3), digits(3), digits(4)
         return rng.choice([
             f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {digits(7)}", f"+{digits(11)}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{digits(2)} {digits(4)} {c}", f"0{digits(2)}/{digits(7)}", f"(0{digits(2)}) {digits(4)} {c}",
-            f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(1)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}", f"00{digits(2)} {digits(2)} {digits(6)}", f"0{digits(3)}-{digits(6)}", f"{b}-{c}", f"9{digits(2)} {b} {a}", f"1-{a}-{b}-{c}",
+            f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(1)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}", f"00{digits(2)} {digits(2)} {digits(6)}", f"00{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"0{digits(3)}-{digits(6)}", f"{b}-{c}", f"9{digits(2)} {b} {a}", f"1-{a}-{b}-{c}",
         ])
 
     def other() -> str:
@@ -183,10 +188,28 @@ def padded(codes: Sequence[int]) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def trained_model(seed: int = 11) -> LstmCrf:
+    model = _network(seed)
+    model.fit(*_training(seed), EPOCHS)
+    return model
+
+
+def _network(seed: int) -> LstmCrf:
+    return LstmCrf(4 + len(_PUNCTUATION) + 52, 1 + len(KINDS), 16, 32, seed, np.float32)
+
+
+def _training(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and labels of the made-up windows."""
     rng = random.Random(seed)
     rows = [labelled_window(rng) for _ in range(TRAINED_ON)]
-    model = LstmCrf(4 + len(_PUNCTUATION) + 52, 1 + len(KINDS), 16, 32, seed, np.float32)
-    model.fit(np.stack([padded(encode(t)) for t, _ in rows]), np.stack([padded(y) for _, y in rows]), EPOCHS)
+    return np.stack([padded(encode(t)) for t, _ in rows]), np.stack([padded(y) for _, y in rows])
+
+
+def kept_model(spark: SparkSession, seed: int = 11) -> LstmCrf:
+    """The trained model, from the shared folder where a session before has left it: under a hash of the windows, the network and its code."""
+    codes, labels = _training(seed)
+    parts = (codes.tobytes(), labels.tobytes(), repr((seed, EPOCHS, TRAINED_ON, np.__version__)).encode(), inspect.getsource(lstm_crf).encode())
+    model = _network(seed)
+    model.p = kept_arrays(spark, f"pii-{hashlib.sha256(b'|'.join(parts)).hexdigest()[:32]}", lambda: trained_model(seed).p)
     return model
 
 
@@ -245,8 +268,8 @@ def model_spans(texts: list[str], model: LstmCrf, batch: int = 512) -> list[list
     return out
 
 
-_AT = re.compile(r"@|\s?[(\[{]\s?at\s?[)\]}]\s?", re.I)
-_DOT = re.compile(r"\s?[(\[{]\s?dot\s?[)\]}]\s?", re.I)
+_AT = re.compile(r"@|\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s", re.I)
+_DOT = re.compile(r"\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s", re.I)
 
 
 def _plausible(kind: str, span: str) -> bool:
@@ -304,9 +327,10 @@ def personal_data(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Counts and hash are of the base spans; spans and n_spans are of all. Whole texts are read; null or empty ones have no
     spans and the hash of nothing. Rows are handled one by one: ties, repeats and other columns change
-    nothing, a null key is kept, an empty df gives no rows. The model is trained once in the driver on TRAINED_ON labelled windows.
+    nothing, a null key is kept, an empty df gives no rows. The model is trained in the driver on TRAINED_ON labelled windows, once
+    for a shared folder.
     """
-    sent = df.sparkSession.sparkContext.broadcast(trained_model())
+    sent = df.sparkSession.sparkContext.broadcast(kept_model(df.sparkSession))
     schema = StructType([StructField(key, df.schema[key].dataType), *(StructField(f"n_{k}", LongType()) for k in KINDS), StructField("base_sha256", StringType()), StructField("spans", StringType()), StructField("n_spans", LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
