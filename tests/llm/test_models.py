@@ -4,15 +4,14 @@ import hashlib
 import ipaddress
 import math
 import random
-import time
 import re
+import time
 
+import licence_lines
 import pytest
 
 from evenkeel.llm import licenses, pii, secretscan
 
-import licence_lines  # noqa: E402, I001
-
 #: Marked as [[kind|span]]; none of it comes from the generators that the models are trained on.
 PERSONAL = """
 Please ring me on [[phone|(020) 7946 0958]] after six, or leave a note with the porter.

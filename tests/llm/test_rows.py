@@ -45,7 +45,7 @@ def test_packing_keeps_all_ids_and_fits(spark, documents):
     texts = ODD + ["word " * n for n in (100, 700, 1022, 1023, 1024, 2500)] + ["w " * k for k in range(1, 400, 7)]
     df = documents(*texts)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = True  # as pack() without added tokens; the next test has them
     ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
     got = packing.pack(df.withColumn("length", F.lit(1)), "doc_id", "text", 1024, RANKS, PATTERN).collect()
     bins, pieces = defaultdict(list), defaultdict(list)
@@ -131,8 +131,13 @@ def test_token_counts_equal_the_library(spark, documents):
     library = Tokenizer(models.Unigram([("<unk>", min(s for _, s in pieces)), *pieces], 0, False))
     library.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", True)
     texts = [*ODD, " ", "  a", "▁x", "漢字漢字 漢", "a\nb", "q" * 500]
-    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(documents(*texts), "doc_id", "text", model).collect()}
+    df = documents(*texts).withColumns({"n_tokens": F.lit("x"), "words": F.lit(1)})
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(df, "doc_id", "text", model).collect()}
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    again = spark.createDataFrame([(None, "a  b"), (None, "a  b"), (3, None), (3, "")], "doc_id long, text string")
+    n = len(library.encode("a  b").ids)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in tokencount.token_counts(again, "doc_id", "text", model).collect()) == [("3", 0), ("3", 0), ("None", n), ("None", n)]
+    assert tokencount.token_counts(again.limit(0), "doc_id", "text", model).count() == 0
 
 
 def test_ties_go_to_the_earliest_start():
