@@ -188,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
     q["dispersion_long"] = run(f"SELECT {_CFG}, metric, n_metric, {_round(_STATS16, 7)} FROM cells", cells)
     q["dispersion_sorted_quantile"] = "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS quantile FROM lineitem GROUP BY ALL"
     maxima = _unpivot("SELECT * FROM cells", f"metric, n_metric, {_label(*_CFG.split(', '))} AS cell", ("range", "delta_max_pct", "delta_min_pct", "wcd"))
-    q["dispersion_scope_maxima"] = run("SELECT metric, statistic, count(value) AS n_estimable, count(*) FILTER (n_metric >= 2) AS n_two_values, arg_min(cell, cell) FILTER (size = top) AS cell, round(arg_min(value, cell) FILTER (size = top), 4) AS value FROM (SELECT *, max(size) OVER (PARTITION BY metric, statistic) AS top FROM (SELECT *, CASE WHEN statistic = 'delta_min_pct' THEN abs(value) ELSE value END AS size FROM m)) GROUP BY ALL", cells, f"m AS ({maxima})")
+    q["dispersion_scope_maxima"] = run("SELECT metric, statistic, count(value) AS n_estimable, count(*) FILTER (n_metric >= 2) AS n_two_values, arg_min(cell, cell) FILTER (size = top) AS cell, round(arg_min(value, cell) FILTER (size = top) + 1e-9, 4) AS value FROM (SELECT *, max(size) OVER (PARTITION BY metric, statistic) AS top FROM (SELECT *, round(CASE WHEN statistic = 'delta_min_pct' THEN abs(value) ELSE value END + 1e-9, 6) AS size FROM m)) GROUP BY ALL", cells, f"m AS ({maxima})")
     q["dispersion_bounds_violations"] = run("SELECT chain, metric, count(*) AS n_violations FROM (SELECT * REPLACE (CASE WHEN chain = 'BUILDING' AND metric = 'tps' THEN range + 1 ELSE range END AS range) FROM cells) WHERE n_metric > 0 AND (delta_min_pct < -100 - 1e-9 OR delta_max_pct > 100 * (n_metric - 1) + 1e-9 OR abs(range - (delta_max - delta_min)) > 1e-9 * greatest(1, abs(\"max\"))) GROUP BY ALL", cells)
     q["metric_eligibility_summary"] = run(f"SELECT scope, metric, count(*) AS n_cells, count(*) FILTER (n_metric >= 9) AS n_enough, min(n_metric) AS n_min, max(n_metric) AS n_max FROM ({_IN_SCOPES.format('SELECT * FROM cells')}) GROUP BY ALL", cells)
     q["legacy_aggregate"] = run(f"SELECT {_CFG}, {_round(_LEGACY_COLUMNS, 7)} FROM legacy", _legacy(_CFG))

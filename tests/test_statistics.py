@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,16 @@ def test_a_null_level_is_a_level(spark):
     assert got == {None: (2, 1.5, 2.5), "b": (1, 5.0, 5.0), "c": (0, None, None)}
 
 
+def test_maxima_of_sums_that_change_from_pass_to_pass(spark):
+    """Means may differ in their last bits whenever they are summed again; each maximum has its cell, and ties go to the first."""
+    shaken = F.udf(lambda v: None if v is None else v * (1 + random.random() * 1e-13), "double").asNondeterministic()
+    rows = [("b", 7.5, 3), ("a", 7.5, 2), ("c", 2.0, 1), ("d", None, 0)]
+    cells_ = spark.createDataFrame(rows, "c string, range double, n_metric int").withColumns({"metric": F.lit("m"), "delta_min_pct": -F.col("range")}).repartition(4)
+    cells_ = cells_.withColumns({x: shaken(x) for x in ("range", "delta_min_pct")})
+    got = {r.statistic: (r.n_estimable, r.n_two_values, r.cell, round(r.value, 6)) for r in dispersion.scope_maxima(cells_, ["c"], ["range", "delta_min_pct"]).collect()}
+    assert got == {"range": (3, 2, "1:a", 7.5), "delta_min_pct": (3, 2, "1:a", -7.5)}
+
+
 def test_intervals_that_are_broken(spark):
     df = spark.createDataFrame([(3, 1.0, 2.0), (3, 2.0, 1.0), (0, None, None), (0, 1.0, None), (2, None, 1.0)], "n_defined long, lower double, upper double")
     assert resample.interval_violations(df).count() == 3
