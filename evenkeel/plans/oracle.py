@@ -146,6 +146,23 @@ drawn AS (SELECT {own}, d.metric, replicate, count(*) AS n, avg(v) AS mean, quan
 boot AS (SELECT {keys}, metric, replicate, CASE WHEN n >= 2 AND mean > 0 THEN 100 * (q75 - q25) / mean END AS iqr_pct, CASE WHEN n >= 2 AND mean > 0 THEN 100 * std / mean END AS std_pct FROM drawn)"""
 
 
+def _boot_by_ranges(keys: str, source: str, metrics, size: int = 262144) -> str:
+    """As _boot, for cells of any size: a cell is cut into ranges of size values, a draw's first number says its range, and a range's draws fall among its own values."""
+    n = f"OVER (PARTITION BY {keys}, metric"
+    same = " AND ".join(f"d.{k} IS NOT DISTINCT FROM v.{k}" for k in (*keys.split(", "), "metric", "place"))
+    own, label = ", ".join(f"d.{k}" for k in keys.split(", ")), _label(*keys.split(", "), "metric")
+    based = lambda source, name: f"SELECT *, (CAST('0x' || substr(md5('20260831|' || {label} || '|' || {name}), 1, 8) AS BIGINT) + replicate * 2654435769) & 4294967295 AS x1 FROM ({source})"
+    turned = lambda source, name, m: f"SELECT *, (own + draw * 2246822507) & 4294967295 AS x2 FROM (SELECT * EXCLUDE (y1, y2), unnest(range({m})) AS draw FROM ({_mixed(based(source, name), 'x1', 'own')}))"
+    cells = f"SELECT DISTINCT {keys}, metric, n, replicate FROM vals, {_REPLICATE} WHERE n"
+    first = _mixed(turned(f"{cells} > {size}", "'ranges'", "n"), "x2", "bits")
+    second = _mixed(turned("SELECT * FROM shares", "block", "m"), "x2", "bits")
+    return f"""vals AS (SELECT *, row_number() {n} ORDER BY v, run_id) - 1 AS place, count(*) {n}) AS n FROM ({_long(keys + ", run_id", source, metrics)}) WHERE v IS NOT NULL),
+shares AS (SELECT {keys}, metric, n, replicate, ((bits::HUGEINT * n) >> 32)::BIGINT // {size} AS block, count(*) AS m FROM ({first}) GROUP BY ALL UNION ALL SELECT *, 0 AS block, n AS m FROM ({cells} <= {size})),
+draws AS (SELECT {keys}, metric, replicate, block * {size} + ((bits::HUGEINT * least({size}, n - block * {size})) >> 32)::BIGINT AS place FROM ({second})),
+drawn AS (SELECT {own}, d.metric, replicate, count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75, stddev_samp(v) AS std FROM draws d JOIN vals v ON {same} GROUP BY ALL),
+boot AS (SELECT {keys}, metric, replicate, CASE WHEN n >= 2 AND mean > 0 THEN 100 * (q75 - q25) / mean END AS iqr_pct, CASE WHEN n >= 2 AND mean > 0 THEN 100 * std / mean END AS std_pct FROM drawn)"""
+
+
 _BOOT = _boot(_CFG)
 _IN_SCOPES = "SELECT c.*, s.scope FROM ({}) c, (VALUES ('all'), ('two_regions')) s(scope) WHERE s.scope = 'all' OR workload IN ('ASIA', 'EUROPE')"
 _TRADE = """w AS (
@@ -228,7 +245,7 @@ FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m, row_number() OVER (PAR
     )
     grid = " CROSS JOIN ".join(f"(SELECT DISTINCT {c} FROM u)" for c in ("chain", "topology", "size"))
     q["unspecified_grid"] = run(f"SELECT g.chain, g.topology, g.size, count(run_id) AS n FROM ({grid}) g LEFT JOIN u ON g.chain = u.chain AND g.topology IS NOT DISTINCT FROM u.topology AND g.size = u.size AND u.tps_point_valid GROUP BY ALL", unspecified)
-    q["unspecified_bootstrap"] = run(_summary(_unpivot("SELECT * FROM boot", "chain, topology, size, metric", ("iqr_pct", "std_pct")), "chain, topology, size, metric, statistic"), unspecified, _boot("chain, topology, size", "u", ("tps",)))
+    q["unspecified_bootstrap"] = run(_summary(_unpivot("SELECT * FROM boot", "chain, topology, size, metric", ("iqr_pct", "std_pct")), "chain, topology, size, metric, statistic"), unspecified, _boot_by_ranges("chain, topology, size", "u", ("tps",)))
     q["deviation_sums"] = run(f"SELECT chain, count(*) AS n_violations FROM (SELECT {_CFG}, sum(d) AS total, count(*) * greatest(max(m), 1) AS room FROM (SELECT *, tps - m + CASE WHEN chain = 'MACHINERY' THEN 0.5 ELSE 0 END AS d FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m FROM r WHERE tps_point_valid)) GROUP BY ALL) WHERE abs(total) > 1e-8 * room GROUP BY chain")
     q["run_deviations"] = run(f"SELECT run_id, round(m, 6) AS cell_mean, round(tps - m, 6) + 0.0 AS deviation, round(100 * (tps - m) / m, 6) + 0.0 AS deviation_pct, round(greatest(least(100 * (tps - m) / m, 100), -100), 6) + 0.0 AS clipped_pct, abs(100 * (tps - m) / m) > 100 + 1e-9 AS overflow FROM (SELECT *, avg(tps) OVER (PARTITION BY {_CFG}) AS m FROM r WHERE tps_point_valid)")
     q["deviation_offsets"] = run(f"SELECT run_id, round(CASE WHEN n = 1 THEN 0 ELSE -0.18 + 0.36 * (rn - 1) / (n - 1) END, 6) AS \"offset\", concat_ws('/', chain, topology, size) AS cell FROM (SELECT *, row_number() OVER (PARTITION BY {_CFG} ORDER BY ts, run_id) AS rn, count(*) OVER (PARTITION BY {_CFG}) AS n FROM r WHERE tps_point_valid)")

@@ -1,5 +1,6 @@
 """Cells with missing levels, exact selection, resampling by ranges, and fits from factors and sums."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.cells import cell_label, join_cells
 from evenkeel.functions.selection import in_sets, quantiles_of_columns, quantiles_of_groups
 from evenkeel.operators import bootstrap, dispersion, factors, models, resample, windows
+from evenkeel.plans import oracle
 from evenkeel.plans.model import MetricSpec
 
 CFG = ["a", "b"]
@@ -119,6 +121,33 @@ def test_bootstrap_by_ranges(spark, size):
                 assert (got[c, r].iqr_pct, got[c, r].std_pct) == (pytest.approx(100 * (q[1] - q[0]) / drawn.mean()), pytest.approx(100 * drawn.std(ddof=1) / drawn.mean(), abs=1e-6))
 
 
+@pytest.mark.parametrize("size", [262144, 64])
+def test_bootstrap_equals_sql_by_ranges(spark, size):
+    """SQL states the same draws, for cells of one range and of many."""
+    rng = np.random.default_rng(8)
+    cells_ = {"x": rng.integers(1, 40, 300) / 10, None: rng.integers(1, 9, 130) / 10, "z": [1.5], "even": rng.integers(1, 90, 128) / 10}
+    rows = [(c, 1000 * i + k, float(v)) for i, (c, vs) in enumerate(cells_.items()) for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "c string, run_id long, tps double").withColumn("ok", F.lit(True))
+    got = {(r.c, r.replicate): (r.iqr_pct, r.std_pct) for r in bootstrap.bootstrap(df, ["c"], "run_id", [MetricSpec("tps", "tps", "ok")], 20260831, 100, size).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE u (c VARCHAR, run_id BIGINT, tps DOUBLE, tps_point_valid BOOLEAN)")
+    con.executemany("INSERT INTO u VALUES (?, ?, ?, true)", rows)
+    want = con.execute(f"WITH {oracle._boot_by_ranges('c', 'u', ('tps',), size)} SELECT c, replicate, iqr_pct, std_pct FROM boot").fetchall()
+    assert len(want) == len(got) == 400
+    for c, replicate, *stats in want:
+        assert got[c, replicate] == tuple(None if x is None else pytest.approx(x, rel=1e-9, abs=1e-6) for x in stats)
+
+
+def test_one_range_up_to_its_size(spark):
+    """A cell of more than 4,096 values, but not of more than a range, draws among all of them."""
+    v = np.arange(1.0, 6001.0)
+    df = spark.range(1, 6001).select(F.lit("x").alias("c"), "id", F.col("id").cast("double").alias("v"), F.lit(True).alias("ok"))
+    got = {r.replicate: r.std_pct for r in bootstrap.bootstrap(df, ["c"], "id", SPEC, 5, 3).collect()}
+    for r in (1, 2, 3):
+        drawn = v[bootstrap.places(5, "1:x|1:m", 0, np.full(6000, r), np.arange(6000), 6000)]
+        assert got[r] == pytest.approx(100 * drawn.std(ddof=1) / drawn.mean())
+
+
 def test_draws_are_fair():
     """Ranges get draws by their size, and places are as likely as each other."""
     counts = np.array([bootstrap.dealt(1, "cell", 1000, k, 300, 4000) for k in range(4)])
