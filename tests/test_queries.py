@@ -40,6 +40,15 @@ def test_query_equals_sql(spark, db, name):
     assert got == rows([d[0] for d in want.description], want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["balanced_extrema", "balanced_factor_sensitivity", "bootstrap_factor_intervals", "bootstrap_outside_markers"])
+def test_runs_are_derived_once(spark, monkeypatch, name):
+    """The estimates and their replicates read one table of runs, not two derivations of it."""
+    derived, outcome_runs = [], catalog.outcome_runs
+    monkeypatch.setattr(catalog, "outcome_runs", lambda *a: derived.append(a) or outcome_runs(*a))
+    catalog.queries()[name](spark, SF)
+    assert len(derived) == 1
+
+
 def test_registry(spark):
     assert set(ORACLE) <= set(catalog.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
